@@ -36,3 +36,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BITMAP_BITS = 1 << 23  # a bitmap of ids is at most 131 072 rows of 64 bits
+
+
+def flag_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, flag: str) -> DataFrame:
+    """df with a boolean column flag: false only where the key is not among listed's.
+
+    A prefilter that saves shuffling rows with nothing to join: a hashed bitmap of fixed size, so the broadcast is bounded
+    whatever the input. False positives, more of them with more ids, are left to the join that follows.
+    """
+    from pyspark.sql import functions as F
+
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITMAP_BITS))
+    words = listed.select(place(listed_key).alias("h")).selectExpr("shiftright(h, 6) AS bitmap_word", "shiftleft(1L, cast(h & 63 AS int)) AS bit").groupBy("bitmap_word").agg(F.bit_or("bit").alias("bitmap_bits"))
+    marked = df.withColumn("bitmap_h", place(key)).withColumn("bitmap_word", F.shiftright("bitmap_h", 6)).join(F.broadcast(words), "bitmap_word", "left")
+    return marked.withColumn(flag, F.expr("coalesce((shiftright(bitmap_bits, cast(bitmap_h & 63 AS int)) & 1L) = 1L, false)")).drop("bitmap_h", "bitmap_word", "bitmap_bits")
