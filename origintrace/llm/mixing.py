@@ -23,25 +23,26 @@ def word_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long") + 1
 
 
-def _measures(stats: DataFrame, exponents: list[float], total: int) -> list[tuple[float, float, float, float]]:
-    """(exponent, normaliser, entropy, largest weight over share) for each exponent; one small aggregate over the sources."""
+def _measures(stats: DataFrame, exponents: list[float], total: int) -> list[tuple[float, float, float, float, float]]:
+    """(exponent, normaliser, entropy, largest and least weight over share) for each exponent; one small aggregate over the sources."""
     p = F.col("source_tokens") / F.lit(float(total))
     rows = (
         stats.select(p.alias("p"), F.explode(F.array(*[F.lit(float(a)) for a in exponents])).alias("a"))
         .groupBy("a")
-        .agg(F.sum(F.pow("p", "a")).alias("z"), F.sum(F.pow("p", "a") * F.log("p")).alias("zl"), F.max(F.pow("p", F.col("a") - 1)).alias("m"))
+        .agg(F.sum(F.pow("p", "a")).alias("z"), F.sum(F.pow("p", "a") * F.log("p")).alias("zl"), F.max(F.pow("p", F.col("a") - 1)).alias("m"), F.min(F.pow("p", F.col("a") - 1)).alias("l"))
         .collect()
     )
-    return sorted((r.a, r.z, math.log(r.z) - r.a * r.zl / r.z, r.m / r.z) for r in rows)
+    return sorted((r.a, r.z, math.log(r.z) - r.a * r.zl / r.z, r.m / r.z, r.l / r.z) for r in rows)
 
 
-def solve_exponent(stats: DataFrame, total: int, budget: int, target_entropy: float | None = None, max_repeats: float | None = None, highest: float = 8.0) -> float:
+def solve_exponent(stats: DataFrame, total: int, budget: int, target_entropy: float | None = None, max_repeats: float | None = None, cover: bool = False, highest: float = 8.0) -> float:
     """The exponent by repeated sectioning (each pass tests SECTIONS exponents at once, so it is a bisection in fewer jobs).
 
     Entropy and repetitions both fall as the exponent rises to 1. With an entropy, the exponent in [0, highest] that has it,
     or the nearest end; with a repetition limit, the smallest exponent up to 1 that keeps it; with both, the entropy's
     exponent unless the limit needs a larger one. Past 1, large sources would be repeated, so a limit that the plain shares
-    break (a budget of more than max_repeats corpora) gives 1.
+    break (a budget of more than max_repeats corpora) gives 1. With cover, repetitions are those of the budget that shows the
+    least repeated source once.
     """
 
     def section(fits, low: float, high: float) -> float:
@@ -58,7 +59,7 @@ def solve_exponent(stats: DataFrame, total: int, budget: int, target_entropy: fl
     if target_entropy is not None:
         exponent = section(lambda m: m[2] <= target_entropy, 0.0, highest)
     if max_repeats is not None and exponent < 1:
-        exponent = max(exponent, section(lambda m: m[3] * budget / total <= max_repeats * (1 + 1e-12), exponent, 1.0))
+        exponent = max(exponent, section(lambda m: (m[3] / m[4] if cover else m[3] * budget / total) <= max_repeats * (1 + 1e-12), exponent, 1.0))
     return exponent
 
 
@@ -76,8 +77,8 @@ def source_weights(docs: DataFrame, *, source: str = "source", tokens: str = "n_
     if entropy_gain is not None:
         even, plain = (m[2] for m in _measures(stats, [0.0, 1.0], total))
         target_entropy = plain + entropy_gain * (even - plain)
-    exponent = solve_exponent(stats, total, budget, target_entropy, max_repeats)
-    (_, z, _, _), = _measures(stats, [exponent], total)
+    exponent = solve_exponent(stats, total, budget, target_entropy, max_repeats, cover)
+    (_, z, *_), = _measures(stats, [exponent], total)
     p = F.col("source_tokens") / F.lit(float(total))
     out = stats.withColumn("weight", F.pow(p, F.lit(exponent)) / F.lit(z))
     if cover:
@@ -86,7 +87,7 @@ def source_weights(docs: DataFrame, *, source: str = "source", tokens: str = "n_
     return out.select("mix_source", "source_tokens", "weight", (F.col("weight") * F.lit(float(budget)) / F.col("source_tokens")).alias("repeats"), F.lit(budget).cast("long").alias("budget"), F.lit(exponent).alias("exponent"))
 
 
-def mix(docs: DataFrame, *, source: str = "source", tokens: str = "n_tokens", block_tokens: int = 1 << 20, seed: int = 17, **target) -> DataFrame:
+def mix(docs: DataFrame, *, source: str = "source", tokens: str | Column = "n_tokens", block_tokens: int = 1 << 20, seed: int = 17, **target) -> DataFrame:
     """docs, one row a copy, with mix_epoch, mix_block and mix_slot (the place in the block, from 0), mix_weight and mix_exponent.
 
     A null source is the source ''. Null token counts are 1, so no source is without tokens. Repeated rows are rows of their
@@ -96,11 +97,12 @@ def mix(docs: DataFrame, *, source: str = "source", tokens: str = "n_tokens", bl
     a bucket, so a source with a third of all rows is dealt over as many tasks as the rest.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     base = cut(
         docs.withColumns(
             {
                 "mix_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
-                "mix_tokens": F.greatest(F.coalesce(F.col(tokens), F.lit(1)), F.lit(1)).cast("long"),
+                "mix_tokens": F.greatest(F.coalesce(tokens, F.lit(1)), F.lit(1)).cast("long"),
                 "mix_id": F.monotonically_increasing_id(),
             }
         ),
@@ -135,6 +137,11 @@ def mix(docs: DataFrame, *, source: str = "source", tokens: str = "n_tokens", bl
     return base.drop("mix_source", "mix_tokens").join(dealt, "mix_id").drop("mix_id")
 
 
+def remix(docs: DataFrame, **target) -> DataFrame:
+    """docs' own columns, a row a copy: every document at least once, the sources that are to weigh more repeated."""
+    return mix(docs, tokens=word_tokens(F.col("text")), cover=True, **target).select(*docs.columns)
+
+
 def op2_temperature_mixing(spark, sf_dir):
     """Mixes all documents half the way from the plain to the even mix, no source more than four times; a row a copy."""
     from .common import table

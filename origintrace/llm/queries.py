@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import ann, langid, minhash, mixing, packing, sharding, spotsigs, url_filters, warc
+from . import ann, langid, minhash, mixing, packing, sharding, spotsigs, suffixes, url_filters, warc
 
 QUERIES = {
     "op1_kmeans_tree_search": ann.op1_kmeans_tree_search,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_hilbert_shards": sharding.op3_hilbert_shards,
     "op4_minmax_near_duplicates": minhash.op4_minmax_near_duplicates,
     "op5_language_evidence": langid.op5_language_evidence,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_warc_round_trip": warc.op8_warc_round_trip,
     "op9_url_list_asof": url_filters.op9_url_list_asof,
