@@ -25,11 +25,19 @@ PLAIN = r"[\t-\r -~¡-įı-ňŊ-ž]*"
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others in order from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, without special tokens, equal to the tokenizer's own.
 
-    Texts of plain Latin characters are cut at spaces and line ends, and the ids of chunks and of words are remembered (up to
-    CACHE of each); words not seen before, and all other texts, go to the tokenizer.
+    Made for byte-level BPE that lower-cases and splits words by WORDS. Texts of plain Latin characters are cut at spaces and
+    line ends, and the ids of chunks and of words are remembered (up to CACHE of each); words not seen before go to the
+    tokenizer's merges, and all other texts to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -40,6 +48,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.find = regex.compile(WORDS).findall
         self.plain = regex.compile(PLAIN).fullmatch
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
 
@@ -52,15 +62,16 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one lower-case word: by the tokenizer's merges alone, as there is nothing left to normalise or to split."""
+        spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(spelt)])
+        if len(self.words) < CACHE:
+            self.words[word] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
-        words = self.find(chunk.lower())
-        if new := [w for w in dict.fromkeys(words) if w not in self.words]:
-            made = dict(zip(new, self._raw(new), strict=True))
-            if len(self.words) < CACHE:
-                self.words |= made
-            out = b"".join(made[w] if w in made else self.words[w] for w in words)
-        else:
-            out = b"".join(map(self.words.__getitem__, words))
+        out = b"".join([self.words.get(w) or self._word(w) for w in self.find(chunk.lower())])
         if len(self.chunks) < CACHE:
             self.chunks[chunk] = out
         return out
@@ -71,9 +82,8 @@ class Encoder:
         chunks = text.replace("\n", " ").split(" ")
         found = list(map(self.chunks.get, chunks))
         if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self._chunk(chunks[i])
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                found[i] = self._chunk(chunks[i])
         return b"".join(found)
 
 
