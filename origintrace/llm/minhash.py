@@ -20,7 +20,8 @@ WORDS = 5
 PERCENT = 75
 #: At a coefficient of 0.75 a pair shares no band with a probability of 2e-5, at 0.85 with one of 6e-11.
 BAND_ROWS, BANDS = 5, 40
-SMALL_BUCKET = 32  # a bucket of several components and more members than this is split by a second band before pairs are made
+SMALL_BUCKET = 32  # members up to which the pairs of a bucket with several components are joined; larger ones are compared in blocks
+BLOCK_SHINGLES = 100_000  # shingles of a block of sets
 
 _MIX = np.random.default_rng(20240101)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
@@ -103,38 +104,41 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """Per row: key, n_shingles, class_id (smallest key with the same set), component_id (smallest key reachable by links).
 
     Rows without words have an empty set, are in no link, and are their own class and component. Rows of equal sets are one
-    node, so copies make no pairs. In every band's bucket each node is first compared with the bucket's smallest node only
-    (its first such hub, then the others), which joins groups of near copies by stars; only where a bucket still holds
-    several components are the pairs between these compared, after splitting a large one by a second shared band. No bucket
-    or partner is capped. A null key is never a hub or a class's id unless all keys of the class are null; repeated keys are
+    node, so copies make no pairs. In every band's bucket each node is first compared with one hub only, which joins groups
+    of near copies by stars; only where a bucket still holds several components are its nodes compared with those of the
+    other components, as pairs if it is small, else in blocks. No bucket or partner is capped. A null key is never a hub or a class's id unless all keys of the class are null; repeated keys are
     separate rows with equal results.
     """
     rows = cut(signed(docs, key, text), "minhash-signed")
     classes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min(key).alias("node"), F.min_by(F.struct("n", "bands"), key).alias("s")).selectExpr("digest", "node", "s.n AS n", "s.bands AS bands"), "minhash-classes")
     nodes = classes.where("node is not null").select("node", "n", "bands")
     spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "n")).alias("hub")).where("members > 1").selectExpr("bucket", "hub.node AS hub", "hub.n AS hub_n"), "minhash-buckets")
-    members = cut(spread.join(shared, "bucket").select("bucket", "node", "n", "hub", "hub_n"), "minhash-members")
-    involved = cut(members.select("node").distinct(), "minhash-involved")
+    shared = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-buckets")
+    members = cut(spread.join(shared, "bucket"), "minhash-members")
+    involved = cut(members.groupBy("node").agg(F.sum("members").alias("company")), "minhash-involved")
     texts = flag_listed(docs.select(key, text), key, involved, "node", "wanted").where("wanted")
     sets = cut(shingle_sets(involved.join(texts.withColumnRenamed(key, "node"), "node"), "node", text).dropDuplicates(["node"]), "minhash-sets")
 
-    to_hub = members.where("node <> hub").where(_near("n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    links = confirmed(to_hub.groupBy("a").agg(F.min("b").alias("b")), sets, percent)
+    # A bucket's hub is the member with the most company in all its buckets: of a group of edited copies, the least edited.
+    known = members.join(involved, "node")
+    hubs = cut(known.groupBy("bucket").agg(F.max(F.struct("company", -F.col("node"), "n")).alias("h")).selectExpr("bucket", "-h.col2 AS hub", "h.n AS hub_n", "h.company AS hub_company"), "minhash-hubs")
+    to_hub = members.join(hubs, "bucket").where("node <> hub").where(_near("n", "hub_n", percent)).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("hub_company").alias("hub_company"))
+    to_hub = cut(to_hub, "minhash-to-hub")
+    links = confirmed(to_hub.groupBy("a").agg(F.max_by("b", F.struct("hub_company", -F.col("b"))).alias("b")), sets, percent)
     groups = cut(components(links), "minhash-groups")
-    left = _apart(to_hub.distinct(), groups)
+    left = _apart(to_hub.select("a", "b"), groups)
     if left.take(1):
         links = links.unionByName(confirmed(left, sets, percent))
         groups = cut(components(links), "minhash-groups")
 
-    inside = _with_group(members.select("bucket", "node", "n"), groups)
+    inside = members.select("bucket", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = cut(_mixed(inside), "minhash-mixed")
     if mixed.take(1):
-        small = mixed.where(f"members <= {SMALL_BUCKET}").select("bucket", "node", "n", "component")
-        large = mixed.where(f"members > {SMALL_BUCKET}").select("bucket", "node", "n", "component")
-        again = large.join(nodes.select("node", F.explode("bands").alias("other")), "node").where("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "node", "n", "component")
-        pairs = _pairs(small, percent).unionByName(_pairs(_mixed(again).select("bucket", "node", "n", "component"), percent)).distinct()
-        links = links.unionByName(confirmed(pairs, sets, percent))
+        small = mixed.where(f"members <= {SMALL_BUCKET}")
+        links = links.unionByName(confirmed(_pairs(small, percent).distinct(), sets, percent))
+        large = mixed.where(f"members > {SMALL_BUCKET}")
+        if large.take(1):
+            links = links.unionByName(_compare_in_blocks(large, sets, percent))
         groups = cut(components(links), "minhash-groups")
 
     found = classes.select("digest", F.col("node").alias("class_id")).join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
@@ -143,10 +147,6 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.select(key, "n_shingles", F.coalesce("class_id", key).alias("class_id"), F.coalesce("component", "class_id", key).alias("component_id"))
 
 
-def _with_group(members: DataFrame, groups: DataFrame) -> DataFrame:
-    return members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one component."""
     for end in ("a", "b"):
@@ -165,6 +165,69 @@ def _pairs(members: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "bucket").where("x.node < y.node and x.component <> y.component").where(_near("x.n", "y.n", percent)).selectExpr("x.node AS a", "y.node AS b")
 
 
+def _compare_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among the nodes of large buckets, compared exactly in blocks.
+
+    Such buckets are groups of copies with so many edits that some are near enough and many just not, so each node has to be
+    held against the others. Nodes that buckets connect form a cluster; it is cut into blocks by set size (only blocks of
+    sizes that can link meet) and hash, each pair of blocks is one task's work of bounded size, and only links come out, no
+    more than a task has nodes. The work grows with the square of such a cluster, and with nothing else.
+    """
+    nodes = cut(members.select("node", "n", "component").distinct(), "minhash-open")
+    tied = members.groupBy("bucket").agg(F.min("node").alias("b"))
+    clusters = cut(components(members.join(tied, "bucket").select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("component", "cluster"), "minhash-clusters")
+    step = float(np.log(100 / percent))
+    placed = nodes.join(clusters, "node").withColumn("level", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    loads = placed.groupBy("cluster", "level").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    loads = cut(loads, "minhash-loads")
+    own = placed.join(loads, ["cluster", "level"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    near = loads.select("cluster", F.col("level").alias("other_level"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block"))
+    mine, other = F.struct("level", "block"), F.struct(F.col("other_level").alias("level"), F.col("other_block").alias("block"))
+    meets = (
+        own.withColumn("other_level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
+        .join(near, ["cluster", "other_level"])
+        .select("cluster", F.least(mine, other).alias("first"), F.greatest(mine, other).alias("second"), "node", "component", (mine <= other).alias("is_first"))
+    )
+
+    def compare(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("node")
+        component, size = pdf["component"].to_numpy(), np.array([len(s) for s in pdf["shingles"]])
+        row = np.repeat(np.arange(len(pdf)), size)
+        token, count = np.unique(np.concatenate(pdf["shingles"].to_numpy()), return_inverse=True, return_counts=True)[1:]
+        row, token = row[count[token] > 1], token[count[token] > 1]
+        token = np.unique(token, return_inverse=True)[1]
+        x, y = np.flatnonzero(pdf["is_first"]), np.flatnonzero(~pdf["is_first"])
+        if pdf["first"].iloc[0] == pdf["second"].iloc[0]:
+            x = y = np.arange(len(pdf))
+        both = np.zeros((len(x), len(y)), dtype=np.float32)
+        for at in range(0, int(token.max(initial=-1)) + 1, 2048):
+            part = np.zeros((len(pdf), 2048), dtype=np.float32)
+            here = (token >= at) & (token < at + 2048)
+            part[row[here], token[here] - at] = 1
+            both += part[x] @ part[y].T
+        near = (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (component[x][:, None] != component[y][None, :])
+        a, b = np.nonzero(near)
+        root: dict = {}
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        node, out = pdf["node"].to_numpy(), []
+        for i, j in zip(x[a].tolist(), y[b].tolist(), strict=True):
+            u, v = find(component[i]), find(component[j])
+            if u != v:  # a link that joins components not joined yet
+                root[u] = v
+                out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    work = meets.join(sets, "node").select(F.to_json("first").alias("first"), F.to_json("second").alias("second"), "cluster", "node", "component", "is_first", "shingles")
+    return cut(work.groupBy("cluster", "first", "second").applyInPandas(compare, "a long, b long"), "minhash-block-links")
+
+
 def op4_minmax_near_duplicates(spark, sf_dir):
     """Near-duplicate components of all documents."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
