@@ -11,9 +11,7 @@ from ..rules import tables as R
 def classify_marking(text: Column) -> Column:
     up = F.upper(F.coalesce(text, F.lit("")))
     t = F.regexp_replace(up, r"\s+", "")
-    vendor = F.lit(False)
-    for w in R.VENDOR_WORDS:
-        vendor = vendor | (t.startswith(w) & (F.length(t) <= len(w) + 2))
+    vendor = t.rlike(f"^(?:{'|'.join(R.VENDOR_WORDS)}).{{0,2}}$")
     return (
         F.when(t == "", "noise")
         .when(up.rlike(R.RE_COUNTRY), "country_of_origin")

@@ -21,7 +21,7 @@ def normalize(c: Column) -> Column:
     """Upper case without noise prefixes (each taken off once, in order) and without anything but A-Z and 0-9; null is ''."""
     v = F.upper(strip(c))
     for p in R.NOISE_PREFIXES:
-        v = F.when(v.startswith(p), F.substring(v, len(p) + 1, 1 << 30)).otherwise(v)
+        v = F.regexp_replace(v, f"^{p}", "")
     return F.regexp_replace(v, "[^A-Z0-9]", "")
 
 

@@ -37,11 +37,11 @@ JOIN (SELECT p_partkey, 'STX' || lpad(CAST(((p_partkey - CASE WHEN p_partkey % 1
     || CASE (p_partkey - CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END) % 4 WHEN 0 THEN 'C8T6' WHEN 1 THEN 'KCU6' WHEN 2 THEN 'BCPZ' ELSE 'QFN1' END AS marking FROM {part}) m ON m.p_partkey = p.p_partkey
 JOIN (SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_partkey) l ON l.l_partkey = p.p_partkey
 JOIN {supplier} s ON s.s_suppkey = l.l_suppkey
-JOIN {nation} n ON n.n_nationkey = s.s_nationkey
+JOIN {nation} n ON n.n_nationkey = (s.s_nationkey + p.p_partkey) % 25
 """
 
 SCANS = """
-SELECT e.event_id AS scan_id, 'u' || CAST(e.user_id AS STRING) AS user_id, e.ts AS scanned_at, e.event_type,
+SELECT e.event_id AS scan_id, 'u' || CAST(e.user_id AS STRING) AS user_id, CAST(e.ts AS TIMESTAMP) AS scanned_at, e.event_type,
   CASE e.event_type WHEN 'view' THEN 'barcode' WHEN 'click' THEN 'ocr' WHEN 'signup' THEN 'qr' ELSE 'manual' END AS input_mode,
   'DEV-' || CAST(e.user_id % 17 AS STRING) AS device_id,
   'site ' || CAST(e.event_id % 9 AS STRING) AS location_label,
@@ -65,8 +65,8 @@ SELECT e.event_id AS scan_id, 'u' || CAST(e.user_id AS STRING) AS user_id, e.ts
     WHEN 2 THEN c.part_number || chr(10) || 'made in china'
     WHEN 3 THEN c.part_number || chr(10) || 'GK 99' || chr(10) || '2219'
     ELSE '' END AS marking_text
-FROM {events} e
-JOIN {catalogue} c ON c.ord = (e.event_id * 31 + e.user_id) % (SELECT count(*) FROM {part}) + (SELECT min(p_partkey) FROM {part})
+FROM (SELECT v.*, (v.event_id * 31 + v.user_id) % z.n + z.lo AS target FROM {events} v CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS lo FROM {part}) z) e
+JOIN {catalogue} c ON c.ord = e.target
 """
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -91,3 +91,50 @@ def with_fixtures(sql: str, scans: bool = False) -> str:
     if scans:
         first += f", scans AS ({SCANS.format(**names)})"
     return f"WITH {first}{', ' + sql.strip()[5:] if sql.strip()[:5].upper() == 'WITH ' else ' ' + sql}"
+
+
+RESULTS = """
+SELECT s.scan_id, s.user_id, s.scanned_at, s.input_mode, s.device_id, s.location_label, s.inspection_id, s.client_uuid, s.raw_input,
+  regexp_replace(upper(s.raw_input), '[^A-Z0-9]', ''{g}) AS normalized_input,
+  CASE WHEN s.scan_id % 10 = 7 THEN NULL ELSE c.component_id END AS matched_component_id,
+  CASE WHEN s.scan_id % 10 = 7 THEN 'not_found' WHEN c.is_chinese = 'YES' THEN 'chinese' WHEN c.is_chinese = 'NO' AND c.confidence_score >= 60 THEN 'non_chinese' ELSE 'unknown_origin' END AS result,
+  CASE WHEN s.scan_id % 10 = 7 THEN '' ELSE c.criticality END AS criticality,
+  CASE s.scan_id % 10 WHEN 2 THEN 'lot_code_stripped' WHEN 3 THEN 'ocr_corrected' WHEN 4 THEN 'ocr_folded' WHEN 5 THEN 'prefix' WHEN 6 THEN 'fuzzy' WHEN 7 THEN 'none' WHEN 8 THEN 'label_mpn' WHEN 9 THEN 'exact_code' ELSE 'normalized' END AS match_method,
+  CAST(CASE s.scan_id % 10 WHEN 2 THEN 96 WHEN 3 THEN 94 WHEN 4 THEN 90 WHEN 5 THEN 88 WHEN 6 THEN 85.25 WHEN 7 THEN 0 ELSE 100 END AS DOUBLE) AS match_score
+FROM {scans} s
+JOIN (SELECT v.event_id, (v.event_id * 31 + v.user_id) % z.n + z.lo AS target FROM {events} v CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS lo FROM {part}) z) t ON t.event_id = s.scan_id
+JOIN {catalogue} c ON c.ord = t.target
+"""
+
+WORDS = """
+SELECT 'IMG-' || CAST(s.scan_id % 500 AS STRING) AS image_id, w.text, CAST(60 + (s.scan_id * 7 + w.k) % 40 AS DOUBLE) AS confidence,
+  'engine' || CAST(s.scan_id % 2 AS STRING) AS engine, 'variant' || CAST(s.scan_id % 3 AS STRING) AS variant, CASE WHEN w.k = 3 THEN 'line' ELSE 'word' END AS level, s.scan_id * 4 + w.k AS ord
+FROM {scans} s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k4
+JOIN (SELECT scan_id, 0 AS k, raw_input AS text FROM {scans} UNION ALL SELECT scan_id, 1, 'GQ' || CAST(scan_id % 7 AS STRING) || 'J' FROM {scans}
+  UNION ALL SELECT scan_id, 2, CASE scan_id % 4 WHEN 0 THEN 'CHN' WHEN 1 THEN '2219' WHEN 2 THEN 'ST' ELSE 'rohs' END FROM {scans}
+  UNION ALL SELECT scan_id, 3, 'lot gq' || CAST(scan_id % 7 AS STRING) || 'j' FROM {scans}) w ON w.scan_id = s.scan_id AND w.k = k4.k
+"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan results as a fact table, assigned by arithmetic: input of the reports, which don't depend on how a scan was matched."""
+    c = catalogue(spark, sf_dir)
+    t = tables(spark, sf_dir, "part", "events")
+    return spark.sql(RESULTS.replace("{g}", ""), scans=spark.sql(SCANS, catalogue=c, **t), catalogue=c, **t)
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(WORDS, scans=scans(spark, sf_dir))
+
+
+def with_results(sql: str) -> str:
+    names = {n: n for n in _TABLES} | {"catalogue": "catalogue", "scans": "scans", "g": ", 'g'"}
+    inner = sql.strip()
+    tail = ", " + inner[5:] if inner[:5].upper() == "WITH " else " " + inner
+    return with_fixtures("SELECT 1", scans=True).removesuffix(" SELECT 1") + f", results AS ({RESULTS.format(**names)}){tail}"
+
+
+def with_words(sql: str) -> str:
+    inner = sql.strip()
+    tail = ", " + inner[5:] if inner[:5].upper() == "WITH " else " " + inner
+    return with_fixtures("SELECT 1", scans=True).removesuffix(" SELECT 1") + f", words AS ({WORDS.format(scans='scans')}){tail}"

@@ -1,10 +1,493 @@
-"""Registry of the library's queries: name -> (spark, sf_dir) -> DataFrame, and their SQL."""
+"""Registry of the library's queries: name -> (spark, sf_dir) -> DataFrame, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from ..functions import marking, ocr, origin
+from ..functions import text as X
+from ..operators import audit, cascade, catalogue, imports, insights, ocr_words, scans
+from ..rules import tables as R
+from ..streaming import ingest
+from . import fixtures as fx
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+DAYS = 30
+
+
+def query(sql: str | None = None, of: Callable[[str], str] | None = None):
+    """Registers a query with its SQL; of puts the fixtures' common tables before it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = of(sql) if of else sql
+        return f
+
+    return add
+
+
+_cat, _scan, _res, _words = fx.with_fixtures, lambda s: fx.with_fixtures(s, scans=True), fx.with_results, fx.with_words
+
+
+def _quote(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _in(values) -> str:
+    return ", ".join(map(_quote, values))
+
+
+_NORM = "regexp_replace(upper(trim(raw_input)), '[^A-Z0-9]', '', 'g')"
+
+
+# --- text functions ---
+
+
+@query(f"""SELECT scan_id, norm, translate(norm, '{R.FOLD_FROM}', '{R.FOLD_TO}') AS folded, greatest(length(norm) - 6, 0) AS n_truncations,
+  len(list_distinct(list_transform(range(1, greatest(2, length(norm) - 1)), lambda i: substr(norm, i, 3)))) AS n_grams
+FROM (SELECT scan_id, {_NORM} AS norm FROM scans)""", _scan)
+def marking_keys(spark, sf_dir):
+    norm = X.normalize(F.col("raw_input"))
+    rows = fx.scans(spark, sf_dir).select("scan_id", norm.alias("norm"))
+    return rows.select("scan_id", "norm", X.fold(F.col("norm")).alias("folded"), F.size(X.truncations(F.col("norm"))).alias("n_truncations"), F.size(X.grams(F.col("norm"))).alias("n_grams"))
+
+
+@query(f"""SELECT component_id, CASE k WHEN {" WHEN ".join(f"{_quote(a)} THEN {_quote(b)}" for a, b in R.MANUFACTURER_ALIASES.items())} ELSE k END AS maker FROM (
+SELECT component_id, regexp_replace(trim(regexp_replace(upper(regexp_replace(regexp_replace(trim(manufacturer), '[.,]', '', 'g'), '\\s+', ' ', 'g')), '\\b({"|".join(R.LEGAL_SUFFIXES)})\\b', '', 'g')), '\\s+', ' ', 'g') AS k FROM catalogue)""", _cat)
+def maker_keys(spark, sf_dir):
+    return fx.catalogue(spark, sf_dir).select("component_id", X.manufacturer_key(F.col("manufacturer")).alias("maker"))
+
+
+@query("""SELECT component_id, 'CHIP-' || upper(substr(sha1(search_key || '|' || component_id), 1, 8)) AS made_id, 'DCOV:' || component_id || ':' || search_key AS qr FROM catalogue""", _cat)
+def made_ids(spark, sf_dir):
+    c = fx.catalogue(spark, sf_dir)
+    return c.select("component_id", X.hashed_id("CHIP", F.col("search_key"), F.col("component_id")).alias("made_id"), X.qr_payload(F.col("component_id"), F.col("chip_number"), F.col("part_number")).alias("qr"))
+
+
+@query("""WITH d AS (SELECT component_id, substr('890' || substr(regexp_replace(sha1(component_id), '[^0-9]', '', 'g'), 1, 9) || '000000000000', 1, 12) AS b FROM catalogue)
+SELECT component_id, b || CAST((10 - list_sum(list_transform(range(0, 12), lambda i: CAST(substr(b, i + 1, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10) % 10 AS VARCHAR) AS barcode FROM d""", _cat)
+def synthetic_barcodes(spark, sf_dir):
+    return fx.catalogue(spark, sf_dir).select("component_id", X.synthetic_barcode(F.col("component_id")).alias("barcode"))
+
+
+@query(None)
+def glyph_readings(spark, sf_dir):
+    """Re-readings of every marking; tested against a plain version."""
+    return fx.scans(spark, sf_dir).select("scan_id", F.posexplode(X.glyph_variants(X.normalize(F.col("raw_input")))).alias("place", "variant"))
+
+
+@query(None)
+def label_payloads(spark, sf_dir):
+    label = X.label_fields(F.col("raw_input"))
+    return fx.scans(spark, sf_dir).select("scan_id", F.try_element_at(label, F.lit("mpn")).alias("mpn"), F.try_element_at(label, F.lit("label_coo")).alias("label_coo")).where("mpn IS NOT NULL")
+
+
+@query("""WITH p AS (SELECT s.scan_id, regexp_replace(upper(s.raw_input), '[^A-Z0-9]', '', 'g') AS a, c.search_key AS b
+  FROM scans s JOIN (SELECT v.event_id, (v.event_id * 31 + v.user_id) % z.n + z.lo AS target FROM events v CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS lo FROM part) z) t ON t.event_id = s.scan_id
+  JOIN catalogue c ON c.ord = t.target WHERE s.scan_id % 10 = 6)
+SELECT scan_id, levenshtein(a, b) AS distance FROM p""", _scan)
+def marking_distances(spark, sf_dir):
+    """Distance of each marking with a dropped character to its part's (one edit, so all edit distances agree)."""
+    t = fx.tables(spark, sf_dir, "part", "events")
+    targets = spark.sql("SELECT v.event_id, (v.event_id * 31 + v.user_id) % z.n + z.lo AS ord FROM {events} v CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS lo FROM {part}) z", **t)
+    pairs = fx.scans(spark, sf_dir).where("scan_id % 10 = 6").join(targets, F.col("scan_id") == F.col("event_id")).join(fx.catalogue(spark, sf_dir).select("ord", "search_key"), "ord")
+    return pairs.select("scan_id", X.osa_distance(X.normalize(F.col("raw_input")), F.col("search_key")).alias("distance"))
+
+
+@query(f"""SELECT component_id, CASE WHEN {" OR ".join(f"contains(upper(country_of_origin || ' ' || remarks), {_quote(p)})" for p in R.RESTRICTED_PHRASES)} THEN 'YES'
+  WHEN trim(country_of_origin) = '' OR upper(trim(country_of_origin)) IN ({_in(R.UNKNOWN_AT_IMPORT)}) THEN 'UNKNOWN'
+  WHEN {" OR ".join(f"contains(upper(country_of_origin), {_quote(p)})" for p in R.RESTRICTED_COUNTRIES)} THEN 'YES' ELSE 'NO' END AS flag FROM catalogue""", _cat)
+def derived_origins(spark, sf_dir):
+    return fx.catalogue(spark, sf_dir).select("component_id", origin.derive_origin(F.col("country_of_origin"), F.col("remarks"), F.lit("")).alias("flag"))
+
+
+@query(f"""SELECT p_partkey, CASE {" ".join(f"WHEN contains(upper(t), {_quote(n)}) THEN {_quote(b)}" for n, b in R.SUBSYSTEM_KEYWORDS)} ELSE 'Other' END AS subsystem
+FROM (SELECT p_partkey, p_name || CASE p_size % 5 WHEN 0 THEN ' gps unit' WHEN 1 THEN ' esc' WHEN 2 THEN ' servo motor' WHEN 3 THEN ' eo camera' ELSE '' END AS t FROM part)""")
+def subsystems(spark, sf_dir):
+    t = F.concat("p_name", F.when(F.col("p_size") % 5 == 0, " gps unit").when(F.col("p_size") % 5 == 1, " esc").when(F.col("p_size") % 5 == 2, " servo motor").when(F.col("p_size") % 5 == 3, " eo camera").otherwise(""))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", X.subsystem_of(t).alias("subsystem"))
+
+
+# --- verdicts and markings ---
+
+_TIER = f"""CASE WHEN is_chinese NOT IN ('YES', 'NO') OR trim(country_of_origin) = '' OR upper(country_of_origin) = 'UNKNOWN' THEN 'none'
+  WHEN category = 'OEM / LRU' OR contains(upper(verification_source), 'OEM LANDSCAPE') THEN 'manufacturer' ELSE 'component' END"""
+
+
+@query(f"""SELECT component_id, result, CASE result WHEN 'chinese' THEN 'RED' WHEN 'non_chinese' THEN 'GREEN' ELSE 'YELLOW' END AS banner, tier, confidence_score AS confidence, result <> 'non_chinese' AS review_required,
+  result = 'chinese' AND criticality = 'CRITICAL' AS escalate FROM (
+SELECT *, CASE WHEN is_chinese = 'YES' THEN 'chinese' WHEN is_chinese = 'NO' AND confidence_score >= 60 AND tier = 'component' THEN 'non_chinese' ELSE 'unknown_origin' END AS result FROM (SELECT *, {_TIER} AS tier FROM catalogue))""", _cat)
+def catalogue_verdicts(spark, sf_dir):
+    """The verdict of an exact match with each catalogue row."""
+    c = fx.catalogue(spark, sf_dir).select("component_id", F.struct(*cascade.CARRIED).alias("component"))
+    v = origin.verdict(F.col("component"), F.lit(100.0), F.lit("normalized"))
+    return c.select("component_id", v["result"].alias("result"), v["banner"].alias("banner"), v["origin_evidence"].alias("tier"), v["confidence"].alias("confidence"), v["review_required"].alias("review_required"), v["escalate"].alias("escalate"))
+
+
+@query("""SELECT component_id, CASE WHEN criticality = 'CRITICAL' THEN 'NOT ACCEPTABLE' || CASE WHEN criticality_policy <> '' THEN ' - ' || criticality_policy ELSE ' in a CRITICAL subsystem' END
+  WHEN criticality = 'NON-CRITICAL' THEN 'PERMITTED BY POLICY' || CASE WHEN criticality_policy <> '' THEN ' - ' || criticality_policy ELSE '' END || ' (Chinese origin recorded; non-critical subsystem)'
+  ELSE 'REFER TO INSPECTING AUTHORITY - subsystem not classified in the policy matrix' END AS decision FROM catalogue WHERE is_chinese = 'YES'""", _cat)
+def policy_decisions(spark, sf_dir):
+    c = fx.catalogue(spark, sf_dir).where("is_chinese = 'YES'")
+    return c.select("component_id", origin.policy_decision(F.lit("chinese"), F.col("criticality"), F.col("criticality_policy")).alias("decision"))
+
+
+@query(f"""WITH t AS (SELECT scan_id, marking_text, list_filter(regexp_split_to_array(upper(marking_text), '[^A-Z0-9]+'), lambda x: x IN ({_in(R.COUNTRY_CODES)})) AS codes FROM scans)
+SELECT scan_id, coalesce(codes[1], CASE WHEN contains(upper(marking_text), 'MADE IN CHINA') OR contains(upper(marking_text), 'PRC') THEN 'CHN' END) AS country_code FROM t""", _scan)
+def marked_countries(spark, sf_dir):
+    return fx.scans(spark, sf_dir).select("scan_id", marking.country_code(F.col("marking_text"), F.lit("")).alias("country_code"))
+
+
+@query(None)
+def marking_findings(spark, sf_dir):
+    s = fx.scans(spark, sf_dir)
+    a = marking.analyse(F.col("marking_text"), F.col("true_maker"), F.lit(""), F.lit("NO"))
+    return s.select("scan_id", a["worst"].alias("worst"), F.transform(a["findings"], lambda f: f["code"]).alias("codes"))
+
+
+# --- the cascade ---
+
+_LOOK = """WITH live AS (SELECT *, translate(search_key, 'OQILSBZGT', '001158267') AS fold FROM catalogue WHERE NOT is_deleted),
+rk AS (SELECT search_key AS probe, count(DISTINCT is_chinese) FILTER (WHERE is_chinese <> 'UNKNOWN') <= 1 AS agreed, arg_max(component_id, struct_pack(a := is_chinese <> 'UNKNOWN', b := confidence_score, c := -ord)) AS best FROM live GROUP BY search_key)"""
+
+
+@query(_LOOK + """, n AS (SELECT scan_id, regexp_replace(upper(raw_input), '[^A-Z0-9]', '', 'g') AS norm FROM scans)
+SELECT n.scan_id, CASE WHEN agreed THEN 'normalized' ELSE 'conflict' END AS method, CASE WHEN agreed THEN best END AS component_id FROM n JOIN rk ON rk.probe = n.norm""", _scan)
+def exact_key_matches(spark, sf_dir):
+    """Scans whose normalised marking is a key, with what its rows agree on."""
+    keys = cascade.resolved_keys(catalogue.live(fx.catalogue(spark, sf_dir)), "search_key")
+    s = fx.scans(spark, sf_dir).select("scan_id", X.normalize(F.col("raw_input")).alias("probe"))
+    return s.join(keys, "probe").select("scan_id", F.when(F.col("agreed"), "normalized").otherwise("conflict").alias("method"), F.col("component.component_id").alias("component_id"))
+
+
+@query("""WITH live AS (SELECT * FROM catalogue WHERE NOT is_deleted), k AS (SELECT DISTINCT search_key FROM live), n AS (SELECT scan_id, regexp_replace(upper(raw_input), '[^A-Z0-9]', '', 'g') AS norm FROM scans WHERE scan_id % 10 = 5),
+h AS (SELECT scan_id, search_key, length(search_key) AS n FROM n JOIN k ON length(norm) >= 5 AND (starts_with(search_key, norm) OR starts_with(norm, search_key))),
+t AS (SELECT *, max(n) OVER (PARTITION BY scan_id) AS longest FROM h)
+SELECT scan_id, CASE WHEN count(DISTINCT search_key) > 1 THEN 'ambiguous_prefix' ELSE 'prefix' END AS kind FROM t WHERE n = longest GROUP BY scan_id""", _scan)
+def prefix_matches(spark, sf_dir):
+    """Partly read markings: whether one longest stored key or several fit."""
+    s = fx.scans(spark, sf_dir).where("scan_id % 10 = 5").select("scan_id", X.normalize(F.col("raw_input")).alias("norm"))
+    found = cascade.prefix_layer(s, cascade.lookups(catalogue.live(fx.catalogue(spark, sf_dir))))
+    return found.select("scan_id", F.when(F.col("method") == "ambiguous_prefix", "ambiguous_prefix").otherwise("prefix").alias("kind"))
+
+
+@query(None)
+def cascade_matches(spark, sf_dir):
+    """Every scan through the whole cascade; tested against a plain row-at-a-time version."""
+    m = cascade.match(fx.scans(spark, sf_dir), fx.catalogue(spark, sf_dir))
+    return m.select("scan_id", "method", "score", F.col("component.component_id").alias("component_id"), "normalized_input")
+
+
+@query(None)
+def scan_verdicts(spark, sf_dir):
+    r = scans.scan_results(fx.scans(spark, sf_dir), fx.catalogue(spark, sf_dir))
+    return r.select("scan_id", "match_method", "match_score", "matched_component_id", "result", "banner", "headline", "confidence", "origin_evidence", "review_required", "policy_decision", "escalate", "worst")
+
+
+# --- catalogue ---
+
+
+@query("""SELECT count(*) AS total_components, count(*) FILTER (WHERE is_chinese = 'YES') AS chinese_components, count(*) FILTER (WHERE is_chinese = 'NO') AS non_chinese_components, count(*) FILTER (WHERE is_chinese = 'UNKNOWN') AS unknown_origin,
+  count(*) FILTER (WHERE pending_verification) AS pending_verification, count(*) FILTER (WHERE is_chinese = 'YES' AND criticality = 'CRITICAL') AS critical_chinese FROM catalogue WHERE NOT is_deleted""", _cat)
+def catalogue_counters(spark, sf_dir):
+    return catalogue.counters(fx.catalogue(spark, sf_dir))
+
+
+@query("""SELECT facet, CASE WHEN value = '' THEN '(blank)' ELSE value END AS value, count(*) AS n FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS value FROM catalogue WHERE NOT is_deleted" for c in catalogue.FACETS) + ") GROUP BY ALL", _cat)
+def catalogue_facets(spark, sf_dir):
+    return catalogue.facets(fx.catalogue(spark, sf_dir))
+
+
+@query("""SELECT component_id, component_name FROM catalogue WHERE NOT is_deleted AND criticality = 'CRITICAL' AND (component_name ILIKE '%wid%' OR part_number ILIKE '%wid%' OR chip_number ILIKE '%wid%' OR manufacturer ILIKE '%wid%' OR remarks ILIKE '%wid%' OR barcode ILIKE '%wid%' OR supplier ILIKE '%wid%' OR starts_with(search_key, 'WID'))""", _cat)
+def catalogue_search(spark, sf_dir):
+    return catalogue.search(fx.catalogue(spark, sf_dir), "wid", criticality="CRITICAL").select("component_id", "component_name")
+
+
+@query("SELECT component_id, component_name FROM catalogue WHERE NOT is_deleted ORDER BY component_name, component_id LIMIT 50 OFFSET 50", _cat)
+def catalogue_page(spark, sf_dir):
+    return catalogue.page(catalogue.live(fx.catalogue(spark, sf_dir)), 2).select("component_id", "component_name")
+
+
+@query("SELECT drone_subsystem, count(*) AS n FROM catalogue WHERE NOT is_deleted AND is_chinese = 'YES' GROUP BY drone_subsystem", _cat)
+def restricted_by_subsystem(spark, sf_dir):
+    return catalogue.by_subsystem(fx.catalogue(spark, sf_dir))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE is_chinese = 'YES') AS yes, count(*) FILTER (WHERE is_chinese = 'NO') AS no, count(*) FILTER (WHERE is_chinese = 'UNKNOWN') AS unknown, count(*) FILTER (WHERE criticality = 'CRITICAL') AS critical, count(*) FILTER (WHERE criticality = 'CRITICAL' AND is_chinese = 'YES') AS critical_yes FROM catalogue""", _cat)
+def seed_totals(spark, sf_dir):
+    return catalogue.seed_summary(fx.catalogue(spark, sf_dir))
+
+
+@query("SELECT DISTINCT country_of_origin AS value FROM catalogue WHERE NOT is_deleted AND country_of_origin <> ''", _cat)
+def distinct_countries(spark, sf_dir):
+    return catalogue.distinct_values(fx.catalogue(spark, sf_dir), "country_of_origin")
+
+
+@query("""SELECT component_id, CASE WHEN is_chinese = 'UNKNOWN' THEN 'store' ELSE category END AS category FROM catalogue""", _cat)
+def bulk_updated(spark, sf_dir):
+    c = fx.catalogue(spark, sf_dir)
+    return catalogue.bulk_update(c, c.where("is_chinese = 'UNKNOWN'"), category="store").select("component_id", "category")
+
+
+@query("""SELECT component_id, is_chinese, pending_verification FROM (SELECT component_id, CASE WHEN f = 'NO' AND upper(country_of_origin) = 'UNKNOWN' THEN 'UNKNOWN' ELSE f END AS is_chinese, (f = 'NO' AND upper(country_of_origin) = 'UNKNOWN') OR pending_verification AS pending_verification
+  FROM (SELECT *, CASE WHEN is_chinese = 'UNKNOWN' THEN 'NO' ELSE is_chinese END AS f FROM catalogue))""", _cat)
+def reclassified(spark, sf_dir):
+    c = fx.catalogue(spark, sf_dir).withColumn("is_chinese", F.when(F.col("is_chinese") == "UNKNOWN", "NO").otherwise(F.col("is_chinese")))
+    return catalogue.reclassify_unknown(c).select("component_id", "is_chinese", "pending_verification")
+
+
+@query("""SELECT coalesce(a.component_id, b.component_id) AS component_id, CASE WHEN b.remarks <> '' THEN b.remarks ELSE coalesce(a.remarks, b.remarks) END AS remarks, coalesce(a.supplier, b.supplier) AS supplier
+  FROM (SELECT * FROM catalogue WHERE ord % 3 <> 0) a FULL JOIN (SELECT component_id, CASE WHEN ord % 2 = 0 THEN '' ELSE 'new' END AS remarks, 'x' AS supplier FROM catalogue WHERE ord % 3 <> 1) b ON a.component_id = b.component_id""", _cat)
+def merged_catalogues(spark, sf_dir):
+    c = fx.catalogue(spark, sf_dir)
+    old = c.where("ord % 3 <> 0").select("component_id", "remarks", "supplier")
+    new = c.where("ord % 3 <> 1").select("component_id", F.when(F.col("ord") % 2 == 0, "").otherwise("new").alias("remarks"), F.lit("x").alias("supplier"))
+    return catalogue.merge_catalogues(old, new, keep=("supplier",))
+
+
+@query("""SELECT component_id, CASE WHEN is_deleted THEN 'delete' ELSE 'upsert' END AS op FROM catalogue WHERE ord > 100""", _cat)
+def change_feed(spark, sf_dir):
+    c = fx.catalogue(spark, sf_dir).withColumn("updated_at", F.col("ord"))
+    return catalogue.changed_since(c, F.lit(100)).select("component_id", "op")
+
+
+# --- imports ---
+
+_FILE = """SELECT CAST(ord + 2 AS INT) AS row_number, CASE WHEN ord % 9 = 0 THEN '' ELSE component_name END AS "Component Name", part_number AS "Part No", CASE WHEN ord % 4 = 0 THEN 'China' ELSE country_of_origin END AS "COO",
+  CASE WHEN ord % 13 = 0 THEN '150' ELSE '' END AS "Confidence", CASE WHEN ord % 5 = 0 THEN component_id ELSE 'NEW-' || CAST(ord % 40 AS STRING) END AS "Component ID" FROM {catalogue} WHERE ord < 400"""
+
+
+def _import_file(c: DataFrame) -> DataFrame:
+    return c.sparkSession.sql(_FILE.replace('"', "`"), catalogue=c)
+
+
+_STAGED = """WITH f AS (""" + _FILE.format(catalogue="catalogue") + """), v AS (SELECT *, "Component Name" = '' OR "Confidence" <> '' AS invalid FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY "Component ID", invalid ORDER BY row_number) AS rn FROM v)
+SELECT row_number, "Component ID" AS component_id, CASE WHEN invalid THEN 'invalid' WHEN rn > 1 THEN 'duplicate' WHEN c.component_id IS NULL THEN 'new'
+  WHEN c.component_name <> "Component Name" OR ("COO" <> '' AND c.country_of_origin <> "COO") OR c.is_chinese <> CASE WHEN "COO" IN ('China', 'Hong Kong') THEN 'YES' WHEN "COO" IN ('', 'Unknown') THEN 'UNKNOWN' ELSE 'NO' END OR c.confidence_score <> 100 THEN 'updated' ELSE 'unchanged' END AS bucket
+FROM d LEFT JOIN catalogue c ON c.component_id = d."Component ID" """
+
+
+@query(_STAGED, _cat)
+def staged_import(spark, sf_dir):
+    c = fx.catalogue(spark, sf_dir)
+    return imports.stage(_import_file(c), c).select("row_number", "component_id", "bucket")
+
+
+@query(None)
+def import_summary(spark, sf_dir):
+    c = fx.catalogue(spark, sf_dir)
+    return imports.summary(imports.stage(_import_file(c), c))
+
+
+# --- scans, dashboards, reports ---
+
+
+@query("""SELECT count(*) FILTER (WHERE scanned_at >= TIMESTAMP '2024-01-30 00:00:00') AS scans_today, count(*) FILTER (WHERE scanned_at >= TIMESTAMP '2024-01-24 00:00:00') AS scans_7d, count(*) FILTER (WHERE scanned_at >= TIMESTAMP '2024-01-24 00:00:00' AND result = 'chinese') AS chinese_hits_7d FROM results""", _res)
+def scan_counters(spark, sf_dir):
+    return insights.scan_counters(fx.results(spark, sf_dir), fx.AS_OF)
+
+
+@query("SELECT mix, value, count(*) AS n FROM (SELECT 'result' AS mix, result AS value FROM results UNION ALL SELECT 'input_mode', input_mode FROM results UNION ALL SELECT 'match_method', match_method FROM results) GROUP BY ALL", _res)
+def scan_mixes(spark, sf_dir):
+    return insights.mixes(fx.results(spark, sf_dir))
+
+
+@query("SELECT strftime(scanned_at, '%Y-%m-%d') AS day, count(*) AS scans, count(*) FILTER (WHERE result = 'chinese') AS chinese FROM results GROUP BY 1", _res)
+def daily_trend(spark, sf_dir):
+    return insights.daily_trend(fx.results(spark, sf_dir))
+
+
+@query("SELECT strftime(scanned_at, '%Y-%m') AS month, " + ", ".join(f"nullif(count(*) FILTER (WHERE result = '{r}'), 0) AS {r}" for r in insights.RESULTS) + " FROM results GROUP BY 1", _res)
+def monthly_trend(spark, sf_dir):
+    return insights.monthly_trend(fx.results(spark, sf_dir))
+
+
+@query("SELECT location_label AS location, (dayofweek(scanned_at) + 6) % 7 AS weekday, count(*) AS hits FROM results WHERE result = 'chinese' GROUP BY 1, 2", _res)
+def heat_map(spark, sf_dir):
+    return insights.heat_map(fx.results(spark, sf_dir))
+
+
+@query("""SELECT h.component_id, h.hits, c.component_name, c.manufacturer, c.drone_subsystem FROM (SELECT matched_component_id AS component_id, count(*) AS hits FROM results WHERE result = 'chinese' AND matched_component_id IS NOT NULL GROUP BY 1) h LEFT JOIN catalogue c USING (component_id) ORDER BY hits DESC, component_id LIMIT 15""", _res)
+def most_detected(spark, sf_dir):
+    return insights.most_detected(fx.results(spark, sf_dir), fx.catalogue(spark, sf_dir))
+
+
+@query("SELECT c.manufacturer, count(*) AS hits FROM results r JOIN catalogue c ON c.component_id = r.matched_component_id WHERE result = 'chinese' GROUP BY 1 ORDER BY hits DESC, manufacturer LIMIT 15", _res)
+def top_manufacturers(spark, sf_dir):
+    return insights.top_manufacturers(fx.results(spark, sf_dir), fx.catalogue(spark, sf_dir))
+
+
+@query("SELECT matched_component_id AS component_id, count(*) AS hits FROM results WHERE matched_component_id IS NOT NULL GROUP BY 1 ORDER BY hits DESC, component_id LIMIT 15", _res)
+def most_scanned(spark, sf_dir):
+    return insights.most_scanned(fx.results(spark, sf_dir))
+
+
+@query("SELECT scan_id, result FROM results ORDER BY scanned_at DESC, scan_id DESC LIMIT 10", _res)
+def recent_scans(spark, sf_dir):
+    return insights.recent(fx.results(spark, sf_dir)).select("scan_id", "result")
+
+
+@query("SELECT scan_id, 'Chinese-origin part in a CRITICAL subsystem' AS message FROM results WHERE result = 'chinese' AND criticality = 'CRITICAL' ORDER BY scanned_at DESC, scan_id DESC LIMIT 10", _res)
+def critical_alerts(spark, sf_dir):
+    return insights.critical_alerts(fx.results(spark, sf_dir)).select("scan_id", "message")
+
+
+@query("""SELECT scan_id, strftime(scanned_at, '%Y-%m-%d %H:%M') AS scanned_at, raw_input, normalized_input, coalesce(matched_component_id, '') AS matched_component_id, coalesce(component_name, '') AS component_name, coalesce(manufacturer, '') AS manufacturer, coalesce(country_of_origin, '') AS country_of_origin,
+  result, r.criticality, match_method, round_even(match_score, 1) AS match_score, location_label FROM results r LEFT JOIN catalogue c ON c.component_id = r.matched_component_id""", _res)
+def inspection_report(spark, sf_dir):
+    return insights.inspection_report(fx.results(spark, sf_dir), fx.catalogue(spark, sf_dir))
+
+
+@query("""SELECT component_id, component_name, chip_number, manufacturer, country_of_origin, drone_subsystem, criticality, verification_source, remarks, row_number() OVER (ORDER BY criticality <> 'CRITICAL', drone_subsystem, component_name, component_id) AS place FROM catalogue WHERE NOT is_deleted AND is_chinese = 'YES'""", _cat)
+def restricted_report(spark, sf_dir):
+    return insights.origin_report(fx.catalogue(spark, sf_dir), "YES")
+
+
+@query("""SELECT component_id, component_name, chip_number, manufacturer, country_of_origin, drone_subsystem, criticality, verification_source, remarks, row_number() OVER (ORDER BY criticality <> 'CRITICAL', drone_subsystem, component_name, component_id) AS place FROM catalogue WHERE NOT is_deleted AND is_chinese = 'UNKNOWN'""", _cat)
+def unknown_report(spark, sf_dir):
+    return insights.origin_report(fx.catalogue(spark, sf_dir), "UNKNOWN")
+
+
+@query("""SELECT 'Total Components' AS metric, count(*) AS value FROM catalogue WHERE NOT is_deleted UNION ALL SELECT 'Chinese Components', count(*) FILTER (WHERE is_chinese = 'YES') FROM catalogue WHERE NOT is_deleted
+UNION ALL SELECT 'Non Chinese Components', count(*) FILTER (WHERE is_chinese = 'NO') FROM catalogue WHERE NOT is_deleted UNION ALL SELECT 'Unknown Origin', count(*) FILTER (WHERE is_chinese = 'UNKNOWN') FROM catalogue WHERE NOT is_deleted
+UNION ALL SELECT 'Pending Verification', count(*) FILTER (WHERE pending_verification) FROM catalogue WHERE NOT is_deleted UNION ALL SELECT 'Critical Chinese', count(*) FILTER (WHERE is_chinese = 'YES' AND criticality = 'CRITICAL') FROM catalogue WHERE NOT is_deleted
+UNION ALL SELECT 'Scans (30d): ' || result, count(*) FROM results WHERE scanned_at >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY result UNION ALL SELECT 'Database revision', 1""", _res)
+def statistics_report(spark, sf_dir):
+    seen = insights.window(fx.results(spark, sf_dir), fx.AS_OF, DAYS)
+    return insights.statistics_report(catalogue.counters(fx.catalogue(spark, sf_dir)), seen, DAYS, 1)
+
+
+@query("""SELECT strftime(scanned_at, '%Y-%m') AS month, count(DISTINCT inspection_id) AS inspections, count(*) AS scans, count(*) FILTER (WHERE result = 'chinese') AS chinese_hits, count(*) FILTER (WHERE result = 'unknown_origin') AS unknown, count(*) FILTER (WHERE result = 'not_found') AS not_found, count(DISTINCT user_id) AS distinct_inspectors FROM results GROUP BY 1""", _res)
+def monthly_report(spark, sf_dir):
+    return insights.monthly_report(fx.results(spark, sf_dir))
+
+
+@query("""SELECT device_id, sha256(string_agg('normalized_input=' || normalized_input || '|result=' || result || '|scan_id=' || CAST(scan_id AS VARCHAR), '' ORDER BY scan_id)) AS digest FROM results GROUP BY device_id""", _res)
+def report_digests(spark, sf_dir):
+    """One digest a device's report."""
+    rows = fx.results(spark, sf_dir).select("device_id", "scan_id", "normalized_input", "result")
+    return insights.body_digest(rows, ["scan_id"], "device_id")
+
+
+@query("SELECT inspection_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE result = '{r}') AS {r}" for r in insights.RESULTS) + " FROM results WHERE inspection_id IS NOT NULL GROUP BY 1", _res)
+def inspection_tally(spark, sf_dir):
+    return insights.inspection_tally(fx.results(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT 'INSP-2024-' || CAST(o_orderkey % 40 AS VARCHAR) AS inspection_id, max(CASE WHEN o_orderkey % 3 = 0 THEN 'clear' ELSE 'hold' END) AS verdict FROM orders GROUP BY 1),
+t AS (SELECT inspection_id, count(*) FILTER (WHERE result = 'chinese') AS bad FROM results GROUP BY 1)
+SELECT v.inspection_id, verdict, CASE WHEN coalesce(bad, 0) > 0 AND verdict = 'clear' THEN 'rejected' WHEN coalesce(bad, 0) > 0 THEN 'escalated' ELSE 'completed' END AS status FROM v LEFT JOIN t USING (inspection_id)""", _res)
+def signed_off(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    verdicts = orders.groupBy(F.concat(F.lit("INSP-2024-"), (F.col("o_orderkey") % 40).cast("string")).alias("inspection_id")).agg(F.max(F.when(F.col("o_orderkey") % 3 == 0, "clear").otherwise("hold")).alias("verdict"))
+    return insights.sign_off(insights.inspection_tally(fx.results(spark, sf_dir)), verdicts)
+
+
+@query("""SELECT normalized_input, count(*) AS hit_count, arg_min(raw_input, struct_pack(a := scanned_at, b := scan_id)) AS raw_input, arg_min(user_id, struct_pack(a := scanned_at, b := scan_id)) AS reported_by FROM results WHERE result = 'not_found' GROUP BY 1""", _res)
+def not_found_queue(spark, sf_dir):
+    return scans.not_found_queue(fx.results(spark, sf_dir)).drop("created_at")
+
+
+@query("""SELECT scan_id, coalesce(epoch_us(scanned_at) - lag(epoch_us(scanned_at)) OVER (PARTITION BY device_id, normalized_input ORDER BY scanned_at, scan_id) <= 600000000, false) AS is_repeat FROM results""", _res)
+def repeat_scans(spark, sf_dir):
+    return scans.repeat_scans(fx.results(spark, sf_dir)).select("scan_id", "is_repeat")
+
+
+@query("""SELECT scan_id, CASE WHEN row_number() OVER (PARTITION BY client_uuid ORDER BY scanned_at, scan_id) = 1 THEN 'accepted' ELSE 'duplicate' END AS status FROM results""", _res)
+def pushed_scans(spark, sf_dir):
+    return scans.first_of_each(fx.results(spark, sf_dir)).select("scan_id", "status")
+
+
+@query("""SELECT scan_id FROM (SELECT *, row_number() OVER (PARTITION BY client_uuid ORDER BY scanned_at, scan_id) AS n FROM results WHERE scan_id % 3 = 0) WHERE n = 1 AND client_uuid NOT IN (SELECT client_uuid FROM results WHERE scan_id % 5 = 0)""", _res)
+def ingested_scans(spark, sf_dir):
+    """What a batch adds to a store that already has some of its scans."""
+    r = fx.results(spark, sf_dir)
+    return ingest.new_scans(r.where("scan_id % 3 = 0"), r.where("scan_id % 5 = 0")).select("scan_id")
+
+
+@query(None)
+def rate_limited_events(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return ingest.rate_limited(e, "user_id", "ts", "event_id", limit=2, window=6 * 3600.0)
+
+
+@query(None)
+def locked_out_logins(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
+    return ingest.lockout(e, "user_id", "ts", "ok", "event_id", minutes=3 * 24 * 60)
+
+
+@query("""SELECT scan_id, device_id FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY scanned_at DESC, scan_id DESC) AS n FROM results) WHERE n <= 20""", _res)
+def retained_history(spark, sf_dir):
+    r = fx.results(spark, sf_dir).withColumn("order_key", F.struct("scanned_at", "scan_id"))
+    return ingest.retained(r, "device_id", "order_key", R.RETENTION["staged"]).select("scan_id", "device_id")
+
+
+# --- OCR words ---
+
+
+@query("""SELECT image_id, word, avg(confidence) + least(count(DISTINCT engine || '|' || variant) - 1, 4) * 6.0 AS vote_score, count(DISTINCT engine || '|' || variant) AS votes FROM (SELECT *, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS word FROM words WHERE level = 'word') WHERE length(word) >= 2 GROUP BY 1, 2""", _words)
+def merged_ocr_words(spark, sf_dir):
+    return ocr_words.merged_words(fx.words(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT image_id, trim(regexp_replace(upper(text), '\\s+', ' ', 'g')) AS line, count(DISTINCT engine || '|' || variant) AS votes FROM words WHERE level = 'line' GROUP BY 1, 2),
+c AS (SELECT DISTINCT image_id, unnest(string_split(line, ' ')) AS w FROM l),
+s AS (SELECT image_id, trim(upper(text)) AS line, engine, variant FROM words WHERE level = 'word' AND trim(upper(text)) <> '')
+SELECT * FROM l UNION ALL SELECT s.image_id, s.line, count(DISTINCT engine || '|' || variant) FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.image_id = s.image_id AND c.w = s.line) GROUP BY 1, 2""", _words)
+def physical_marking_lines(spark, sf_dir):
+    return ocr_words.physical_lines(fx.words(spark, sf_dir))
+
+
+@query(None)
+def ranked_ocr_candidates(spark, sf_dir):
+    return ocr_words.ranked_candidates(fx.words(spark, sf_dir)).select("image_id", "word", "kind", "score", "place")
+
+
+@query(f"""SELECT DISTINCT text, CASE WHEN t = '' THEN 'noise' WHEN regexp_matches(u, '{R.RE_COUNTRY}') THEN 'country_of_origin' WHEN {" OR ".join(f"(starts_with(t, '{w}') AND length(t) <= {len(w) + 2})" for w in R.VENDOR_WORDS)} THEN 'vendor' WHEN t IN ({_in(R.NOISE_WORDS)}) THEN 'noise'
+  WHEN regexp_matches(t, '{R.RE_DATE}') AND length(t) = 4 THEN 'date_code' WHEN regexp_matches(t, '{R.RE_PART}') AND regexp_matches(t, '[0-9]') AND length(t) >= 5 THEN 'part_number' WHEN regexp_matches(t, '{R.RE_LOT}') THEN 'lot_code' ELSE 'other' END AS kind
+FROM (SELECT text, upper(text) AS u, regexp_replace(upper(text), '\\s+', '', 'g') AS t FROM words)""", _words)
+def classified_words(spark, sf_dir):
+    return fx.words(spark, sf_dir).select("text", ocr.classify_marking(F.col("text")).alias("kind")).distinct()
+
+
+@query(None)
+def distinct_ocr_parts(spark, sf_dir):
+    return ocr_words.distinct_parts(fx.words(spark, sf_dir))
+
+
+# --- audit log ---
+
+SECRET = b"a key that the tests use"
+
+
+def _log(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(
+        F.col("event_id").alias("sequence"), F.concat(F.lit("u"), "user_id").alias("actor_id"), F.lit("").alias("actor_username"), F.col("event_type").alias("action"), F.lit("event").alias("entity_type"),
+        F.col("event_id").cast("string").alias("entity_id"), F.col("props").alias("detail_json"), F.lit("").alias("ip_address"), F.lit("").alias("user_agent"), F.col("ts").cast("timestamp").alias("occurred_at"),
+        F.sha2(F.col("event_id").cast("string"), 256).alias("prev_hash"), F.sha2((F.col("event_id") + 1).cast("string"), 256).alias("hash"),
+    )
+
+
+@query(f"""SELECT event_id AS sequence, coalesce(lag(sha256(CAST(event_id + 1 AS VARCHAR))) OVER (ORDER BY event_id), '{R.GENESIS}') AS stored FROM events""")
+def chain_predecessors(spark, sf_dir):
+    """Each log entry's stored predecessor, linked without a global window."""
+    return audit.with_previous(_log(spark, sf_dir)).select("sequence", "stored")
+
+
+@query(None)
+def verified_chain(spark, sf_dir):
+    return audit.verify(_log(spark, sf_dir), SECRET)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of every scan through the whole cascade, counted by method and banner."""
+    r = scans.scan_results(fx.scans(spark, sf_dir), fx.catalogue(spark, sf_dir))
+    return r.groupBy("match_method", "banner").agg(F.count(F.lit(1)).alias("scans"))
