@@ -19,11 +19,11 @@ from .common import cut, table
 
 SAMPLE_ROWS = 16384  # rows that the tree is fitted on, those with the smallest hashes of their ids
 BRANCHING = 8
-LEAF_ROWS = 128  # rows of the whole table aimed at in a leaf
+LEAF_POWER = 0.4  # the table's row count to this power is the number of leaves, so that visits grow slower than rows
 MOST_LEAVES = 4096  # with SAMPLE_ROWS, the bound of what is broadcast
 CALIBRATION_QUERIES = 96
-WANTED_RECALL = 0.97
-BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
+WANTED_RECALL = 0.96
+BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
 class Tree:
@@ -98,15 +98,19 @@ class Tree:
 
 
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """id, v (array<double>): vectors that are not null, empty or zero, hold no null and no non-finite component, and have the
+    """id, v (floats or doubles, as they are): vectors that are not null, empty or zero, hold no null and no non-finite component, and have the
     length that most have (of equally common lengths, the smallest)."""
-    v = F.col(vector).cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    v = F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     good = rows.select(F.col(key).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(finite).where(F.exists("v", lambda x: x != 0))
     lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return good.where(F.size("v") == (lengths[0].n if lengths else 0))
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
 def _exact(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Products summed in one order, so that equal vectors have equal scores wherever they are."""
     return (rows * q).sum(axis=1)
@@ -140,13 +144,13 @@ def brute_force(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     held = queries.toPandas()
     if not len(held):
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    q_ids, q = held["id"].to_numpy(), np.stack(held["v"].to_numpy())
+    q_ids, q = held["id"].to_numpy(), _matrix(held["v"])
 
     def scan(frames):
         for pdf in frames:
             for at in range(0, len(pdf), BLOCK_ROWS):
                 part = pdf.iloc[at : at + BLOCK_ROWS]
-                yield _frame(_best(q_ids, q, part["id"].to_numpy(), np.stack(part["v"].to_numpy()), k))
+                yield _frame(_best(q_ids, q, part["id"].to_numpy(), _matrix(part["v"]), k))
 
     return _ranked(rows.select("id", "v").mapInPandas(scan, "query_id long, vec_id long, score double"), k)
 
@@ -159,7 +163,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 class Index:
     """Tree, rows with their leaves (a table in the shared folder), rows a leaf, and the calibrated number of leaf visits."""
 
-    def __init__(self, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = WANTED_RECALL, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS):
+    def __init__(self, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = WANTED_RECALL, sample_rows: int = SAMPLE_ROWS, leaf_power: float = LEAF_POWER):
         good = usable(rows, key, vector)
         n = good.count()
         held = good.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
@@ -167,14 +171,14 @@ class Index:
         if not n:
             self.rows, self.tree, self.sizes, self.visits = good.withColumn("leaf", F.lit(0)), None, np.zeros(1, dtype=int), 0
             return
-        tree = self.tree = Tree(np.stack(held["v"].to_numpy()), min(MOST_LEAVES, max(1, n // leaf_rows), max(1, len(held) // 4)))
+        tree = self.tree = Tree(_matrix(held["v"]), min(MOST_LEAVES, round(n**leaf_power), max(1, len(held) // 4)))
 
         def place(frames):
             for pdf in frames:
                 if len(pdf):
-                    yield pdf.assign(leaf=tree.place(np.stack(pdf["v"].to_numpy())).astype(np.int32))
+                    yield pdf.assign(leaf=tree.place(_matrix(pdf["v"])).astype(np.int32))
 
-        self.rows = cut(good.mapInPandas(place, "id long, v array<double>, leaf int"), "ann-leaves")
+        self.rows = cut(good.mapInPandas(place, f"id long, v {dict(good.dtypes)['v']}, leaf int"), "ann-leaves")
         counts = dict(self.rows.groupBy("leaf").count().collect())
         self.sizes = np.array([counts.get(leaf, 0) for leaf in range(tree.n_leaves)])
         self.visits = self._calibrate(recall)
@@ -207,18 +211,19 @@ class Index:
         def walk(frames):
             for pdf in frames:
                 ids, leaves = [], []
-                for i, v in zip(range(len(pdf)), pdf["v"], strict=True):
+                for i, v in enumerate(_matrix(pdf["v"]) if len(pdf) else ()):
                     rows = 0
-                    for n, leaf in enumerate(tree.best_first(np.asarray(v))):
+                    for n, leaf in enumerate(tree.best_first(v)):
                         if n >= visits and rows >= 4 * k:
                             break
                         rows += sizes[leaf]
                         ids.append(i)
                         leaves.append(leaf)
-                if ids:
-                    yield pd.DataFrame({"query_id": pdf["id"].to_numpy()[ids], "q": pdf["v"].to_numpy()[ids], "leaf": np.array(leaves, dtype=np.int32)})
+                    if len(ids) >= 5000 or i == len(pdf) - 1:
+                        yield pd.DataFrame({"query_id": pdf["id"].to_numpy()[ids], "q": pdf["v"].to_numpy()[ids], "leaf": np.array(leaves, dtype=np.int32)})
+                        ids, leaves = [], []
 
-        visited = cut(asked.mapInPandas(walk, "query_id long, q array<double>, leaf int"), "ann-visits")
+        visited = cut(asked.mapInPandas(walk, f"query_id long, q {dict(asked.dtypes)['v']}, leaf int"), "ann-visits")
         asking = dict(visited.groupBy("leaf").count().collect())
         blocks = [(leaf, int(-(-sizes[leaf] // BLOCK_ROWS)) or 1, -(-asking.get(leaf, 0) // BLOCK_QUERIES) or 1) for leaf in range(tree.n_leaves)]
         cuts = spark.createDataFrame(blocks, "leaf int, row_blocks int, query_blocks int")  # at most MOST_LEAVES rows
@@ -229,7 +234,7 @@ class Index:
         def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
             if not len(mine) or not len(theirs):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-            return _frame(_best(theirs["query_id"].to_numpy(), np.stack(theirs["q"].to_numpy()), mine["id"].to_numpy(), np.stack(mine["v"].to_numpy()), k))
+            return _frame(_best(theirs["query_id"].to_numpy(), _matrix(theirs["q"]), mine["id"].to_numpy(), _matrix(mine["v"]), k))
 
         by = ["leaf", "row_block", "query_block"]
         found = rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(meet, schema)
