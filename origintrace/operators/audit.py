@@ -30,7 +30,7 @@ def canonical_event(rows: DataFrame) -> Column:
             micro = F.date_format(c, "SSSSSS")
             value = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micro != "000000", F.concat(F.lit("."), micro)).otherwise(""), F.lit('+00:00"'))
         else:
-            value = F.coalesce(_quoted(c), F.lit("null"))
+            value = F.when(c.isNull(), "null").otherwise(_quoted(c))
         parts.append(F.concat(F.lit(f'"{name}":'), value))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 

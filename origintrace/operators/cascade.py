@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..rules import tables as R
+from ..session import cut
 
 CARRIED = ["component_id", "component_name", "manufacturer", "country_of_origin", "is_chinese", "category", "drone_subsystem", "criticality", "criticality_policy", "confidence_score", "verified_by", "verification_source", "search_key"]
 MOST_SUGGESTED = 25
@@ -175,13 +176,13 @@ def fuzzy_layer(scans: DataFrame, catalogue: DataFrame, key: str = "scan_id") ->
 def match(scans: DataFrame, catalogue: DataFrame, key: str = "scan_id", raw: str = "raw_input") -> DataFrame:
     """key, matched, method, score, component, suggestions, normalized_input for every scan, by the whole cascade."""
     live = catalogue.where("not is_deleted") if "is_deleted" in catalogue.columns else catalogue
-    looked_up = lookups(live)
-    cheap = cheap_layers(scans, looked_up, key)
+    looked_up = cut(lookups(live), "cascade-lookups")  # each layer reads it again
+    cheap = cut(cheap_layers(scans, looked_up, key), "cascade-cheap")
     text = F.coalesce(F.try_element_at(X.label_fields(F.col(raw)), F.lit("mpn")), F.col(raw))
     left = scans.join(cheap.select(key), key, "left_anti").select(key, X.normalize(text).alias("norm"))
     empty = left.where("norm = ''").select(key, F.lit("none").alias("method"), F.lit(0.0).alias("score"), F.lit(None).cast(cheap.schema["component"].dataType).alias("component"), F.array().cast("array<string>").alias("suggestions"), F.lit("").alias("normalized_input"))
-    left = left.where("norm <> ''")
-    prefixed = prefix_layer(left, looked_up, key)
+    left = cut(left.where("norm <> ''"), "cascade-left")
+    prefixed = cut(prefix_layer(left, looked_up, key), "cascade-prefixed")
     rest = left.join(prefixed.select(key), key, "left_anti")
     every = cheap.unionByName(prefixed).unionByName(fuzzy_layer(rest, live, key)).unionByName(empty)
     return every.withColumn("matched", F.col("component").isNotNull())

@@ -1,8 +1,11 @@
-"""Session factory used by tests and the bench; on a cluster the caller's own session is used as it is."""
+"""Session factory of tests and bench (on a cluster the caller's session is used as it is), and tables that cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g", app: str = "origintrace") -> SparkSession:
@@ -19,3 +22,21 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, a folder of this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="origintrace-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: its lineage ends there, and a lost executor costs no recomputation."""
+    path = f"{shared_folder(df.sparkSession)}/origintrace/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
