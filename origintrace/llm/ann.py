@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded_sample, cut, table
 
-SAMPLE_ROWS = 16384  # rows that the tree is fitted on, those with the smallest hashes of their ids
+SAMPLE_ROWS = 16384  # rows that the tree is fitted on, by a hash of their ids
 BRANCHING = 8
 LEAF_POWER = 0.4  # the table's row count to this power is the number of leaves, so that visits grow slower than rows
 MOST_LEAVES = 4096  # with SAMPLE_ROWS, the bound of what is broadcast
 CALIBRATION_QUERIES = 96
-WANTED_RECALL = 0.96
+WANTED_RECALL = 0.98
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
 
 
@@ -166,7 +166,7 @@ class Index:
     def __init__(self, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = WANTED_RECALL, sample_rows: int = SAMPLE_ROWS, leaf_power: float = LEAF_POWER):
         good = usable(rows, key, vector)
         n = good.count()
-        held = good.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
+        held = bounded_sample(good, F.col("id"), sample_rows).toPandas()
         self.k, self.spark = k, rows.sparkSession
         if not n:
             self.rows, self.tree, self.sizes, self.visits = good.withColumn("leaf", F.lit(0)), None, np.zeros(1, dtype=int), 0

@@ -2,36 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import cut, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["bounded_sample", "cut", "flag_listed", "parts", "release", "scratch", "shared_folder", "small_batches", "table"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, a folder of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="origintrace-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/origintrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: its lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands texts to Python tasks a few hundred at a time: texts are long, and an executor's memory is shared."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def release() -> None:
+    """Gives back the memory that Arrow keeps in a Python worker between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
 
 
 def parts(spark: SparkSession) -> int:
@@ -47,9 +51,15 @@ def flag_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, fla
     A prefilter that saves shuffling rows with nothing to join: a hashed bitmap of fixed size, so the broadcast is bounded
     whatever the input. False positives, more of them with more ids, are left to the join that follows.
     """
-    from pyspark.sql import functions as F
-
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITMAP_BITS))
     words = listed.select(place(listed_key).alias("h")).selectExpr("shiftright(h, 6) AS bitmap_word", "shiftleft(1L, cast(h & 63 AS int)) AS bit").groupBy("bitmap_word").agg(F.bit_or("bit").alias("bitmap_bits"))
     marked = df.withColumn("bitmap_h", place(key)).withColumn("bitmap_word", F.shiftright("bitmap_h", 6)).join(F.broadcast(words), "bitmap_word", "left")
     return marked.withColumn(flag, F.expr("coalesce((shiftright(bitmap_bits, cast(bitmap_h & 63 AS int)) & 1L) = 1L, false)")).drop("bitmap_h", "bitmap_word", "bitmap_bits")
+
+
+def bounded_sample(rows: DataFrame, by: Column, most: int) -> DataFrame:
+    """At most `most` rows, to fit a model on: those whose hash of `by` is under a threshold set from the row count (all rows, if
+    there are no more). No task holds or sends more than its share of them."""
+    n = rows.count()
+    kept = rows if n <= most else rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 40)) < int(0.95 * most / n * (1 << 40)))
+    return kept.limit(most)

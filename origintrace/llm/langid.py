@@ -11,11 +11,11 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded_sample, cut, small_batches, table
 from .url_filters import host_of
 
 FIT_ROWS, FIT_CHARS = 4000, 4000  # the character model is fitted on so many labelled rows (smallest hashes), so many characters of each
@@ -62,9 +62,11 @@ class Model:
         return total / len(grams) * min(len(grams), FULL_GRAMS)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Fits the character model on at most `rows` labelled rows, the first `chars` characters of each; both bound only the fit."""
-    held = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.trim(label) != "")).select(F.substring(text, 1, chars).alias("t"), F.lower(F.trim(label)).alias("l")).orderBy(F.xxhash64("t"), "t", "l").limit(rows).collect()
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
+    """Fits the character model on at most `rows` labelled rows (by a hash of key), the first `chars` characters of each; both
+    bound only the fit."""
+    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.trim(label) != ""))
+    held = bounded_sample(usable, F.col(key), rows).select(F.substring(text, 1, chars).alias("t"), F.lower(F.trim(label)).alias("l")).collect()
     return Model([r.t for r in held], [r.l for r in held])
 
 
@@ -74,9 +76,13 @@ HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | r
 def text_likelihoods(model: Model, markup: bool = False):
     """A vectorised function text -> array<double>, in the model's order of languages; markup: tags, scripts and styles are left out."""
 
-    @F.pandas_udf("array<double>")
-    def likelihoods(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(HIDDEN.sub(" ", t) if markup and t else t).tolist() for t in texts])
+    @F.arrow_udf("array<double>")
+    def likelihoods(texts: pa.Array) -> pa.Array:
+        scores = []
+        for t in texts:
+            t = t.as_py()
+            scores.append(model.score(HIDDEN.sub(" ", t) if markup and t else t).tolist())
+        return pa.array(scores, pa.list_(pa.float64()))
 
     return likelihoods
 
@@ -105,7 +111,7 @@ def identify(rows: DataFrame, model: Model, *, text: str, declared: Column, suff
     The statistics are one row a host, domain, declaration and suffix, written to tables so that Spark knows their size: small
     ones are broadcast, large ones shuffled with AQE splitting a hot host. Texts are scored twice rather than shuffled.
     """
-    rows = rows.drop(*[c for c in rows.columns if c.startswith("lid_")])
+    rows = small_batches(rows).drop(*[c for c in rows.columns if c.startswith("lid_")])
     n = len(model.languages)
     likelihoods = text_likelihoods(model, markup)
     missing = F.col(text).isNull() | (F.regexp_count(F.col(text), F.lit(r"\S")) == 0) if not markup else F.col(text).isNull()

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flag_listed, table
+from .common import cut, flag_listed, release, small_batches, table
 from .components import components
 
 WORDS = 5
@@ -75,8 +75,9 @@ def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 digest.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 band.append(bands(s).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest), pa.array(band, pa.list_(pa.int64()))], names=[key, "n", "digest", "bands"])
+        release()
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("binary").alias(text)).mapInArrow(sign, f"{key} long, n long, digest string, bands array<long>")
+    return small_batches(docs).select(F.col(key).cast("long").alias(key), F.col(text).cast("binary").alias(text)).mapInArrow(sign, f"{key} long, n long, digest string, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,8 +85,9 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for batch in batches:
             sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=[key, "shingles"])
+        release()
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("binary").alias(text)).mapInArrow(make, f"{key} long, shingles array<long>")
+    return small_batches(docs).select(F.col(key).cast("long").alias(key), F.col(text).cast("binary").alias(text)).mapInArrow(make, f"{key} long, shingles array<long>")
 
 
 def _near(n1: str, n2: str, percent: int) -> str:
@@ -238,3 +240,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """docs without those that have a smaller doc_id in their component; their own columns, no others."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS shingles FROM w),
+s AS (SELECT doc_id, unnest(shingles) AS sh FROM t),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE 100 * both_n >= 75 * (len(x.shingles) + len(y.shingles) - both_n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, len(shingles) AS n_shingles, CASE WHEN len(shingles) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(shingles)) END AS class_id FROM t)
+SELECT k.doc_id, n_shingles, component_id, k.doc_id = component_id AS kept, class_id FROM k JOIN m ON m.doc_id = k.doc_id
+"""

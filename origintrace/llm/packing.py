@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, small_batches, table
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 16384  # pieces that one task packs; each group ends with about one part-filled sequence
-CACHE = 400_000  # entries of each of an encoder's two caches
+CACHE = 120_000  # entries of each of an encoder's two caches
 
 #: Words as the tokenizer's pre-tokenizer splits lower-case text. Fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -103,8 +103,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", te
                     for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        release()
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(encode, f"{key} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return small_batches(docs).select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(encode, f"{key} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 class RoomTree:

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_url_list_asof": url_filters.op9_url_list_asof,
     "op10_spotsigs": spotsigs.op10_spotsigs,
 }
-ORACLE_SQL = {"op8_warc_round_trip": warc.OP8_SQL, "op9_url_list_asof": url_filters.OP9_SQL}
+ORACLE_SQL = {"op4_minmax_near_duplicates": minhash.OP4_SQL, "op8_warc_round_trip": warc.OP8_SQL, "op9_url_list_asof": url_filters.OP9_SQL}

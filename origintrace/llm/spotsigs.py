@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table
+from .common import cut, parts, small_batches, table
 
 #: Common words of English, German, French and Spanish that anchor signatures. Fixed values.
 ANCHORS = frozenset(
@@ -75,7 +75,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     Buckets are ranges of doc_id between approximate percentiles, which are ids that occur; ids are all the driver sees, two
     for each shuffle partition. A null doc_id sorts first.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("at"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     k = 2 * parts(spark)
     row = keyed.agg(F.min("at"), F.percentile_approx("at", [i / k for i in range(1, k)], 20 * k)).first()
@@ -143,7 +143,7 @@ def signature_sets(docs: DataFrame) -> DataFrame:
             sets = [signatures(t.as_py()).tolist() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "sigs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, sigs array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, sigs array<long>")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:

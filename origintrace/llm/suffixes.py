@@ -20,16 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flag_listed, parts, table
+from .common import cut, flag_listed, parts, release, small_batches, table
 
 WIDTH = 100
 ANCHOR = 32
 CHUNK_BYTES = 1 << 18  # text hashed at once
-HELD_ANCHORS = 250_000  # anchors that a task combines before it passes them on
+HELD_ANCHORS = 120_000  # anchors that a task combines before it passes them on
 CROWD = 64  # different surroundings of an anchor among those, from which its occurrences are dealt over SALTS keys
 SALTS = 64
 GROUP = 512  # surroundings of one key that go into one suffix array; larger groups are split by longer keys
-BLOCK_BYTES = 1 << 20  # text of one suffix array
+BLOCK_BYTES = 1 << 18  # text of one suffix array
 LAST = (1 << 63) - 1  # null ids come last, by their texts' hashes: up to 2**40 below this
 
 
@@ -261,6 +261,7 @@ def _find(width: int, crowd: int):
             found.append(scan())
         if found:
             yield from combine(found)
+        release()
 
     return find
 
@@ -362,6 +363,7 @@ def _arrays(width: int):
                 size += len(piece)
         if pieces:
             yield found()
+        release()
 
     return build
 
@@ -411,7 +413,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     have none."""
     if width < 2 * ANCHOR:
         raise ValueError(f"width must be at least {2 * ANCHOR}")
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     rows = docs.select(_number(key, text).alias("doc"), F.col(text).cast("binary").alias(text))
     n = parts(spark)
     occurrences = rows.mapInArrow(_find(width, crowd), _DDL).repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt")
@@ -432,7 +434,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def _cut_out(text: bytes, spans) -> tuple[bytes, int]:
     """The bytes outside the spans, and the number of maximal spans."""
-    if spans is None or not len(spans):
+    if not spans:
         return text, 0
     s = np.array([(x["start"], x["stop"]) for x in spans], dtype=np.int64)
     _, start, stop = merged(np.zeros(len(s), dtype=np.int64), s[:, 0], s[:, 1])
@@ -459,15 +461,14 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     joined = flagged.where("rep_touched").join(listed, "rep_doc", "left")
     kept_type = "struct<n: long, removed: long, spans: long, sha: string" + (", kept: string>" if texts else ">")
 
-    @F.pandas_udf(kept_type)
-    def remove(bodies, lists):
-        import pandas as pd
-
+    @F.arrow_udf(kept_type)
+    def remove(bodies: pa.Array, lists: pa.Array) -> pa.Array:
         rows = []
         for b, spans in zip(bodies, lists, strict=True):
-            kept, n = _cut_out(bytes(b), spans)
-            rows.append((len(b), len(b) - len(kept), n, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * texts))
-        return pd.DataFrame(rows, columns=["n", "removed", "spans", "sha", *["kept"] * texts])
+            body = b.as_py()
+            kept, n = _cut_out(body, spans.as_py())
+            rows.append({"n": len(body), "removed": len(body) - len(kept), "spans": n, "sha": hashlib.sha256(kept).hexdigest(), **({"kept": kept.decode("utf-8", "ignore")} if texts else {})})
+        return pa.array(rows, pa.struct([("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("sha", pa.string()), *[("kept", pa.string())] * texts]))
 
     done = joined.withColumn("rep_done", remove(body.cast("binary"), F.col("rep_list")))
     names = {"rep_bytes": "n", "rep_removed": "removed", "rep_spans": "spans", "rep_sha256": "sha", **({"rep_text": "kept"} if texts else {})}
