@@ -92,10 +92,20 @@ def label_payloads(spark, sf_dir):
   JOIN catalogue c ON c.ord = t.target WHERE s.scan_id % 10 = 6)
 SELECT scan_id, levenshtein(a, b) AS distance FROM p""", _scan)
 def marking_distances(spark, sf_dir):
-    """Distance of each marking with a dropped character to its part's (one edit, so all edit distances agree)."""
+    """The slice that the SQL can follow: markings with a dropped character (one edit, so all edit distances agree)."""
+    return _distances(spark, sf_dir, fx.scans(spark, sf_dir).where("scan_id % 10 = 6"))
+
+
+@query(None)
+def whole_marking_distances(spark, sf_dir):
+    """Distance of every marking to its part's key, near or far; tested against a plain version."""
+    return _distances(spark, sf_dir, fx.scans(spark, sf_dir))
+
+
+def _distances(spark, sf_dir, scanned):
     t = fx.tables(spark, sf_dir, "part", "events")
     targets = spark.sql("SELECT v.event_id, (v.event_id * 31 + v.user_id) % z.n + z.lo AS ord FROM {events} v CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS lo FROM {part}) z", **t)
-    pairs = fx.scans(spark, sf_dir).where("scan_id % 10 = 6").join(targets, F.col("scan_id") == F.col("event_id")).join(fx.catalogue(spark, sf_dir).select("ord", "search_key"), "ord")
+    pairs = scanned.join(targets, F.col("scan_id") == F.col("event_id")).join(fx.catalogue(spark, sf_dir).select("ord", "search_key"), "ord")
     return pairs.select("scan_id", X.osa_distance(X.normalize(F.col("raw_input")), F.col("search_key")).alias("distance"))
 
 
@@ -170,8 +180,18 @@ h AS (SELECT scan_id, search_key, length(search_key) AS n FROM n JOIN k ON lengt
 t AS (SELECT *, max(n) OVER (PARTITION BY scan_id) AS longest FROM h)
 SELECT scan_id, CASE WHEN count(DISTINCT search_key) > 1 THEN 'ambiguous_prefix' ELSE 'prefix' END AS kind FROM t WHERE n = longest GROUP BY scan_id""", _scan)
 def prefix_matches(spark, sf_dir):
-    """Partly read markings: whether one longest stored key or several fit."""
-    s = fx.scans(spark, sf_dir).where("scan_id % 10 = 5").select("scan_id", X.normalize(F.col("raw_input")).alias("norm"))
+    """The slice that the SQL's theta join can follow: partly read markings, whether one longest stored key or several fit."""
+    return _prefixed(spark, sf_dir, fx.scans(spark, sf_dir).where("scan_id % 10 = 5"))
+
+
+@query(None)
+def whole_prefix_matches(spark, sf_dir):
+    """Every scan against the stored keys, whole, partly and wrongly read ones alike; tested against a plain version."""
+    return _prefixed(spark, sf_dir, fx.scans(spark, sf_dir))
+
+
+def _prefixed(spark, sf_dir, scanned):
+    s = scanned.select("scan_id", X.normalize(F.col("raw_input")).alias("norm"))
     found = cascade.prefix_layer(s, cascade.lookups(catalogue.live(fx.catalogue(spark, sf_dir))))
     return found.select("scan_id", F.when(F.col("method") == "ambiguous_prefix", "ambiguous_prefix").otherwise("prefix").alias("kind"))
 

@@ -119,3 +119,14 @@ class Catalogue:
         if len(scored) > 1 and scored[1][0] >= scored[0][0] - R.FUZZY_MARGIN:
             return "ambiguous_fuzzy", scored[0][0], None
         return "fuzzy", scored[0][0], scored[0][1]["component_id"]
+
+
+def prefixed(scans, keys):
+    """scans: {id: marking}. {id: kind} of those that begin a key or that a key begins; the longest keys count."""
+    out = {}
+    for i, raw in scans.items():
+        read = norm(raw)
+        hits = [k for k in keys if k.startswith(read) or read.startswith(k)] if len(read) >= R.PREFIX_FLOOR else []
+        if hits:
+            out[i] = "ambiguous_prefix" if sum(len(k) == max(map(len, hits)) for k in hits) > 1 else "prefix"
+    return out
