@@ -4,7 +4,7 @@ import pytest
 from plain_cascade import norm, osa, prefixed
 
 from origintrace.plans import fixtures as fx
-from origintrace.plans.queries import QUERIES
+from origintrace.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,21 @@ def test_distances_of_every_scan(spark, scanned, parts):
     got = QUERIES["whole_marking_distances"](spark, SF).collect()
     assert {r.scan_id: r.distance for r in got} == want and len(got) == len(scanned)
     assert {0, 1, 2} < set(want.values())  # equal, near and far pairs
+
+
+def test_import_stages_every_row(spark):
+    """More rows than 400, with the SQL of another engine; the summary counts the same rows."""
+    duckdb = pytest.importorskip("duckdb")
+    big = "/root/testdata/sf0.01"
+    got = [tuple(r) for r in QUERIES["whole_staged_import"](spark, big).collect()]
+    c = duckdb.connect()
+    for t in ("part", "lineitem", "supplier", "nation"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{big}/{t}.parquet'")
+    assert sorted(got) == sorted(c.execute(ORACLE_SQL["whole_staged_import"]).fetchall())
+    n = spark.read.parquet(f"{big}/part.parquet").count()
+    assert len(got) == n > 400
+    count = lambda b: sum(r[2] == b for r in got)
+    s = QUERIES["import_summary"](spark, big).first()
+    assert s.rows_total == n - count("invalid")
+    assert (s.rows_new, s.rows_updated, s.rows_unchanged, s.rows_duplicate) == tuple(map(count, ("new", "updated", "unchanged", "duplicate")))
+    assert count("duplicate") > n / 2 and count("new") > n / 20  # both grow with the table
