@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, small_batches, table
+from .common import cut, small_batches, table
 from .url_filters import host_of
 
-FIT_ROWS, FIT_CHARS = 4000, 4000  # the character model is fitted on so many labelled rows (smallest hashes), so many characters of each
-MOST_LANGUAGES = 64
+FIT_ROWS, FIT_CHARS = 4000, 4000  # the character model is fitted on so many labelled rows in all (by hash, in equal shares of the languages), so many characters of each
+LEAST_FIT_ROWS = 50  # a language's share, where there are so many languages that an equal one would be smaller
 BINS = 1 << 15
+HELD_SCORES = 5 << 20  # scores of trigrams, a language each, that are added up at once
 UNKNOWN = "und"
 FULL_GRAMS = 40  # a text's mean log-likelihood a trigram counts as that of so many independent trigrams at most
 PRIOR_ROWS = 20.0  # rows that the parent's prior counts as
@@ -42,14 +43,14 @@ class Model:
     """Log-probabilities of trigram bins, one column a language; the last, UNKNOWN, has all bins alike."""
 
     def __init__(self, texts: list[str], labels: list[str]):
-        self.languages = sorted(set(labels))[:MOST_LANGUAGES]
-        counts = np.full((BINS, len(self.languages)), 0.05)
+        grams: dict[str, list[np.ndarray]] = {label: [] for label in sorted(set(labels))}
         for text, label in zip(texts, labels, strict=True):
-            if label in self.languages:
-                np.add.at(counts[:, self.languages.index(label)], trigrams(text), 1)
-        flat = np.full((BINS, 1), -math.log(BINS))
-        self.table = np.hstack([np.log(counts / counts.sum(axis=0)), flat]).astype(np.float32)
-        self.languages.append(UNKNOWN)
+            grams[label].append(trigrams(text))
+        self.languages = [*grams, UNKNOWN]
+        self.table = np.full((BINS, len(self.languages)), -math.log(BINS), dtype=np.float32)
+        for i, found in enumerate(grams.values()):
+            counts = 0.05 + np.bincount(np.concatenate(found), minlength=BINS)
+            self.table[:, i] = np.log(counts / counts.sum())
 
     def score(self, text: str | None) -> np.ndarray:
         """Tempered log-likelihoods; zeros for a text without a letter, of which nothing is known."""
@@ -57,16 +58,29 @@ class Model:
         if len(grams) == 0:
             return np.zeros(len(self.languages))
         total = np.zeros(len(self.languages))
-        for at in range(0, len(grams), 1 << 20):
-            total += self.table[grams[at : at + (1 << 20)]].sum(axis=0, dtype=np.float64)
+        step = max(1, HELD_SCORES // len(self.languages))
+        for at in range(0, len(grams), step):
+            total += self.table[grams[at : at + step]].sum(axis=0, dtype=np.float64)
         return total / len(grams) * min(len(grams), FULL_GRAMS)
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Fits the character model on at most `rows` labelled rows (by a hash of key), the first `chars` characters of each; both
-    bound only the fit."""
+    """Fits the character model on about `rows` labelled rows, the first `chars` characters of each; both bound only the fit.
+
+    Labels are counted over all rows and every one is a language of the model, however rare. Each has an equal share of the rows
+    (LEAST_FIT_ROWS at least): those whose hash of key and text is under a threshold from the label's count, and the one of the
+    smallest hash, so that none is left without. Equal texts of a language count once.
+    """
+    named = F.lower(F.trim(label))
     usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.trim(label) != ""))
-    held = bounded_sample(usable, F.col(key), rows).select(F.substring(text, 1, chars).alias("t"), F.lower(F.trim(label)).alias("l")).collect()
+    usable = usable.select(F.col(text).alias("t"), named.alias("l"), F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 40)).alias("h"))
+    counted = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
+    if not counted:
+        return Model([], [])
+    share = max(rows // len(counted), LEAST_FIT_ROWS)
+    most = [(c.l, max(c.least, int(0.95 * share / c.n * (1 << 40))) if c.n > share else 1 << 40) for c in counted]
+    limits = labelled.sparkSession.createDataFrame(most, "l string, most long")
+    held = usable.join(F.broadcast(limits), "l").where("h <= most").select(F.substring("t", 1, chars).alias("t"), "l").distinct().collect()
     return Model([r.t for r in held], [r.l for r in held])
 
 
@@ -87,10 +101,22 @@ def text_likelihoods(model: Model, markup: bool = False):
     return likelihoods
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body has it; inside a lambda it would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def _share(values: Column) -> Column:
+    return _let(values, lambda a: _let(_total(a), lambda t: F.transform(a, lambda x: x / t)))
+
+
 def _posterior(logs: Column) -> Column:
-    """exp(logs) normalised to one."""
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+    """exp(logs) normalised to one, in time linear in the languages."""
+    return _share(_let(logs, lambda a: _let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))))
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -124,15 +150,13 @@ def identify(rows: DataFrame, model: Model, *, text: str, declared: Column, suff
     overall = (mass + 1 / n) / (mass.sum() + 1)
     vector = lambda values: F.array(*[F.lit(float(v)) for v in values])
     smooth = lambda counts, parent: F.transform(_add(counts, F.transform(parent, lambda p: p * PRIOR_ROWS)), lambda x: x)  # noqa: E731  not normalised: the posterior is
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    share = lambda a: F.transform(a, lambda x: x / total(a))
-    domains = _sums(seen, ["lid_domain"], n, "dn").select("lid_domain", share(smooth(F.col("dn"), vector(overall))).alias("lid_parent"))
+    domains = _sums(seen, ["lid_domain"], n, "dn").select("lid_domain", _share(smooth(F.col("dn"), vector(overall))).alias("lid_parent"))
     hosts = cut(_sums(seen, ["lid_host", "lid_domain"], n, "lid_hn").join(domains, "lid_domain"), "langid-hosts")
 
     def evidence(by: str, name: str) -> DataFrame:
         """log P(value | language), smoothed so that a value not seen with a language still has ODD_RATE of its share."""
         values = _sums(seen, [by], n, "c")
-        rate = F.zip_with("c", vector(mass), lambda c, m: F.log((c + ODD_RATE * total(F.col("c")) + 1e-9) / (m + ODD_RATE * float(mass.sum()) + 1e-9)))
+        rate = _let(_total(F.col("c")), lambda t: F.zip_with("c", vector(mass), lambda c, m: F.log((c + ODD_RATE * t + 1e-9) / (m + ODD_RATE * float(mass.sum()) + 1e-9))))
         return cut(values.select(by, F.when(F.col(by) != "", rate).otherwise(vector([0.0] * n)).alias(name)), f"langid-{by}")
 
     fused = scored.join(hosts, ["lid_host", "lid_domain"]).join(evidence("lid_declared", "lid_says"), "lid_declared").join(evidence("lid_suffix", "lid_ends"), "lid_suffix")

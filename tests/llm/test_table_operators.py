@@ -162,6 +162,25 @@ def test_language_of_odd_rows(spark, clashing, empty):
     assert kept.columns == train.columns and kept.count() == 60
 
 
+def test_every_language_is_kept(spark):
+    """More than 64 labels, the last of them rare: one in some thousand rows, all without ids in one of them."""
+    import random
+
+    r = random.Random(3)
+    names = ["en", *[f"l{i:02}" for i in range(68)], "zz"]
+    vocabulary = {n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 7))) for _ in range(30)] for n in names}
+    say = lambda n: " ".join(r.choice(vocabulary[n]) for _ in range(30))
+    rows = [(i, say("en"), "en", "h", None) for i in range(9000)]
+    rows += [(None if n == "l07" else 10_000 + 10 * k + j, say(n), n, "h", None) for k, n in enumerate(names[1:]) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert langid.fit(docs).languages == [*sorted(names), "und"]
+    kept = {(x.lang, x.text) for x in langid.filter_documents(docs).where("lang <> 'en'").collect()}
+    assert kept == {(x[2], x[1]) for x in rows if x[2] != "en"}
+    none = F.lit(None).cast("string")
+    rare = spark.createDataFrame([(i, say(n), n) for i, n in enumerate(["zz", "l67", "l07"])], "i int, t string, want string")
+    assert all(x.lid_text_lang == x.want for x in langid.identify(rare, langid.fit(docs), text="t", declared=none, suffix=none, host=none, domain=none).collect())
+
+
 # --- archives ---
 
 PAGES = [(1, "http://a.example/1", "x" * 1200), (2, "http://a.example/2", "x" * 1200), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", "é\r\n\r\nWARC/1.1\r\nnot a record" * 60), (9, "a\r\nb", "x" * 1200), (9, "again", "x" * 1200), (None, "n", "x" * 1200), (None, "n", "y" * 1500)]
