@@ -28,7 +28,7 @@ CHUNK_BYTES = 1 << 18  # text hashed at once
 HELD_ANCHORS = 120_000  # anchors that a task combines before it passes them on
 CROWD = 64  # different surroundings of an anchor among those, from which its occurrences are dealt over SALTS keys
 SALTS = 64
-GROUP = 512  # surroundings of one key that go into one suffix array; larger groups are split by longer keys
+GROUP = 512  # surroundings of one key that go into one suffix array; larger groups are split by longer keys, an anchor's too
 BLOCK_BYTES = 1 << 18  # text of one suffix array
 LAST = (1 << 63) - 1  # null ids come last, by their texts' hashes: up to 2**40 below this
 
@@ -266,9 +266,12 @@ def _find(width: int, crowd: int):
     return find
 
 
-def _meet(width: int):
+def _meet(width: int, most: int):
     """Rows of each (anchor, salt) together and in order -> REPEATS spans, and the first occurrence of each surroundings of an
-    anchor that has several (OCCURS, with salt 1 if the anchor is crowded, else 0)."""
+    anchor that has several (OCCURS, with salt 1 if the anchor is crowded, else 0).
+
+    An anchor is crowded if a task found it so, or if more than `most` different surroundings meet here. An anchor that no task
+    found crowded has salt 0 alone, so all of its surroundings are counted."""
 
     def settle(kind, anchor, salt, around, doc, start, stop):
         known = kind == REPEATS
@@ -288,7 +291,9 @@ def _meet(width: int):
                 later = (doc != doc[of]) | (start != start[of])
                 low, high = _around_span(start[later], stop[later], width)
                 spans.append((doc[later], low, high))
-                several = (np.bincount(group, new) > 1)[group] | crowded
+                met = np.bincount(group, new)[group]
+                crowded |= met > most
+                several = (met > 1) | crowded
                 open_ = new & several
                 if open_.any():
                     yield _rows(OCCURS, anchor[open_], crowded[open_].astype(np.int64), around[open_], doc[open_], start[open_], stop[open_])
@@ -298,18 +303,26 @@ def _meet(width: int):
             yield _rows(REPEATS, zero, zero, zero, doc, start, stop)
 
     def meet(batches):
-        held = None
+        held: list[list[np.ndarray]] = []  # of one (anchor, salt)
+
+        def held_settled():
+            return settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
             anchor, salt = columns[1], columns[2]
-            open_from = len(anchor) - np.argmax(((anchor != anchor[-1]) | (salt != salt[-1]))[::-1]) if len(anchor) and ((anchor != anchor[-1]) | (salt != salt[-1])).any() else 0
+            if not len(anchor):
+                continue
+            other = (anchor != anchor[-1]) | (salt != salt[-1])
+            open_from = len(anchor) - np.argmax(other[::-1]) if other.any() else 0
             if open_from:
-                yield from settle(*(c[:open_from] for c in columns))
-            held = [c[open_from:] for c in columns]
-        if held is not None and len(held[0]):
-            yield from settle(*held)
+                held.append([c[:open_from] for c in columns])
+            if held and (open_from or held[-1][1][-1] != anchor[-1] or held[-1][2][-1] != salt[-1]):
+                yield from held_settled()
+                held = []
+            held.append([c[open_from:] for c in columns])
+        if held:
+            yield from held_settled()
 
     return meet
 
@@ -417,7 +430,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(_number(key, text).alias("doc"), F.col(text).cast("binary").alias(text))
     n = parts(spark)
     occurrences = rows.mapInArrow(_find(width, crowd), _DDL).repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    met = cut(occurrences.mapInArrow(_meet(width), _DDL), "suffix-met")
+    met = cut(occurrences.mapInArrow(_meet(width, group), _DDL), "suffix-met")
     spans = met.where(F.col("kind") == REPEATS).select("doc", "start", "stop")
     open_ = met.where(F.col("kind") == OCCURS)
     listed = open_.groupBy("doc").agg(F.collect_list(F.struct("anchor", "salt", "around", "start")).alias("places"))  # a doc's, so no more than its text has

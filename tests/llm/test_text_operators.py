@@ -114,6 +114,28 @@ def test_repeated_passages_match_plain(docs, clashing, crowding):
     assert sum(r.rep_removed for r in nulls) > 0  # the passage came before
 
 
+def test_anchors_that_no_task_finds_crowded_are_split(spark, monkeypatch):
+    """A phrase in 40 surroundings, fewer than CROWD but more than one suffix array should take; and the same under one crowd mark."""
+    from conftest import words
+
+    phrase, passage = words(70, 9), words(71, 30)
+    rows = [(i, f"{words(7000 + i, 40)} {phrase} {passage if i % 4 == 0 else ''} {words(8000 + i, 40)}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want, split, largest = plain.repeated_bytes(rows), suffixes._split_crowds, []
+
+    def seen(contexts, width, group):
+        ready, spans = split(contexts, width, group)
+        largest.append((contexts.count(), max([r["count"] for r in ready.groupBy("key").count().collect()], default=0)))
+        return ready, spans
+
+    monkeypatch.setattr(suffixes, "_split_crowds", seen)
+    for crowding in ({"group": 16}, {"group": 16, "crowd": 8}):
+        got = {r.doc_id: (r.rep_bytes, r.rep_removed, r.rep_spans, r.rep_sha256) for r in suffixes.without_repeats(df, **crowding).collect()}
+        assert got == want
+        assert largest and largest[-1][0] > 16 >= largest[-1][1]
+        largest.clear()
+
+
 def test_remove_repeats_drops_only_what_is_gone(docs):
     left = {r.doc_id: r for r in suffixes.remove_repeats(docs).collect()}
     assert 7 not in left and 1 in left and 2 in left and left[6].text is not None and left[11].n_chars == len(left[11].text)
