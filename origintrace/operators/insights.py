@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hmac_sha256
+from ..session import cut
 
 RESULTS = ["chinese", "non_chinese", "unknown_origin", "not_found"]
 
@@ -83,12 +84,20 @@ def inspection_report(scans: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def origin_report(catalogue: DataFrame, flag: str) -> DataFrame:
-    """Live rows of one origin; critical ones first, by subsystem and name: the order is in the column place."""
-    from pyspark.sql import Window
-
-    order = Window.orderBy((F.col("criticality") != "CRITICAL").cast("int"), "drone_subsystem", "component_name", "component_id")
-    rows = catalogue.where((~F.col("is_deleted")) & (F.col("is_chinese") == flag))
-    return rows.select("component_id", "component_name", "chip_number", "manufacturer", "country_of_origin", "drone_subsystem", "criticality", "verification_source", "remarks", F.row_number().over(order).alias("place"))
+    """Live rows of one origin; critical ones first, by subsystem and name: the order is in the column place.
+
+    The rows are dealt over ranges of that order and written; a row's place is that inside its range after the rows of the ranges
+    before, which are one row each of a small table. No task sees more than one range.
+    """
+    order = ["late", "drone_subsystem", "component_name", "component_id"]
+    columns = ["component_id", "component_name", "chip_number", "manufacturer", "country_of_origin", "drone_subsystem", "criticality", "verification_source", "remarks"]
+    rows = catalogue.where((~F.col("is_deleted")) & (F.col("is_chinese") == flag)).select(*columns, (F.col("criticality") != "CRITICAL").cast("int").alias("late"))
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "origin-report")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", before.alias("before"))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.join(offsets, "range").select(*columns, (F.col("before") + inside).alias("place"))
 
 
 def statistics_report(counters: DataFrame, scans: DataFrame, days: int, revision: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from plain_cascade import norm, osa, prefixed
 
+from origintrace.operators import insights
 from origintrace.plans import fixtures as fx
 from origintrace.plans.queries import ORACLE_SQL, QUERIES
 
@@ -52,3 +53,15 @@ def test_import_stages_every_row(spark):
     assert s.rows_total == n - count("invalid")
     assert (s.rows_new, s.rows_updated, s.rows_unchanged, s.rows_duplicate) == tuple(map(count, ("new", "updated", "unchanged", "duplicate")))
     assert count("duplicate") > n / 2 and count("new") > n / 20  # both grow with the table
+
+
+def test_report_places_without_a_global_window(spark, parts):
+    """Places equal a sort of all rows, and every window over rows of the catalogue is dealt by range."""
+    frame = insights.origin_report(fx.catalogue(spark, SF), "YES")
+    rows = [p for p in parts if not p.is_deleted and p.is_chinese == "YES"]
+    want = sorted(rows, key=lambda p: (p.criticality != "CRITICAL", p.drone_subsystem, p.component_name, p.component_id))
+    got = {r.place: r.component_id for r in frame.collect()}
+    assert got == {i + 1: p.component_id for i, p in enumerate(want)} and len(frame.columns) == 10
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number" in line and "windowspec" in line]
+    assert windows and all("[range#" in line for line in windows)
