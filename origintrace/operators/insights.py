@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import hmac_sha256
 from ..session import cut
@@ -117,13 +118,49 @@ def monthly_report(scans: DataFrame) -> DataFrame:
 
 
 def body_digest(rows: DataFrame, order: list[str], group: str | None = None) -> DataFrame:
-    """SHA-256 over the rows in order, each as name=value pairs by name joined by bars. A report is one document of bounded
-    size, so its rows' texts are gathered; group makes one digest a report."""
+    """SHA-256 over the rows in order, each as name=value pairs by name joined by bars; group makes one digest a report.
+
+    A report's rows are sorted by Spark, which may spill, and hashed as they pass: none is gathered, whatever the report's size.
+    The digest is one chain over the text, so a report is hashed by one task."""
     columns = sorted(c for c in rows.columns if c != group)
     line = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns])
-    texts = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
-    body = F.array_join(F.transform(texts, lambda x: x["line"]), "")
-    return rows.groupBy(*([group] if group else [])).agg(F.sha2(body, 256).alias("digest"))
+    places = [f"order_{i}" for i in range(len(order))]
+    listed = rows.select(F.col(group) if group else F.lit(0).alias("report"), *[F.col(c).alias(p) for c, p in zip(order, places, strict=True)], line.alias("line"))
+    by = group or "report"
+    dealt = listed.repartition(by) if group else listed.repartition(1)
+    lines = dealt.sortWithinPartitions(by, *places, "line").select(by, "line")
+    digests = lines.select(F.col(by).alias("report"), "line").mapInArrow(_hashed(lines.schema[by].dataType), T.StructType([T.StructField("report", lines.schema[by].dataType), T.StructField("digest", T.StringType())]))
+    if group:
+        return digests.select(F.col("report").alias(group), "digest")
+    return digests.select("digest").unionByName(rows.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.sha2(F.lit(""), 256).alias("digest")))
+
+
+def _hashed(kind: T.DataType):
+    """Lines of each report together and in order -> one digest a report."""
+    import hashlib
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(kind), pa.string()]
+
+    def digests(batches):
+        last, chain, started = None, hashlib.sha256(), False
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((last, chain.hexdigest()), types, strict=True)], names=["report", "digest"])
+
+        for batch in batches:
+            for report, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if started and report != last:
+                    yield done()
+                    chain = hashlib.sha256()
+                last, started = report, True
+                chain.update(line.encode("utf-8", "surrogatepass"))
+        if started:
+            yield done()
+
+    return digests
 
 
 # --- inspections ---

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,23 +58,35 @@ def ranked_offline(words: DataFrame, n: int = 12) -> DataFrame:
 def distinct_parts(words: DataFrame) -> DataFrame:
     """image_id, parts, multiple: part numbers of at least eight characters, each taken if it is unlike those taken before it.
 
-    The fold depends on order, so it runs per image over the image's few candidates; many images share one task's batch.
+    The fold depends on order, so an image's candidates pass one task in order; only those taken are held. Every candidate is
+    held against all that are taken, by cheap bounds of the likeness first.
     """
     long_parts = merged_words(words).where((classify_marking(F.col("word")) == "part_number") & (F.length("word") >= LONG_PART))
-    listed = long_parts.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("vote_score")).alias("s"), "word"))), lambda x: x["word"]).alias("found"))
-
-    @F.pandas_udf("array<string>")
-    def greedy(found: pd.Series) -> pd.Series:
-        out = []
-        for words_of in found:
-            taken: list[str] = []
-            for w in words_of:
-                if all(SequenceMatcher(None, w, t).ratio() < SAME_PART for t in taken):
-                    taken.append(w)
-            out.append(taken)
-        return pd.Series(out)
-
-    return listed.select("image_id", greedy("found").alias("parts")).withColumn("multiple", F.size("parts") > 1)
+    ordered = long_parts.select("image_id", (-F.col("vote_score")).alias("s"), "word").repartition("image_id").sortWithinPartitions("image_id", "s", "word").select("image_id", "word")
+
+    def greedy(batches):
+        last, taken, started = None, [], False
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.string()), pa.array([taken], pa.list_(pa.string()))], names=["image_id", "parts"])
+
+        for batch in batches:
+            for image, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if started and image != last:
+                    yield done()
+                    taken = []
+                last, started = image, True
+                if not any(_same_part(word, t) for t in taken):
+                    taken.append(word)
+        if started:
+            yield done()
+
+    return ordered.mapInArrow(greedy, "image_id string, parts array<string>").withColumn("multiple", F.size("parts") > 1)
+
+
+def _same_part(word: str, taken: str) -> bool:
+    m = SequenceMatcher(None, word, taken)
+    return m.real_quick_ratio() >= SAME_PART and m.quick_ratio() >= SAME_PART and m.ratio() >= SAME_PART
 
 
 def scans_of_chips(chips: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
 """Queries that take whole tables, against plain versions over all their rows."""
 
+import hashlib
+from difflib import SequenceMatcher
+
 import pytest
 from plain_cascade import norm, osa, prefixed
+from pyspark.sql import functions as F
 
-from origintrace.operators import insights
+from origintrace.functions import ocr
+from origintrace.operators import insights, ocr_words
 from origintrace.plans import fixtures as fx
 from origintrace.plans.queries import ORACLE_SQL, QUERIES
 
@@ -65,3 +70,28 @@ def test_report_places_without_a_global_window(spark, parts):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number" in line and "windowspec" in line]
     assert windows and all("[range#" in line for line in windows)
+
+
+def test_digests_gather_no_report(spark):
+    """Equal to the joined text's digest, also of null and of no reports, and nothing is collected into one row."""
+    rows = [(i, None if i % 5 == 0 else f"d{i % 3}", f"v{i}" if i % 7 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, device string, v string").repartition(5)
+    text = lambda d: "".join(f"k={k}|v={v}" for k, g, v in rows if g == d)
+    frame = insights.body_digest(df, ["k"], "device")
+    assert {r.device: r.digest for r in frame.collect()} == {d: hashlib.sha256(text(d).encode()).hexdigest() for d in (None, "d0", "d1", "d2")}
+    assert "collect_list" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    none = df.limit(0)
+    assert insights.body_digest(none, ["k"]).first().digest == hashlib.sha256(b"").hexdigest() and insights.body_digest(none, ["k"], "device").count() == 0
+
+
+def test_distinct_parts_gather_no_image(spark):
+    """Equal to the fold over each image's words; no image's words are collected into one row."""
+    frame = QUERIES["distinct_ocr_parts"](spark, SF)
+    words = ocr_words.merged_words(fx.words(spark, SF)).where((ocr.classify_marking(F.col("word")) == "part_number") & (F.length("word") >= 8)).collect()
+    want = {}
+    for r in sorted(words, key=lambda r: (-r.vote_score, r.word)):
+        taken = want.setdefault(r.image_id, [])
+        if all(SequenceMatcher(None, r.word, t).ratio() < 0.8 for t in taken):
+            taken.append(r.word)
+    assert {r.image_id: r.parts for r in frame.collect()} == want
+    assert "collect_list" not in frame._jdf.queryExecution().optimizedPlan().toString()
