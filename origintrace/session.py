@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,19 +25,53 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g",
     )
 
 
+_own_folders: dict[str, str] = {}  # application id -> folder of this process, where none is set
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, a folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where one process is all there is, a folder of its own.
+
+    The setting can't be changed in a running session, so an own folder is remembered here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="origintrace-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="origintrace-")
+        named = _own_folders[app]
     return named.rstrip("/")
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def dropped_afterwards(spark: SparkSession):
+    """Tables that `cut` writes inside the block are deleted at its end; what is to stay has to be written elsewhere by then."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scopes.pop():
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/origintrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: its lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/origintrace/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
