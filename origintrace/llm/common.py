@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_folder
+from ..session import cut, scratch_path as scratch, shared_folder
 
 __all__ = ["bounded_sample", "cut", "flag_listed", "parts", "release", "scratch", "shared_folder", "small_batches", "table"]
 
@@ -16,10 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/origintrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 BATCH_ROWS = 500
 
 

@@ -251,5 +251,26 @@ def test_asof_join_against_plain(spark):
     assert url_filters.filter_captures(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_hosts_of_any_length(spark, clashing):
+    """A blocked parent domain counts behind any number of labels, and a URL of a million dots gives few keys."""
+    entries = spark.createDataFrame([("bad.example", 0, "add", "x")], "entry string, listed_at long, action string, category string")
+    label = "a" * 60
+    urls = [f"http://{'.'.join([label] * 5)}.bad.example/", "http://" + "a." * 1_000_000 + "bad.example/", "http://" + "a" * 300, "http://bad.example/" + "p" * 100_000]
+    captures = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "key long, url string, fetched_at long").withColumns({c: F.lit("mine") for c in ("entry", "hit", "n", "copies", "host", "category")})
+    got = {r.key: r for r in url_filters.filter_captures(captures, entries).collect()}
+    assert [got[i].blocked for i in range(4)] == [True, True, False, True]
+    assert set(got[0].asDict()) == {"key", "url", "fetched_at", "host", "blocked", "matched", "category", "listed_from"}
+    assert captures.select(F.max(F.size(url_filters.lookup_keys(F.col("url"), 11)))).first()[0] <= 8
+
+
+def test_production_list_is_used(spark):
+    import os
+
+    if not os.path.exists("/root/testdata/sf0.01/pages.parquet"):
+        pytest.skip("no test tables")
+    got = url_filters.op9_url_list_asof(spark, "/root/testdata/sf0.01").groupBy("category").count().collect()
+    assert {r.category for r in got} >= {None, "scam", "network", "page"}
+
+
 def test_no_date_dependence():
     assert datetime.datetime.fromisoformat(warc.CAPTURE_DATE.replace("Z", "+00:00")).year == 2024
