@@ -19,6 +19,12 @@ CACHE = 120_000  # entries of each of an encoder's two caches
 
 #: Words as the tokenizer's pre-tokenizer splits lower-case text. Fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: What a tokenizer's file has to say for its words to be split and joined here. Fixed values of the format.
+SHAPE = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "patterns": [r"\s+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"],
+}
 #: Characters for which splitting at spaces and lower-casing before encoding can't change the ids.
 PLAIN = r"[\t-\r -~¡-įı-ňŊ-ž]*"
 
@@ -32,12 +38,32 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def splits_words(path: str) -> bool:
+    """Whether the file is of the kind that SHAPE describes, with no option on that would change ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    parts = lambda name, inner: (said[name] or {}).get(inner) or []
+    normal, pre, model = parts("normalizer", "normalizers"), parts("pre_tokenizer", "pretokenizers"), said["model"]
+    patterns = [p["pattern"].get("Regex") for p in (*normal, *pre) if "pattern" in p]
+    return (
+        {"normalizer": [x["type"] for x in normal], "pre_tokenizer": [x["type"] for x in pre], "patterns": patterns} == SHAPE
+        and [p["content"] for p in normal if "content" in p] == [" "]
+        and (pre[0]["behavior"], pre[0]["invert"], pre[1]["add_prefix_space"], pre[1]["use_regex"]) == ("Removed", True, False, False)
+        and model["type"] == "BPE"
+        and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and not (said["truncation"] or said["padding"])
+        and all(t["content"].startswith("<|") for t in said["added_tokens"])
+    )
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, without special tokens, equal to the tokenizer's own.
 
-    Made for byte-level BPE that lower-cases and splits words by WORDS. Texts of plain Latin characters are cut at spaces and
-    line ends, and the ids of chunks and of words are remembered (up to CACHE of each); words not seen before go to the
-    tokenizer's merges, and all other texts to the tokenizer.
+    Where the file is byte-level BPE that lower-cases and splits words by WORDS, texts of plain Latin characters are cut at
+    spaces and line ends, and the ids of chunks and of words are remembered (up to CACHE of each); words not seen before go to
+    the tokenizer's merges, and all other texts to the tokenizer. With a file of any other kind all texts go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -46,6 +72,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.splits = splits_words(path)
         self.find = regex.compile(WORDS).findall
         self.plain = regex.compile(PLAIN).fullmatch
         self.merge = self.tokenizer.model.tokenize
@@ -77,7 +104,7 @@ class Encoder:
         return out
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or not self.plain(text):
+        if not self.splits or "<|" in text or not self.plain(text):
             return self._raw([text])[0]
         chunks = text.replace("\n", " ").split(" ")
         found = list(map(self.chunks.get, chunks))
@@ -201,5 +228,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op7_best_fit_packing(spark, sf_dir):
-    """All documents in sequences of at most 4096 tokens."""
+    """All documents in sequences of at most 4096 tokens.
+
+    A null text is empty, so its only id is the end; a null doc_id stays null; repeated rows are packed as often as they come;
+    a longer document is cut into pieces of 4096; no documents give no rows."""
     return pack_documents(table(spark, sf_dir, "documents"))

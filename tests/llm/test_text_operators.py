@@ -150,6 +150,14 @@ def test_encoder_equals_tokenizer(text):
     assert e.ids(text) == want and e.ids(text) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_of_any_tokenizer(name):
+    e = packing.Encoder.of(packing.tokenizer_path(name))
+    assert e.splits == name.startswith("word")
+    for text in ("Hello  World's 12 naïve\n\tlines", "ÉCOLE straße, it's 3.14", "<|endoftext|> a", ""):
+        assert e.ids(text) == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_packing_matches_plain(docs, clashing):
     from tokenizers import Tokenizer
 
