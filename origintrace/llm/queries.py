@@ -13,5 +13,11 @@ QUERIES = {
     "op8_warc_round_trip": warc.op8_warc_round_trip,
     "op9_url_list_asof": url_filters.op9_url_list_asof,
     "op10_spotsigs": spotsigs.op10_spotsigs,
+    "warc_salvage": warc.warc_salvage,
+}
+ORACLE_SQL = {
+    "op4_minmax_near_duplicates": minhash.OP4_SQL,
+    "op8_warc_round_trip": warc.OP8_SQL,
+    "op9_url_list_asof": url_filters.OP9_SQL,
+    "warc_salvage": warc.SALVAGE_SQL,
 }
-ORACLE_SQL = {"op4_minmax_near_duplicates": minhash.OP4_SQL, "op8_warc_round_trip": warc.OP8_SQL, "op9_url_list_asof": url_filters.OP9_SQL}

@@ -62,11 +62,14 @@ def record_text(row_id: Column, url: Column, payload: Column, payload_bytes: Col
     )
 
 
-def write_warc(pages: DataFrame, path: str | None = None, least: int = DIGEST_FROM) -> str:
+def write_warc(pages: DataFrame, path: str | None = None, least: int = DIGEST_FROM, gzipped: bool = False, damage=None) -> str:
+    """Archives of the pages' records. damage (a function of the record's text and page_id, for tests of the reader) may spoil
+    records on their way."""
     path = path or scratch(pages.sparkSession, "warc")
     d = deduplicated(pages, least)
     text = record_text(d["page_id"], d["url"], d["payload"], d["payload_bytes"], d["payload_digest"], d["refers_to"])
-    d.select(text.alias("value")).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    text = damage(text, d["page_id"]) if damage else text
+    d.select(text.alias("value")).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip" if gzipped else "none").text(path)
     return path
 
 
@@ -76,25 +79,53 @@ class Damaged(ValueError):
 
 VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 MEMBER = b"\x1f\x8b\x08"
+CHUNK = 1 << 16
 
 
-def parse_record(data, at: int) -> tuple[dict, int, int, int]:
-    """Headers (lower-case names), block start, block end and end of the record that starts at `at`; Damaged if a check fails."""
-    if not VERSION.match(data, at):
+class Finder:
+    """Where the next of some byte strings is; each stretch of the data is searched once for each, however often it is asked."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def __call__(self, what: bytes, at: int) -> int:
+        """The first place of `what` from `at` on, or -1; `at` never falls between calls."""
+        place = self.known.get(what)
+        if place is None or 0 <= place < at:
+            place = self.known[what] = self.data.find(what, at)
+        return place
+
+    def version(self, at: int) -> int:
+        place = self.known.get(VERSION)
+        if place is None or 0 <= place < at:
+            found = VERSION.search(self.data, at)
+            place = self.known[VERSION] = found.start() if found else -1
+        return place
+
+
+def parse_record(data: bytes, at: int) -> tuple[dict, int, int, int]:
+    """Headers (lower-case names), block start, block end and end of the record that starts at `at`; Damaged if a check fails.
+
+    The header is read line by line, so what looks like one costs no more than its good lines."""
+    version = VERSION.match(data, at)
+    if not version:
         raise Damaged("no version line")
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0:
-        raise Damaged("header not ended")
-    fields = {}
-    for raw in data[at:head_end].split(b"\r\n")[1:]:
-        name, colon, value = raw.partition(b":")
+    fields, line = {}, version.end()
+    while True:
+        stop = data.find(b"\r\n", line)
+        if stop < 0:
+            raise Damaged("header not ended")
+        if stop == line:
+            break
+        name, colon, value = data[line:stop].partition(b":")
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        line = stop + 2
     size = fields.get("content-length", "")
-    if not size.isdigit():
+    if not (size.isascii() and size.isdigit()):
         raise Damaged("no content length")
-    start, end = head_end + 4, head_end + 4 + int(size)
+    start, end = line + 2, line + 2 + int(size)
     if len(data) < end + 4:
         raise Damaged("block cut off")
     if data[end : end + 4] != b"\r\n\r\n":
@@ -114,35 +145,30 @@ def checked(fields: dict, block: bytes) -> bytes:
     return payload
 
 
-def _next(data, at: int) -> int:
-    """Where the next version line or gzip member may start, after `at`; the end if there is none."""
-    found = VERSION.search(data, at + 1)
-    places = [found.start()] if found else []
-    if (member := data.find(MEMBER, at + 1)) >= 0:
-        places.append(member)
-    return min(places, default=len(data))
-
-
-def _unzip(data, at: int) -> tuple[bytes, int]:
-    opened = zlib.decompressobj(31)
+def _unzip(data: bytes, at: int) -> tuple[bytes, int]:
+    """A gzip member's content and its end; it is fed in chunks, so members after it are not copied."""
+    opened, view, out, stop = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        out = opened.decompress(data[at:])
+        while not opened.eof:
+            if stop >= len(data):
+                raise Damaged("gzip member cut off")
+            out.append(opened.decompress(view[stop : stop + CHUNK]))
+            stop += CHUNK
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from None
-    if not opened.eof:
-        raise Damaged("gzip member cut off")
-    return out, len(data) - len(opened.unused_data)
+    return b"".join(out), min(stop, len(data)) - len(opened.unused_data)
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
+def salvage(data: bytes, zipped: bool = True) -> Iterator[tuple]:
     """('record', offset, end, headers, payload) for what passes its checks and ('gap', offset, end, reason) for the bytes
-    between, in order and without overlap. Offsets of records inside a gzip member are those of the member."""
-    at, gap, reason = 0, None, ""
+    between, in order and without overlap. Offsets of records inside a gzip member are those of the member; a member is
+    inflated whole, and one inside another is no member. Time is linear in the data but for false starts that look whole."""
+    at, gap, reason, find = 0, None, "", Finder(data)
     while at < len(data):
         try:
-            if data[at : at + 3] == MEMBER:
+            if zipped and data[at : at + 3] == MEMBER:
                 inner, end = _unzip(data, at)
-                found = list(salvage(inner))
+                found = list(salvage(inner, False))
                 if not any(x[0] == "record" for x in found):
                     raise Damaged("no record in the gzip member")
                 if gap is not None:
@@ -157,7 +183,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
         except Damaged as why:
             if gap is None:
                 gap, reason = at, str(why)
-            at = _next(data, at)
+            places = [find.version(at + 1), *([find(MEMBER, at + 1)] if zipped else [])]
+            at = min((p for p in places if p >= 0), default=len(data))
             continue
         if gap is not None:
             yield "gap", gap, at, reason
@@ -176,7 +203,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """One row a record (kind record) or quarantined gap (kind gap) of all archive files under path.
 
     A file is read whole by one task, so archives should be cut at tens of MB, as write_warc does. Digest and length are
-    those of the full payload: a revisit's come from its header.
+    those of the full payload: a revisit's come from its header, and where that has no length it is null.
     """
 
     def parse(batches):
@@ -190,7 +217,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                         _, start, stop, h, payload = x
                         revisit = h.get("warc-type") == "revisit"
                         digest = h.get("warc-payload-digest", "").rpartition(":")[2] or hashlib.sha1(payload).hexdigest()
-                        length = int(h.get("x-payload-length", 0)) if revisit else len(payload)
+                        said = h.get("x-payload-length", "")  # our own writer's; other archives' revisits don't tell
+                        length = len(payload) if not revisit else int(said) if said.isascii() and said.isdigit() else None
                         held += len(payload) * payloads
                         rows.append(("record", name, start, stop, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, length, payload if payloads else None))
                     if len(rows) >= 5000 or held > 16 << 20:
@@ -203,14 +231,41 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.mapInArrow(parse, READ_SCHEMA)
 
 
+def _page(c: str) -> Column:
+    return F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+
+
 def op8_warc_round_trip(spark, sf_dir):
-    """Writes all pages as WARC archives and reads them back."""
+    """Writes all pages as WARC archives and reads them back.
+
+    A null html is an empty payload, a null url leaves its header out, a null page_id comes back null; repeated pages are
+    records of their own, and no pages give no rows."""
     path = write_warc(table(spark, sf_dir, "pages"))
     back = read_warc(spark, path, payloads=False).where("kind = 'record'")
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return back.select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to").alias("refers_to"))
+
+
+def _spoilt(text: Column, page_id: Column) -> Column:
+    """Every seventh page's record damaged: in turn its version line, its length, and the digest that its payload should have."""
+    kind = F.pmod(page_id, F.lit(21))
+    return (
+        F.when(kind == 0, F.regexp_replace(text, "^WARC/1.1", "WARX/1.1"))
+        .when(kind == 7, F.regexp_replace(text, r"\nContent-Length: ", "\nContent-Length: 9"))
+        .when(kind == 14, F.regexp_replace(text, r"sha1:[0-9a-f]{4}", "sha1:zzzz"))
+        .otherwise(text)
+    )
+
+
+def warc_salvage(spark, sf_dir):
+    """All pages as archives, half of them gzipped, with every seventh record damaged by rule: which pages the reader recovers."""
+    pages = table(spark, sf_dir, "pages").where("page_id is not null")
+    halves = [write_warc(pages.where(F.pmod("page_id", F.lit(2)) == i), least=1 << 62, gzipped=bool(i), damage=_spoilt) for i in (0, 1)]
+    found = read_warc(spark, halves[0], payloads=False).unionByName(read_warc(spark, halves[1], payloads=False))
+    back = found.where("kind = 'record'").groupBy(_page("record_id").alias("page_id")).agg(F.max("payload_digest").alias("payload_digest"))
+    return pages.select("page_id").join(back, "page_id", "left").select("page_id", F.col("payload_digest").isNotNull().alias("recovered"), "payload_digest")
 
 
+SALVAGE_SQL = "SELECT page_id, page_id % 7 <> 0 AS recovered, CASE WHEN page_id % 7 <> 0 THEN sha1(coalesce(html, '')) END AS payload_digest FROM pages WHERE page_id IS NOT NULL"
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
 h AS (SELECT html, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY html)

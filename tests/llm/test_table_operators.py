@@ -227,6 +227,38 @@ def test_salvage_of_gzip_members():
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(members[0][:-3])] == ["gap"]
 
 
+def test_null_pages_come_back(spark):
+    back = warc.read_warc(spark, warc.write_warc(spark.createDataFrame(PAGES, "page_id long, url string, html string")))
+    nulls = back.where("record_id = '<urn:page:>'").collect()
+    assert sorted((r.record_type, r.refers_to) for r in nulls) == [("response", None), ("revisit", "<urn:page:9>")]
+
+
+def test_foreign_revisit_has_no_length(tmp_path, spark):
+    head = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:x>\r\nWARC-Payload-Digest: sha1:ABCD\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(head)
+    (r,) = warc.read_warc(spark, str(tmp_path)).collect()
+    assert (r.kind, r.record_type, r.payload_bytes, r.payload_digest) == ("record", "revisit", None, "ABCD")
+
+
+def test_salvage_takes_linear_time():
+    import random
+    import time
+
+    def seconds(data):
+        began = time.perf_counter()
+        found = list(warc.salvage(data))
+        return time.perf_counter() - began, found
+
+    noise = random.Random(1)
+    members = [gzip.compress(record(noise.randbytes(5000))) for _ in range(500)]
+    broken = (warc.MEMBER + noise.randbytes(400)) * 500  # false starts and nothing else
+    lines = b"WARC/1.1\r\n" * 5000
+    for part, kind in ((b"".join(members), "record"), (broken, "gap"), (lines, "gap")):
+        one, found = seconds(part)
+        four, _ = seconds(part * 4)
+        assert found[0][0] == kind and four < 12 * one + 0.2
+
+
 # --- URL lists ---
 
 
