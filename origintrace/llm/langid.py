@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches, table
 from .url_filters import host_of
 
-FIT_ROWS, FIT_CHARS = 4000, 4000  # the character model is fitted on so many labelled rows in all (by hash, in equal shares of the languages), so many characters of each
+FIT_ROWS = 4000  # the character model is fitted on so many labelled rows in all (by hash, in equal shares of the languages), on their whole texts
 LEAST_FIT_ROWS = 50  # a language's share, where there are so many languages that an equal one would be smaller
 BINS = 1 << 15
 HELD_SCORES = 5 << 20  # scores of trigrams, a language each, that are added up at once
@@ -42,15 +42,14 @@ def trigrams(text: str) -> np.ndarray:
 class Model:
     """Log-probabilities of trigram bins, one column a language; the last, UNKNOWN, has all bins alike."""
 
-    def __init__(self, texts: list[str], labels: list[str]):
-        grams: dict[str, list[np.ndarray]] = {label: [] for label in sorted(set(labels))}
-        for text, label in zip(texts, labels, strict=True):
-            grams[label].append(trigrams(text))
-        self.languages = [*grams, UNKNOWN]
+    def __init__(self, counts: dict[str, np.ndarray]):
+        """counts: the trigram bins' counts of each language."""
+        names = sorted(counts)
+        self.languages = [*names, UNKNOWN]
         self.table = np.full((BINS, len(self.languages)), -math.log(BINS), dtype=np.float32)
-        for i, found in enumerate(grams.values()):
-            counts = 0.05 + np.bincount(np.concatenate(found), minlength=BINS)
-            self.table[:, i] = np.log(counts / counts.sum())
+        for i, name in enumerate(names):
+            smoothed = 0.05 + counts[name]
+            self.table[:, i] = np.log(smoothed / smoothed.sum())
 
     def score(self, text: str | None) -> np.ndarray:
         """Tempered log-likelihoods; zeros for a text without a letter, of which nothing is known."""
@@ -64,24 +63,41 @@ class Model:
         return total / len(grams) * min(len(grams), FULL_GRAMS)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Fits the character model on about `rows` labelled rows, the first `chars` characters of each; both bound only the fit.
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
+    """Fits the character model on the whole texts of about `rows` labelled rows; the bound is on the fit alone.
 
     Labels are counted over all rows and every one is a language of the model, however rare. Each has an equal share of the rows
     (LEAST_FIT_ROWS at least): those whose hash of key and text is under a threshold from the label's count, and the one of the
-    smallest hash, so that none is left without. Equal texts of a language count once.
+    smallest hash, so that none is left without. Equal texts of a language count once. Trigrams are counted in tasks; the driver
+    gets counts, BINS a language at most, and no texts.
     """
     named = F.lower(F.trim(label))
-    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.trim(label) != ""))
+    usable = small_batches(labelled).where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.trim(label) != ""))
     usable = usable.select(F.col(text).alias("t"), named.alias("l"), F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 40)).alias("h"))
     counted = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
     if not counted:
-        return Model([], [])
+        return Model({})
     share = max(rows // len(counted), LEAST_FIT_ROWS)
-    most = [(c.l, max(c.least, int(0.95 * share / c.n * (1 << 40))) if c.n > share else 1 << 40) for c in counted]
-    limits = labelled.sparkSession.createDataFrame(most, "l string, most long")
-    held = usable.join(F.broadcast(limits), "l").where("h <= most").select(F.substring("t", 1, chars).alias("t"), "l").distinct().collect()
-    return Model([r.t for r in held], [r.l for r in held])
+    names = sorted(c.l for c in counted)
+    most = [(c.l, names.index(c.l), max(c.least, int(0.95 * share / c.n * (1 << 40))) if c.n > share else 1 << 40) for c in counted]
+    limits = labelled.sparkSession.createDataFrame(most, "l string, place int, most long")
+
+    def count(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for t, place in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(place, np.zeros(BINS, dtype=np.int64))
+                found[place] += np.bincount(trigrams(t.as_py()), minlength=BINS)
+        for place, counts in found.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["place", "bin", "n"])
+
+    held = usable.join(F.broadcast(limits), "l").where("h <= most").select("t", "place").distinct().mapInArrow(count, "place int, bin int, n long")
+    sums = held.groupBy("place", "bin").agg(F.sum("n").alias("n")).toPandas()
+    counts = {name: np.zeros(BINS) for name in names}
+    for place, part in sums.groupby("place"):
+        counts[names[place]][part["bin"].to_numpy()] = part["n"].to_numpy()
+    return Model(counts)
 
 
 HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -127,45 +143,58 @@ def _sums(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.array(*[F.sum(F.col("lid_post")[i]) for i in range(n)]).alias(name))
 
 
-def identify(rows: DataFrame, model: Model, *, text: str, declared: Column, suffix: Column, host: Column, domain: Column, markup: bool = False) -> DataFrame:
+def _less(a: Column, b: Column) -> Column:
+    """a without b, not below zero."""
+    return F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+
+
+def identify(rows: DataFrame, model: Model, *, text: str, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None, markup: bool = False) -> DataFrame:
     """rows with lid_lang, lid_confidence and lid_text_lang (the text's evidence alone).
 
-    A text that is null, empty or only spaces is UNKNOWN with confidence 0 whatever else is known. Null evidence has no say
-    (declared, suffix) or leaves the parent's prior (host). Of equal posteriors the first language in alphabetical order is
-    taken. Input columns that start with lid_ are replaced; repeated rows get equal results; an empty table an empty one.
+    A text that is null, empty or only spaces is UNKNOWN with confidence 0 whatever else is known. Evidence that is not given
+    takes no part; where it is null in a row it has no say (declared, suffix) or leaves the parent's prior (host; its parent is
+    the domain's, and that one's all rows'). No row is evidence for itself: what its own text says is taken out of what its host,
+    declaration and suffix say. Of equal posteriors the first language in alphabetical order is taken. Input columns that start
+    with lid_ are replaced; repeated rows get equal results; an empty table an empty one.
 
     The statistics are one row a host, domain, declaration and suffix, written to tables so that Spark knows their size: small
-    ones are broadcast, large ones shuffled with AQE splitting a hot host. Texts are scored twice rather than shuffled.
+    ones are broadcast, large ones shuffled with AQE splitting a hot host. Texts are scored twice rather than shuffled, and
+    what a caller doesn't select of rows is not carried through the joins.
     """
     rows = small_batches(rows).drop(*[c for c in rows.columns if c.startswith("lid_")])
     n = len(model.languages)
     likelihoods = text_likelihoods(model, markup)
     missing = F.col(text).isNull() | (F.regexp_count(F.col(text), F.lit(r"\S")) == 0) if not markup else F.col(text).isNull()
-    scored = rows.withColumns({"lid_ll": likelihoods(F.col(text)), "lid_declared": F.coalesce(F.lower(F.trim(declared)), F.lit("")), "lid_suffix": F.coalesce(suffix, F.lit("")), "lid_host": F.coalesce(host, F.lit("")), "lid_domain": F.coalesce(domain, F.lit(""))})
-    scored = scored.withColumn("lid_post", _posterior(F.col("lid_ll")))
-    seen = scored.groupBy("lid_host", "lid_domain", "lid_declared", "lid_suffix").agg(*[F.sum(F.col("lid_post")[i]).alias(f"p{i}") for i in range(n)])
-    seen = cut(seen.select("lid_host", "lid_domain", "lid_declared", "lid_suffix", F.array(*[f"p{i}" for i in range(n)]).alias("lid_post")), "langid-counts")
+    given = {"lid_declared": None if declared is None else F.lower(F.trim(declared)), "lid_suffix": suffix, "lid_domain": domain, "lid_host": host}
+    given = {name: F.coalesce(c, F.lit("")) for name, c in given.items() if c is not None}
+    places = [c for c in ("lid_host", "lid_domain") if c in given]
+    scored = rows.withColumns({"lid_ll": likelihoods(F.col(text)), **given})
+    scored = scored.withColumns({"lid_post": _posterior(F.col("lid_ll")), "lid_silent": missing | (F.array_min("lid_ll") == 0) & (F.array_max("lid_ll") == 0)})
+    seen = scored.groupBy(*given).agg(*[F.sum(F.col("lid_post")[i]).alias(f"p{i}") for i in range(n)])
+    seen = cut(seen.select(*given, F.array(*[F.coalesce(f"p{i}", F.lit(0.0)) for i in range(n)]).alias("lid_post")), "langid-counts")
     whole = seen.agg(*[F.sum(F.col("lid_post")[i]) for i in range(n)]).first()
     mass = np.array([x or 0.0 for x in whole])
-    overall = (mass + 1 / n) / (mass.sum() + 1)
+    rows_in_all = float(mass.sum())
     vector = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    smooth = lambda counts, parent: F.transform(_add(counts, F.transform(parent, lambda p: p * PRIOR_ROWS)), lambda x: x)  # noqa: E731  not normalised: the posterior is
-    domains = _sums(seen, ["lid_domain"], n, "dn").select("lid_domain", _share(smooth(F.col("dn"), vector(overall))).alias("lid_parent"))
-    hosts = cut(_sums(seen, ["lid_host", "lid_domain"], n, "lid_hn").join(domains, "lid_domain"), "langid-hosts")
-
-    def evidence(by: str, name: str) -> DataFrame:
-        """log P(value | language), smoothed so that a value not seen with a language still has ODD_RATE of its share."""
-        values = _sums(seen, [by], n, "c")
-        rate = _let(_total(F.col("c")), lambda t: F.zip_with("c", vector(mass), lambda c, m: F.log((c + ODD_RATE * t + 1e-9) / (m + ODD_RATE * float(mass.sum()) + 1e-9))))
-        return cut(values.select(by, F.when(F.col(by) != "", rate).otherwise(vector([0.0] * n)).alias(name)), f"langid-{by}")
-
-    fused = scored.join(hosts, ["lid_host", "lid_domain"]).join(evidence("lid_declared", "lid_says"), "lid_declared").join(evidence("lid_suffix", "lid_ends"), "lid_suffix")
-    others = F.zip_with("lid_hn", "lid_post", lambda a, b: F.greatest(a - b, F.lit(0.0)))  # a row is no evidence of its own prior
-    prior = F.when(F.col("lid_host") == "", F.col("lid_parent")).otherwise(smooth(others, F.col("lid_parent")))
-    logs = _add(_add(F.col("lid_ll"), F.transform(prior, lambda p: F.log(p))), _add(F.col("lid_says"), F.col("lid_ends")))
+    overall = vector((mass + 1 / n) / (rows_in_all + 1))
+    smooth = lambda counts, parent: _add(counts, F.transform(parent, lambda p: p * PRIOR_ROWS))  # noqa: E731  not normalised: the posterior is
+    fused, prior = scored, overall
+    if places:
+        parents = _sums(seen, ["lid_domain"], n, "dn").select("lid_domain", _share(smooth(F.col("dn"), overall)).alias("lid_parent")) if "lid_domain" in given else None
+        known = _sums(seen, places, n, "lid_hn")
+        known = known.join(parents, "lid_domain") if parents is not None else known.withColumn("lid_parent", overall)
+        fused = fused.join(cut(known, "langid-hosts"), places)
+        prior = smooth(_less(F.col("lid_hn"), F.col("lid_post")), F.col("lid_parent"))
+        prior = F.when(F.col(places[0]) == "", F.col("lid_parent")).otherwise(prior)
+    logs = _add(F.col("lid_ll"), F.transform(prior, lambda p: F.log(p)))
+    for by in ("lid_declared", "lid_suffix"):
+        if by in given:
+            said = f"{by}_n"
+            fused = fused.join(cut(_sums(seen, [by], n, said), f"langid-{by}"), by)
+            logs = _add(logs, F.when(F.col(by) != "", _says(F.col(said), vector(mass), rows_in_all)).otherwise(vector([0.0] * n)))
     names = F.array(*[F.lit(x) for x in model.languages])
     pick = lambda a: names[F.array_position(a, F.array_max(a)).cast("int") - 1]
-    silent = missing | (F.array_min("lid_ll") == 0) & (F.array_max("lid_ll") == 0)
+    silent = F.col("lid_silent")
     fused = fused.withColumn("lid_all", _posterior(logs))
     return fused.select(
         *rows.columns,
@@ -175,6 +204,14 @@ def identify(rows: DataFrame, model: Model, *, text: str, declared: Column, suff
     )
 
 
+def _says(counts: Column, mass: Column, rows: float) -> Column:
+    """log P(value | language) by all rows but this one, smoothed so that a value not seen with a language still has ODD_RATE of
+    its share; a value that no other row has says the same of every language."""
+    others, rest = _less(counts, F.col("lid_post")), _less(mass, F.col("lid_post"))
+    rate = lambda t: F.zip_with(others, rest, lambda c, m: F.log((c + ODD_RATE * t) / (m + ODD_RATE * max(rows - 1, 0.0) + 1e-9) + 1e-9))
+    return _let(_total(others), rate)
+
+
 LEAST_CONFIDENCE = 0.5
 
 
@@ -184,13 +221,14 @@ def accepted() -> Column:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """docs that have a language: their own columns, no others. The declared language is lang, the host is source."""
-    none = F.lit(None).cast("string")
-    found = identify(docs, fit(docs), text="text", declared=F.col("lang"), suffix=none, host=F.col("source"), domain=none)
+    found = identify(docs, fit(docs), text="text", declared=F.col("lang"), host=F.col("source"))
     return found.where(accepted()).select(*docs.columns)
 
 
 def op5_language_evidence(spark, sf_dir):
-    """The language of every page; the character model is fitted on labelled documents."""
+    """The language of every page; the character model is fitted on labelled documents.
+
+    A null or empty html is UNKNOWN with confidence 0; null addresses and declarations have no say; repeated pages get equal rows."""
     host = host_of(F.col("url"))
     labels = F.split(host, r"\.")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")

@@ -82,3 +82,35 @@ def nearest(vectors, k=20):
             scored = sorted(((-float((v * w).sum()), i) for i, w in good if i != q))[:k]
             out[q] = [(i, -s) for s, i in scored]
     return out
+
+
+def fused_languages(model, rows, prior_rows=20.0, odd=0.02):
+    """rows: list of (text, declared, suffix, host, domain) with None for what is not known. [(language, confidence, text's own)]."""
+    n = len(model.languages)
+    logs = [np.array(model.score(t)) for t, *_ in rows]
+    post = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in logs]
+    clean = [((d or "").strip().lower(), s or "", h or "", m or "") for _, d, s, h, m in rows]
+    mass = sum(post, np.zeros(n))
+    total = mass.sum()
+    overall = (mass + 1 / n) / (total + 1)
+
+    def counts(at, *of):
+        return sum((p for p, c in zip(post, clean, strict=True) if tuple(c[i] for i in at) == of), np.zeros(n))
+
+    out = []
+    for (text, *_), own, x, (declared, suffix, host, domain) in zip(rows, post, logs, clean, strict=True):
+        parent = counts([3], domain) + prior_rows * overall
+        parent = parent / parent.sum()
+        prior = parent if host == "" else np.maximum(counts([2, 3], host, domain) - own, 0) + prior_rows * parent
+        s = x + np.log(prior)
+        for at, value in ((0, declared), (1, suffix)):
+            if value:
+                c = np.maximum(counts([at], value) - own, 0)
+                s = s + np.log((c + odd * c.sum()) / (np.maximum(mass - own, 0) + odd * (total - 1) + 1e-9) + 1e-9)
+        p = np.exp(s - s.max())
+        p = p / p.sum()
+        if not (text or "").strip() or not x.any():
+            out.append(("und", 0.0, "und"))
+        else:
+            out.append((model.languages[int(p.argmax())], float(p.max()), model.languages[int(x.argmax())]))
+    return out

@@ -143,8 +143,7 @@ def test_languages_held_out(spark):
         pytest.skip("no test tables")
     docs = spark.read.parquet(path)
     model = langid.fit(docs.where("doc_id % 2 = 0"))
-    none = F.lit(None).cast("string")
-    got = langid.identify(docs.where("doc_id % 2 = 1"), model, text="text", declared=none, suffix=none, host=none, domain=none).collect()
+    got = langid.identify(docs.where("doc_id % 2 = 1"), model, text="text").collect()
     assert sum(r.lid_lang == r.lang for r in got) >= 0.99 * len(got)
 
 
@@ -153,8 +152,7 @@ def test_language_of_odd_rows(spark, clashing, empty):
     french = [(200 + i, f"les des une dans pour avec cette sont mais {i} nous vous leur", "fr", "b", None) for i in range(30)]
     train = spark.createDataFrame(english + french, "doc_id long, text string, lang string, source string, n_chars long")
     model = langid.fit(train)
-    none = F.lit(None).cast("string")
-    got = {r.doc_id: r for r in langid.identify(clashing.unionByName(train, allowMissingColumns=True), model, text="text", declared=F.col("lang"), suffix=none, host=F.col("source"), domain=none).collect()}
+    got = {r.doc_id: r for r in langid.identify(clashing.unionByName(train, allowMissingColumns=True), model, text="text", declared=F.col("lang"), host=F.col("source")).collect()}
     assert all(got[i].lid_lang == "und" and got[i].lid_confidence == 0 for i in (1, 2, 3))
     assert all(got[100 + i].lid_lang == "en" and got[200 + i].lid_lang == "fr" for i in range(30))
     assert langid.filter_documents(empty).count() == 0
@@ -162,6 +160,44 @@ def test_language_of_odd_rows(spark, clashing, empty):
     assert kept.columns == train.columns and kept.count() == 60
 
 
+EVIDENCE = "id long, t string, d string, s string, h string, m string"
+
+
+def evidence_rows():
+    """Plain texts of two languages, and texts that both share, on hosts of one language, with and without declarations."""
+    import random
+
+    r = random.Random(4)
+    own = {"en": "the and of that with which this from there".split(), "fr": "les des une dans pour avec cette sont mais".split()}
+    rows = []
+    for i in range(60):
+        lang = "en" if i % 2 else "fr"
+        rows.append((" ".join(r.choice(own[lang]) for _ in range(12)), [lang, lang.upper() + " ", None][i % 3], {"en": "uk", "fr": "fr"}[lang] if i % 5 else None, f"{lang}{i % 4}.example", "example" if i % 7 else None))
+    for host, declared, suffix in (("en0.example", None, None), ("fr1.example", None, None), (None, "en", None), (None, "fr", "fr"), (None, None, "uk"), ("new.example", "xx", "zz"), (None, None, None)):
+        rows += [("the les", declared, suffix, host, "example" if host else None), ("the les", declared, suffix, host, "example" if host else None)]
+    rows += [(None, "en", "uk", "en1.example", "example"), (" \n", "fr", None, None, None), ("", None, None, None, None)]
+    return [(i, *x) for i, x in enumerate(rows)]
+
+
+def test_fusion_matches_plain(spark):
+    rows = evidence_rows()
+    df = spark.createDataFrame(rows, EVIDENCE)
+    model = langid.fit(spark.createDataFrame([(i, t, d.strip().lower()) for i, t, d, *_ in rows[:60] if d], "doc_id long, text string, lang string"))
+    want = plain.fused_languages(model, [x[1:] for x in rows])
+    got = {r.id: r for r in langid.identify(df, model, text="t", declared=F.col("d"), suffix=F.col("s"), host=F.col("h"), domain=F.col("m")).collect()}
+    for i, (lang, confidence, alone) in enumerate(want):
+        assert (got[i].lid_lang, got[i].lid_text_lang) == (lang, alone) and abs(got[i].lid_confidence - confidence) < 1e-9, i
+    decided = [got[60 + 2 * k].lid_lang for k in range(5)]
+    assert set(decided) == {"en", "fr"}  # their texts are all alike
+    assert len({got[60 + 2 * k].lid_text_lang for k in range(7)}) == 1
+
+
+def test_ties_take_the_first_language(spark):
+    model = langid.Model({"b": np.ones(langid.BINS), "a": np.ones(langid.BINS)})
+    (r,) = langid.identify(spark.createDataFrame([("some words",)], "t string"), model, text="t").collect()
+    assert r.lid_lang == "a"
+
+
 def test_every_language_is_kept(spark):
     """More than 64 labels, the last of them rare: one in some thousand rows, all without ids in one of them."""
     import random
@@ -176,9 +212,8 @@ def test_every_language_is_kept(spark):
     assert langid.fit(docs).languages == [*sorted(names), "und"]
     kept = {(x.lang, x.text) for x in langid.filter_documents(docs).where("lang <> 'en'").collect()}
     assert kept == {(x[2], x[1]) for x in rows if x[2] != "en"}
-    none = F.lit(None).cast("string")
     rare = spark.createDataFrame([(i, say(n), n) for i, n in enumerate(["zz", "l67", "l07"])], "i int, t string, want string")
-    assert all(x.lid_text_lang == x.want for x in langid.identify(rare, langid.fit(docs), text="t", declared=none, suffix=none, host=none, domain=none).collect())
+    assert all(x.lid_text_lang == x.want for x in langid.identify(rare, langid.fit(docs), text="t").collect())
 
 
 # --- archives ---
