@@ -80,7 +80,7 @@ def source_weights(docs: DataFrame, *, source: str = "source", tokens: str = "n_
     exponent = solve_exponent(stats, total, budget, target_entropy, max_repeats, cover)
     (_, z, *_), = _measures(stats, [exponent], total)
     p = F.col("source_tokens") / F.lit(float(total))
-    out = stats.withColumn("weight", F.pow(p, F.lit(exponent)) / F.lit(z))
+    out = stats.withColumn("weight", F.round(F.pow(p, F.lit(exponent)) / F.lit(z), 12))  # sums of doubles differ by their order beyond that
     if cover:
         least = out.agg(F.min(F.col("weight") / p)).first()[0]
         budget = math.ceil(budget / least)
@@ -91,7 +91,9 @@ def mix(docs: DataFrame, *, source: str = "source", tokens: str | Column = "n_to
     """docs, one row a copy, with mix_epoch, mix_block and mix_slot (the place in the block, from 0), mix_weight and mix_exponent.
 
     A null source is the source ''. Null token counts are 1, so no source is without tokens. Repeated rows are rows of their
-    own. An empty table gives an empty table. Columns of the input that start with mix_ are replaced.
+    own. An empty table gives an empty table. Columns of the input that start with mix_ are replaced. The pseudo-random order
+    follows from the rows' contents and the seed alone (repeated rows are told apart by a number), so results don't depend on
+    how the table is partitioned.
 
     The running sum of a source's tokens is a sum over buckets (the square root of the row count in number) plus one inside
     a bucket, so a source with a third of all rows is dealt over as many tasks as the rest.
@@ -104,14 +106,16 @@ def mix(docs: DataFrame, *, source: str = "source", tokens: str | Column = "n_to
                 "mix_source": F.coalesce(F.col(source).cast("string"), F.lit("")),
                 "mix_tokens": F.greatest(F.coalesce(tokens, F.lit(1)), F.lit(1)).cast("long"),
                 "mix_id": F.monotonically_increasing_id(),
+                "mix_key": F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t]),
             }
         ),
         "mix-rows",
     )
     weights = source_weights(base, source="mix_source", tokens="mix_tokens", **target)
     buckets = max(1, math.isqrt(base.count()))
-    order = F.xxhash64("mix_id", F.lit(seed))
-    keyed = base.select("mix_source", "mix_tokens", "mix_id", order.alias("mix_hash"), F.pmod(F.xxhash64("mix_id", F.lit(seed + 1)), F.lit(buckets)).alias("mix_bucket"))
+    order = F.xxhash64("mix_key", "mix_copy", F.lit(seed))
+    keyed = _numbered_copies(base.select("mix_source", "mix_tokens", "mix_id", "mix_key"))
+    keyed = keyed.select("*", order.alias("mix_hash"), F.pmod(F.xxhash64("mix_key", "mix_copy", F.lit(seed + 1)), F.lit(buckets)).alias("mix_bucket"))
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("mix_source", "mix_bucket")
@@ -120,7 +124,7 @@ def mix(docs: DataFrame, *, source: str = "source", tokens: str | Column = "n_to
         .join(weights, "mix_source")
         .drop("mix_sum")
     )
-    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_key", "mix_copy").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.join(offsets, ["mix_source", "mix_bucket"]).withColumn("mix_start", F.col("mix_offset") + F.sum("mix_tokens").over(inside) - F.col("mix_tokens"))
     whole = F.floor("repeats")
     copies = whole + F.when(F.col("mix_start") < (F.col("repeats") - whole) * F.col("source_tokens"), 1).otherwise(0)
@@ -132,9 +136,21 @@ def mix(docs: DataFrame, *, source: str = "source", tokens: str | Column = "n_to
         .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
         .withColumn("mix_block", F.least(F.floor(at * n_blocks), n_blocks - 1).cast("long"))
     )
-    shuffled = Window.partitionBy("mix_block").orderBy(F.xxhash64("mix_id", "mix_epoch", F.lit(seed + 2)), "mix_id", "mix_epoch")
+    shuffled = Window.partitionBy("mix_block").orderBy(F.xxhash64("mix_key", "mix_copy", "mix_epoch", F.lit(seed + 2)), "mix_key", "mix_copy", "mix_epoch")
     dealt = dealt.select("mix_id", "mix_epoch", "mix_block", (F.row_number().over(shuffled) - 1).cast("long").alias("mix_slot"), F.col("weight").alias("mix_weight"), F.col("exponent").alias("mix_exponent"))
-    return base.drop("mix_source", "mix_tokens").join(dealt, "mix_id").drop("mix_id")
+    return base.drop("mix_source", "mix_tokens", "mix_key").join(dealt, "mix_id").drop("mix_id")
+
+
+def _numbered_copies(rows: DataFrame) -> DataFrame:
+    """rows with mix_copy: 0, 1, ... among the rows of one mix_key. Only rows whose key repeats are numbered, inside the parts
+    of the written table first, so that a row with a third of all copies is no task's work alone."""
+    repeated = rows.groupBy("mix_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mix_key")
+    again = rows.join(repeated, "mix_key").select("mix_key", "mix_id", F.shiftright("mix_id", 33).alias("part"))
+    before = Window.partitionBy("mix_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = again.groupBy("mix_key", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("mix_key", "part").orderBy("mix_id")) - 1
+    numbers = again.withColumn("place", place).join(starts, ["mix_key", "part"]).select("mix_id", (F.col("start") + F.col("place")).cast("long").alias("mix_copy"))
+    return rows.join(numbers, "mix_id", "left").withColumn("mix_copy", F.coalesce("mix_copy", F.lit(0).cast("long")))
 
 
 def remix(docs: DataFrame, **target) -> DataFrame:
@@ -143,7 +159,9 @@ def remix(docs: DataFrame, **target) -> DataFrame:
 
 
 def op2_temperature_mixing(spark, sf_dir):
-    """Mixes all documents half the way from the plain to the even mix, no source more than four times; a row a copy."""
+    """Mixes all documents half the way from the plain to the even mix, no source more than four times; a row a copy.
+
+    Null sources are one source, a null text is one token, repeated documents are rows of their own, no documents give no rows."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_tokens(F.col("text")).alias("n_tokens"))

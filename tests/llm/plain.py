@@ -114,3 +114,48 @@ def fused_languages(model, rows, prior_rows=20.0, odd=0.02):
         else:
             out.append((model.languages[int(p.argmax())], float(p.max()), model.languages[int(x.argmax())]))
     return out
+
+
+def mixed(rows, entropy_gain, max_repeats, block_tokens, buckets):
+    """rows: (id, source, tokens, bucket, order within the bucket, order of a copy within its block by epoch). {(id, epoch): (block, slot)}
+    and the sources' weights, with the exponent by plain bisection."""
+    import math
+
+    sums = {}
+    for _, source, tokens, *_ in rows:
+        sums[source] = sums.get(source, 0) + tokens
+    total = sum(sums.values())
+    share = {s: t / total for s, t in sums.items()}
+
+    def weights(a):
+        z = sum(p**a for p in share.values())
+        return {s: p**a / z for s, p in share.items()}
+
+    entropy = lambda w: -sum(x * math.log(x) for x in w.values())
+
+    def bisect(fits, low, high):
+        if fits(weights(low)):
+            return low
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (low, middle) if fits(weights(middle)) else (middle, high)
+        return high
+
+    even, given = entropy(weights(0)), entropy(weights(1))
+    target = given + entropy_gain * (even - given)
+    a = bisect(lambda w: entropy(w) <= target, 0.0, 8.0)
+    if a < 1:
+        a = max(a, bisect(lambda w: max(w[s] * total / sums[s] for s in w) <= max_repeats * (1 + 1e-12), a, 1.0))
+    w = weights(a)
+    blocks = math.ceil(total / block_tokens)
+    dealt = {}
+    for source in sums:
+        at, repeats = 0, w[source] * total / sums[source]
+        for i, _, tokens, _, _, shuffles in sorted((r for r in rows if r[1] == source), key=lambda r: (r[3], r[4])):
+            copies = math.floor(repeats) + (at < (repeats - math.floor(repeats)) * sums[source])
+            for epoch in range(copies):
+                block = min(math.floor((epoch * sums[source] + at) / (repeats * sums[source]) * blocks), blocks - 1)
+                dealt.setdefault(block, []).append((shuffles[epoch], i, epoch))
+            at += tokens
+    return {(i, epoch): (b, slot) for b, found in dealt.items() for slot, (_, i, epoch) in enumerate(sorted(found))}, w
+

@@ -93,6 +93,34 @@ def test_mix_realises_the_weights(spark):
     assert mixing.mix(df.where("doc_id < 0")).count() == 0
 
 
+def mix_rows(spark):
+    rows = [(i, "a", 5 + i % 7) for i in range(300)] + [(1000 + i, "b", 9) for i in range(40)] + [(2000 + i, None, 4) for i in range(11)]
+    rows += [(3000, "d", None)] * 6 + [(None, "b", 3), (None, "b", 3)]  # repeated rows, null counts and ids
+    return spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+
+
+def test_mix_matches_plain(spark):
+    df = mix_rows(spark).where("doc_id is not null and n_tokens is not null")
+    seed, buckets = 17, math.isqrt(df.count())
+    key = F.xxhash64("doc_id", "source", "n_tokens")
+    zero = F.lit(0).cast("long")
+    order = df.select("doc_id", F.coalesce("source", F.lit("")), "n_tokens", F.pmod(F.xxhash64(key, zero, F.lit(seed + 1)), F.lit(buckets)), F.xxhash64(key, zero, F.lit(seed)), F.array(*[F.xxhash64(key, zero, F.lit(e), F.lit(seed + 2)) for e in range(8)])).collect()
+    want, weights = plain.mixed([tuple(r) for r in order], 0.5, 100.0, 300, buckets)
+    got = mixing.mix(df, entropy_gain=0.5, max_repeats=100.0, block_tokens=300).collect()
+    assert {(r.doc_id, r.mix_epoch): (r.mix_block, r.mix_slot) for r in got} == want
+    assert all(abs(r.mix_weight - weights[r.source or ""]) < 1e-9 for r in got)
+
+
+def test_mix_depends_on_rows_alone(spark):
+    df = mix_rows(spark)
+    outs = [sorted(map(str, mixing.mix(d, entropy_gain=0.5, block_tokens=300).collect())) for d in (df.repartition(1), df.repartition(7), df.orderBy(F.desc("n_tokens")))]
+    assert outs[0] == outs[1] == outs[2]
+    other = sorted(map(str, mixing.mix(df, entropy_gain=0.5, block_tokens=300, seed=18).collect()))
+    assert other != outs[0]
+    same = [r for r in mixing.mix(df, entropy_gain=0.5, block_tokens=300).collect() if r.doc_id == 3000]
+    assert len({(r.mix_epoch, r.mix_block, r.mix_slot) for r in same}) == len(same) >= 6
+
+
 def test_remix_shows_every_document(docs, clashing):
     out = mixing.remix(clashing.drop("mix_block", "mix_id"), entropy_gain=0.5, max_repeats=3.0)
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()} and out.count() >= docs.count()
@@ -174,7 +202,7 @@ def evidence_rows():
         lang = "en" if i % 2 else "fr"
         rows.append((" ".join(r.choice(own[lang]) for _ in range(12)), [lang, lang.upper() + " ", None][i % 3], {"en": "uk", "fr": "fr"}[lang] if i % 5 else None, f"{lang}{i % 4}.example", "example" if i % 7 else None))
     for host, declared, suffix in (("en0.example", None, None), ("fr1.example", None, None), (None, "en", None), (None, "fr", "fr"), (None, None, "uk"), ("new.example", "xx", "zz"), (None, None, None)):
-        rows += [("the les", declared, suffix, host, "example" if host else None), ("the les", declared, suffix, host, "example" if host else None)]
+        rows += [("from pour", declared, suffix, host, "example" if host else None), ("from pour", declared, suffix, host, "example" if host else None)]
     rows += [(None, "en", "uk", "en1.example", "example"), (" \n", "fr", None, None, None), ("", None, None, None, None)]
     return [(i, *x) for i, x in enumerate(rows)]
 
