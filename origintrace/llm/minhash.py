@@ -20,8 +20,8 @@ WORDS = 5
 PERCENT = 75
 #: At a coefficient of 0.75 a pair shares no band with a probability of 2e-5, at 0.85 with one of 6e-11.
 BAND_ROWS, BANDS = 5, 40
-SMALL_BUCKET = 32  # members up to which the pairs of a bucket with several components are joined; larger ones are compared in blocks
-BLOCK_SHINGLES = 100_000  # shingles of a block of sets
+BLOCK_SHINGLES, BLOCK_NODES = 100_000, 1024  # of a block of sets; a task compares two blocks
+HOT_MEMBERS = 512  # members of a bucket from which its rows are dealt over several keys
 
 _MIX = np.random.default_rng(20240101)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
@@ -106,25 +106,45 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """Per row: key, n_shingles, class_id (smallest key with the same set), component_id (smallest key reachable by links).
 
     Rows without words have an empty set, are in no link, and are their own class and component. Rows of equal sets are one
-    node, so copies make no pairs. In every band's bucket each node is first compared with one hub only, which joins groups
-    of near copies by stars; only where a bucket still holds several components are its nodes compared with those of the
-    other components, as pairs if it is small, else in blocks. No bucket or partner is capped. A null key is never a hub or a class's id unless all keys of the class are null; repeated keys are
-    separate rows with equal results.
+    node, so copies make no pairs. A null key is never a hub or a class's id unless all keys of the class are null; repeated
+    keys are separate rows with equal results; an empty table gives an empty one.
     """
     rows = cut(signed(docs, key, text), "minhash-signed")
     classes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min(key).alias("node"), F.min_by(F.struct("n", "bands"), key).alias("s")).selectExpr("digest", "node", "s.n AS n", "s.bands AS bands"), "minhash-classes")
-    nodes = classes.where("node is not null").select("node", "n", "bands")
-    spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = flag_listed(docs.select(key, text), key, wanted, "node", "wanted").where("wanted")
+        return shingle_sets(wanted.join(texts.withColumnRenamed(key, "node"), "node"), "node", text).dropDuplicates(["node"])
+
+    groups = linked_groups(classes.where("node is not null").selectExpr("node", "n", "bands AS buckets"), sets_of, percent)
+    found = classes.select("digest", F.col("node").alias("class_id")).join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    found = cut(found, "minhash-found")
+    out = rows.select(key, F.col("n").alias("n_shingles"), "digest").join(found, "digest", "left")
+    return out.select(key, "n_shingles", F.coalesce("class_id", key).alias("class_id"), F.coalesce("component", "class_id", key).alias("component_id"))
+
+
+def linked_groups(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """node, component of the nodes (node, n, buckets) that have a link; sets_of(wanted nodes) gives node, shingles (array<long>).
+
+    In every bucket each node is first compared with one hub only, which joins groups of near copies by stars. Only buckets
+    that still hold several components are open; those that hang together through components form a cluster, and a cluster's
+    nodes of different components and near sizes are compared in blocks. That is one rule for buckets of every size: none is
+    capped, and no link between nodes that share a bucket is missed.
+
+    A bucket's rows are joined under several keys where it is hot, so none is one task's work.
+    """
+    spread = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-buckets")
-    members = cut(spread.join(shared, "bucket"), "minhash-members")
+    salts = max(1, -(-(shared.agg(F.max("members")).first()[0] or 0) // HOT_MEMBERS))
+    members = cut(_dealt_first(spread, shared, salts), "minhash-members")
     involved = cut(members.groupBy("node").agg(F.sum("members").alias("company")), "minhash-involved")
-    texts = flag_listed(docs.select(key, text), key, involved, "node", "wanted").where("wanted")
-    sets = cut(shingle_sets(involved.join(texts.withColumnRenamed(key, "node"), "node"), "node", text).dropDuplicates(["node"]), "minhash-sets")
+    sets = cut(sets_of(involved), "minhash-sets")
 
     # A bucket's hub is the member with the most company in all its buckets: of a group of edited copies, the least edited.
     known = members.join(involved, "node")
-    hubs = cut(known.groupBy("bucket").agg(F.max(F.struct("company", -F.col("node"), "n")).alias("h")).selectExpr("bucket", "-h.col2 AS hub", "h.n AS hub_n", "h.company AS hub_company"), "minhash-hubs")
-    to_hub = members.join(hubs, "bucket").where("node <> hub").where(_near("n", "hub_n", percent)).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("hub_company").alias("hub_company"))
+    hubs = known.groupBy("bucket").agg(F.max(F.struct("company", -F.col("node"), "n")).alias("h"), F.max("members").alias("members"))
+    hubs = cut(hubs.selectExpr("bucket", "members", "-h.col2 AS hub", "h.n AS hub_n", "h.company AS hub_company"), "minhash-hubs")
+    to_hub = _dealt(members, hubs, salts).where("node <> hub").where(_near("n", "hub_n", percent)).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("hub_company").alias("hub_company"))
     to_hub = cut(to_hub, "minhash-to-hub")
     links = confirmed(to_hub.groupBy("a").agg(F.max_by("b", F.struct("hub_company", -F.col("b"))).alias("b")), sets, percent)
     groups = cut(components(links), "minhash-groups")
@@ -133,20 +153,39 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         links = links.unionByName(confirmed(left, sets, percent))
         groups = cut(components(links), "minhash-groups")
 
-    inside = members.select("bucket", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = cut(_mixed(inside), "minhash-mixed")
+    inside = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = inside.groupBy("bucket").agg(F.max("members").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "members", "lo")
+    mixed = cut(_dealt(inside, cut(open_, "minhash-open"), salts).select("node", "n", "component", "lo"), "minhash-mixed")
     if mixed.take(1):
-        small = mixed.where(f"members <= {SMALL_BUCKET}")
-        links = links.unionByName(confirmed(_pairs(small, percent).distinct(), sets, percent))
-        large = mixed.where(f"members > {SMALL_BUCKET}")
-        if large.take(1):
-            links = links.unionByName(_compare_in_blocks(large, sets, percent))
+        links = links.unionByName(_compare_in_blocks(mixed, sets, percent))
         groups = cut(components(links), "minhash-groups")
+    return groups
+
+
+def _dealt_first(spread: DataFrame, shared: DataFrame, salts: int) -> DataFrame:
+    """spread's rows of shared buckets. Which buckets are hot is told to the rows by a bitmap of fixed size; a bucket that it
+    takes for hot by chance is dealt like one on both sides."""
+    if salts == 1:
+        return spread.join(shared, "bucket")
+    hot = shared.where(F.col("members") > HOT_MEMBERS).select("bucket")
+    one = flag_listed(shared, "bucket", hot, "bucket", "hot").withColumn("salt", F.explode(_salts(F.col("hot"), salts))).drop("hot")
+    return flag_listed(spread, "bucket", hot, "bucket", "hot").withColumn("salt", _salt(F.col("hot"), salts)).drop("hot").join(one, ["bucket", "salt"]).drop("salt")
+
+
+def _dealt(members: DataFrame, one: DataFrame, salts: int) -> DataFrame:
+    """members joined with one row a bucket, both of which know the bucket's size."""
+    hot = F.col("members") > HOT_MEMBERS
+    if salts == 1:
+        return members.drop("members").join(one, "bucket")
+    return members.withColumn("salt", _salt(hot, salts)).drop("members").join(one.withColumn("salt", F.explode(_salts(hot, salts))), ["bucket", "salt"]).drop("salt")
+
+
+def _salt(hot, salts: int):
+    return F.when(hot, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(salts)).cast("int")).otherwise(0)
 
-    found = classes.select("digest", F.col("node").alias("class_id")).join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    found = cut(found, "minhash-found")
-    out = rows.select(key, F.col("n").alias("n_shingles"), "digest").join(found, "digest", "left")
-    return out.select(key, "n_shingles", F.coalesce("class_id", key).alias("class_id"), F.coalesce("component", "class_id", key).alias("component_id"))
+
+def _salts(hot, salts: int):
+    return F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -156,38 +195,37 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return cut(pairs.where("ca <> cb").select("a", "b"), "minhash-apart")
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with the buckets' sizes."""
-    counted = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "members"), "minhash-counted")
-    return members.join(counted, "bucket")
-
-
-def _pairs(members: DataFrame, percent: int) -> DataFrame:
-    x, y = members.alias("x"), members.alias("y")
-    return x.join(y, "bucket").where("x.node < y.node and x.component <> y.component").where(_near("x.n", "y.n", percent)).selectExpr("x.node AS a", "y.node AS b")
-
-
 def _compare_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components among the nodes of large buckets, compared exactly in blocks.
-
-    Such buckets are groups of copies with so many edits that some are near enough and many just not, so each node has to be
-    held against the others. Nodes that buckets connect form a cluster; it is cut into blocks by set size (only blocks of
-    sizes that can link meet) and hash, each pair of blocks is one task's work of bounded size, and only links come out, no
-    more than a task has nodes. The work grows with the square of such a cluster, and with nothing else.
+    """Links between different components among the nodes of open buckets (node, n, component, and lo, the bucket's least
+    component), compared exactly in blocks.
+
+    Components that buckets connect form a cluster; it is cut into blocks by set size (only blocks of sizes that can link meet),
+    component and hash. A component with more than a block is in blocks of its own, and these don't meet each other, so a
+    large group that the stars have joined costs its meetings with the cluster's other nodes only. Each pair of blocks is one
+    task's work of bounded size, and only links come out, no more than a task has nodes. The work grows with the square of
+    what a cluster has left unjoined (copies with so many edits that some are near enough and many just not), and with
+    nothing else.
     """
-    nodes = cut(members.select("node", "n", "component").distinct(), "minhash-open")
-    tied = members.groupBy("bucket").agg(F.min("node").alias("b"))
-    clusters = cut(components(members.join(tied, "bucket").select(F.col("node").alias("a"), "b").distinct()).withColumnRenamed("component", "cluster"), "minhash-clusters")
+    nodes = cut(members.select("node", "n", "component").distinct(), "minhash-open-nodes")
+    clusters = components(members.select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct())
+    clusters = cut(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "minhash-clusters")
     step = float(np.log(100 / percent))
-    placed = nodes.join(clusters, "node").withColumn("level", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    loads = placed.groupBy("cluster", "level").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    loads = cut(loads, "minhash-loads")
-    own = placed.join(loads, ["cluster", "level"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    near = loads.select("cluster", F.col("level").alias("other_level"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block"))
-    mine, other = F.struct("level", "block"), F.struct(F.col("other_level").alias("level"), F.col("other_block").alias("block"))
+    placed = nodes.join(clusters, "component").withColumn("level", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    load = lambda of, count: F.ceil(F.greatest(of / BLOCK_SHINGLES, count / BLOCK_NODES)).cast("int")
+    own = placed.groupBy("cluster", "level", "component").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c"))
+    own = cut(own.withColumn("large", load(F.col("s"), F.col("c"))), "minhash-loads")
+    pure = own.where("large > 1").select("cluster", "level", F.col("component").alias("only"), F.col("large").alias("blocks"))
+    rest = own.where("large = 1").groupBy("cluster", "level").agg(load(F.sum("s"), F.sum("c")).alias("blocks")).select("cluster", "level", F.lit(None).cast("long").alias("only"), "blocks")
+    loads = cut(pure.unionByName(rest), "minhash-blocks")
+    at = placed.join(own.where("large > 1").select("cluster", "level", "component", F.col("component").alias("only")), ["cluster", "level", "component"], "left")
+    at = at.join(loads, (at["cluster"] == loads["cluster"]) & (at["level"] == loads["level"]) & at["only"].eqNullSafe(loads["only"])).select(at["cluster"], at["level"], at["only"], "node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    near = loads.select("cluster", F.col("level").alias("other_level"), F.col("only").alias("other_only"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block"))
+    mine = F.struct("level", "only", "block")
+    other = F.struct(F.col("other_level").alias("level"), F.col("other_only").alias("only"), F.col("other_block").alias("block"))
     meets = (
-        own.withColumn("other_level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
+        at.withColumn("other_level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
         .join(near, ["cluster", "other_level"])
+        .where("only is null or other_only is null or only <> other_only")
         .select("cluster", F.least(mine, other).alias("first"), F.greatest(mine, other).alias("second"), "node", "component", (mine <= other).alias("is_first"))
     )
 
@@ -196,6 +234,8 @@ def _compare_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
 
         pdf = pdf.sort_values("node")
         component, size = pdf["component"].to_numpy(), np.array([len(s) for s in pdf["shingles"]])
+        if len(np.unique(component)) < 2:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
         row = np.repeat(np.arange(len(pdf)), size)
         token, count = np.unique(np.concatenate(pdf["shingles"].to_numpy()), return_inverse=True, return_counts=True)[1:]
         row, token = row[count[token] > 1], token[count[token] > 1]
@@ -231,7 +271,9 @@ def _compare_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
 
 
 def op4_minmax_near_duplicates(spark, sf_dir):
-    """Near-duplicate components of all documents."""
+    """Near-duplicate components of all documents.
+
+    A null or wordless text is its own component with an empty set; repeated rows get equal rows; no documents give no rows."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 

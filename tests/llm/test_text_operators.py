@@ -25,8 +25,8 @@ def test_near_duplicates_match_all_pairs(docs, clashing):
     assert all(r.component_id is None for r in got if r.doc_id is None)
 
 
-def test_near_duplicates_of_crowds(spark):
-    """A group of edited copies and a passage in many documents, with pairs joined and compared in blocks."""
+def test_near_duplicates_of_crowds(spark, monkeypatch):
+    """A group of edited copies and a passage in many documents, whatever the sizes of blocks and of hot buckets."""
     import random
 
     from conftest import words
@@ -41,13 +41,11 @@ def test_near_duplicates_of_crowds(spark):
     rows += [(1000 + i, f"{words(3000 + i, 30)} {passage} {words(6000 + i, 30)}") for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain.near_components(rows)
-    small, blocks = minhash.SMALL_BUCKET, minhash.BLOCK_SHINGLES
-    try:
-        for minhash.SMALL_BUCKET, minhash.BLOCK_SHINGLES in ((32, 100_000), (3, 2_000)):
-            got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()}
-            assert got == want
-    finally:
-        minhash.SMALL_BUCKET, minhash.BLOCK_SHINGLES = small, blocks
+    for sizes in ({}, {"BLOCK_SHINGLES": 2_000}, {"BLOCK_NODES": 5, "HOT_MEMBERS": 8}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(minhash, name, value)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(df).collect()}
+        assert got == want
 
 
 def test_keep_first_keeps_columns(docs, clashing):
