@@ -14,6 +14,7 @@ QUERIES = {
     "op9_url_list_asof": url_filters.op9_url_list_asof,
     "op10_spotsigs": spotsigs.op10_spotsigs,
     "warc_salvage": warc.warc_salvage,
+    "spotsigs_near_duplicates": spotsigs.spotsigs_near_duplicates,
 }
 ORACLE_SQL = {
     "op4_minmax_near_duplicates": minhash.OP4_SQL,

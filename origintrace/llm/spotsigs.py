@@ -11,7 +11,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, parts, small_batches, table
@@ -27,6 +27,7 @@ ANCHORS = frozenset(
     """.split()
 )
 CHAIN = 2
+BUCKET_BYTES = 64 << 20  # text that one task goes through; it holds two documents of it at a time
 #: Letters are kept (A-Z in lower case, bytes from 128 on as they are), the rest separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -72,29 +73,41 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     """(bucket, guest, doc_id, text) dealt and sorted so that each bucket's rows are followed by a guest, the first row of the
     next bucket (of the first bucket, after the last), so a task sees every document's successor without a global window.
 
-    Buckets are ranges of doc_id between approximate percentiles, which are ids that occur; ids are all the driver sees, two
-    for each shuffle partition. A null doc_id sorts first.
+    Buckets are ranges of (doc_id, hash of the text) of about BUCKET_BYTES of text each, whatever the input; the driver sees one
+    pair a bucket. A null doc_id sorts first; rows of one id are ordered by their texts' hashes, so many of them are many
+    buckets' work, and rows equal in both are one bucket's.
     """
     spark = small_batches(docs).sparkSession
-    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("at"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    k = 2 * parts(spark)
-    row = keyed.agg(F.min("at"), F.percentile_approx("at", [i / k for i in range(1, k)], 20 * k)).first()
-    bounds = np.array(sorted({row[0], *row[1]}) if row[0] is not None else [0], dtype=np.int64)
+    body = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("at"), F.xxhash64(body).alias("then"), "doc_id", body.alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    k = max(2 * parts(spark), -(-size // BUCKET_BYTES))
+    ranged = keyed.select("at", "then").repartitionByRange(k, "at", "then").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("at", "then")).alias("first"))
+    starts = sorted({(r.at, r.then) for r in ranged.select("first.*").collect()}) or [(0, 0)]
+    at_bounds, then_bounds = (np.array(c, dtype=np.int64) for c in zip(*starts, strict=True))
+
+    def buckets_of(at, then):
+        """The last bucket whose first pair is not above (at, then), found by the ids and then, among buckets of one id, by the hashes."""
+        low, high = np.searchsorted(at_bounds, at, side="left"), np.searchsorted(at_bounds, at, side="right")
+        out = high - 1
+        for i in np.flatnonzero(high > low):
+            out[i] = low[i] + np.searchsorted(then_bounds[low[i] : high[i]], then[i], side="right") - 1
+        return out
 
     def route(batches):
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            bucket = np.searchsorted(bounds, at, side="right") - 1
-            first = np.flatnonzero(bounds[bucket] == at)
+            at, then = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bucket = buckets_of(at, then)
+            first = np.flatnonzero((at_bounds[bucket] == at) & (then_bounds[bucket] == then))
             rows = np.concatenate([np.arange(len(at)), first])
-            to = np.concatenate([bucket, (bucket[first] - 1) % len(bounds)])
+            to = np.concatenate([bucket, (bucket[first] - 1) % len(at_bounds)])
             guest = np.arange(len(rows)) >= len(at)
             taken = pa.Table.from_batches([batch]).take(pa.array(rows)) if len(first) else pa.Table.from_batches([batch])
-            for c in pa.table({"bucket": pa.array(to.astype(np.int32)), "guest": pa.array(guest), "at": taken.column(0), "doc_id": taken.column(1), "text": taken.column(2)}).to_batches():
+            for c in pa.table({"bucket": pa.array(to.astype(np.int32)), "guest": pa.array(guest), "at": taken.column(0), "then": taken.column(1), "doc_id": taken.column(2), "text": taken.column(3)}).to_batches():
                 yield c
 
-    routed = keyed.mapInArrow(route, "bucket int, guest boolean, at long, doc_id long, text string")
-    return routed.repartition(max(parts(spark), 1), "bucket").sortWithinPartitions("bucket", "guest", "at", "text")
+    routed = keyed.mapInArrow(route, "bucket int, guest boolean, at long, then long, doc_id long, text string")
+    return routed.repartitionById(len(at_bounds), "bucket").sortWithinPartitions("bucket", "guest", "at", "then", "text")
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
@@ -108,8 +121,8 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 3)]
-            for bucket, guest, doc_id, text in zip(*columns, batch.column(4), strict=True):
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 4)]
+            for bucket, guest, doc_id, text in zip(*columns, batch.column(5), strict=True):
                 if guest and held is None:
                     continue
                 text = text.as_py()
@@ -131,7 +144,10 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
 
 
 def op10_spotsigs(spark, sf_dir):
-    """Fingerprints of all documents and of their edited texts."""
+    """Fingerprints of all documents and of their edited texts.
+
+    A null text is empty; a null doc_id comes first; repeated rows follow one another; one document is its own successor; no
+    documents give no rows."""
     return edited_and_next(table(spark, sf_dir, "documents"))
 
 
@@ -146,31 +162,37 @@ def signature_sets(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, sigs array<long>")
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (doc_id, class_id) maps each document to the smallest id with its very set; pairs (a, b,
-    likeness) are the links of at least threshold between classes. Documents without signatures are in no pair.
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_signatures, class_id (smallest id with the very set) and component_id (smallest id reachable by links of at
+    least that likeness). Documents without signatures are in no link; a null doc_id is its own class and component unless a
+    copy has an id; repeated rows get equal rows; no documents give no rows.
 
-    A set's length fixes its partition, by powers of 1/threshold, and only equal or adjacent partitions can link. Inside them
-    two linked sets share one of their rarest signatures (as many as may differ, and one), so only those are joined on; the
-    common ones, which hot passages give, are never a join key unless a set has nothing else.
+    A set's length fixes its partition, by powers of 100/percent, and only equal or adjacent partitions can link, so a set is
+    put into its own and the next. Inside them two linked sets share one of their rarest signatures (as many as may differ, and
+    one), so those are the buckets in which sets meet: the common ones, which hot passages give, are none unless a set has
+    nothing else. Meetings are compared as full sets, pruned by length.
     """
-    members = cut(signature_sets(docs), "spotsigs-sets")
-    classes = cut(members.groupBy("sigs").agg(F.min("doc_id").alias("class_id")).where(F.size("sigs") > 0).withColumn("n", F.size("sigs")), "spotsigs-classes")
-    spread = classes.select("class_id", "n", F.explode("sigs").alias("sig"))
-    ranked = spread.join(spread.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig")
-    order = Window.partitionBy("class_id").orderBy("df", "sig")
-    prefix = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1 / threshold))))
-    left = prefix.select("sig", F.col("class_id").alias("a"), F.col("n").alias("na"), level.alias("level"))
-    right = prefix.select("sig", F.col("class_id").alias("b"), F.col("n").alias("nb"), F.explode(F.array(level, level - 1, level + 1)).alias("level"))
-    found = left.join(right, ["sig", "level"]).where("a < b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")).select("a", "b").distinct()
-    sets = classes.select("class_id", "sigs")
-    both = F.size(F.array_intersect("sa", "sb"))
-    pairs = (
-        found.join(sets.select(F.col("class_id").alias("a"), F.col("sigs").alias("sa")), "a")
-        .join(sets.select(F.col("class_id").alias("b"), F.col("sigs").alias("sb")), "b")
-        .withColumn("likeness", both / (F.size("sa") + F.size("sb") - both))
-        .where(F.col("likeness") >= threshold)
-        .select("a", "b", "likeness")
-    )
-    return members.join(classes.select("sigs", "class_id"), "sigs", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), pairs
+    from .minhash import linked_groups
+
+    sets = cut(signature_sets(docs), "spotsigs-sets")
+    filled = sets.where(F.size("sigs") > 0)
+    classes = cut(filled.groupBy("sigs").agg(F.min("doc_id").alias("node")).withColumn("n", F.size("sigs")), "spotsigs-classes")
+    spread = classes.where("node is not null").select("node", "n", F.explode("sigs").alias("sig"))
+    frequency = cut(spread.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "spotsigs-frequencies")
+    ranked = spread.join(frequency, "sig").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("ranked"))  # one set's
+    n = F.col("n")
+    rarest = F.slice("ranked", F.lit(1), (n - F.ceil(n * percent / 100.0) + 1).cast("int"))
+    level = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
+    partitions = F.array(level, level + 1)
+    buckets = F.flatten(F.transform(rarest, lambda r: F.transform(partitions, lambda p: F.xxhash64(r["sig"], p))))
+    nodes = cut(ranked.select("node", n.cast("long").alias("n"), buckets.alias("buckets")), "spotsigs-nodes")
+    known = classes.where("node is not null").select("node", F.col("sigs").alias("shingles"))
+    groups = linked_groups(nodes, lambda wanted: known.join(wanted.select("node"), "node"), percent)
+    found = cut(classes.select("sigs", F.col("node").alias("class_id")).join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left"), "spotsigs-found")
+    out = sets.join(found, "sigs", "left")
+    return out.select("doc_id", F.size("sigs").cast("long").alias("n_signatures"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+
+
+def spotsigs_near_duplicates(spark, sf_dir):
+    """Components of all documents whose spot signatures are three quarters alike."""
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,9 +1,11 @@
 """Plain single-process versions of the operators, for comparison on small inputs."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
+import xxhash
 
 
 def shingle_set(text):
@@ -159,3 +161,46 @@ def mixed(rows, entropy_gain, max_repeats, block_tokens, buckets):
             at += tokens
     return {(i, epoch): (b, slot) for b, found in dealt.items() for slot, (_, i, epoch) in enumerate(sorted(found))}, w
 
+
+
+def spot_signatures(text, common, chain=2):
+    """The set of signatures as word tuples: each common word with the next `chain` words that are not common; texts without
+    one have their runs of chain + 1 words."""
+    words = re.findall(r"[a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    out = set()
+    for i, w in enumerate(words):
+        if w in common:
+            after = [x for x in words[i + 1 :] if x not in common][:chain]
+            if len(after) == chain:
+                out.add((w, *after))
+    if not out and words:
+        out = {tuple(words[i : i + chain + 1]) for i in range(max(1, len(words) - chain))}
+    return out
+
+
+def printed(signatures):
+    """Eight hex digits a signature, in order."""
+    return "".join(f"{h:08x}" for h in sorted({xxhash.xxh32_intdigest(" ".join(s).encode()) for s in signatures}))
+
+
+def overlap(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def spot_components(docs, common, percent=75):
+    """docs: list of (id, text). {id: (n, class, component)} by comparing all pairs."""
+    sets = {d: frozenset(spot_signatures(t, common)) for d, t in docs}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(s), min((e for e in ids if sets[e] == s), default=d) if s else d, find(d)) for d, s in sets.items()}

@@ -199,33 +199,55 @@ def test_sequences_hold_the_ids(docs):
         assert len(r.ids) == 4 * r.n_tokens and r.n_tokens <= packing.CAPACITY
 
 
-def test_spotsigs_digest(docs, clashing):
-    rows = sorted([(d, t or "") for d, t in pairs(docs) if d is not None])
-    unique = {d: t for d, t in rows}
-    got = {r.doc_id: r for r in spotsigs.edited_and_next(clashing.where("doc_id is not null and doc_id <> 14")).collect()}
-    order = sorted(d for d in unique if d != 14)
-    assert sorted(got) == order
-    for i, d in enumerate(order):
-        text, after = unique[d], unique[order[(i + 1) % len(order)]]
+COMMON = {w.decode() for w in spotsigs.ANCHORS}
+
+
+def prose(seed, n):
+    import random
+
+    r = random.Random(seed)
+    return " ".join(r.choice(["the", "of", "und", "de"]) if r.random() < 0.4 else "".join(r.choice("abcdefg") for _ in range(4)) for _ in range(n))
+
+
+def test_spotsigs_digest(spark, docs, clashing):
+    """Against a version of its own: signatures, fingerprints and likenesses, repeated ids by the hash of their texts."""
+    from pyspark.sql import functions as F
+
+    more = spark.createDataFrame([(100 + i, f"The {prose(i, 40)}. É Über de l'eau {i}") for i in range(12)] + [(105, prose(77, 30)), (105, prose(78, 30))], "doc_id long, text string")
+    df = clashing.where("doc_id is not null").unionByName(more, allowMissingColumns=True)
+    order = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy("doc_id", "h").collect()]
+    want = []
+    for i, (d, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        assert got[d].n_chars == len(text) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[d].fingerprint == spotsigs.fingerprint(spotsigs.signatures(text))
-        assert got[d].near_edited == spotsigs.likeness(spotsigs.signatures(text), spotsigs.signatures(edited))
-        assert got[d].near_next == spotsigs.likeness(spotsigs.signatures(text), spotsigs.signatures(after))
-    assert got[6].fingerprint == got[7].fingerprint and got[6].near_next == 1.0
+        own, changed, following = (plain.spot_signatures(t, COMMON) for t in (text, edited, after))
+        want.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), plain.printed(own), plain.printed(changed), plain.overlap(own, changed), plain.overlap(own, following)))
+    got = spotsigs.edited_and_next(df).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
-def test_spotsigs_with_null_ids(docs):
-    assert spotsigs.edited_and_next(docs).count() == docs.count()
+def test_spotsigs_with_null_ids_and_small_buckets(docs, monkeypatch):
+    whole = sorted(map(str, spotsigs.edited_and_next(docs).collect()))
+    assert len(whole) == docs.count()
+    monkeypatch.setattr(spotsigs, "BUCKET_BYTES", 5000)
+    assert sorted(map(str, spotsigs.edited_and_next(docs).collect())) == whole
 
 
-def test_spotsigs_pairs_match_brute_force(docs):
-    rows = [(d, spotsigs.signatures(t)) for d, t in pairs(docs) if d is not None]
-    members, found = spotsigs.near_pairs(docs.where("doc_id is not null"), 0.6)
-    cls = {r.doc_id: r.class_id for r in members.collect()}
-    want = {tuple(sorted((cls[a], cls[b]))) for a, x in rows for b, y in rows if cls[a] != cls[b] and len(x) and len(y) and spotsigs.likeness(x, y) >= 0.6}
-    assert {(r.a, r.b) for r in found.collect()} == want and cls[7] == 6
+def test_spotsigs_near_duplicates_match_brute_force(spark, docs, clashing):
+    r, base = __import__("random").Random(9), prose(1, 150).split()
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 3, 8, 15])):
+            copy[r.randrange(len(copy))] = prose(200 + i, 1)
+        rows.append((500 + i, " ".join(copy)))
+    df = clashing.where("doc_id is not null").unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    want = plain.spot_components([(x.doc_id, x.text) for x in df.collect()], COMMON)
+    got = spotsigs.near_duplicates(df).collect()
+    assert len(got) == df.count() and {x.doc_id: (x.n_signatures, x.class_id, x.component_id) for x in got} == want
+    assert want[7][1] == 6 and len({c for d, (_, _, c) in want.items() if d >= 500}) < 40
 
 
 def test_empty_tables(empty):
@@ -233,3 +255,4 @@ def test_empty_tables(empty):
     assert suffixes.without_repeats(empty).count() == 0
     assert packing.pack_documents(empty).count() == 0
     assert spotsigs.edited_and_next(empty).count() == 0
+    assert spotsigs.near_duplicates(empty).count() == 0
