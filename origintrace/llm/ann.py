@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted on a bounded sample and every row is put into a leaf. A query goes down the tree through a priority queue
-of nodes, best centroid product first, and visits leaves until it has as many as calibration found to reach a wanted recall:
-a few queries are answered exactly over all rows, and the visits are widened until their neighbours' leaves are covered.
-Queries and rows then meet by leaf, in blocks of bounded size, so a leaf with a third of all rows is many tasks' work.
+of nodes, best bound of the inner product first (the centroid's product, and how far the node's rows spread), and visits leaves
+until it has as many as calibration found to reach a wanted recall: a few queries are answered exactly over all rows, and the
+visits are widened until their neighbours' leaves are covered. Neighbouring leaves lie on a shelf; queries and rows meet by
+shelf, where a query comes once with the list of its leaves, in blocks of bounded size, so a leaf with a third of all rows is
+many tasks' work.
 """
 
 from __future__ import annotations
@@ -15,23 +17,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, table
+from .common import bounded_sample, cut, parts, table
 
-SAMPLE_ROWS = 16384  # rows that the tree is fitted on, by a hash of their ids
+LEAF_POWER = 0.5  # the table's row count to this power is the number of leaves
+MOST_LEAVES = 65536  # of a tree: the bound of what is broadcast
+SAMPLE_ROWS, ROWS_A_LEAF = 16384, 8  # the tree is fitted on so many rows, by a hash of them, or so many a leaf where that is more
 BRANCHING = 8
-LEAF_POWER = 0.4  # the table's row count to this power is the number of leaves, so that visits grow slower than rows
-MOST_LEAVES = 4096  # with SAMPLE_ROWS, the bound of what is broadcast
 CALIBRATION_QUERIES = 96
-WANTED_RECALL = 0.98
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+WANTED_RECALL = 0.97
+WIDTHS = (0.0, 0.5, 1.0, 2.0, 3.0)  # how much of a node's spread its bound takes; calibration takes what needs the fewest visits
+SHELF_ROWS, BLOCK_QUERIES = 65536, 8192  # of one task at most
+HELD_PRODUCTS = 1 << 21
 
 
 class Tree:
-    """Centroids of nodes, child lists, and a leaf number (or -1) for each node; node 0 is the root."""
+    """Centroids of nodes, how far their rows spread from them in one direction, child lists, and a leaf number (or -1) for each
+    node; node 0 is the root. Leaves are numbered in the order of the tree, so neighbours in number are neighbours."""
 
     def __init__(self, sample: np.ndarray, leaves: int, branching: int = BRANCHING, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.centroids, self.children, self.leaf = [sample.mean(axis=0)], [[]], [-1]
+        spread = lambda x, c: float(np.sqrt(((x - c) ** 2).mean())) if len(x) else 0.0
+        self.centroids, self.children = [sample.mean(axis=0)], [[]]
+        self.spread = [spread(sample, self.centroids[0])]
         sizes = [(-len(sample), 0, np.arange(len(sample)))]
         n_leaves = 1
         while sizes and n_leaves < leaves:  # the largest leaf is split next
@@ -41,16 +48,18 @@ class Tree:
             if parts is None:
                 continue
             for centroid, members in parts:
-                self.children[node].append(len(self.leaf))
-                heapq.heappush(sizes, (-len(members), len(self.leaf), rows[members]))
+                self.children[node].append(len(self.children))
+                heapq.heappush(sizes, (-len(members), len(self.children), rows[members]))
                 self.centroids.append(centroid)
+                self.spread.append(spread(sample[rows[members]], centroid))
                 self.children.append([])
-                self.leaf.append(-1)
             n_leaves += len(parts) - 1
-        self.centroids = np.array(self.centroids)
-        self.n_leaves = 0
-        for node, below in enumerate(self.children):
-            if not below:
+        self.centroids, self.spread = np.array(self.centroids), np.array(self.spread)
+        self.leaf, self.n_leaves, below = [-1] * len(self.children), 0, [0]
+        while below:
+            node = below.pop()
+            below += reversed(self.children[node])
+            if not self.children[node]:
                 self.leaf[node] = self.n_leaves
                 self.n_leaves += 1
 
@@ -85,9 +94,9 @@ class Tree:
             open_rows = open_rows[[bool(self.children[n]) for n in at[open_rows]]]
         return np.array(self.leaf)[at]
 
-    def best_first(self, query: np.ndarray):
-        """Leaves by a best-bin-first walk."""
-        products = self.centroids @ query
+    def best_first(self, query: np.ndarray, width: float):
+        """Leaves by a best-bin-first walk; width is how much of a node's spread is added to its centroid's product."""
+        products = self.centroids @ query + width * np.linalg.norm(query) * self.spread
         queue = [(-products[0], 0)]
         while queue:
             _, node = heapq.heappop(queue)
@@ -116,21 +125,29 @@ def _exact(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * q).sum(axis=1)
 
 
-def _best(q_ids, q, ids, rows, k) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query its k best rows (not its own id), ties to smaller ids."""
-    fast = q @ rows.T
-    slack = 1e-9 * (np.linalg.norm(q, axis=1) * np.linalg.norm(rows, axis=1).max())
-    fast[q_ids[:, None] == ids[None, :]] = -np.inf
+def _best(q_ids, q, ids, rows, k, seen=None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its k best rows (not of its own id), ties to smaller ids. seen: for each slice of the rows the queries that see it."""
     out = []
-    for i in range(len(q)):
-        if len(ids) > k:
-            at = np.flatnonzero(fast[i] >= np.partition(fast[i], len(ids) - k)[len(ids) - k] - slack[i])
+    step = max(1, HELD_PRODUCTS // max(1, len(rows)))
+    longest = np.linalg.norm(rows, axis=1).max(initial=0.0)
+    for at in range(0, len(q), step):
+        some = slice(at, at + step)
+        if seen is None:
+            fast = q[some] @ rows.T
         else:
-            at = np.arange(len(ids))
-        at = at[ids[at] != q_ids[i]]
-        score = _exact(q[i], rows[at])
-        order = np.lexsort((ids[at], -score))[:k]
-        out.append((np.full(len(order), q_ids[i]), ids[at][order], score[order]))
+            fast = np.full((len(q[some]), len(rows)), -np.inf)
+            for span, who in seen:
+                mine = np.flatnonzero(who[some])
+                if len(mine):
+                    fast[mine, span] = q[some][mine] @ rows[span].T
+        fast[q_ids[some][:, None] == ids[None, :]] = -np.inf
+        slack = 1e-9 * np.linalg.norm(q[some], axis=1) * longest
+        for i, products in enumerate(fast):
+            least = np.partition(products, len(ids) - k)[len(ids) - k] - slack[i] if len(ids) > k else -np.inf
+            near = np.flatnonzero((products >= least) & (products > -np.inf))
+            score = _exact(q[at + i], rows[near])
+            order = np.lexsort((ids[near], -score))[:k]
+            out.append((np.full(len(order), q_ids[at + i]), ids[near][order], score[order]))
     return out
 
 
@@ -148,8 +165,8 @@ def brute_force(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     def scan(frames):
         for pdf in frames:
-            for at in range(0, len(pdf), BLOCK_ROWS):
-                part = pdf.iloc[at : at + BLOCK_ROWS]
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
                 yield _frame(_best(q_ids, q, part["id"].to_numpy(), _matrix(part["v"]), k))
 
     return _ranked(rows.select("id", "v").mapInPandas(scan, "query_id long, vec_id long, score double"), k)
@@ -161,17 +178,19 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 class Index:
-    """Tree, rows with their leaves (a table in the shared folder), rows a leaf, and the calibrated number of leaf visits."""
+    """Tree, rows with their leaves (a table in the shared folder), rows a leaf, the calibrated number of leaf visits, and the share
+    of all rows that a query compares itself with by that."""
 
     def __init__(self, rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = WANTED_RECALL, sample_rows: int = SAMPLE_ROWS, leaf_power: float = LEAF_POWER):
         good = usable(rows, key, vector)
         n = good.count()
-        held = bounded_sample(good, F.col("id"), sample_rows).toPandas()
-        self.k, self.spark = k, rows.sparkSession
+        leaves = min(MOST_LEAVES, round(n**leaf_power))
+        held = bounded_sample(good, F.xxhash64("id", "v"), max(sample_rows, ROWS_A_LEAF * leaves)).toPandas()
+        self.k, self.spark, self.visits, self.width, self.share = k, rows.sparkSession, 0, 0.0, 0.0
         if not n:
-            self.rows, self.tree, self.sizes, self.visits = good.withColumn("leaf", F.lit(0)), None, np.zeros(1, dtype=int), 0
+            self.rows, self.tree, self.sizes = good.withColumn("leaf", F.lit(0)), None, np.zeros(1, dtype=int)
             return
-        tree = self.tree = Tree(_matrix(held["v"]), min(MOST_LEAVES, round(n**leaf_power), max(1, len(held) // 4)))
+        tree = self.tree = Tree(_matrix(held["v"]), min(leaves, max(1, len(held) // 4)))
 
         def place(frames):
             for pdf in frames:
@@ -181,19 +200,37 @@ class Index:
         self.rows = cut(good.mapInPandas(place, f"id long, v {dict(good.dtypes)['v']}, leaf int"), "ann-leaves")
         counts = dict(self.rows.groupBy("leaf").count().collect())
         self.sizes = np.array([counts.get(leaf, 0) for leaf in range(tree.n_leaves)])
-        self.visits = self._calibrate(recall)
+        self._calibrate(recall)
 
-    def _calibrate(self, recall: float) -> int:
-        """The fewest leaf visits that cover that part of the exact neighbours of the calibration queries, found by widening."""
-        asked = self.rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION_QUERIES).select("id", "v")
-        truth = brute_force(asked.dropDuplicates(["id"]), self.rows, self.k).join(self.rows.select(F.col("id").alias("vec_id"), "leaf").dropDuplicates(["vec_id"]), "vec_id").select("query_id", "leaf").collect()
+    def _calibrate(self, recall: float) -> None:
+        """Widens the visits until they cover that part of the exact neighbours of the calibration queries, for each width; the
+        width whose visits compare with the fewest rows is taken."""
+        asked = self.rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATION_QUERIES).select("id", "v").dropDuplicates(["id"])
+        truth = brute_force(asked, self.rows, self.k).join(self.rows.select(F.col("id").alias("vec_id"), "leaf").dropDuplicates(["vec_id"]), "vec_id").select("query_id", "leaf").collect()
         vectors = {r.id: np.array(r.v) for r in asked.collect()}
-        rank = {q: {leaf: i for i, leaf in enumerate(self.tree.best_first(v))} for q, v in vectors.items()}
-        needed = np.sort([rank[r.query_id][r.leaf] + 1 for r in truth]) if truth else np.ones(1)
-        visits = 1
-        while visits < self.tree.n_leaves and np.searchsorted(needed, visits, side="right") / len(needed) < recall:
-            visits = min(self.tree.n_leaves, max(visits + 1, int(visits * 1.1)))
-        return visits
+        best = None
+        for width in WIDTHS:
+            walks = {q: np.fromiter(self.tree.best_first(v, width), dtype=np.int64) for q, v in vectors.items()}
+            rank = {q: np.argsort(walk) for q, walk in walks.items()}
+            needed = np.sort([rank[r.query_id][r.leaf] + 1 for r in truth]) if truth else np.ones(1)
+            visits = 1
+            while visits < self.tree.n_leaves and np.searchsorted(needed, visits, side="right") / len(needed) < recall:
+                visits = min(self.tree.n_leaves, max(visits + 1, int(visits * 1.1)))
+            share = float(np.mean([self.sizes[walk[:visits]].sum() for walk in walks.values()]) / self.sizes.sum())
+            if best is None or share < best[0]:
+                best = share, visits, width
+        self.share, self.visits, self.width = best
+
+    def _shelves(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shelf of each leaf, by filling shelves with neighbours up to so many rows, and each shelf's rows."""
+        shelf, held, rows = np.zeros(len(self.sizes), dtype=np.int64), 0, []
+        for leaf, size in enumerate(self.sizes):
+            if leaf and held + size > most:
+                rows.append(held)
+                held = 0
+            shelf[leaf] = len(rows)
+            held += int(size)
+        return shelf, np.array([*rows, held])
 
     def search(self, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """query_id, rank, vec_id, score: the k largest inner products found, in double precision, nearest first.
@@ -206,42 +243,62 @@ class Index:
         if tree is None:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         asked = usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
-        sizes, visits = self.sizes, self.visits
+        sizes, visits, width, n = self.sizes, self.visits, self.width, parts(spark)
+        shelf, held = self._shelves(min(SHELF_ROWS, max(1024, int(sizes.sum()) // (4 * n))))
 
         def walk(frames):
             for pdf in frames:
-                ids, leaves = [], []
+                found = []
                 for i, v in enumerate(_matrix(pdf["v"]) if len(pdf) else ()):
-                    rows = 0
-                    for n, leaf in enumerate(tree.best_first(v)):
+                    rows, leaves = 0, []
+                    for n, leaf in enumerate(tree.best_first(v, width)):
                         if n >= visits and rows >= 4 * k:
                             break
                         rows += sizes[leaf]
-                        ids.append(i)
                         leaves.append(leaf)
-                    if len(ids) >= 5000 or i == len(pdf) - 1:
-                        yield pd.DataFrame({"query_id": pdf["id"].to_numpy()[ids], "q": pdf["v"].to_numpy()[ids], "leaf": np.array(leaves, dtype=np.int32)})
-                        ids, leaves = [], []
-
-        visited = cut(asked.mapInPandas(walk, f"query_id long, q {dict(asked.dtypes)['v']}, leaf int"), "ann-visits")
-        asking = dict(visited.groupBy("leaf").count().collect())
-        blocks = [(leaf, int(-(-sizes[leaf] // BLOCK_ROWS)) or 1, -(-asking.get(leaf, 0) // BLOCK_QUERIES) or 1) for leaf in range(tree.n_leaves)]
-        cuts = spark.createDataFrame(blocks, "leaf int, row_blocks int, query_blocks int")  # at most MOST_LEAVES rows
+                    leaves = np.sort(np.array(leaves, dtype=np.int32))
+                    for part in np.split(leaves, np.flatnonzero(np.diff(shelf[leaves])) + 1):
+                        found.append((i, shelf[part[0]], part))
+                    if len(found) >= 5000 or i == len(pdf) - 1:
+                        at = [f[0] for f in found]
+                        yield pd.DataFrame({"query_id": pdf["id"].to_numpy()[at], "q": pdf["v"].to_numpy()[at], "shelf": [int(f[1]) for f in found], "leaves": [f[2] for f in found]})
+                        found = []
+
+        walked = asked.repartition(n).mapInPandas(walk, f"query_id long, q {dict(asked.dtypes)['v']}, shelf int, leaves array<int>")
+        visited = cut(walked, "ann-visits")
+        asking = dict(visited.groupBy("shelf").count().collect())
+        blocks = [(leaf, int(s), int(-(-held[s] // SHELF_ROWS)) or 1, -(-asking.get(int(s), 0) // BLOCK_QUERIES) or 1) for leaf, s in enumerate(shelf)]
+        cuts = spark.createDataFrame(blocks, "leaf int, shelf int, row_blocks int, query_blocks int")  # at most MOST_LEAVES rows
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        rows = self.rows.join(F.broadcast(cuts), "leaf").select("leaf", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("row_blocks")).cast("int").alias("row_block"), every("query_blocks").alias("query_block"), "id", "v")
-        asks = visited.join(F.broadcast(cuts), "leaf").select("leaf", every("row_blocks").alias("row_block"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"), "query_id", "q")
+        rows = self.rows.join(F.broadcast(cuts), "leaf").select("shelf", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("row_blocks")).cast("int").alias("row_block"), every("query_blocks").alias("query_block"), "leaf", "id", "v")
+        asks = visited.join(F.broadcast(cuts.drop("leaf").distinct()), "shelf").select("shelf", every("row_blocks").alias("row_block"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("query_block"), "query_id", "q", "leaves")
 
         def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
             if not len(mine) or not len(theirs):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-            return _frame(_best(theirs["query_id"].to_numpy(), _matrix(theirs["q"]), mine["id"].to_numpy(), _matrix(mine["v"]), k))
-
-        by = ["leaf", "row_block", "query_block"]
+            mine = mine.sort_values("leaf", kind="stable")
+            leaf = mine["leaf"].to_numpy()
+            here, starts = np.unique(leaf, return_index=True)
+            stops = np.append(starts[1:], len(leaf))
+            who = np.zeros((len(theirs), len(here)), dtype=bool)
+            lists = theirs["leaves"].to_numpy()
+            asker = np.repeat(np.arange(len(theirs)), [len(x) for x in lists])
+            wanted = np.concatenate(lists)
+            at = np.searchsorted(here, wanted)
+            there = (at < len(here)) & (here[np.minimum(at, len(here) - 1)] == wanted)
+            who[asker[there], at[there]] = True
+            seen = [(slice(a, b), who[:, i]) for i, (a, b) in enumerate(zip(starts, stops, strict=True))]
+            return _frame(_best(theirs["query_id"].to_numpy(), _matrix(theirs["q"]), mine["id"].to_numpy(), _matrix(mine["v"]), k, seen))
+
+        by = ["shelf", "row_block", "query_block"]
         found = rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInPandas(meet, schema)
         return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1_kmeans_tree_search(spark, sf_dir):
-    """The 20 nearest found for each vector whose id is divisible by 20, among all other vectors."""
+    """The 20 nearest found for each vector whose id is divisible by 20, among all other vectors.
+
+    Null, zero and non-finite vectors take no part; repeated query ids ask once, repeated rows are found as often as they come;
+    an empty table gives no rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return Index(vectors, k=20).search(vectors.where("vec_id % 20 = 0"))

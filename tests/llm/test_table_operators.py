@@ -43,6 +43,38 @@ def test_search_finds_the_nearest(vectors):
     assert ties == [700 + i for i in range(len(ties))]
 
 
+def test_default_search_of_clusters(spark):
+    """Clustered vectors: few leaves are visited, and what is found is held against brute force."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 24)) * 3
+    rows = [(i, [float(x) for x in centres[i % 60] + rng.normal(size=24) * 0.4]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = plain.nearest(rows, 20)
+    index = ann.Index(df, k=20)
+    found: dict = {}
+    for r in index.search(df.where("vec_id % 20 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = sum(len(found[q] & {i for i, _ in want[q]}) for q in want) / (20 * len(want))
+    assert recall >= 0.95 and index.visits < index.tree.n_leaves / 3 and index.share < 1 / 3
+
+
+def test_search_blocks_and_repeats(spark, monkeypatch):
+    """Tiny shelves and blocks of queries give the same; repeated ids are candidates as often as they come."""
+    rng = np.random.default_rng(9)
+    rows = [(i % 150, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.Index(df, k=20, recall=1.0)
+    one = sorted(index.search(df.where("vec_id % 20 = 0")).collect())
+    monkeypatch.setattr(ann, "SHELF_ROWS", 16)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 2)
+    assert sorted(index.search(df.where("vec_id % 20 = 0")).collect()) == one
+    asked = {q: min(v for i, v in rows if i == q) for q in range(0, 150, 20)}
+    for q, v in asked.items():
+        best = sorted(((-float((np.array(v) * np.array(w)).sum()), i) for i, w in rows if i != q))[:20]
+        mine = [(r.score, r.vec_id) for r in one if r.query_id == q]
+        assert len(mine) == 20 and len({(round(s, 9), i) for s, i in mine} & {(round(-s, 9), i) for s, i in best}) >= 19
+
+
 def test_search_of_little(spark, vectors):
     df = vectors[0]
     none = ann.Index(df.where("vec_id < 0"))
