@@ -84,13 +84,22 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SCANS, catalogue=catalogue(spark, sf_dir), **tables(spark, sf_dir, "part", "events"))
 
 
+def _after(tables: str, sql: str) -> str:
+    """The SQL with common tables put before its own."""
+    sql = sql.strip()
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if sql.upper().startswith(word):
+            return f"{word}{tables}, {sql[len(word):]}"
+    return f"WITH {tables} {sql}"
+
+
 def with_fixtures(sql: str, scans: bool = False) -> str:
     """The SQL with catalogue (and scans) as first common tables."""
     names = {n: n for n in _TABLES} | {"catalogue": "catalogue"}
     first = f"catalogue AS ({CATALOGUE.format(**names)})"
     if scans:
         first += f", scans AS ({SCANS.format(**names)})"
-    return f"WITH {first}{', ' + sql.strip()[5:] if sql.strip()[:5].upper() == 'WITH ' else ' ' + sql}"
+    return _after(first, sql)
 
 
 RESULTS = """
@@ -129,12 +138,8 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_results(sql: str) -> str:
     names = {n: n for n in _TABLES} | {"catalogue": "catalogue", "scans": "scans", "g": ", 'g'"}
-    inner = sql.strip()
-    tail = ", " + inner[5:] if inner[:5].upper() == "WITH " else " " + inner
-    return with_fixtures("SELECT 1", scans=True).removesuffix(" SELECT 1") + f", results AS ({RESULTS.format(**names)}){tail}"
+    return with_fixtures(_after(f"results AS ({RESULTS.format(**names)})", sql), scans=True)
 
 
 def with_words(sql: str) -> str:
-    inner = sql.strip()
-    tail = ", " + inner[5:] if inner[:5].upper() == "WITH " else " " + inner
-    return with_fixtures("SELECT 1", scans=True).removesuffix(" SELECT 1") + f", words AS ({WORDS.format(scans='scans')}){tail}"
+    return with_fixtures(_after(f"words AS ({WORDS.format(scans='scans')})", sql), scans=True)
