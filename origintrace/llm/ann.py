@@ -24,7 +24,7 @@ MOST_LEAVES = 65536  # of a tree: the bound of what is broadcast
 SAMPLE_ROWS, ROWS_A_LEAF = 16384, 8  # the tree is fitted on so many rows, by a hash of them, or so many a leaf where that is more
 BRANCHING = 8
 CALIBRATION_QUERIES = 96
-WANTED_RECALL = 0.97
+WANTED_RECALL = 0.95
 WIDTHS = (0.0, 0.5, 1.0, 2.0, 3.0)  # how much of a node's spread its bound takes; calibration takes what needs the fewest visits
 SHELF_ROWS, BLOCK_QUERIES = 65536, 8192  # of one task at most
 HELD_PRODUCTS = 1 << 21
