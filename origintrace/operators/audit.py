@@ -62,27 +62,34 @@ def verify(rows: DataFrame, secret: bytes) -> DataFrame:
 
 
 def append(log: DataFrame, events: DataFrame, secret: bytes) -> DataFrame:
-    """The log with one batch of events chained on, in order of their sequence. Links depend on each other, so a batch (not the
-    log) is folded by one task; batches are what one commit holds."""
+    """The log with one batch of events chained on, in order of time and event_key. Each link depends on the one before, so a
+    batch (not the log) passes one task, sorted by Spark, which may spill; the task holds one entry at a time."""
     import hashlib
     import hmac
 
-    import pandas as pd
+    import pyarrow as pa
 
     last = log.agg(F.max("sequence").alias("s"), F.max_by("hash", "sequence").alias("h")).first()
-    start, prev = (last.s or 0), (last.h or R.GENESIS)
-    numbered = events.withColumn("sequence", (F.lit(start) + F.row_number().over(Window.orderBy("occurred_at", "event_key"))).cast("long"))
-    text = numbered.withColumn("canonical", canonical_event(numbered))
-    fields = [f for f in log.schema.fields if f.name in numbered.columns]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", prev_hash string, hash string"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence")
-        before, hashes, at = [], [], prev
-        for c in pdf["canonical"]:
-            before.append(at)
-            at = hmac.new(secret, (at + c).encode(), hashlib.sha256).hexdigest()
-            hashes.append(at)
-        return pdf[[f.name for f in fields]].assign(prev_hash=before, hash=hashes)
-
-    return log.select(*[f.name for f in fields], "prev_hash", "hash").unionByName(text.groupBy(F.lit(1).alias("batch")).applyInPandas(fold, schema))
+    start, first = (last.s or 0), (last.h or R.GENESIS)
+    fields = [f.name for f in log.schema.fields if f.name in events.columns and f.name not in ("prev_hash", "hash", "sequence")]
+    # The number is put in by the task, between the two parts of the canonical text.
+    unnumbered = events.withColumn("sequence", F.lit("\x00"))
+    ordered = unnumbered.withColumn("canonical", canonical_event(unnumbered)).select(*fields, "event_key", "canonical").repartition(1).sortWithinPartitions("occurred_at", "event_key").drop("event_key")
+    schema = ordered.drop("canonical").schema.add("sequence", "long").add("prev_hash", "string").add("hash", "string")
+
+    def fold(batches):
+        before, number = first, start
+        for batch in batches:
+            numbers, links, hashes = [], [], []
+            for c in batch.column(len(fields)).to_pylist():
+                number += 1
+                after = hmac.new(secret, (before + c.replace("\x00", str(number))).encode(), hashlib.sha256).hexdigest()
+                numbers.append(number)
+                links.append(before)
+                hashes.append(after)
+                before = after
+            columns = [*batch.columns[: len(fields)], pa.array(numbers, pa.int64()), pa.array(links, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*fields, "sequence", "prev_hash", "hash"])
+
+    chained = ordered.mapInArrow(fold, schema)
+    return log.select(*schema.names).unionByName(chained)

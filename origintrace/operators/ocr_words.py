@@ -39,7 +39,7 @@ def physical_lines(words: DataFrame) -> DataFrame:
 
 def ranked_candidates(words: DataFrame, n: int = 12) -> DataFrame:
     """The n best candidates of each image: seven tenths shape, three tenths votes."""
-    scored = merged_words(words).withColumn("kind", classify_marking(F.col("word"))).withColumn("score", 0.7 * score_candidate(F.col("word")) + 0.3 * F.col("vote_score"))
+    scored = merged_words(words).withColumn("kind", classify_marking(F.col("word"))).withColumn("score", F.round(0.7 * score_candidate(F.col("word")) + 0.3 * F.col("vote_score"), 6))
     order = Window.partitionBy("image_id").orderBy(F.desc("score"), "word")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
 

@@ -9,6 +9,7 @@ from ..functions import marking, ocr, origin
 from ..functions import text as X
 from ..operators import audit, cascade, catalogue, imports, insights, ocr_words, scans
 from ..rules import tables as R
+from ..session import cut
 from ..streaming import ingest
 from . import fixtures as fx
 from . import matching_sql as M
@@ -422,13 +423,30 @@ def ingested_scans(spark, sf_dir):
     return ingest.new_scans(r.where("scan_id % 3 = 0"), r.where("scan_id % 5 = 0")).select("scan_id")
 
 
-@query(None)
+# One try after the other: a client's log holds the times of what was let in within the window (2 in 6 hours).
+_ADMITTED = """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s(user_id, event_id, ts, i, log, admitted) AS (SELECT user_id, event_id, ts, i, [t], true FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.ts, e.i, CASE WHEN len(list_filter(s.log, lambda x: e.t - x <= 21600)) < 2 THEN list_append(list_filter(s.log, lambda x: e.t - x <= 21600), e.t) ELSE s.log END, len(list_filter(s.log, lambda x: e.t - x <= 21600)) < 2
+  FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, event_id, ts, admitted FROM s"""
+
+
+@query(_ADMITTED)
 def rate_limited_events(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return ingest.rate_limited(e, "user_id", "ts", "event_id", limit=2, window=6 * 3600.0)
 
 
-@query(None)
+# A right password while no lock holds clears the count; the fifth failure and every one after it locks for three days.
+_LOCKED = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, epoch(ts) AS t, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s(user_id, event_id, ts, ok, i, failed, until, outcome) AS (SELECT user_id, event_id, ts, ok, i, CASE WHEN ok THEN 0 ELSE 1 END, CAST(0 AS DOUBLE), CASE WHEN ok THEN 'ok' ELSE 'failed' END FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.ts, e.ok, e.i, CASE WHEN e.t < s.until THEN s.failed WHEN e.ok THEN 0 ELSE s.failed + 1 END,
+    CASE WHEN e.t < s.until THEN s.until WHEN e.ok THEN 0 WHEN s.failed + 1 >= 5 THEN e.t + 259200 ELSE s.until END, CASE WHEN e.t < s.until THEN 'locked' WHEN e.ok THEN 'ok' ELSE 'failed' END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT user_id, event_id, ts, ok, outcome FROM s"""
+
+
+@query(_LOCKED)
 def locked_out_logins(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
     return ingest.lockout(e, "user_id", "ts", "ok", "event_id", minutes=3 * 24 * 60)
@@ -443,7 +461,10 @@ def retained_history(spark, sf_dir):
 # --- OCR words ---
 
 
-@query("""SELECT image_id, word, avg(confidence) + least(count(DISTINCT engine || '|' || variant) - 1, 4) * 6.0 AS vote_score, count(DISTINCT engine || '|' || variant) AS votes FROM (SELECT *, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS word FROM words WHERE level = 'word') WHERE length(word) >= 2 GROUP BY 1, 2""", _words)
+_MERGED = """SELECT image_id, word, avg(confidence) + least(count(DISTINCT engine || '|' || variant) - 1, 4) * 6.0 AS vote_score, count(DISTINCT engine || '|' || variant) AS votes FROM (SELECT *, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') AS word FROM words WHERE level = 'word') WHERE length(word) >= 2 GROUP BY 1, 2"""
+
+
+@query(_MERGED, _words)
 def merged_ocr_words(spark, sf_dir):
     return ocr_words.merged_words(fx.words(spark, sf_dir))
 
@@ -456,14 +477,41 @@ def physical_marking_lines(spark, sf_dir):
     return ocr_words.physical_lines(fx.words(spark, sf_dir))
 
 
-@query(None)
+def _kind(text: str) -> str:
+    """The class of a word, in SQL."""
+    u, t = f"upper({text})", f"regexp_replace(upper({text}), '\\s+', '', 'g')"
+    return f"""CASE WHEN {t} = '' THEN 'noise' WHEN regexp_matches({u}, '{R.RE_COUNTRY}') THEN 'country_of_origin' WHEN {" OR ".join(f"(starts_with({t}, '{w}') AND length({t}) <= {len(w) + 2})" for w in R.VENDOR_WORDS)} THEN 'vendor' WHEN {t} IN ({_in(R.NOISE_WORDS)}) THEN 'noise'
+  WHEN regexp_matches({t}, '{R.RE_DATE}') AND length({t}) = 4 THEN 'date_code' WHEN regexp_matches({t}, '{R.RE_PART}') AND regexp_matches({t}, '[0-9]') AND length({t}) >= 5 THEN 'part_number' WHEN regexp_matches({t}, '{R.RE_LOT}') THEN 'lot_code' ELSE 'other' END"""
+
+
+def _shape(text: str, kind: str) -> str:
+    """A word's score by its class, length and letters, in SQL."""
+    t = f"regexp_replace(upper({text}), '[^A-Z0-9]', '', 'g')"
+    letters, digits = f"regexp_matches({t}, '[A-Z]')", f"regexp_matches({t}, '[0-9]')"
+    base = " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.CLASS_SCORES.items())
+    return f"""(CASE {kind} {base} END + CASE WHEN length({t}) BETWEEN 8 AND 16 THEN 12.0 WHEN length({t}) < 6 THEN -20.0 ELSE 0.0 END + CASE WHEN {letters} AND {digits} THEN 8.0 ELSE 0.0 END - CASE WHEN {digits} AND NOT {letters} THEN 15.0 ELSE 0.0 END)"""
+
+
+@query(f"""WITH m AS ({_MERGED}), k AS (SELECT *, {_kind("word")} AS kind FROM m), s AS (SELECT *, 0.7 * CAST({_shape("word", "kind")} AS DOUBLE) + 0.3 * vote_score AS score FROM k)
+SELECT image_id, word, kind, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY image_id ORDER BY round(score, 6) DESC, word) AS INT) AS place FROM s QUALIFY place <= 12""", _words)
 def ranked_ocr_candidates(spark, sf_dir):
     return ocr_words.ranked_candidates(fx.words(spark, sf_dir)).select("image_id", "word", "kind", "score", "place")
 
 
-@query(f"""SELECT DISTINCT text, CASE WHEN t = '' THEN 'noise' WHEN regexp_matches(u, '{R.RE_COUNTRY}') THEN 'country_of_origin' WHEN {" OR ".join(f"(starts_with(t, '{w}') AND length(t) <= {len(w) + 2})" for w in R.VENDOR_WORDS)} THEN 'vendor' WHEN t IN ({_in(R.NOISE_WORDS)}) THEN 'noise'
-  WHEN regexp_matches(t, '{R.RE_DATE}') AND length(t) = 4 THEN 'date_code' WHEN regexp_matches(t, '{R.RE_PART}') AND regexp_matches(t, '[0-9]') AND length(t) >= 5 THEN 'part_number' WHEN regexp_matches(t, '{R.RE_LOT}') THEN 'lot_code' ELSE 'other' END AS kind
-FROM (SELECT text, upper(text) AS u, regexp_replace(upper(text), '\\s+', '', 'g') AS t FROM words)""", _words)
+@query(f"WITH m AS ({_MERGED}), k AS (SELECT image_id, word, {_kind('word')} AS kind FROM m) SELECT image_id, kind, list(word ORDER BY word) AS words FROM k GROUP BY ALL", _words)
+def classed_ocr_words(spark, sf_dir):
+    """The words of each image by class."""
+    return ocr_words.by_class(fx.words(spark, sf_dir))
+
+
+@query(f"""WITH s AS (SELECT image_id, text, ord, CAST({_shape("text", _kind("text"))} AS DOUBLE) AS score FROM words WHERE level = 'word')
+SELECT image_id, text, score, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS INT) AS place FROM s QUALIFY place <= 12""", _words)
+def offline_ocr_candidates(spark, sf_dir):
+    """The device's ranking of words: shape, then reading order."""
+    return ocr_words.ranked_offline(fx.words(spark, sf_dir))
+
+
+@query("SELECT DISTINCT text, " + _kind("text") + " AS kind FROM words", _words)
 def classified_words(spark, sf_dir):
     return fx.words(spark, sf_dir).select("text", ocr.classify_marking(F.col("text")).alias("kind")).distinct()
 
@@ -493,9 +541,31 @@ def chain_predecessors(spark, sf_dir):
     return audit.with_previous(_log(spark, sf_dir)).select("sequence", "stored")
 
 
-@query(None)
+def _chained(spark, sf_dir) -> DataFrame:
+    """All events as a log that was appended to from its first entry on."""
+    events = _log(spark, sf_dir).withColumnRenamed("sequence", "event_key").drop("prev_hash", "hash")
+    empty = _log(spark, sf_dir).where("false")
+    return audit.append(empty, events, SECRET)
+
+
+@query("SELECT count(*) AS entries, true AS intact, CAST(NULL AS BIGINT) AS first_broken_sequence FROM events")
 def verified_chain(spark, sf_dir):
-    return audit.verify(_log(spark, sf_dir), SECRET)
+    """A log appended by rule is found intact."""
+    return audit.verify(cut(_chained(spark, sf_dir), "log"), SECRET)
+
+
+@query("SELECT count(*) AS entries, false AS intact, count(*) // 2 AS first_broken_sequence FROM events")
+def tampered_chain(spark, sf_dir):
+    """The same log with one entry's detail changed: that entry is the first broken one."""
+    log = cut(_chained(spark, sf_dir), "log")
+    here = F.col("sequence") == log.count() // 2
+    return audit.verify(log.withColumn("detail_json", F.when(here, "{}").otherwise(F.col("detail_json"))), SECRET)
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS sequence FROM events) SELECT sequence, 'u' || CAST(user_id AS VARCHAR) AS actor_id, event_type AS action, CAST(event_id AS VARCHAR) AS entity_id FROM e""")
+def appended_log(spark, sf_dir):
+    """The order in which a batch of events is numbered and chained on."""
+    return _chained(spark, sf_dir).select("sequence", "actor_id", "action", "entity_id")
 
 
 # The same queries under the names they had while these were the slices of them that SQL could follow.
