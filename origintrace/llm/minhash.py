@@ -20,8 +20,8 @@ WORDS = 5
 PERCENT = 75
 #: At a coefficient of 0.75 a pair shares no band with a probability of 2e-5, at 0.85 with one of 6e-11.
 BAND_ROWS, BANDS = 5, 40
-BLOCK_SHINGLES, BLOCK_NODES = 100_000, 1024  # of a block of sets; a task compares two blocks
-HOT_MEMBERS = 512  # members of a bucket from which its rows are dealt over several keys
+BLOCK_SHINGLES, BLOCK_NODES = 100_000, 512  # of a block of sets; a task compares two blocks
+HOT_MEMBERS, MOST_HOT = 512, 10_000  # a bucket with more members, and more than that part of all, is dealt over several keys; so there are no more than MOST_HOT of these
 
 _MIX = np.random.default_rng(20240101)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
@@ -135,8 +135,10 @@ def linked_groups(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     """
     spread = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "minhash-buckets")
-    salts = max(1, -(-(shared.agg(F.max("members")).first()[0] or 0) // HOT_MEMBERS))
-    members = cut(_dealt_first(spread, shared, salts), "minhash-members")
+    total, largest = shared.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.max("members"), F.lit(0))).first()
+    hot = max(HOT_MEMBERS, total // MOST_HOT)
+    hot = hot if largest > hot else None
+    members = cut(_dealt_first(spread, shared, hot), "minhash-members")
     involved = cut(members.groupBy("node").agg(F.sum("members").alias("company")), "minhash-involved")
     sets = cut(sets_of(involved), "minhash-sets")
 
@@ -144,7 +146,7 @@ def linked_groups(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     known = members.join(involved, "node")
     hubs = known.groupBy("bucket").agg(F.max(F.struct("company", -F.col("node"), "n")).alias("h"), F.max("members").alias("members"))
     hubs = cut(hubs.selectExpr("bucket", "members", "-h.col2 AS hub", "h.n AS hub_n", "h.company AS hub_company"), "minhash-hubs")
-    to_hub = _dealt(members, hubs, salts).where("node <> hub").where(_near("n", "hub_n", percent)).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("hub_company").alias("hub_company"))
+    to_hub = _dealt(members, hubs, hot).where("node <> hub").where(_near("n", "hub_n", percent)).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("hub_company").alias("hub_company"))
     to_hub = cut(to_hub, "minhash-to-hub")
     links = confirmed(to_hub.groupBy("a").agg(F.max_by("b", F.struct("hub_company", -F.col("b"))).alias("b")), sets, percent)
     groups = cut(components(links), "minhash-groups")
@@ -155,37 +157,32 @@ def linked_groups(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
 
     inside = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = inside.groupBy("bucket").agg(F.max("members").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "members", "lo")
-    mixed = cut(_dealt(inside, cut(open_, "minhash-open"), salts).select("node", "n", "component", "lo"), "minhash-mixed")
+    mixed = cut(_dealt(inside, cut(open_, "minhash-open"), hot).select("node", "n", "component", "lo"), "minhash-mixed")
     if mixed.take(1):
         links = links.unionByName(_compare_in_blocks(mixed, sets, percent))
         groups = cut(components(links), "minhash-groups")
     return groups
 
 
-def _dealt_first(spread: DataFrame, shared: DataFrame, salts: int) -> DataFrame:
-    """spread's rows of shared buckets. Which buckets are hot is told to the rows by a bitmap of fixed size; a bucket that it
-    takes for hot by chance is dealt like one on both sides."""
-    if salts == 1:
+def _dealt_first(spread: DataFrame, shared: DataFrame, hot: int | None) -> DataFrame:
+    """spread's rows of shared buckets, with their members. Rows are told which buckets are hot by a broadcast of those, MOST_HOT at most."""
+    if hot is None:
         return spread.join(shared, "bucket")
-    hot = shared.where(F.col("members") > HOT_MEMBERS).select("bucket")
-    one = flag_listed(shared, "bucket", hot, "bucket", "hot").withColumn("salt", F.explode(_salts(F.col("hot"), salts))).drop("hot")
-    return flag_listed(spread, "bucket", hot, "bucket", "hot").withColumn("salt", _salt(F.col("hot"), salts)).drop("hot").join(one, ["bucket", "salt"]).drop("salt")
+    listed = shared.where(F.col("members") > hot).select("bucket", F.ceil(F.col("members") / hot).alias("salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")), F.lit(0))
+    return spread.join(F.broadcast(listed), "bucket", "left").withColumn("salt", salt).drop("salts").join(_every_salt(shared, hot), ["bucket", "salt"]).drop("salt")
 
 
-def _dealt(members: DataFrame, one: DataFrame, salts: int) -> DataFrame:
+def _dealt(members: DataFrame, one: DataFrame, hot: int | None) -> DataFrame:
     """members joined with one row a bucket, both of which know the bucket's size."""
-    hot = F.col("members") > HOT_MEMBERS
-    if salts == 1:
+    if hot is None:
         return members.drop("members").join(one, "bucket")
-    return members.withColumn("salt", _salt(hot, salts)).drop("members").join(one.withColumn("salt", F.explode(_salts(hot, salts))), ["bucket", "salt"]).drop("salt")
+    salt = F.when(F.col("members") > hot, F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("members") / hot))).otherwise(0)
+    return members.withColumn("salt", salt.cast("long")).drop("members").join(_every_salt(one, hot), ["bucket", "salt"]).drop("salt")
 
 
-def _salt(hot, salts: int):
-    return F.when(hot, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(salts)).cast("int")).otherwise(0)
-
-
-def _salts(hot, salts: int):
-    return F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+def _every_salt(one: DataFrame, hot: int) -> DataFrame:
+    return one.withColumn("salt", F.explode(F.when(F.col("members") > hot, F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / hot) - 1)).otherwise(F.array(F.lit(0).cast("long")))))
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
