@@ -137,3 +137,12 @@ def verdict(component: Column, score: Column, method: Column) -> dict[str, Colum
         "escalate": escalate,
         "escalation_note": F.when(escalate, F.coalesce(F.nullif(component["criticality_policy"], F.lit("")), F.lit("Chinese origin not acceptable in this subsystem"))).otherwise(""),
     }
+
+
+def banner_line(headline: Column, result: Column) -> Column:
+    """The line under a banner: by the headline's first words, as several reasons share a result, else by the result."""
+    line = F.when(headline == R.WEAK_HEADLINE, R.WEAK_LINE)
+    for start, text in R.BANNER_LINES:
+        line = line.when(headline.startswith(start), text)
+    named = F.create_map(*[F.lit(x) for pair in R.RESULT_LINES.items() for x in pair])
+    return F.coalesce(line, F.try_element_at(named, result), F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -40,6 +40,16 @@ def page(rows: DataFrame, number: int = 1, size: int = 50, order: str = "compone
     return rows.orderBy(order, "component_id").offset((max(number, 1) - 1) * size).limit(size)
 
 
+def page_with_total(rows: DataFrame, number: int = 1, size: int = 50, order: str = "component_name") -> DataFrame:
+    """A page whose rows also tell how many rows there are in all; the driver sees that number alone."""
+    return page(rows, number, size, order).withColumn("total", F.lit(rows.count()).cast("long"))
+
+
+def named(catalogue: DataFrame, ids: DataFrame) -> DataFrame:
+    """The live rows of the ids asked for (component_id), each once."""
+    return live(catalogue).join(ids.select("component_id").distinct(), "component_id", "left_semi")
+
+
 def facets(catalogue: DataFrame) -> DataFrame:
     """facet, value, n over the live rows, in one pass; blanks are (blank)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(blank)")).alias("value")) for c in FACETS]))
@@ -93,15 +103,83 @@ def soft_delete(catalogue: DataFrame, ids: DataFrame) -> DataFrame:
     return catalogue.join(gone, "component_id", "left").withColumn("is_deleted", F.col("is_deleted") | F.coalesce("gone", F.lit(False))).select(catalogue.columns)
 
 
-def edit_country(catalogue: DataFrame, component_id: str, country: str) -> DataFrame:
-    """A version with one row's country changed: its origin is derived again (the declared flag has no say), and pending follows."""
-    here = F.col("component_id") == component_id
-    flag = derive_origin(F.lit(country), F.col("remarks"), F.lit(""))
-    return catalogue.withColumns({
-        "is_chinese": F.when(here, flag).otherwise(F.col("is_chinese")),
-        "pending_verification": F.when(here, flag == "UNKNOWN").otherwise(F.col("pending_verification")),
-        "country_of_origin": F.when(here, country).otherwise(F.col("country_of_origin")),
+def create(catalogue: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next version, outcomes). rows have component_id ('' or null: made from the part), the text fields and row_number. Origin,
+    maker and key are derived, never taken as they are. An id that a live row has is refused; so is one that an earlier of the
+    rows takes. outcomes: row_number, component_id, outcome (created, conflict) and after, the post-image of a created row.
+    A created id that only a deleted row has replaces that row.
+    """
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
+    made = rows.withColumns({
+        "manufacturer": X.manufacturer_key(given("manufacturer")),
+        "is_chinese": derive_origin(given("country_of_origin"), given("remarks"), F.lit("")),
+        "search_key": X.normalize(F.coalesce(F.nullif(given("chip_number"), F.lit("")), given("part_number"))),
     })
+    own = X.component_id(given("chip_number"), given("part_number"), given("component_name"), F.col("manufacturer"))
+    made = made.withColumn("component_id", F.coalesce(F.nullif(given("component_id"), F.lit("")), own))
+    made = made.withColumns({"pending_verification": F.col("is_chinese") == "UNKNOWN", "revision": F.lit(1), "is_deleted": F.lit(False)})
+    first = made.groupBy("component_id").agg(F.min("row_number").alias("first"))
+    taken = live(catalogue).select("component_id").withColumn("taken", F.lit(True))
+    judged = made.join(first, "component_id").join(taken, "component_id", "left")
+    refused = F.coalesce("taken", F.lit(False)) | (F.col("row_number") > F.col("first"))
+    image = F.struct(*[(F.col(c).cast(t) if c in judged.columns else F.lit(None).cast(t)).alias(c) for c, t in catalogue.dtypes])
+    outcomes = judged.select("row_number", "component_id", F.when(refused, "conflict").otherwise("created").alias("outcome"), F.when(~refused, image).alias("after"))
+    fresh = outcomes.where("outcome = 'created'").select("after.*")
+    kept = catalogue.join(fresh.select("component_id"), "component_id", "left_anti").select(catalogue.columns)
+    return kept.unionByName(fresh), outcomes
+
+
+def edit(catalogue: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next version, pre-images). edits: component_id and the fields to set, one row an id; a null field is left as it is.
+
+    A new country derives the origin again (the declared flag has no say) and sets pending by it; a new maker is brought to its
+    key; the revision is raised. Ids that no live row has change nothing."""
+    fields = [c for c in edits.columns if c != "component_id"]
+    if bad := sorted(set(fields) - set(catalogue.columns)):
+        raise ValueError(f"no such fields: {', '.join(bad)}")
+    asked = edits.select("component_id", F.struct(*fields).alias("edit"))
+    joined = catalogue.join(asked, "component_id", "left").withColumn("hit", F.col("edit").isNotNull() & ~F.col("is_deleted"))
+    before = joined.where("hit").select("component_id", F.struct(*catalogue.columns).alias("before"))
+    new = {c: F.when(F.col("hit"), F.coalesce(F.col(f"edit.{c}"), F.col(c))).otherwise(F.col(c)) for c in fields}
+    if "manufacturer" in new:
+        new["manufacturer"] = F.when(F.col("hit") & F.col("edit.manufacturer").isNotNull(), X.manufacturer_key(F.col("edit.manufacturer"))).otherwise(F.col("manufacturer"))
+    moved = F.col("hit") & F.col("edit.country_of_origin").isNotNull() if "country_of_origin" in fields else F.lit(False)
+    out = joined.withColumn("moved", moved).withColumns(new)
+    flag = derive_origin(F.col("country_of_origin"), F.col("remarks"), F.lit(""))
+    out = out.withColumns({"is_chinese": F.when(F.col("moved"), flag).otherwise(F.col("is_chinese"))})
+    out = out.withColumn("pending_verification", F.when(F.col("moved"), F.col("is_chinese") == "UNKNOWN").otherwise(F.col("pending_verification")))
+    if "revision" in catalogue.columns:
+        out = out.withColumn("revision", F.col("revision") + F.col("hit").cast("int"))
+    return out.select(catalogue.columns), before
+
+
+def edit_country(catalogue: DataFrame, component_id: str, country: str) -> DataFrame:
+    """A version with one row's country changed."""
+    one = catalogue.sparkSession.createDataFrame([(component_id, country)], "component_id string, country_of_origin string")
+    return edit(catalogue, one)[0]
+
+
+def seed(catalogue: DataFrame, rows: DataFrame) -> DataFrame:
+    """The catalogue with those seed rows whose ids it has not, live or deleted; derived like created ones, but a declared
+    origin counts."""
+    derived = rows.withColumns({
+        "is_chinese": derive_origin(F.col("country_of_origin"), F.col("remarks"), F.col("is_chinese")),
+        "manufacturer": X.manufacturer_key(F.col("manufacturer")),
+        "search_key": X.normalize(F.coalesce(F.nullif("chip_number", F.lit("")), "part_number")),
+    }).withColumn("pending_verification", F.col("is_chinese") == "UNKNOWN")
+    fresh = derived.dropDuplicates(["component_id"]).join(catalogue.select("component_id"), "component_id", "left_anti")
+    return catalogue.unionByName(fresh.select(*[c for c in catalogue.columns if c in fresh.columns]), allowMissingColumns=True)
+
+
+def history(revisions: DataFrame, newest_first: str = "created_at") -> DataFrame:
+    """revisions with place: 1 for the newest of each component."""
+    order = Window.partitionBy("component_id").orderBy(F.desc(newest_first), F.desc("batch_id"))
+    return revisions.withColumn("place", F.row_number().over(order))
+
+
+def latest(rows: DataFrame, at: str, tie: str, n: int = 50) -> DataFrame:
+    """The n newest rows: import batches, log entries."""
+    return rows.orderBy(F.desc(at), F.desc(tie)).limit(n)
 
 
 def reclassify_unknown(catalogue: DataFrame) -> DataFrame:

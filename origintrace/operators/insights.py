@@ -21,9 +21,38 @@ def window(scans: DataFrame, as_of: str, days: int) -> DataFrame:
     return scans.where(F.col("scanned_at") >= since(as_of, days))
 
 
-def scan_counters(scans: DataFrame, as_of: str) -> DataFrame:
+def scan_counters(scans: DataFrame, as_of: str, inspections: DataFrame | None = None) -> DataFrame:
+    """One row of counts over the last day and week and, with inspections (status), of open inspections."""
     at = F.col("scanned_at")
-    return scans.agg(F.count_if(at >= since(as_of, 1)).alias("scans_today"), F.count_if(at >= since(as_of, 7)).alias("scans_7d"), F.count_if((at >= since(as_of, 7)) & (F.col("result") == "chinese")).alias("chinese_hits_7d"))
+    counted = scans.agg(F.count_if(at >= since(as_of, 1)).alias("scans_today"), F.count_if(at >= since(as_of, 7)).alias("scans_7d"), F.count_if((at >= since(as_of, 7)) & (F.col("result") == "chinese")).alias("chinese_hits_7d"))
+    return counted if inspections is None else counted.withColumn("open_inspections", F.lit(inspections.where("status = 'open'").count()).cast("long"))
+
+
+def scan_history(scans: DataFrame, as_of: str, days: int = 30, result: str = "", inspection: str = "", user: str = "") -> DataFrame:
+    """Scans of the window; of one result, inspection or user where it is given."""
+    out = window(scans, as_of, days)
+    for column, value in (("result", result), ("inspection_id", inspection), ("user_id", user)):
+        out = out.where(F.col(column) == value) if value else out
+    return out
+
+
+def listed_inspections(inspections: DataFrame, status: str = "", inspector: str = "", n: int = 100) -> DataFrame:
+    """The n inspections that started last; of one status or inspector where it is given."""
+    for column, value in (("status", status), ("inspector_id", inspector)):
+        inspections = inspections.where(F.col(column) == value) if value else inspections
+    return inspections.orderBy(F.desc("started_at"), F.desc("inspection_number")).limit(n)
+
+
+def log_entries(log: DataFrame, as_of: str, days: int = 30, action: str = "", n: int = 200) -> DataFrame:
+    """The last n entries of the window, of one action where it is given."""
+    out = log.where(F.col("occurred_at") >= since(as_of, days))
+    return (out.where(F.col("action") == action) if action else out).orderBy(F.desc("sequence")).limit(n)
+
+
+def own_queue(queued: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Queued scans (device_id, user_id) whose user is the one signed in on the device (sessions: device_id, user_id); the others
+    wait for theirs."""
+    return queued.join(sessions.select("device_id", "user_id").distinct(), ["device_id", "user_id"], "left_semi")
 
 
 def recent(scans: DataFrame, n: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ocr import classify_marking, score_candidate
+from ..rules import tables as R
 
 LONG_PART, SAME_PART = 8, 0.8
 
@@ -89,6 +90,17 @@ def _same_part(word: str, taken: str) -> bool:
     return m.real_quick_ratio() >= SAME_PART and m.quick_ratio() >= SAME_PART and m.ratio() >= SAME_PART
 
 
-def scans_of_chips(chips: DataFrame) -> DataFrame:
-    """One scan for each package of an image (chip_no, markings ranked); none is picked where an image has several parts."""
-    return chips.select("image_id", F.posexplode("chips").alias("chip_no", "marking")).withColumn("raw_input", F.col("marking"))
+def scans_of_images(images: DataFrame) -> DataFrame:
+    """One row a scan to make, or a message where none is to be made.
+
+    images: image_id, chips (array of best, full_text; one a package that was told apart), multiple_parts, best, full_text. Each
+    package is a scan of its own, numbered from 0; where an image was not told apart and has several part numbers, none is
+    picked; else its best marking is the scan.
+    """
+    apart = F.size(F.coalesce("chips", F.array().cast(images.schema["chips"].dataType))) > 0
+    whole = F.array(F.struct(F.col("best"), F.col("full_text")))
+    pieces = F.when(apart, F.col("chips")).when(~F.col("multiple_parts") & (F.coalesce("best", F.lit("")) != ""), whole).otherwise(F.array().cast(images.schema["chips"].dataType))
+    message = F.when(apart, F.lit(None).cast("string")).when(F.col("multiple_parts"), R.SEVERAL_PARTS).when(F.coalesce("best", F.lit("")) == "", R.NOTHING_READ)
+    rows = images.select("image_id", apart.alias("apart"), message.alias("message"), F.posexplode_outer(pieces).alias("chip", "piece"))
+    suffix = F.when(F.col("apart"), F.concat(F.lit("-"), F.lpad(F.col("chip").cast("string"), 3, "0"))).otherwise("")
+    return rows.select(F.concat(F.substring("image_id", 1, 32), suffix).alias("client_uuid"), "image_id", F.col("piece.best").alias("raw_input"), F.col("piece.full_text").alias("ocr_text"), "message")
