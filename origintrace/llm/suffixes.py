@@ -5,8 +5,10 @@ the order of the rest; then common prefixes of neighbours tell which windows of
 
 Across tasks: anchors (byte strings of ANCHOR bytes that have the least hash of some window) are chosen by content alone, so
 equal windows hold the same anchor at the same place. Occurrences of an anchor meet by its hash. Where their surroundings (all
-windows that can hold the anchor) are equal as a whole, all but the first occurrence are repeats as they are; where they
-differ, the surroundings' bytes go into suffix arrays. A frequent anchor is split: each of its occurrences goes to the longer
+windows that can hold the anchor) are equal as a whole, by a 64-bit hash beside the anchor's own, all but the first occurrence
+are repeats as they are, so copies are one piece of text from there on; where they differ, the surroundings' bytes go into
+suffix arrays. Only surroundings of one anchor are ever held against each other by hash: with 10**13 of them in groups of a
+thousand, the chance that any two differ and have one hash is about 3e-4. A frequent anchor is split: each of its occurrences goes to the longer
 strings around it that windows further left and further right must share, halving the windows' range until groups are small.
 """
 
@@ -26,8 +28,7 @@ WIDTH = 100
 ANCHOR = 32
 CHUNK_BYTES = 1 << 18  # text hashed at once
 HELD_ANCHORS = 120_000  # anchors that a task combines before it passes them on
-CROWD = 64  # different surroundings of an anchor among those, from which its occurrences are dealt over SALTS keys
-SALTS = 64
+CROWD = 64  # different surroundings of an anchor among those, from which its occurrences are dealt over keys by their surroundings
 GROUP = 512  # surroundings of one key that go into one suffix array; larger groups are split by longer keys, an anchor's too
 BLOCK_BYTES = 1 << 18  # text of one suffix array
 LAST = (1 << 63) - 1  # null ids come last, by their texts' hashes: up to 2**40 below this
@@ -227,7 +228,7 @@ def _find(width: int, crowd: int):
         doc, place, length, anchor, around = doc[new], place[new], length[new], anchor[new], around[new]
         names, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
         crowded = count[which] > crowd
-        salt = np.where(crowded, 1 + around % SALTS, 0)
+        salt = np.where(crowded, 1 + (around & 0x3FFFFFFF), 0)  # as many keys as surroundings
         yield _rows(OCCURS, anchor, salt, around, doc, place, length)
         crowds = names[count > crowd]
         if len(crowds):
@@ -489,7 +490,9 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def op6_suffix_dedup(spark, sf_dir):
-    """What is left of every document when passages of 100 bytes that occur earlier are taken out."""
+    """What is left of every document when passages of 100 bytes that occur earlier are taken out.
+
+    A null text is empty; null doc_ids come last; rows repeated in id and text get equal rows; no documents give no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = without_repeats(docs, texts=False)
     return done.select("doc_id", F.col("rep_bytes").alias("n_bytes"), F.col("rep_removed").alias("n_removed"), F.col("rep_spans").alias("n_spans"), F.col("rep_sha256").alias("kept_sha256"))
