@@ -204,3 +204,26 @@ def spot_components(docs, common, percent=75):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: (len(s), min((e for e in ids if sets[e] == s), default=d) if s else d, find(d)) for d, s in sets.items()}
+
+
+def hilbert_place(cell, bits):
+    """The curve index of one cell, bit by bit: the quadrant's Gray code rank, after the turns and flips of the quadrants above."""
+    d, cell = len(cell), list(cell)
+    for b in range(bits - 1, 0, -1):
+        for i in range(d):
+            if cell[i] >> b & 1:
+                cell[0] ^= (1 << b) - 1
+            else:
+                swap = (cell[0] ^ cell[i]) & ((1 << b) - 1)
+                cell[0], cell[i] = cell[0] ^ swap, cell[i] ^ swap
+    for i in range(1, d):
+        cell[i] ^= cell[i - 1]
+    flips = 0
+    for b in range(bits - 1, 0, -1):
+        if cell[-1] >> b & 1:
+            flips ^= (1 << b) - 1
+    place = 0
+    for b in range(bits - 1, -1, -1):
+        for c in cell:
+            place = place * 2 + ((c ^ flips) >> b & 1)
+    return place

@@ -188,6 +188,58 @@ def test_shards_are_even_and_gapless(spark, docs, clashing, law):
     assert [r.hilbert for r in order] == sorted(r.hilbert for r in got)
 
 
+def shard_rows(spark):
+    rows = [(i * 7 % 503 if i % 50 else None, "t" * (i % 90), ["en", "fr", None][i % 3], f"s{i % 5}", i % 11) for i in range(500)] + [(900, "same", "en", "s1", 3)] * 8
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    text = F.coalesce("text", F.lit(""))
+    df = df.withColumns({"size": (F.octet_length(text) + 16).cast("long"), "text_crc32": F.crc32(text.cast("binary")).cast("long")})
+    dims = {"source": sharding.quantise_name(F.col("source"), 8), "lang": sharding.quantise_name(F.col("lang"), 8), "size": sharding.quantise_log(F.col("size"), 8), "id": sharding.quantise_number(F.col("doc_id"), 0, 900, 8)}
+    return df, dims
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_shards_match_plain(spark, law):
+    """Against a plain walk: sort by the curve and the ties, then cut at equal counts, or at equal bytes."""
+    df, dims = shard_rows(spark)
+    cells = df.select("doc_id", "size", "text_crc32", *[c.alias(n) for n, c in dims.items()]).collect()
+    order = sorted(((plain.hilbert_place([r[3 + i] for i in range(4)], 8), (r.doc_id is not None, r.doc_id or 0), r.text_crc32, r.size, r.doc_id) for r in cells))
+    want, at, total, slots = [], 0, len(order) if law == "rows" else sum(x[3] for x in order), {}
+    for x in order:
+        shard = min(at * 12 // total, 11)
+        slots[shard] = slots.get(shard, -1) + 1
+        want.append((x[4], x[2], x[0], shard, slots[shard]))
+        at += 1 if law == "rows" else x[3]
+    got = sharding.hilbert_shards(df, dims, 12, size="size", tie=["doc_id", "text_crc32"], law=law).collect()
+    assert sorted(map(str, ((r.doc_id, r.text_crc32, r.hilbert, r.shard, r.slot) for r in got))) == sorted(map(str, want))
+
+
+def test_written_shards_prune_files(spark, tmp_path):
+    """A condition on two dimensions touches few of the files, by their min/max statistics; of files cut by id it touches more."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i * 7919 % 2000, i * 7919 % 2000 % 40, i * 7919 % 2000 // 40) for i in range(2000)], "doc_id long, x int, y int").withColumn("n", F.lit(1))
+    dims = {"x": sharding.quantise_number(F.col("x"), 0, 39, 6), "y": sharding.quantise_number(F.col("y"), 0, 49, 6)}
+
+    def touched(sharded, name):
+        files = glob.glob(f"{sharding.write_shards(sharded, str(tmp_path / name))}/shard=*/*.parquet")
+        hit = 0
+        for f in files:
+            stats = {}
+            table = pq.ParquetFile(f)
+            for c in ("x", "y"):
+                at = table.schema_arrow.names.index(c)
+                s = [table.metadata.row_group(g).column(at).statistics for g in range(table.num_row_groups)]
+                stats[c] = min(v.min for v in s), max(v.max for v in s)
+            hit += stats["x"][0] <= 6 and stats["y"][0] <= 6
+        return hit, len(files)
+
+    hit, files = touched(sharding.hilbert_shards(df, dims, 40, size="n", tie=["doc_id"]), "curve")
+    plain_hit, _ = touched(sharding.hilbert_shards(df, {"id": sharding.quantise_number(F.col("x"), 0, 39, 6)}, 40, size="n", tie=["doc_id"]), "by-x")
+    assert files >= 40 and hit <= 6 < plain_hit or hit < plain_hit / 1.5
+
+
 def test_shards_of_nothing(empty):
     assert sharding.hilbert_shards(empty, {"a": sharding.quantise_number(F.col("doc_id"), 0, 9, 8)}, 3, size="n_chars", tie=["doc_id"]).count() == 0
 
