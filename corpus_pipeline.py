@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from origintrace.llm import langid, minhash, mixing, packing, suffixes
-from origintrace.llm.common import cut, table
+from origintrace.llm.common import table
+from origintrace.session import drop, dropped_afterwards, scratch_path
 
 ENTROPY_GAIN, MAX_REPEATS = 0.5, 4.0
 
@@ -48,7 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's result. A stage's own tables, and its input, are dropped once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with dropped_afterwards(spark):
+            out = stage(spark, docs, sf_dir)
+            schema = out.schema
+            out.write.parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
