@@ -22,22 +22,41 @@ def clean_header(h: str) -> str:
     return " ".join(re.sub(r"[_-]+", " ", h.strip().lower()).split())
 
 
-def map_headers(columns: list[str]) -> tuple[dict[str, str], list[str]]:
-    """(header -> field, headers left over): names that are known first, in the file's order; then those like one, best first
-    in the fields' order. A field is taken once."""
+def _names(field: str) -> tuple[str, ...]:
+    return (field.replace("_", " "), *R.HEADER_NAMES[field])
+
+
+def sequence_likeness(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def edit_likeness(a: str, b: str) -> float:
+    """The device's: one minus the edits (with swaps) over the longer length; nothing is like an empty text."""
+    if not a or not b:
+        return 0.0
+    row, above, before = list(range(len(b) + 1)), [], []
+    for i, x in enumerate(a):
+        before, above, row = above, row, [i + 1]
+        for j, y in enumerate(b):
+            swap = before[j - 1] + (x != y) if i and j and x == b[j - 1] and a[i - 1] == y else len(a) + len(b)
+            row.append(min(above[j + 1] + 1, row[j] + 1, above[j] + (x != y), swap))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def map_headers(columns: list[str], likeness=sequence_likeness) -> tuple[dict[str, str], list[str]]:
+    """(header -> field, headers left over), by a table of all pairs of them: a known name scores above all likenesses, other pairs
+    their best likeness to one of the field's names, if it is enough. Known names are taken in the file's order, then the file's
+    headers in turn take their best free field (of equals, the first); a header and a field are taken once."""
+    cleaned = {c: clean_header(c) for c in columns}
+    place = {f: i for i, f in enumerate(R.HEADER_NAMES)}
+    known = [(0, i, place[f], c, f) for i, c in enumerate(columns) for f in R.HEADER_NAMES if cleaned[c] in _names(f)]
+    scored = [(max(likeness(cleaned[c], n) for n in _names(f)), c, f) for c in columns for f in R.HEADER_NAMES]
+    like = [(1, columns.index(c), -s, place[f], c, f) for s, c, f in scored if s >= R.HEADER_LIKENESS]
     mapping: dict[str, str] = {}
-    for c in columns:
-        free = [f for f in R.HEADER_NAMES if f not in mapping.values()]
-        hit = next((f for f in free if clean_header(c) in (f.replace("_", " "), *R.HEADER_NAMES[f])), None)
-        if hit:
-            mapping[c] = hit
-    for c in (c for c in columns if c not in mapping):
-        free = [f for f in R.HEADER_NAMES if f not in mapping.values()]
-        likeness = lambda f: max(SequenceMatcher(None, clean_header(c), n).ratio() for n in (f.replace("_", " "), *R.HEADER_NAMES[f]))  # noqa: B023, E731
-        best = max(free, key=likeness, default=None)
-        if best and likeness(best) >= R.HEADER_LIKENESS:
-            mapping[c] = best
-    return mapping, [c for c in columns if c not in mapping and clean_header(c) not in R.IGNORED_HEADERS]
+    for *_, c, f in [*sorted(known), *sorted(like)]:
+        if c not in mapping and f not in mapping.values():
+            mapping[c] = f
+    return mapping, [c for c in columns if c not in mapping and cleaned[c] not in R.IGNORED_HEADERS]
 
 
 def apply_mapping(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:

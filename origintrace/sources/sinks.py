@@ -9,6 +9,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.catalogue import seed_summary
+
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """Header always; a byte-order mark starts the header, as spreadsheet programs want it."""
@@ -27,27 +29,84 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def xlsx_bytes(rows: DataFrame, title: str, most: int = 100_000) -> bytes:
-    """A workbook with a title row, the header and the rows. A workbook is a bounded document: more than `most` rows are refused."""
-    held = rows.limit(most + 1).collect()
+def json_documents(rows: DataFrame, order: str, exported_at: str, revision: int, rows_each: int = 1000) -> DataFrame:
+    """The export as JSON documents {exported_at, revision, components: [...]}, each of at most rows_each rows, so that none is
+    gathered whole: chunk (the document's number) and value. Rows are dealt by the order column's number, an integer."""
+    chunk = F.floor(F.col(order) / rows_each).cast("long")
+    one = F.to_json(F.struct(*[c for c in rows.columns if c != order]), {"ignoreNullFields": "false"})
+    listed = rows.select(chunk.alias("chunk"), F.struct(F.col(order).alias("o"), one.alias("json")).alias("r")).groupBy("chunk").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["json"]), ",")
+    head = F.lit('{"exported_at":"' + exported_at + '","revision":' + str(revision) + ',"components":[')
+    return listed.select("chunk", F.concat(head, body, F.lit("]}")).alias("value"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One file a document."""
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+BANNER = "RESTRICTED"
+_FONTS = '<fonts count="6"><font><sz val="10"/><name val="Arial"/></font><font><b/><sz val="12"/><color rgb="FFC00000"/><name val="Arial"/></font><font><b/><sz val="14"/><name val="Arial"/></font><font><i/><sz val="9"/><name val="Arial"/></font><font><b/><sz val="10"/><color rgb="FFFFFFFF"/><name val="Arial"/></font><font><i/><sz val="8"/><name val="Arial"/></font></fonts>'
+_FILLS = '<fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>' + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{c}"/></patternFill></fill>' for c in ("1F3864", "F8CBAD", "FFE699")) + "</fills>"
+#: Cell formats: plain, banner, title, provenance, header, footer, restricted row, unknown row.
+_FORMATS = [(0, 0), (1, 0), (2, 0), (3, 0), (4, 2), (5, 0), (0, 3), (0, 4)]
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def xlsx_bytes(rows: DataFrame, title: str, most: int = 100_000, meta: dict | None = None, order: list[str] | None = None) -> bytes:
+    """A workbook with banner, title, provenance line, header with a filter, the rows (filled by result or origin) and the digest
+    of the body. A workbook is a bounded document: more than `most` rows are refused."""
+    import datetime
+    import hashlib
+
+    held = (rows.orderBy(*order) if order else rows).limit(most + 1).collect()
     if len(held) > most:
         raise ValueError(f"more than {most} rows: write CSV instead")
-    lines = [[title], rows.columns, *[["" if v is None else v for v in r] for r in held]]
-
-    def cell(v) -> str:
+    meta = {"generated_at": "", "generated_by": "", "db_revision": ""} | (meta or {})
+    digest = hashlib.sha256()
+    for r in held:
+        digest.update("|".join(f"{k}={r[k]}" for k in sorted(rows.columns)).encode())
+
+    def plain(v):
+        if isinstance(v, datetime.datetime) and v.tzinfo is not None:
+            v = v.astimezone(datetime.UTC).replace(tzinfo=None)
+        return "" if v is None else v
+
+    lines = [([BANNER], 1), ([title], 2), ([f"Generated {meta['generated_at']} by {meta['generated_by']} | database revision {meta['db_revision']} | {len(held)} record(s)"], 3), ([], 0), ([c.replace("_", " ").upper() for c in rows.columns], 4)]
+    head = len(lines)
+    for r in held:
+        verdict = next((r[c] for c in ("result", "is_chinese") if c in rows.columns and r[c]), "")
+        lines.append((list(map(plain, r)), {"chinese": 6, "YES": 6, "unknown_origin": 7, "UNKNOWN": 7}.get(verdict, 0)))
+    lines += [([], 0), ([f"Report body SHA-256: {digest.hexdigest()}"], 5)]
+
+    def cell(v, style: int) -> str:
         if isinstance(v, bool) or not isinstance(v, int | float):
-            return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-        return f"<c><v>{v}</v></c>"
+            return f'<c t="inlineStr" s="{style}"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+        return f'<c s="{style}"><v>{v}</v></c>'
 
     ns = "http://schemas.openxmlformats.org/"
-    sheet = "".join(f"<row>{''.join(map(cell, line))}</row>" for line in lines)
+    sheet = "".join(f"<row>{''.join(cell(v, style) for v in values)}</row>" for values, style in lines)
+    wide = ("remarks", "component_name", "alternative_manufacturer")
+    cols = "".join(f'<col min="{i}" max="{i}" width="{50 if c in wide else 18}" customWidth="1"/>' for i, c in enumerate(rows.columns, 1))
+    formats = "".join(f'<xf fontId="{font}" fillId="{fill}" applyFont="1" applyFill="1"/>' for font, fill in _FORMATS)
+    styles = f'<styleSheet xmlns="{ns}spreadsheetml/2006/main">{_FONTS}{_FILLS}<borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(_FORMATS)}">{formats}</cellXfs></styleSheet>'
+    view = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{head}" topLeftCell="A{head + 1}" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml."
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{ns}package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{ns}package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}styles+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="{ns}package/2006/relationships"><Relationship Id="r1" Type="{ns}officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}spreadsheetml/2006/main" xmlns:r="{ns}officeDocument/2006/relationships"><sheets><sheet name="Report" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{ns}package/2006/relationships"><Relationship Id="r1" Type="{ns}officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}spreadsheetml/2006/main"><sheetData>{sheet}</sheetData></worksheet>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}spreadsheetml/2006/main" xmlns:r="{ns}officeDocument/2006/relationships"><sheets><sheet name="{escape(title[:31] or "REPORT")}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{ns}package/2006/relationships"><Relationship Id="r1" Type="{ns}officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{ns}officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}spreadsheetml/2006/main">{view}<cols>{cols}</cols><sheetData>{sheet}</sheetData><autoFilter ref="A{head}:{_letters(len(rows.columns))}{head + len(held)}"/></worksheet>')
     return out.getvalue()
 
 
@@ -60,3 +119,20 @@ def save_version(catalogue: DataFrame, root: str, version: int) -> str:
 
 def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
+
+
+def restore_version(spark: SparkSession, root: str, current: DataFrame, version: int, copy: int) -> DataFrame:
+    """An earlier version, after the current rows were saved as version `copy`, so that a restore can be undone like any other."""
+    save_version(current, root, copy)
+    return read_version(spark, root, version)
+
+
+def write_seed(catalogue: DataFrame, root: str, rows_each: int = 1000) -> dict[str, str]:
+    """The seed as CSV, JSON documents, Parquet and a summary; the places of each."""
+    places = {k: f"{root}/{k}" for k in ("csv", "json", "parquet", "summary")}
+    rows = catalogue.drop("ord", "is_deleted", "pending_verification")
+    write_csv(rows, places["csv"])
+    write_documents(json_documents(catalogue.drop("is_deleted", "pending_verification"), "ord", "", 1, rows_each), places["json"])
+    rows.write.parquet(places["parquet"])
+    seed_summary(catalogue).write.parquet(places["summary"])
+    return places
