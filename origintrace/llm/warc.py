@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import cut, flag_listed, scratch, table
 
 DIGEST_FROM = 1000  # payload bytes from which equal payloads are stored once
 RECORDS_A_FILE = 2000
@@ -31,14 +31,20 @@ def deduplicated(pages: DataFrame, least: int = DIGEST_FROM) -> DataFrame:
     Of equal payloads of at least `least` bytes the one with the largest page_id is stored, the others refer to it. Rows that
     repeat that page_id are responses too; where all page_ids of a group are null, each is a response. A null html is ''.
 
-    Only digests that occur twice are joined back, one row each, so the pages' side of the join is the only one with a hot
-    key and AQE can split it.
+    Only digests that occur twice are joined back, one row each, and only to the rows that may have one of them: a bitmap of
+    fixed size lets the others pass without being shuffled. The pages' side of the join is the only one with a hot key, so AQE
+    can split it.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
-    heads = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("head_digest")).agg(F.max("page_id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and head_id is not null").drop("n")
-    joined = rows.join(heads, (F.col("payload_digest") == F.col("head_digest")) & (F.col("payload_bytes") >= least), "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head_id")), F.col("head_id"))).drop("head_id", "head_digest")
+    long_ = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("head_digest"))
+    heads = long_.agg(F.max("page_id").alias("head_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and head_id is not null").select("head_digest", "head_id", F.xxhash64("head_digest").alias("head_key"))
+    heads = cut(heads, "warc-heads")
+    told = flag_listed(rows.withColumn("key", F.xxhash64("payload_digest")), "key", heads, "head_key", "listed").drop("key")
+    joined = told.where("listed").join(heads.drop("head_key"), (F.col("payload_digest") == F.col("head_digest")) & (F.col("payload_bytes") >= least), "left")
+    joined = joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("head_id")), F.col("head_id")))
+    columns = [*rows.columns, "refers_to"]
+    return told.where("not listed").withColumn("refers_to", F.lit(None).cast(joined.schema["refers_to"].dataType)).select(columns).unionByName(joined.select(columns))
 
 
 def record_text(row_id: Column, url: Column, payload: Column, payload_bytes: Column, digest: Column, refers_to: Column) -> Column:
