@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import tables as R
@@ -27,17 +27,25 @@ def raw_lines(text: Column) -> Column:
 
 
 def tokens(text: Column, part_key: Column) -> Column:
+    return tokens_of(raw_lines(text), part_key)
+
+
+def tokens_of(lines: Column, part_key: Column) -> Column:
     """Upper-case alphanumeric tokens in reading order, without those that hold the first or last six characters of the part."""
     key = F.regexp_replace(F.upper(F.coalesce(part_key, F.lit(""))), "[^A-Z0-9]", "")
     head, tail = F.substring(key, 1, 6), F.when(F.length(key) >= 6, F.substring(key, -6, 6)).otherwise(key)
-    every = F.flatten(F.transform(raw_lines(text), lambda line: F.split(F.upper(line), "[^A-Z0-9]+")))
+    every = F.flatten(F.transform(lines, lambda line: F.split(F.upper(line), "[^A-Z0-9]+")))
     return F.filter(every, lambda t: (t != "") & ((head == "") | (~t.contains(head) & ~t.contains(tail))))
 
 
 def country_code(text: Column, part_key: Column) -> Column:
+    return code_of(raw_lines(text), tokens(text, part_key))
+
+
+def code_of(lines: Column, toks: Column) -> Column:
     """The first token that is a country code; else the restricted one, if the whole text has one of its phrases; else null."""
-    codes = F.filter(tokens(text, part_key), lambda t: t.isin(list(R.COUNTRY_CODES)))
-    whole = F.upper(F.array_join(raw_lines(text), " "))
+    codes = F.filter(toks, lambda t: t.isin(list(R.COUNTRY_CODES)))
+    whole = F.upper(F.array_join(lines, " "))
     phrase = F.lit(False)
     for p in R.MARKING_PHRASES:
         phrase = phrase | whole.contains(p)
@@ -45,7 +53,10 @@ def country_code(text: Column, part_key: Column) -> Column:
 
 
 def site_codes(text: Column, maker: Column, part_key: Column) -> Column:
-    mine = canonical_maker(maker)
+    return sites_of(tokens(text, part_key), canonical_maker(maker))
+
+
+def sites_of(toks: Column, mine: Column) -> Column:
     known = F.lit(False)
 
     def is_site(t: Column) -> Column:
@@ -54,7 +65,7 @@ def site_codes(text: Column, maker: Column, part_key: Column) -> Column:
             hit = hit | ((mine == m) & (t == code))
         return hit
 
-    return F.array_distinct(F.filter(tokens(text, part_key), is_site))
+    return F.array_distinct(F.filter(toks, is_site))
 
 
 def _finding(code: str, severity: Column | str, message: Column | str) -> Column:
@@ -62,11 +73,37 @@ def _finding(code: str, severity: Column | str, message: Column | str) -> Column
     return F.struct(F.lit(code).alias("code"), lit(severity).alias("severity"), lit(message).alias("message"))
 
 
+def marked(rows: DataFrame, text: Column, maker: Column, part_key: Column, flag: Column) -> DataFrame:
+    """rows with country_code, country, site_codes, findings and worst (info, yellow or red) of a package's whole marking text.
+
+    Lines, tokens and codes are columns of their own on the way, so each is made once a row."""
+    out = rows.withColumns({"mk_lines": raw_lines(text), "mk_mine": canonical_maker(maker), "mk_flag": flag})
+    out = out.withColumn("mk_tokens", tokens_of(F.col("mk_lines"), part_key))
+    out = out.withColumns({"country_code": code_of(F.col("mk_lines"), F.col("mk_tokens")), "site_codes": sites_of(F.col("mk_tokens"), F.col("mk_mine"))})
+    out = out.withColumn("findings", _findings(F.col("country_code"), F.col("site_codes"), F.col("mk_mine"), F.col("mk_flag"), F.size("mk_lines")))
+    out = out.withColumns({"country": _country(F.col("country_code")), "worst": _worst(F.col("findings"))})
+    return out.drop("mk_lines", "mk_mine", "mk_flag", "mk_tokens")
+
+
 def analyse(text: Column, maker: Column, part_key: Column, flag: Column) -> dict[str, Column]:
-    """country_code, country, site_codes, findings and worst (info, yellow or red) of a package's whole marking text."""
+    """The columns of `marked` as expressions of one step."""
     code, sites, mine = country_code(text, part_key), site_codes(text, maker, part_key), canonical_maker(maker)
+    findings = _findings(code, sites, mine, flag, F.size(raw_lines(text)))
+    return {"country_code": code, "country": _country(code), "site_codes": sites, "findings": findings, "worst": _worst(findings)}
+
+
+def _country(code: Column) -> Column:
+    return F.coalesce(*[F.when(code == k, v) for k, v in R.COUNTRY_CODES.items()])
+
+
+def _worst(findings: Column) -> Column:
+    has = lambda severity: F.exists(findings, lambda f: f["severity"] == severity)
+    return F.when(has("red"), "red").when(has("yellow"), "yellow").otherwise("info")
+
+
+def _findings(code: Column, sites: Column, mine: Column, flag: Column, n_lines: Column) -> Column:
     cat = F.upper(F.coalesce(F.nullif(flag, F.lit("")), F.lit("UNKNOWN")))
-    country = F.coalesce(*[F.when(code == k, v) for k, v in R.COUNTRY_CODES.items()])
+    country = _country(code)
     restricted = F.coalesce(code == R.RESTRICTED_CODE, F.lit(False))
     found = [
         F.when(restricted & (cat == "NO"), _finding("unit_marked_china_catalogue_non_chinese", "red", "This unit is marked CHN (China) although the catalogue lists this part as non-Chinese. The marking on the unit itself governs: treat as Chinese and update the catalogue if this source is supplied this way.")),
@@ -87,10 +124,8 @@ def analyse(text: Column, maker: Column, part_key: Column, flag: Column) -> dict
                 out = F.when(here, _finding("china_wafer_fab_code", "yellow", f"Wafer-fab code {known} = {site}. The die was fabricated in China even if assembled elsewhere - origin policy decision required. (Code source: {source})")).otherwise(out)
         return out
 
-    missing = F.when(code.isNull() & mine.isin(R.PRINTS_COUNTRY) & (F.size(raw_lines(text)) >= 3), _finding("country_code_missing", "yellow", "This manufacturer normally prints a country-of-origin code, but none was read from an otherwise complete marking. Either the photo/OCR missed it or it has been removed - inspect the package surface."))
-    findings = F.array_compact(F.concat(F.array(*found), F.transform(sites, of_site), F.array(missing))).cast(_EMPTY)
-    worst = F.when(F.exists(findings, lambda f: f["severity"] == "red"), "red").when(F.exists(findings, lambda f: f["severity"] == "yellow"), "yellow").otherwise("info")
-    return {"country_code": code, "country": country, "site_codes": sites, "findings": findings, "worst": worst}
+    missing = F.when(code.isNull() & mine.isin(R.PRINTS_COUNTRY) & (n_lines >= 3), _finding("country_code_missing", "yellow", "This manufacturer normally prints a country-of-origin code, but none was read from an otherwise complete marking. Either the photo/OCR missed it or it has been removed - inspect the package surface."))
+    return F.array_compact(F.concat(F.array(*found), F.transform(sites, of_site), F.array(missing))).cast(_EMPTY)
 
 
 def tighten(verdict: Column, worst: Column, findings: Column) -> dict[str, Column]:

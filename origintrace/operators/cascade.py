@@ -120,12 +120,20 @@ def cheap_layers(scans: DataFrame, looked_up: DataFrame, key: str = "scan_id") -
     return first.select(key, F.when(F.col("agreed"), method).otherwise("conflict").alias("method"), _score(method).alias("score"), "component", "suggestions", F.col("norm").alias("normalized_input"))
 
 
+def _prefixes_of(text: Column, lengths: list[int]) -> Column:
+    """The text's prefixes of these lengths."""
+    known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    return F.transform(F.filter(known, lambda n: n <= F.length(text)), lambda n: F.substring(text, F.lit(1), n))
+
+
 def prefix_layer(scans: DataFrame, looked_up: DataFrame, key: str = "scan_id") -> DataFrame:
     """scans (key, norm) with stored keys that the marking begins with, or that begin with it; the longest stored keys count."""
     long_enough = scans.where(F.length("norm") >= R.PREFIX_FLOOR)
     keys = looked_up.where("kind = 'K'").select(F.col("probe").alias("stored"), "agreed", "component", "suggestions")
-    stored_begins = long_enough.select(key, "norm", F.explode(X.prefixes(F.col("norm"))).alias("stored")).join(keys, "stored")
-    read_begins = keys.select("*", F.explode(X.prefixes(F.col("stored"), R.PREFIX_FLOOR)).alias("norm")).join(long_enough, "norm")
+    # Only prefixes of lengths that the other side has can be equal to one of it; lengths are few whatever the rows.
+    lengths = lambda df, c: sorted(df.agg(F.collect_set(F.length(c))).first()[0])
+    stored_begins = long_enough.select(key, "norm", F.explode(_prefixes_of(F.col("norm"), lengths(keys, "stored"))).alias("stored")).join(keys, "stored")
+    read_begins = keys.select("*", F.explode(_prefixes_of(F.col("stored"), lengths(long_enough, "norm"))).alias("norm")).join(long_enough, "norm")
     found = stored_begins.unionByName(read_begins.select(stored_begins.columns))
     # Of all hits only the longest length's count and first matter, so the group is an aggregate, not a list.
     longest = found.groupBy(key, "norm", F.length("stored").alias("n")).agg(F.count_distinct("stored").alias("keys"), F.min_by(F.struct("agreed", "component", "suggestions"), "stored").alias("h"), F.min("stored").alias("stored"))
@@ -141,16 +149,56 @@ def prefix_layer(scans: DataFrame, looked_up: DataFrame, key: str = "scan_id") -
     )
 
 
+MOST_COMMON, COMMON_SHARE = 8, 0.02  # grams told by a mask: so many at most, and only such that this part of the rows has
+
+
+def _commonest_grams(rows: DataFrame) -> list[str]:
+    n = rows.count()
+    found = rows.select(F.explode(X.grams(F.col("search_key"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return [r.gram for r in found.where(F.col("n") > COMMON_SHARE * n).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).collect()]
+
+
+def _rare(common: list[str]) -> Column:
+    return F.array_except("grams", F.array(*[F.lit(g) for g in common]).cast("array<string>"))
+
+
+def _mask(common: list[str]) -> Column:
+    bits = [F.array_contains("grams", g).cast("int") * (1 << i) for i, g in enumerate(common)]
+    return sum(bits[1:], bits[0]) if bits else F.lit(0)
+
+
+def _first_of_masks(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """mask, ord, search_key, n: for each mask asked for, the rows that share most of its grams, FUZZY_SCANNED at most; so there are
+    no more rows than that times the masks."""
+    place = Window.partitionBy("row_mask").orderBy("ord")
+    first = stored.where("row_mask <> 0").select("row_mask", "ord", "search_key").withColumn("place", F.row_number().over(place)).where(F.col("place") <= R.FUZZY_SCANNED).drop("place")
+    first = cut(first, "fuzzy-first")
+    bits = lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_COMMON - 1)), lambda i: F.when(F.getbit(F.col(c), i) == 1, i)), lambda i: i.isNotNull())
+    mine, theirs = asked.select("mask").distinct().select("mask", F.explode(bits("mask")).alias("bit")), first.select("row_mask").distinct().select("row_mask", F.explode(bits("row_mask")).alias("bit"))
+    met = mine.join(theirs, "bit").groupBy("mask", "row_mask").agg(F.count(F.lit(1)).alias("n")).join(first, "row_mask")
+    best = Window.partitionBy("mask").orderBy(F.desc("n"), "ord")
+    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= R.FUZZY_SCANNED).select("mask", "ord", "search_key", "n")
+
+
 def fuzzy_layer(scans: DataFrame, catalogue: DataFrame, key: str = "scan_id") -> DataFrame:
     """scans (key, norm) against the 200 catalogue rows that share most 3-grams (first rows of equals), by similarity.
 
-    Distinct markings are compared once. Partial counts are combined before the shuffle; the distance is computed for the 200
-    kept rows only.
+    Distinct markings are compared once, with rows that they share a gram with other than the few commonest, which most rows may
+    have. What the commonest grams add to a row's count is told by a mask of them. Rows that share nothing else are the same
+    for all markings of a mask: the first 200 of each mask's rows are all that can count, a table of bounded size. So no
+    marking meets the whole catalogue, and the 200 are those of a full count.
     """
     wanted = scans.select("norm").distinct()
     rows = catalogue.where(F.col("search_key") != "").select("ord", "search_key")
-    shared = wanted.select("norm", F.explode(X.grams(F.col("norm"))).alias("gram")).join(rows.select("ord", "search_key", F.explode(X.grams(F.col("search_key"))).alias("gram")), "gram")
-    counts = shared.groupBy("norm", "ord", "search_key").agg(F.count(F.lit(1)).alias("n"))
+    common = _commonest_grams(rows)
+    asked = wanted.select("norm", X.grams(F.col("norm")).alias("grams")).select("norm", _rare(common).alias("rare"), _mask(common).alias("mask"))
+    asked = cut(asked, "fuzzy-asked")
+    stored = rows.select("ord", "search_key", X.grams(F.col("search_key")).alias("grams")).select("ord", "search_key", _rare(common).alias("rare"), _mask(common).alias("row_mask"))
+    shared = asked.select("norm", "mask", F.explode("rare").alias("gram")).join(stored.select("ord", "search_key", "row_mask", F.explode("rare").alias("gram")), "gram")
+    counts = shared.groupBy("norm", "ord", "search_key", F.bit_count(F.col("mask").bitwiseAND(F.col("row_mask"))).alias("also")).agg((F.count(F.lit(1)) + F.col("also")).alias("n")).drop("also")
+    if common:
+        counts = counts.unionByName(asked.join(F.broadcast(_first_of_masks(asked, stored)), "mask").select("norm", "ord", "search_key", "n"))
+    counts = counts.groupBy("norm", "ord", "search_key").agg(F.max("n").alias("n"))
     kept = counts.withColumn("place", F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("n"), "ord"))).where(F.col("place") <= R.FUZZY_SCANNED)
     scored = kept.withColumn("s", X.similarity(F.col("norm"), F.col("search_key"))).where(F.col("s") >= R.FUZZY_LEAST)
     order = Window.partitionBy("norm").orderBy(F.desc("s"), "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.marking import analyse, tighten
+from ..functions.marking import marked, tighten
 from ..functions.origin import verdict
 from ..rules import tables as R
 from .cascade import match
@@ -24,8 +24,7 @@ def scan_results(scans: DataFrame, catalogue: DataFrame, key: str = "scan_id") -
     and the check's country_code, site_codes, findings and worst."""
     verdicts = judged(match(scans, catalogue, key)).withColumnRenamed("method", "match_method").withColumnRenamed("score", "match_score")
     joined = scans.join(verdicts.drop("matched"), key)
-    marking = analyse(F.col("marking_text"), F.col("component.manufacturer"), F.col("component.search_key"), F.col("component.is_chinese"))
-    joined = joined.withColumns(marking)
+    joined = marked(joined, F.col("marking_text"), F.col("component.manufacturer"), F.col("component.search_key"), F.col("component.is_chinese"))
     tight = tighten(F.col("verdict"), F.col("worst"), F.col("findings"))
     return joined.select(
         *scans.columns, "normalized_input", "match_method", "match_score", F.col("component.component_id").alias("matched_component_id"), "suggestions",
@@ -41,9 +40,12 @@ def repeat_scans(scans: DataFrame, minutes: int = R.REPEAT_MINUTES) -> DataFrame
 
 
 def first_of_each(scans: DataFrame, uuid: str = "client_uuid") -> DataFrame:
-    """scans with status: the first of a client_uuid (by time, then id) is accepted, its replays are duplicates, and one without is failed."""
+    """scans with status: the first of a client_uuid (by time, then id) is accepted, its replays are duplicates, and one without is
+    failed. Those without are no group: they don't come into the window."""
     order = Window.partitionBy(uuid).orderBy("scanned_at", "scan_id")
-    return scans.withColumn("status", F.when(F.coalesce(F.col(uuid), F.lit("")) == "", "failed").when(F.row_number().over(order) == 1, "accepted").otherwise("duplicate"))
+    named = F.coalesce(F.col(uuid), F.lit("")) != ""
+    told = scans.where(named).withColumn("status", F.when(F.row_number().over(order) == 1, "accepted").otherwise("duplicate"))
+    return told.unionByName(scans.where(~named).withColumn("status", F.lit("failed")))
 
 
 def not_found_queue(results: DataFrame) -> DataFrame:

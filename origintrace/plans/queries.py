@@ -154,8 +154,9 @@ SELECT scan_id, code AS country_code, worst, codes FROM marked""", _scan)
 def marking_findings(spark, sf_dir):
     """Every scan's package marking against its maker, what was read as part (its tokens are no evidence) and an origin."""
     s = fx.scans(spark, sf_dir)
-    a = marking.analyse(F.col("marking_text"), F.col("true_maker"), F.col("raw_input"), F.when(F.col("scan_id") % 3 == 0, "NO").when(F.col("scan_id") % 3 == 1, "YES").otherwise(""))
-    return s.select("scan_id", a["country_code"].alias("country_code"), a["worst"].alias("worst"), F.transform(a["findings"], lambda f: f["code"]).alias("codes"))
+    flag = F.when(F.col("scan_id") % 3 == 0, "NO").when(F.col("scan_id") % 3 == 1, "YES").otherwise("")
+    a = marking.marked(s, F.col("marking_text"), F.col("true_maker"), F.col("raw_input"), flag)
+    return a.select("scan_id", "country_code", "worst", F.transform("findings", lambda f: f["code"]).alias("codes"))
 
 
 # --- the cascade ---

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,22 +23,35 @@ def new_scans(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
 def ingest(scans: DataFrame, store: str, checkpoint: str, late: str = "30 days") -> StreamingQuery:
     """Appends each scan once to the store, partitioned by capture date, whenever and however often it arrives.
 
-    Duplicates within the watermark are dropped by state; the anti-join with the store is the truth for all others, so no scan
-    is dropped for being late. A batch that is run again finds its own rows and adds none.
+    Replays that arrive within `late` of each other are dropped by state, whose watermark is the time of arrival: no scan is
+    late for that, whatever its capture time. Replays that come later still are found in the store, of which only the batch's
+    capture dates are read (a replay has its scan's capture time). A batch that is run again finds its own rows and adds none.
     """
     spark = scans.sparkSession
+    named = scans.where("client_uuid <> ''").withColumn("synced_at", F.current_timestamp())
+    once = named.withWatermark("synced_at", late).dropDuplicatesWithinWatermark(["client_uuid"])
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        try:
-            stored = spark.read.parquet(store)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = None
-        fresh = new_scans(batch, stored).withColumn("synced_at", F.current_timestamp()).withColumn("scan_date", F.to_date("scanned_at"))
+        batch = batch.withColumn("scan_date", F.to_date("scanned_at"))
+        fresh = new_scans(batch, _stored(spark, store, batch))
         fresh.write.mode("append").partitionBy("scan_date").parquet(store)
 
-    return scans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _stored(spark: SparkSession, store: str, batch: DataFrame) -> DataFrame | None:
+    """The store's uuids of the batch's capture dates; None if nothing is stored yet. A batch has few dates, which prune the store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    schema = "client_uuid string, scan_date date"
+    dates = [r[0] for r in batch.select("scan_date").distinct().collect()]
+    return spark.read.schema(schema).parquet(store).where(F.col("scan_date").isin(dates)).select("client_uuid")
+
+
+def queued_uploads(spark: SparkSession, folder: str, schema: str, files_each: int = 100) -> DataFrame:
+    """A device's queue of JSON files as a stream, so many files a batch; with availableNow it is emptied in batches and stops."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).json(folder)
 
 
 def queue_hits(results: DataFrame) -> DataFrame:
@@ -139,7 +152,8 @@ def lockout(tries: DataFrame, user: str, at: str, right: str, tie: str, after: i
 
 
 def lockout_stream(tries: DataFrame, after: int = R.LOCK_AFTER, minutes: float = R.LOCK_MINUTES) -> DataFrame:
-    """A stream (user, event_id, at, ok) with outcome; state: failures so far and the lock's end."""
+    """A stream (user, event_id, at, ok) with outcome; state: failures so far and the lock's end. Only users with failures have
+    state: a right password clears the count, and what is left is what a new user has."""
 
     def step(key, frames, state: GroupState):
         held = tuple(state.get) if state.exists else (0, 0.0)
@@ -147,7 +161,10 @@ def lockout_stream(tries: DataFrame, after: int = R.LOCK_AFTER, minutes: float =
             pdf = pdf.sort_values(["at", "event_id"])
             out, held = lock_steps([(t.timestamp(), bool(ok)) for t, ok in zip(pdf["at"], pdf["ok"], strict=True)], held, after, minutes * 60)
             yield pd.DataFrame({"user": key[0], "event_id": pdf["event_id"], "outcome": out})
-        state.update(held)
+        if held[0] or held[1]:
+            state.update(held)
+        elif state.exists:
+            state.remove()
 
     return tries.groupBy("user").applyInPandasWithState(step, "user string, event_id long, outcome string", "failed long, until double", "append", GroupStateTimeout.NoTimeout)
 
