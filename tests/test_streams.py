@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,8 +24,11 @@ def one_partition(spark):
 
 
 def write(folder, name, rows):
+    """A file that is newer than those written before, as a stream takes files by age."""
     folder.mkdir(exist_ok=True)
+    age = 1_700_000_000 + 10 * len(list(folder.iterdir()))
     (folder / name).write_text("\n".join(json.dumps(r, default=str) for r in rows))
+    os.utime(folder / name, (age, age))
 
 
 def scan(i, uuid, day=0):
