@@ -15,7 +15,7 @@ from ..rules import tables as R
 from ..session import cut
 
 CARRIED = ["component_id", "component_name", "manufacturer", "country_of_origin", "is_chinese", "category", "drone_subsystem", "criticality", "criticality_policy", "confidence_score", "verified_by", "verification_source", "search_key"]
-MOST_SUGGESTED = 25
+MOST_SUGGESTED, MOST_AMBIGUOUS = 25, 10
 
 BARCODE, QR, LABEL_BARCODE, LABEL_QR, KEY, LABEL_FIELD, CUT, GLYPH, FOLD, FOLD_CUT = range(1, 11)
 METHODS = {BARCODE: "exact_code", QR: "exact_code", LABEL_BARCODE: "exact_code", LABEL_QR: "exact_code", KEY: "normalized", LABEL_FIELD: "label_mpn", CUT: "lot_code_stripped", GLYPH: "ocr_corrected", FOLD: "ocr_folded", FOLD_CUT: "ocr_folded_stripped"}
@@ -29,12 +29,13 @@ def resolved_keys(rows: DataFrame, by: str) -> DataFrame:
     """One row a value of `by`: what its catalogue rows agree on.
 
     Rows of unknown origin give way to others. One origin left: the row of the highest confidence (the first of equals).
-    Several: a conflict, no component. component is null for a conflict; suggestions are the other rows' ids, 25 at most.
+    Several: a conflict, no component. component is null for a conflict; suggestions are the other rows' ids, 25 at most (n_rows
+    tells of how many); firsts are the first rows (ord, id) as they are listed, 10 at most.
     """
     comp = F.struct(*CARRIED)
     base = rows.where(F.coalesce(F.col(by), F.lit("")) != "").withColumn("flag", _flag("is_chinese")).withColumn("definite", F.col("flag") != "UNKNOWN")
     place = Window.partitionBy(by).orderBy(F.desc("definite"), "ord")
-    ranked = base.withColumn("place", F.row_number().over(place))
+    ranked = base.withColumns({"place": F.row_number().over(place), "nth": F.row_number().over(Window.partitionBy(by).orderBy("ord"))})
     best = F.max_by(comp, F.struct("definite", F.coalesce("confidence_score", F.lit(0.0)), -F.col("ord")))
     agreed = F.col("n_flags") <= 1
     return (
@@ -45,6 +46,7 @@ def resolved_keys(rows: DataFrame, by: str) -> DataFrame:
             F.count_distinct(F.when(F.col("definite"), F.col("flag"))).alias("n_flags"),
             best.alias("best"),
             F.array_sort(F.collect_list(F.when(F.col("place") <= MOST_SUGGESTED + 1, F.struct("place", "component_id", "definite")))).alias("hits"),
+            F.array_sort(F.collect_list(F.when(F.col("nth") <= MOST_AMBIGUOUS, F.struct("ord", F.col("component_id").alias("id"))))).alias("firsts"),
         )
         .withColumn("kept", F.when(F.col("n_definite") > 0, F.filter("hits", lambda h: h["definite"])).otherwise(F.col("hits")))
         .select(
@@ -53,6 +55,7 @@ def resolved_keys(rows: DataFrame, by: str) -> DataFrame:
             F.when(agreed, F.col("best")).alias("component"),
             F.transform(F.when(agreed, F.slice("kept", 2, MOST_SUGGESTED)).otherwise(F.slice("kept", 1, MOST_SUGGESTED)), lambda h: h["component_id"]).alias("suggestions"),
             "n_rows",
+            "firsts",
         )
     )
 
@@ -61,12 +64,12 @@ def lookups(catalogue: DataFrame) -> DataFrame:
     """kind (B, Q, K, F), probe, agreed, component, suggestions, n_rows: the catalogue as it is looked up."""
     live = catalogue.withColumn("fold", X.fold(F.col("search_key")))
 
+    keys = [resolved_keys(live, by).select(F.lit(kind).alias("kind"), "*") for by, kind in (("search_key", "K"), ("fold", "F"))]
     def codes(column: str, kind: str) -> DataFrame:
         code = F.upper(X.strip(F.col(column)))
         last = live.where(code != "").groupBy(code.alias("probe")).agg(F.max_by(F.struct(*CARRIED), "ord").alias("component"))
-        return last.select(F.lit(kind).alias("kind"), "probe", F.lit(True).alias("agreed"), "component", F.array().cast("array<string>").alias("suggestions"), F.lit(1).cast("long").alias("n_rows"))
+        return last.select(F.lit(kind).alias("kind"), "probe", F.lit(True).alias("agreed"), "component", F.array().cast("array<string>").alias("suggestions"), F.lit(1).cast("long").alias("n_rows"), F.array().cast(keys[0].schema["firsts"].dataType).alias("firsts"))
 
-    keys = [resolved_keys(live, by).select(F.lit(kind).alias("kind"), "*") for by, kind in (("search_key", "K"), ("fold", "F"))]
     out = codes("barcode", "B")
     for frame in (codes("qr_code", "Q"), *keys):
         out = out.unionByName(frame)
@@ -129,7 +132,7 @@ def _prefixes_of(text: Column, lengths: list[int]) -> Column:
 def prefix_layer(scans: DataFrame, looked_up: DataFrame, key: str = "scan_id") -> DataFrame:
     """scans (key, norm) with stored keys that the marking begins with, or that begin with it; the longest stored keys count."""
     long_enough = scans.where(F.length("norm") >= R.PREFIX_FLOOR)
-    keys = looked_up.where("kind = 'K'").select(F.col("probe").alias("stored"), "agreed", "component", "suggestions")
+    keys = looked_up.where("kind = 'K'").select(F.col("probe").alias("stored"), "agreed", "component", "suggestions", "firsts")
     # Only prefixes of lengths that the other side has can be equal to one of it; lengths are few whatever the rows.
     lengths = lambda df, c: sorted(df.agg(F.collect_set(F.length(c))).first()[0])
     stored_begins = long_enough.select(key, "norm", F.explode(_prefixes_of(F.col("norm"), lengths(keys, "stored"))).alias("stored")).join(keys, "stored")
@@ -137,18 +140,29 @@ def prefix_layer(scans: DataFrame, looked_up: DataFrame, key: str = "scan_id") -
     found = stored_begins.unionByName(read_begins.select(stored_begins.columns))
     # Of all hits only the longest length's count and first matter, so the group is an aggregate, not a list.
     longest = found.groupBy(key, "norm", F.length("stored").alias("n")).agg(F.count_distinct("stored").alias("keys"), F.min_by(F.struct("agreed", "component", "suggestions"), "stored").alias("h"), F.min("stored").alias("stored"))
-    top = longest.groupBy(key, "norm").agg(F.max_by(F.struct("keys", "h"), "n").alias("t")).select(key, "norm", "t.keys", "t.h.*")
+    top = longest.groupBy(key, "norm").agg(F.max_by(F.struct("keys", "h", "n"), "n").alias("t")).select(key, "norm", "t.keys", "t.n", "t.h.*")
     one = F.col("keys") == 1
+    top = top.join(_first_listed(found, top.where(~one).select(key, "n"), key), key, "left")
     return top.select(
         key,
         F.when(~one, "ambiguous_prefix").when(F.col("agreed"), "prefix").otherwise("conflict").alias("method"),
         F.when(one, R.SCORES["prefix"]).otherwise(0.0).alias("score"),
         F.when(one, F.col("component")).alias("component"),
-        F.when(one, F.col("suggestions")).otherwise(F.array().cast("array<string>")).alias("suggestions"),
+        F.when(one, F.col("suggestions")).otherwise(F.col("listed")).alias("suggestions"),
         F.col("norm").alias("normalized_input"),
     )
 
 
+def _first_listed(found: DataFrame, ambiguous: DataFrame, key: str) -> DataFrame:
+    """key, listed: the ids of the first rows of the longest stored keys, keys in the order of their own first rows. Of each scan no
+    more than MOST_AMBIGUOUS keys and rows come together."""
+    longest = found.join(ambiguous.withColumnRenamed("n", "longest"), key).where(F.length("stored") == F.col("longest"))
+    longest = longest.select(key, "stored", "firsts", F.col("firsts")[0]["ord"].alias("begins")).dropDuplicates([key, "stored"])
+    few = longest.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("begins"))).where(F.col("nth") <= MOST_AMBIGUOUS)
+    rows = few.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "firsts"))), lambda x: x["firsts"])).alias("rows"))
+    return rows.select(key, F.transform(F.slice("rows", 1, MOST_AMBIGUOUS), lambda r: r["id"]).alias("listed"))
+
+
 MOST_COMMON, COMMON_SHARE = 8, 0.02  # grams told by a mask: so many at most, and only such that this part of the rows has
 
 

@@ -35,6 +35,15 @@ _BACKWARD = cases("substr(norm, i, 1)", {b: a for a, b in R.GLYPH_PAIRS}.items()
 _CHEAP = {1: ("exact_code", 100), 2: ("exact_code", 100), 3: ("exact_code", 100), 4: ("exact_code", 100), 5: ("normalized", 100), 6: ("label_mpn", 100), 7: ("lot_code_stripped", 96), 8: ("ocr_corrected", 94), 9: ("ocr_folded", 90), 10: ("ocr_folded_stripped", 87)}
 _TEXT = "coalesce(mpn, raw_input)"
 
+#: Optimal string alignment of the pairs of w (a, b) as d (a, b, distance): a row of the table for each character of a. A state
+#: holds the row before, the one before that, and the row so far, which starts with its number. For recursive SQL.
+OSA = """t(a, b, i, j, above2, above, cur) AS (SELECT a, b, 1, 0, CAST([] AS BIGINT[]), range(0, length(b) + 1), [CAST(1 AS BIGINT)] FROM w
+  UNION ALL SELECT a, b, CASE WHEN j = length(b) THEN i + 1 ELSE i END, CASE WHEN j = length(b) THEN 0 ELSE j + 1 END, CASE WHEN j = length(b) THEN above ELSE above2 END, CASE WHEN j = length(b) THEN cur ELSE above END,
+    CASE WHEN j = length(b) THEN [CAST(i + 1 AS BIGINT)] ELSE list_append(cur, least(above[j + 2] + 1, cur[j + 1] + 1, above[j + 1] + CASE WHEN substr(a, i, 1) = substr(b, j + 1, 1) THEN 0 ELSE 1 END,
+      CASE WHEN i > 1 AND j > 0 AND substr(a, i, 1) = substr(b, j, 1) AND substr(a, i - 1, 1) = substr(b, j + 1, 1) THEN above2[j] + CASE WHEN substr(a, i, 1) = substr(b, j + 1, 1) THEN 0 ELSE 1 END ELSE 1000000 END)) END
+  FROM t WHERE i <= length(a)),
+d AS (SELECT a, b, CAST(cur[length(b) + 1] AS INT) AS distance FROM t WHERE i = length(a) AND j = length(b))"""
+
 READINGS = f"""places AS (SELECT scan_id, norm, unnest(range(1, length(norm) + 1)) AS i FROM read_keys),
 readings AS (SELECT scan_id, 0 AS place, norm AS variant FROM read_keys UNION ALL SELECT scan_id, 2 * i, substr(norm, 1, i - 1) || {_FORWARD} || substr(norm, i + 1) FROM places UNION ALL SELECT scan_id, 2 * i + 1, substr(norm, 1, i - 1) || {_BACKWARD} || substr(norm, i + 1) FROM places)"""
 
@@ -61,7 +70,9 @@ unlike AS (SELECT * FROM unread WHERE scan_id NOT IN (SELECT scan_id FROM prefix
 asked AS (SELECT norm, unnest(list_distinct(list_transform(range(1, greatest(2, length(norm) - 1)), lambda i: substr(norm, i, 3)))) AS gram FROM (SELECT DISTINCT norm FROM unlike)),
 stored AS (SELECT ord, search_key, unnest(list_distinct(list_transform(range(1, greatest(2, length(search_key) - 1)), lambda i: substr(search_key, i, 3)))) AS gram FROM live WHERE search_key <> ''),
 alike AS (SELECT norm, ord, search_key, row_number() OVER (PARTITION BY norm ORDER BY count(*) DESC, ord) AS place FROM asked JOIN stored USING (gram) GROUP BY norm, ord, search_key QUALIFY place <= {R.FUZZY_SCANNED}),
-measured AS (SELECT *, CAST(greatest(length(norm), length(search_key)) AS DOUBLE) AS longest, damerau_levenshtein(norm, search_key) AS d, len(list_filter(range(1, least(length(norm), length(search_key)) + 1), lambda i: substr(norm, 1, i) = substr(search_key, 1, i))) AS same FROM alike),
+w AS (SELECT DISTINCT norm AS a, search_key AS b FROM alike WHERE damerau_levenshtein(norm, search_key) < levenshtein(norm, search_key)),
+{OSA},
+measured AS (SELECT norm, ord, search_key, place, CAST(greatest(length(norm), length(search_key)) AS DOUBLE) AS longest, coalesce(distance, levenshtein(norm, search_key)) AS d, len(list_filter(range(1, least(length(norm), length(search_key)) + 1), lambda i: substr(norm, 1, i) = substr(search_key, 1, i))) AS same FROM alike LEFT JOIN d ON d.a = norm AND d.b = search_key),
 likeness AS (SELECT *, CASE WHEN norm = search_key THEN 100.0 ELSE round_even((1.0 - d / longest) * 100 * 0.75 + same / longest * 100 * 0.25, 2) END AS s FROM measured),
 ranked AS (SELECT norm, ord, s, row_number() OVER (PARTITION BY norm ORDER BY s DESC, place) AS r FROM likeness WHERE s >= {R.FUZZY_LEAST}),
 nearest AS (SELECT norm, max(s) AS best, max(CASE WHEN r = 2 THEN s END) AS second, max(CASE WHEN r = 1 THEN ord END) AS ord FROM ranked WHERE r <= {R.FUZZY_KEPT} GROUP BY norm),

@@ -71,17 +71,9 @@ def label_payloads(spark, sf_dir):
 
 
 _PAIRS = """SELECT v.event_id AS scan_id, (v.event_id * 31 + v.user_id) % z.n + z.lo AS target FROM {events} v CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS lo FROM {part}) z"""
-# Optimal string alignment, a row of the table for each character of a: a state holds the row before, the one before that and
-# the character before; a row is folded over the characters of b, and starts with its number.
-_OSA = """WITH RECURSIVE p AS (SELECT s.scan_id, regexp_replace(upper(s.raw_input), '[^A-Z0-9]', '', 'g') AS a, c.search_key AS b FROM scans s JOIN (""" + _PAIRS.format(events="events", part="part") + """) t ON t.scan_id = s.scan_id JOIN catalogue c ON c.ord = t.target),
-w AS (SELECT DISTINCT a, b FROM p),
-t(a, b, i, j, above2, above, cur) AS (SELECT a, b, 1, 0, CAST([] AS BIGINT[]), range(0, length(b) + 1), [CAST(1 AS BIGINT)] FROM w
-  UNION ALL SELECT a, b, CASE WHEN j = length(b) THEN i + 1 ELSE i END, CASE WHEN j = length(b) THEN 0 ELSE j + 1 END, CASE WHEN j = length(b) THEN above ELSE above2 END, CASE WHEN j = length(b) THEN cur ELSE above END,
-    CASE WHEN j = length(b) THEN [CAST(i + 1 AS BIGINT)] ELSE list_append(cur, least(above[j + 2] + 1, cur[j + 1] + 1, above[j + 1] + CASE WHEN substr(a, i, 1) = substr(b, j + 1, 1) THEN 0 ELSE 1 END,
-      CASE WHEN i > 1 AND j > 0 AND substr(a, i, 1) = substr(b, j, 1) AND substr(a, i - 1, 1) = substr(b, j + 1, 1) THEN above2[j] + CASE WHEN substr(a, i, 1) = substr(b, j + 1, 1) THEN 0 ELSE 1 END ELSE 1000000 END)) END
-  FROM t WHERE i <= length(a)),
-d AS (SELECT a, b, CAST(cur[length(b) + 1] AS INT) AS distance FROM t WHERE i = length(a) AND j = length(b))
-SELECT p.scan_id, CASE WHEN p.a = '' THEN length(p.b) ELSE distance END AS distance FROM p LEFT JOIN d ON p.a = d.a AND p.b = d.b"""
+_MARKED = """p AS (SELECT s.scan_id, regexp_replace(upper(s.raw_input), '[^A-Z0-9]', '', 'g') AS a, c.search_key AS b FROM scans s JOIN (""" + _PAIRS.format(events="events", part="part") + """) t ON t.scan_id = s.scan_id JOIN catalogue c ON c.ord = t.target),
+w AS (SELECT DISTINCT a, b FROM p)"""
+_OSA = f"WITH RECURSIVE {_MARKED}, {M.OSA} SELECT p.scan_id, CASE WHEN p.a = '' THEN length(p.b) ELSE distance END AS distance FROM p LEFT JOIN d ON p.a = d.a AND p.b = d.b"
 
 
 @query(_OSA, _scan)
@@ -186,14 +178,25 @@ def prefix_matches(spark, sf_dir):
     return found.select("scan_id", F.when(F.col("method") == "ambiguous_prefix", "ambiguous_prefix").otherwise("prefix").alias("kind"))
 
 
-@query(f"WITH {M.CASCADE} SELECT * FROM matches", _scan)
+@query("""WITH live AS (SELECT *, min(ord) OVER (PARTITION BY search_key) AS begins FROM catalogue WHERE NOT is_deleted), n AS (SELECT DISTINCT substr(regexp_replace(upper(raw_input), '[^A-Z0-9]', '', 'g'), 1, 5) AS norm FROM scans),
+h AS (SELECT norm, component_id, search_key, begins, ord, max(length(search_key)) OVER (PARTITION BY norm) AS longest FROM n JOIN live ON length(norm) >= 5 AND (starts_with(search_key, norm) OR starts_with(norm, search_key))),
+t AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY begins, ord) AS nth, min(search_key) OVER (PARTITION BY norm) <> max(search_key) OVER (PARTITION BY norm) AS several FROM h WHERE length(search_key) = longest)
+SELECT s.scan_id, l.ids FROM (SELECT scan_id, substr(regexp_replace(upper(raw_input), '[^A-Z0-9]', '', 'g'), 1, 5) AS norm FROM scans) s JOIN (SELECT norm, list(component_id ORDER BY nth) AS ids FROM t WHERE several AND nth <= 10 GROUP BY norm) l USING (norm)""", _scan)
+def prefix_suggestions(spark, sf_dir):
+    """The first ten parts of each marking that is read to five characters, where several stored keys begin with them."""
+    s = fx.scans(spark, sf_dir).select("scan_id", F.substring(X.normalize(F.col("raw_input")), 1, 5).alias("norm"))
+    found = cascade.prefix_layer(s, cascade.lookups(catalogue.live(fx.catalogue(spark, sf_dir))))
+    return found.where("method = 'ambiguous_prefix'").select("scan_id", F.col("suggestions").alias("ids"))
+
+
+@query(f"WITH RECURSIVE {M.CASCADE} SELECT * FROM matches", _scan)
 def cascade_matches(spark, sf_dir):
     """Every scan through the whole cascade."""
     m = cascade.match(fx.scans(spark, sf_dir), fx.catalogue(spark, sf_dir))
     return m.select("scan_id", "method", "score", F.col("component.component_id").alias("component_id"), "normalized_input")
 
 
-@query(f"WITH {M.VERDICTS}", _scan)
+@query(f"WITH RECURSIVE {M.VERDICTS}", _scan)
 def scan_verdicts(spark, sf_dir):
     """Every scan's verdict after the check of its package marking."""
     r = scans.scan_results(fx.scans(spark, sf_dir), fx.catalogue(spark, sf_dir))

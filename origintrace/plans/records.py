@@ -10,7 +10,8 @@ from ..operators import catalogue, imports, insights, ocr_words
 from ..rules import tables as R
 from ..streaming import ingest
 from . import fixtures as fx
-from .queries import _PAIRS, STAGED, _log, import_file
+from .matching_sql import OSA
+from .queries import _MARKED, _PAIRS, STAGED, _log, import_file
 from .registry import cases, cat, listed, query, res, scan
 
 # --- listings ---
@@ -294,12 +295,9 @@ def banner_lines(spark, sf_dir):
     return r.select("scan_id", origin.banner_line(F.col("headline"), F.col("result")).alias("line"))
 
 
-_SIMILAR = _PAIRS.format(events="events", part="part")
-
-
-@query(f"""WITH p AS (SELECT s.scan_id, upper(regexp_replace(upper(s.raw_input), '[^A-Z0-9]', '', 'g')) AS a, c.search_key AS b FROM scans s JOIN ({_SIMILAR}) t ON t.scan_id = s.scan_id JOIN catalogue c ON c.ord = t.target),
-m AS (SELECT *, CAST(greatest(length(a), length(b)) AS DOUBLE) AS n, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i))) AS same FROM p)
-SELECT scan_id, CASE WHEN a = '' THEN 0.0 WHEN a = b THEN 100.0 ELSE round_even((1.0 - damerau_levenshtein(a, b) / n) * 100 * 0.75 + same / n * 100 * 0.25, 2) END AS similarity FROM m""", scan)
+@query(f"""WITH RECURSIVE {_MARKED}, {OSA},
+m AS (SELECT p.scan_id, p.a, p.b, distance, CAST(greatest(length(p.a), length(p.b)) AS DOUBLE) AS n, len(list_filter(range(1, least(length(p.a), length(p.b)) + 1), lambda k: substr(p.a, 1, k) = substr(p.b, 1, k))) AS same FROM p LEFT JOIN d ON p.a = d.a AND p.b = d.b)
+SELECT scan_id, CASE WHEN a = '' THEN 0.0 WHEN a = b THEN 100.0 ELSE round_even((1.0 - distance / n) * 100 * 0.75 + same / n * 100 * 0.25, 2) END AS similarity FROM m""", scan)
 def marking_similarities(spark, sf_dir):
     """Likeness of every marking to its part's key."""
     targets = spark.sql(_PAIRS, **fx.tables(spark, sf_dir, "part", "events")).withColumnRenamed("target", "ord")
