@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,9 +70,12 @@ def sites_of(toks: Column, mine: Column) -> Column:
     return F.array_distinct(F.filter(toks, is_site))
 
 
-def _finding(code: str, severity: Column | str, message: Column | str) -> Column:
+def _finding(name: str, severity: str, **put: Column | str) -> Column:
+    """A finding with its text from the rules, columns or words put into the braces."""
+    parts = re.split(r"\{(\w+)\}", R.FINDING_TEXTS[name])
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(F.lit(code).alias("code"), lit(severity).alias("severity"), lit(message).alias("message"))
+    text = F.concat(*[lit(put[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    return F.struct(F.lit(name).alias("code"), F.lit(severity).alias("severity"), text.alias("message"))
 
 
 def marked(rows: DataFrame, text: Column, maker: Column, part_key: Column, flag: Column) -> DataFrame:
@@ -106,25 +111,25 @@ def _findings(code: Column, sites: Column, mine: Column, flag: Column, n_lines:
     country = _country(code)
     restricted = F.coalesce(code == R.RESTRICTED_CODE, F.lit(False))
     found = [
-        F.when(restricted & (cat == "NO"), _finding("unit_marked_china_catalogue_non_chinese", "red", "This unit is marked CHN (China) although the catalogue lists this part as non-Chinese. The marking on the unit itself governs: treat as Chinese and update the catalogue if this source is supplied this way.")),
-        F.when(restricted & (cat != "NO"), _finding("unit_marked_china", "red", "Country-of-origin code on the package reads CHN (China).")),
-        F.when(code.isNotNull() & ~restricted & (cat == "YES"), _finding("country_code_disagrees_with_catalogue", "yellow", F.concat(F.lit("Package is marked "), code, F.lit(" ("), country, F.lit(") but this part has been recorded as Chinese-origin. Either a different assembly site or a remarked package - the catalogue verdict is kept; verify with the manufacturer.")))),
+        F.when(restricted & (cat == "NO"), _finding("unit_marked_china_catalogue_non_chinese", "red")),
+        F.when(restricted & (cat != "NO"), _finding("unit_marked_china", "red")),
+        F.when(code.isNotNull() & ~restricted & (cat == "YES"), _finding("country_code_disagrees_with_catalogue", "yellow", code=code, country=country)),
     ]
 
     def of_site(t: Column) -> Column:
         out = F.lit(None).cast("struct<code:string,severity:string,message:string>")
         for m, known, kind, where, site, source in R.SITE_CODES:
-            here = (mine == m) & (t == known)
+            here, put = (mine == m) & (t == known), {"site_code": known, "site": site, "source": source}
             if kind == "assembly":
-                differs = F.when(restricted | F.lit(where == R.RESTRICTED_CODE), "red").otherwise("yellow")
-                out = F.when(here & code.isNotNull() & (code != where), _finding("site_code_contradicts_country_code", differs, F.concat(F.lit(f"Assembly-site code {known} = {site}, but the package country code is "), code, F.lit(f". These cannot both be original - possible remarked package. (Code source: {source})")))).otherwise(out)
+                for severity, serious in (("red", restricted | F.lit(where == R.RESTRICTED_CODE)), ("yellow", ~restricted & F.lit(where != R.RESTRICTED_CODE))):
+                    out = F.when(here & code.isNotNull() & (code != where) & serious, _finding("site_code_contradicts_country_code", severity, code=code, **put)).otherwise(out)
                 if where == R.RESTRICTED_CODE:
-                    out = F.when(here & code.isNull(), _finding("china_assembly_site_code", "red", f"Assembly-site code {known} = {site}, but no country code was read. (Code source: {source})")).otherwise(out)
+                    out = F.when(here & code.isNull(), _finding("china_assembly_site_code", "red", **put)).otherwise(out)
             elif where == R.RESTRICTED_CODE:
-                out = F.when(here, _finding("china_wafer_fab_code", "yellow", f"Wafer-fab code {known} = {site}. The die was fabricated in China even if assembled elsewhere - origin policy decision required. (Code source: {source})")).otherwise(out)
+                out = F.when(here, _finding("china_wafer_fab_code", "yellow", **put)).otherwise(out)
         return out
 
-    missing = F.when(code.isNull() & mine.isin(R.PRINTS_COUNTRY) & (n_lines >= 3), _finding("country_code_missing", "yellow", "This manufacturer normally prints a country-of-origin code, but none was read from an otherwise complete marking. Either the photo/OCR missed it or it has been removed - inspect the package surface."))
+    missing = F.when(code.isNull() & mine.isin(R.PRINTS_COUNTRY) & (n_lines >= 3), _finding("country_code_missing", "yellow"))
     return F.array_compact(F.concat(F.array(*found), F.transform(sites, of_site), F.array(missing))).cast(_EMPTY)
 
 
@@ -143,8 +148,8 @@ def tighten(verdict: Column, worst: Column, findings: Column) -> dict[str, Colum
     return {
         "result": result,
         "banner": pick("RED", "YELLOW", v["banner"]),
-        "headline": pick("CHINESE ORIGIN MARKED ON PACKAGE", "MARKING INCONSISTENT", v["headline"]),
-        "action": pick("Marking evidence overrides the catalogue - quarantine the part", "Package marking raises an origin question - verify before fitting", v["action"]),
+        "headline": pick(R.HEADLINES["marked"], R.HEADLINES["inconsistent"], v["headline"]),
+        "action": pick(R.ACTIONS["marked"], R.ACTIONS["inconsistent"], v["action"]),
         "alert": pick(F.lit(True), F.lit(False), v["alert"]),
         "criticality": v["criticality"],
         "confidence": v["confidence"],

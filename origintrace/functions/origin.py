@@ -98,26 +98,26 @@ def verdict(component: Column, score: Column, method: Column) -> dict[str, Colum
     result = F.when(~found, "not_found").when(restricted, "chinese").when(clean & ~low & ~maker & ~uncertain, "non_chinese").otherwise("unknown_origin")
     percent = lambda x: F.format_string("%.0f", F.bround(x, 0))
     headline = (
-        F.when(~found, "COMPONENT NOT FOUND")
-        .when(restricted & uncertain, "PROBABLE CHINESE COMPONENT - CONFIRM MARKING")
-        .when(restricted & maker, "CHINESE MANUFACTURER - COMPONENT ORIGIN PRESUMED CHINESE")
-        .when(restricted, "CHINESE COMPONENT DETECTED")
-        .when(~clean, "ORIGIN NOT FOUND")
-        .when(low, "ORIGIN NOT CONFIRMED")
-        .when(maker, "OEM NON-CHINESE - COMPONENT ORIGIN NOT DOCUMENTED")
-        .when(uncertain, "IDENTITY UNCERTAIN - REQUIRES MANUAL REVIEW")
-        .otherwise("NON-CHINESE COMPONENT")
+        F.when(~found, R.HEADLINES["not_found"])
+        .when(restricted & uncertain, R.HEADLINES["restricted_uncertain"])
+        .when(restricted & maker, R.HEADLINES["restricted_maker"])
+        .when(restricted, R.HEADLINES["restricted"])
+        .when(~clean, R.HEADLINES["no_origin"])
+        .when(low, R.HEADLINES["low"])
+        .when(maker, R.HEADLINES["maker"])
+        .when(uncertain, R.HEADLINES["uncertain"])
+        .otherwise(R.HEADLINES["clean"])
     )
     by = F.concat(F.lit("Matched by '"), method, F.lit("' at "), percent(score), F.lit("%. "))
     action = (
-        F.when(~found, "Capture images and save for review")
-        .when(restricted & uncertain, F.concat(by, F.lit("Treat as Chinese-origin until the marking is confirmed by eye.")))
-        .when(restricted & maker, "The catalogue records a Chinese manufacturer/OEM, not this unit's place of manufacture. Treat as Chinese-origin unless documented otherwise.")
+        F.when(~found, R.ACTIONS["not_found"])
+        .when(restricted & uncertain, F.concat(by, F.lit(R.ACTIONS["restricted_uncertain"])))
+        .when(restricted & maker, R.ACTIONS["restricted_maker"])
         .when(restricted, "")
-        .when(~clean, "Needs verification - refer to database manager")
+        .when(~clean, R.ACTIONS["no_origin"])
         .when(low, F.concat(F.lit("Match confidence "), percent(effective), F.lit(f"% is below the {R.CONFIDENCE_FLOOR:.0f}% floor - verify manually")))
-        .when(maker, "Only the manufacturer's home country is on record. Confirm the component's country of manufacture (package COO marking, datasheet or supplier certificate of conformance).")
-        .when(uncertain, F.concat(by, F.lit("Compare the marking on the part with the catalogue record before accepting.")))
+        .when(maker, R.ACTIONS["maker"])
+        .when(uncertain, F.concat(by, F.lit(R.ACTIONS["uncertain"])))
         .otherwise("")
     )
     escalate = (result == "chinese") & (crit == "CRITICAL")
