@@ -26,10 +26,14 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Gives back the memory that Arrow keeps in a Python worker between tasks."""
+    """Gives back the memory that Arrow and the C library keep in a Python worker between tasks."""
+    import ctypes
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
 
 
 def parts(spark: SparkSession) -> int:

@@ -9,19 +9,20 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, release, small_batches, table
 from .url_filters import host_of
 
 FIT_ROWS = 4000  # the character model is fitted on so many labelled rows in all (by hash, in equal shares of the languages), on their whole texts
 LEAST_FIT_ROWS = 50  # a language's share, where there are so many languages that an equal one would be smaller
 BINS = 1 << 15
-HELD_SCORES = 5 << 20  # scores of trigrams, a language each, that are added up at once
+HELD_TRIGRAMS, HELD_SCORES = 1 << 18, 1 << 20  # of a text at once; and scores of trigrams, a language each, that are added up at once
 UNKNOWN = "und"
 FULL_GRAMS = 40  # a text's mean log-likelihood a trigram counts as that of so many independent trigrams at most
 PRIOR_ROWS = 20.0  # rows that the parent's prior counts as
@@ -30,13 +31,13 @@ ODD_RATE = 0.02  # share of rows that declare none of what their language usuall
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 13) else c for c in range(256))
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Bins of the byte trigrams of the text, A-Z in lower case, with a space at each end."""
-    b = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass").translate(_LOWER) + b" ", dtype=np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return b[:0]
-    code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-    return (code * np.uint32(2654435761)) >> np.uint32(17)
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Bins of the byte trigrams of the text, A-Z in lower case, with a space at each end, so many at a time: a long text is never
+    held as numbers as a whole."""
+    raw = b" " + text.encode("utf-8", "surrogatepass").translate(_LOWER) + b" "
+    for at in range(0, len(raw) - 2, HELD_TRIGRAMS):
+        b = np.frombuffer(raw, dtype=np.uint8, offset=at, count=min(HELD_TRIGRAMS + 2, len(raw) - at)).astype(np.uint32)
+        yield (((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(17)
 
 
 class Model:
@@ -53,14 +54,13 @@ class Model:
 
     def score(self, text: str | None) -> np.ndarray:
         """Tempered log-likelihoods; zeros for a text without a letter, of which nothing is known."""
-        grams = trigrams(text) if text and not text.isspace() else ()
-        if len(grams) == 0:
-            return np.zeros(len(self.languages))
-        total = np.zeros(len(self.languages))
+        total, n = np.zeros(len(self.languages)), 0
         step = max(1, HELD_SCORES // len(self.languages))
-        for at in range(0, len(grams), step):
-            total += self.table[grams[at : at + step]].sum(axis=0, dtype=np.float64)
-        return total / len(grams) * min(len(grams), FULL_GRAMS)
+        for grams in trigrams(text) if text and not text.isspace() else ():
+            n += len(grams)
+            for at in range(0, len(grams), step):
+                total += self.table[grams[at : at + step]].sum(axis=0, dtype=np.float64)
+        return total / n * min(n, FULL_GRAMS) if n else total
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
@@ -87,10 +87,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         for batch in batches:
             for t, place in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found.setdefault(place, np.zeros(BINS, dtype=np.int64))
-                found[place] += np.bincount(trigrams(t.as_py()), minlength=BINS)
+                for grams in trigrams(t.as_py()):
+                    found[place] += np.bincount(grams, minlength=BINS)
         for place, counts in found.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place), pa.int32()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["place", "bin", "n"])
+        release()
 
     held = usable.join(F.broadcast(limits), "l").where("h <= most").select("t", "place").distinct().mapInArrow(count, "place int, bin int, n long")
     sums = held.groupBy("place", "bin").agg(F.sum("n").alias("n")).toPandas()
@@ -107,12 +109,14 @@ def text_likelihoods(model: Model, markup: bool = False):
     """A vectorised function text -> array<double>, in the model's order of languages; markup: tags, scripts and styles are left out."""
 
     @F.arrow_udf("array<double>")
-    def likelihoods(texts: pa.Array) -> pa.Array:
-        scores = []
-        for t in texts:
-            t = t.as_py()
-            scores.append(model.score(HIDDEN.sub(" ", t) if markup and t else t).tolist())
-        return pa.array(scores, pa.list_(pa.float64()))
+    def likelihoods(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            scores = []
+            for t in texts:
+                t = t.as_py()
+                scores.append(model.score(HIDDEN.sub(" ", t) if markup and t else t).tolist())
+            yield pa.array(scores, pa.list_(pa.float64()))
+        release()
 
     return likelihoods
 
