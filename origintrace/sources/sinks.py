@@ -61,15 +61,16 @@ def _letters(n: int) -> str:
 
 
 def xlsx_bytes(rows: DataFrame, title: str, most: int = 100_000, meta: dict | None = None, order: list[str] | None = None) -> bytes:
-    """A workbook with banner, title, provenance line, header with a filter, the rows (filled by result or origin) and the digest
-    of the body. A workbook is a bounded document: more than `most` rows are refused."""
+    """A workbook with a title row, the header and the rows; with meta (generated_at, generated_by, db_revision) a report: banner,
+    title, provenance line, header with a filter, the rows (filled by result or origin) and the digest of the body. A workbook
+    is a bounded document: more than `most` rows are refused."""
     import datetime
     import hashlib
 
     held = (rows.orderBy(*order) if order else rows).limit(most + 1).collect()
     if len(held) > most:
         raise ValueError(f"more than {most} rows: write CSV instead")
-    meta = {"generated_at": "", "generated_by": "", "db_revision": ""} | (meta or {})
+    report, meta = meta is not None, {"generated_at": "", "generated_by": "", "db_revision": ""} | (meta or {})
     digest = hashlib.sha256()
     for r in held:
         digest.update("|".join(f"{k}={r[k]}" for k in sorted(rows.columns)).encode())
@@ -80,11 +81,13 @@ def xlsx_bytes(rows: DataFrame, title: str, most: int = 100_000, meta: dict | No
         return "" if v is None else v
 
     lines = [([BANNER], 1), ([title], 2), ([f"Generated {meta['generated_at']} by {meta['generated_by']} | database revision {meta['db_revision']} | {len(held)} record(s)"], 3), ([], 0), ([c.replace("_", " ").upper() for c in rows.columns], 4)]
+    lines = lines if report else [([title], 2), (rows.columns, 0)]
     head = len(lines)
     for r in held:
         verdict = next((r[c] for c in ("result", "is_chinese") if c in rows.columns and r[c]), "")
         lines.append((list(map(plain, r)), {"chinese": 6, "YES": 6, "unknown_origin": 7, "UNKNOWN": 7}.get(verdict, 0)))
-    lines += [([], 0), ([f"Report body SHA-256: {digest.hexdigest()}"], 5)]
+    if report:
+        lines += [([], 0), ([f"Report body SHA-256: {digest.hexdigest()}"], 5)]
 
     def cell(v, style: int) -> str:
         if isinstance(v, bool) or not isinstance(v, int | float):
