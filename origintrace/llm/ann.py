@@ -26,7 +26,8 @@ BRANCHING = 8
 CALIBRATION_QUERIES = 96
 WANTED_RECALL = 0.95
 WIDTHS = (0.0, 0.5, 1.0, 2.0, 3.0)  # how much of a node's spread its bound takes; calibration takes what needs the fewest visits
-SHELF_ROWS, BLOCK_QUERIES = 65536, 8192  # of one task at most
+SHELVES = 8  # of a table, as long as none has more rows than a task may: a query brings k rows from each that it visits
+SHELF_ROWS, BLOCK_QUERIES = 65536, 4096  # of one task at most
 HELD_PRODUCTS = 1 << 21
 
 
@@ -244,7 +245,7 @@ class Index:
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         asked = usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
         sizes, visits, width, n = self.sizes, self.visits, self.width, parts(spark)
-        shelf, held = self._shelves(min(SHELF_ROWS, max(1024, int(sizes.sum()) // (4 * n))))
+        shelf, held = self._shelves(min(SHELF_ROWS, max(256, -(-int(sizes.sum()) // SHELVES))))
 
         def walk(frames):
             for pdf in frames:
