@@ -27,7 +27,7 @@ ANCHORS = frozenset(
     """.split()
 )
 CHAIN = 2
-BUCKET_BYTES = 64 << 20  # text that one task goes through; it holds two documents of it at a time
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000  # text that one task goes through, more where there would be too many; it holds two documents of it at a time
 #: Letters are kept (A-Z in lower case, bytes from 128 on as they are), the rest separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -81,7 +81,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("at"), F.xxhash64(body).alias("then"), "doc_id", body.alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    k = max(2 * parts(spark), -(-size // BUCKET_BYTES))
+    k = max(2 * parts(spark), min(-(-size // BUCKET_BYTES), MOST_BUCKETS))
     ranged = keyed.select("at", "then").repartitionByRange(k, "at", "then").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("at", "then")).alias("first"))
     starts = sorted({(r.at, r.then) for r in ranged.select("first.*").collect()}) or [(0, 0)]
     at_bounds, then_bounds = (np.array(c, dtype=np.int64) for c in zip(*starts, strict=True))
