@@ -116,7 +116,7 @@ JOIN {catalogue} c ON c.ord = t.target
 """
 
 WORDS = """
-SELECT 'IMG-' || CAST(s.scan_id % 500 AS STRING) AS image_id, w.text, CAST(60 + (s.scan_id * 7 + w.k) % 40 AS DOUBLE) AS confidence,
+SELECT 'IMG-' || CAST(s.scan_id - s.scan_id % 20 AS STRING) AS image_id, w.text, CAST(60 + (s.scan_id * 7 + w.k) % 40 AS DOUBLE) AS confidence,
   'engine' || CAST(s.scan_id % 2 AS STRING) AS engine, 'variant' || CAST(s.scan_id % 3 AS STRING) AS variant, CASE WHEN w.k = 3 THEN 'line' ELSE 'word' END AS level, s.scan_id * 4 + w.k AS ord
 FROM {scans} s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k4
 JOIN (SELECT scan_id, 0 AS k, raw_input AS text FROM {scans} UNION ALL SELECT scan_id, 1, 'GQ' || CAST(scan_id % 7 AS STRING) || 'J' FROM {scans}

@@ -384,11 +384,12 @@ def monthly_report(spark, sf_dir):
     return insights.monthly_report(fx.results(spark, sf_dir))
 
 
-@query("""SELECT device_id, sha256(string_agg('normalized_input=' || normalized_input || '|result=' || result || '|scan_id=' || CAST(scan_id AS VARCHAR), '' ORDER BY scan_id)) AS digest FROM results GROUP BY device_id""", _res)
+@query("""SELECT device_id || ' ' || strftime(scanned_at, '%Y-%m-%d') AS report, sha256(string_agg('normalized_input=' || normalized_input || '|result=' || result || '|scan_id=' || CAST(scan_id AS VARCHAR), '' ORDER BY scan_id)) AS digest FROM results GROUP BY 1""", _res)
 def report_digests(spark, sf_dir):
-    """One digest a device's report."""
-    rows = fx.results(spark, sf_dir).select("device_id", "scan_id", "normalized_input", "result")
-    return insights.body_digest(rows, ["scan_id"], "device_id")
+    """One digest for the report of each device and day."""
+    report = F.concat_ws(" ", "device_id", F.date_format("scanned_at", "yyyy-MM-dd"))
+    rows = fx.results(spark, sf_dir).select(report.alias("report"), "scan_id", "normalized_input", "result")
+    return insights.body_digest(rows, ["scan_id"], "report")
 
 
 @query("SELECT inspection_id, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE result = '{r}') AS {r}" for r in insights.RESULTS) + " FROM results WHERE inspection_id IS NOT NULL GROUP BY 1", _res)
