@@ -142,13 +142,13 @@ def marked_countries(spark, sf_dir):
 
 
 @query(f"""WITH to_mark AS (SELECT scan_id, marking_text, true_maker AS maker, raw_input AS part_key, CASE scan_id % 3 WHEN 0 THEN 'NO' WHEN 1 THEN 'YES' ELSE '' END AS flag FROM scans), {M.marking_tables("to_mark")}
-SELECT scan_id, code AS country_code, worst, codes FROM marked""", _scan)
+SELECT scan_id, code AS country_code, worst, array_to_string(codes, ',') AS codes FROM marked""", _scan)
 def marking_findings(spark, sf_dir):
     """Every scan's package marking against its maker, what was read as part (its tokens are no evidence) and an origin."""
     s = fx.scans(spark, sf_dir)
     flag = F.when(F.col("scan_id") % 3 == 0, "NO").when(F.col("scan_id") % 3 == 1, "YES").otherwise("")
     a = marking.marked(s, F.col("marking_text"), F.col("true_maker"), F.col("raw_input"), flag)
-    return a.select("scan_id", "country_code", "worst", F.transform("findings", lambda f: f["code"]).alias("codes"))
+    return a.select("scan_id", "country_code", "worst", F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"))
 
 
 # --- the cascade ---
@@ -181,12 +181,12 @@ def prefix_matches(spark, sf_dir):
 @query("""WITH live AS (SELECT *, min(ord) OVER (PARTITION BY search_key) AS begins FROM catalogue WHERE NOT is_deleted), n AS (SELECT DISTINCT substr(regexp_replace(upper(raw_input), '[^A-Z0-9]', '', 'g'), 1, 5) AS norm FROM scans),
 h AS (SELECT norm, component_id, search_key, begins, ord, max(length(search_key)) OVER (PARTITION BY norm) AS longest FROM n JOIN live ON length(norm) >= 5 AND (starts_with(search_key, norm) OR starts_with(norm, search_key))),
 t AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY begins, ord) AS nth, min(search_key) OVER (PARTITION BY norm) <> max(search_key) OVER (PARTITION BY norm) AS several FROM h WHERE length(search_key) = longest)
-SELECT s.scan_id, l.ids FROM (SELECT scan_id, substr(regexp_replace(upper(raw_input), '[^A-Z0-9]', '', 'g'), 1, 5) AS norm FROM scans) s JOIN (SELECT norm, list(component_id ORDER BY nth) AS ids FROM t WHERE several AND nth <= 10 GROUP BY norm) l USING (norm)""", _scan)
+SELECT s.scan_id, l.ids FROM (SELECT scan_id, substr(regexp_replace(upper(raw_input), '[^A-Z0-9]', '', 'g'), 1, 5) AS norm FROM scans) s JOIN (SELECT norm, string_agg(component_id, ',' ORDER BY nth) AS ids FROM t WHERE several AND nth <= 10 GROUP BY norm) l USING (norm)""", _scan)
 def prefix_suggestions(spark, sf_dir):
     """The first ten parts of each marking that is read to five characters, where several stored keys begin with them."""
     s = fx.scans(spark, sf_dir).select("scan_id", F.substring(X.normalize(F.col("raw_input")), 1, 5).alias("norm"))
     found = cascade.prefix_layer(s, cascade.lookups(catalogue.live(fx.catalogue(spark, sf_dir))))
-    return found.where("method = 'ambiguous_prefix'").select("scan_id", F.col("suggestions").alias("ids"))
+    return found.where("method = 'ambiguous_prefix'").select("scan_id", F.array_join("suggestions", ",").alias("ids"))
 
 
 @query(f"WITH RECURSIVE {M.CASCADE} SELECT * FROM matches", _scan)
@@ -503,10 +503,10 @@ def ranked_ocr_candidates(spark, sf_dir):
     return ocr_words.ranked_candidates(fx.words(spark, sf_dir)).select("image_id", "word", "kind", "score", "place")
 
 
-@query(f"WITH m AS ({_MERGED}), k AS (SELECT image_id, word, {_kind('word')} AS kind FROM m) SELECT image_id, kind, list(word ORDER BY word) AS words FROM k GROUP BY ALL", _words)
+@query(f"WITH m AS ({_MERGED}), k AS (SELECT image_id, word, {_kind('word')} AS kind FROM m) SELECT image_id, kind, string_agg(word, ',' ORDER BY word) AS words FROM k GROUP BY image_id, kind", _words)
 def classed_ocr_words(spark, sf_dir):
     """The words of each image by class."""
-    return ocr_words.by_class(fx.words(spark, sf_dir))
+    return ocr_words.by_class(fx.words(spark, sf_dir)).withColumn("words", F.array_join("words", ","))
 
 
 @query(f"""WITH s AS (SELECT image_id, text, ord, CAST({_shape("text", _kind("text"))} AS DOUBLE) AS score FROM words WHERE level = 'word')

@@ -258,10 +258,10 @@ def seeded_catalogue(spark, sf_dir):
     return catalogue.seed(c.where("ord % 3 = 0"), rows).select("component_id", "is_chinese")
 
 
-@query("SELECT component_id, list_filter(list_transform(string_split(category || '; ' || supplier || ' ;;' || remarks, ';'), lambda x: trim(x)), lambda x: x <> '') AS alternatives FROM catalogue", cat)
+@query("SELECT component_id, array_to_string(list_filter(list_transform(string_split(category || '; ' || supplier || ' ;;' || remarks, ';'), lambda x: trim(x)), lambda x: x <> ''), '|') AS alternatives FROM catalogue", cat)
 def alternatives_lists(spark, sf_dir):
     c = fx.catalogue(spark, sf_dir)
-    return c.select("component_id", X.alternatives_list(F.concat("category", F.lit("; "), "supplier", F.lit(" ;;"), "remarks")).alias("alternatives"))
+    return c.select("component_id", F.array_join(X.alternatives_list(F.concat("category", F.lit("; "), "supplier", F.lit(" ;;"), "remarks")), "|").alias("alternatives"))
 
 
 # --- scans ---
