@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import ann, langid, minhash, mixing, packing, sharding, spotsigs, suffixes, url_filters, warc
+from . import ann, langid, minhash, mixing, packing, sharding, spelling, spotsigs, suffixes, url_filters, warc
 
 QUERIES = {
     "op1_kmeans_tree_search": ann.op1_kmeans_tree_search,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_warc_round_trip": warc.op8_warc_round_trip,
     "op9_url_list_asof": url_filters.op9_url_list_asof,
     "op10_spotsigs": spotsigs.op10_spotsigs,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "warc_salvage": warc.warc_salvage,
     "spotsigs_near_duplicates": spotsigs.spotsigs_near_duplicates,
 }
@@ -20,5 +21,6 @@ ORACLE_SQL = {
     "op4_minmax_near_duplicates": minhash.OP4_SQL,
     "op8_warc_round_trip": warc.OP8_SQL,
     "op9_url_list_asof": url_filters.OP9_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "warc_salvage": warc.SALVAGE_SQL,
 }
