@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import ann, langid, minhash, mixing, packing, sharding, spelling, spotsigs, suffixes, url_filters, warc
+from . import ann, langid, minhash, mixing, negatives, packing, sharding, spelling, spotsigs, suffixes, tiles, url_filters, warc
 
 QUERIES = {
     "op1_kmeans_tree_search": ann.op1_kmeans_tree_search,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_url_list_asof": url_filters.op9_url_list_asof,
     "op10_spotsigs": spotsigs.op10_spotsigs,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_int8_near_vectors": tiles.op12_int8_near_vectors,
+    "op13_bit_sliced_negatives": negatives.op13_bit_sliced_negatives,
     "warc_salvage": warc.warc_salvage,
     "spotsigs_near_duplicates": spotsigs.spotsigs_near_duplicates,
 }
@@ -22,5 +24,7 @@ ORACLE_SQL = {
     "op8_warc_round_trip": warc.OP8_SQL,
     "op9_url_list_asof": url_filters.OP9_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_int8_near_vectors": tiles.OP12_SQL,
+    "op13_bit_sliced_negatives": negatives.OP13_SQL,
     "warc_salvage": warc.SALVAGE_SQL,
 }
