@@ -20,14 +20,14 @@ def judged(matches: DataFrame) -> DataFrame:
 
 
 def scan_results(scans: DataFrame, catalogue: DataFrame, key: str = "scan_id") -> DataFrame:
-    """The scans' columns with match_method, match_score, matched_component_id, suggestions, the verdict after the marking check,
+    """The scans' columns with match_method, match_score, matched_component_id, notes, suggestions, resolved, the verdict after the marking check,
     and the check's country_code, site_codes, findings and worst."""
     verdicts = judged(match(scans, catalogue, key)).withColumnRenamed("method", "match_method").withColumnRenamed("score", "match_score")
     joined = scans.join(verdicts.drop("matched"), key)
     joined = marked(joined, F.col("marking_text"), F.col("component.manufacturer"), F.col("component.search_key"), F.col("component.is_chinese"))
     tight = tighten(F.col("verdict"), F.col("worst"), F.col("findings"))
     return joined.select(
-        *scans.columns, "normalized_input", "match_method", "match_score", F.col("component.component_id").alias("matched_component_id"), "suggestions",
+        *scans.columns, "normalized_input", "match_method", "match_score", F.col("component.component_id").alias("matched_component_id"), "notes", "suggestions", "resolved",
         "country_code", "site_codes", "findings", "worst", *[tight[f].alias(f) for f in VERDICT_FIELDS],
     )
 

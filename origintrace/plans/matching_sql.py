@@ -22,12 +22,12 @@ labels_read AS (SELECT *, CASE WHEN structured THEN trim(substr(list_filter(part
 
 def _agreed(by: str, kind: str) -> str:
     known = "is_chinese <> 'UNKNOWN'"
-    return f"""SELECT '{kind}', {by}, count(DISTINCT is_chinese) FILTER (WHERE {known}) <= 1, arg_max(component_id, struct_pack(a := {known}, b := confidence_score, c := -ord)) FROM live WHERE search_key <> '' GROUP BY 2"""
+    return f"""SELECT '{kind}', {by}, count(DISTINCT is_chinese) FILTER (WHERE {known}) <= 1, arg_max(component_id, struct_pack(a := {known}, b := confidence_score, c := -ord)), count(*), count(*) FILTER (WHERE {known}), string_agg(DISTINCT is_chinese, ', ' ORDER BY is_chinese) FILTER (WHERE {known}) FROM live WHERE search_key <> '' GROUP BY 2"""
 
 
 LOOKUPS = f"""live AS (SELECT *, translate(search_key, '{R.FOLD_FROM}', '{R.FOLD_TO}') AS fold FROM catalogue WHERE NOT is_deleted),
-lookups(kind, probe, agreed, best) AS (SELECT 'B', upper(barcode), true, arg_max(component_id, ord) FROM live WHERE barcode <> '' GROUP BY 2
-  UNION ALL SELECT 'Q', upper(qr_code), true, arg_max(component_id, ord) FROM live WHERE qr_code <> '' GROUP BY 2
+lookups(kind, probe, agreed, best, n_rows, n_definite, verdicts) AS (SELECT 'B', upper(barcode), true, arg_max(component_id, ord), 1, 1, '' FROM live WHERE barcode <> '' GROUP BY 2
+  UNION ALL SELECT 'Q', upper(qr_code), true, arg_max(component_id, ord), 1, 1, '' FROM live WHERE qr_code <> '' GROUP BY 2
   UNION ALL {_agreed("search_key", "K")} UNION ALL {_agreed("fold", "F")})"""
 
 _FORWARD = cases("substr(norm, i, 1)", R.GLYPH_PAIRS)
@@ -47,8 +47,17 @@ d AS (SELECT a, b, CAST(cur[length(b) + 1] AS INT) AS distance FROM t WHERE i =
 READINGS = f"""places AS (SELECT scan_id, norm, unnest(range(1, length(norm) + 1)) AS i FROM read_keys),
 readings AS (SELECT scan_id, 0 AS place, norm AS variant FROM read_keys UNION ALL SELECT scan_id, 2 * i, substr(norm, 1, i - 1) || {_FORWARD} || substr(norm, i + 1) FROM places UNION ALL SELECT scan_id, 2 * i + 1, substr(norm, 1, i - 1) || {_BACKWARD} || substr(norm, i + 1) FROM places)"""
 
+_LABEL_NOTES = f"CASE WHEN mpn IS NOT NULL THEN replace({quote(R.NOTES['label'])}, '%s', mpn) END, replace({quote(R.NOTES['label_coo'])}, '%s', nullif(label_coo, ''))"
+_LEFT = "CAST(CASE WHEN h.n_definite > 0 THEN h.n_definite ELSE h.n_rows END AS VARCHAR)"
+_ROW_NOTES = f"""CASE WHEN h.n_rows > 1 AND h.n_definite > 0 AND h.n_definite < h.n_rows THEN replace({quote(R.NOTES['superseded'])}, '%s', CAST(h.n_rows - h.n_definite AS VARCHAR)) END, CASE WHEN h.n_rows > 1 AND h.agreed THEN replace({quote(R.NOTES['agreed'])}, '%s', {_LEFT}) END,
+  CASE WHEN NOT h.agreed THEN format({quote(R.NOTES['conflict'].replace('%s', '{}'))}, {_LEFT}, h.verdicts) END"""
+_HOW = f"""CASE h.layer WHEN 7 THEN format({quote(R.NOTES['cut'].replace('%s', '{}'))}, norm, h.probe) WHEN 8 THEN format({quote(R.NOTES['glyph'].replace('%s', '{}'))}, norm, h.probe)
+  WHEN 9 THEN format({quote(R.NOTES['fold'].replace('%s', '{}'))}, norm, h.probe) WHEN 10 THEN format({quote(R.NOTES['fold_cut'].replace('%s', '{}'))}, norm) END"""
+_NAMED = f"CASE h.layer {' '.join(f"WHEN {n} THEN '{m}'" for n, (m, _) in _CHEAP.items())} END"
+_NOTED = "array_to_string(list_filter([{0}], lambda x: x IS NOT NULL), ' | ')"
+
 CASCADE = f"""{LABELS}, {LOOKUPS},
-read_keys AS (SELECT scan_id, raw_input, mpn, {NORM.format(_TEXT)} AS norm,
+read_keys AS (SELECT scan_id, raw_input, mpn, label_coo, {NORM.format("raw_input")} AS own, {NORM.format(_TEXT)} AS norm,
   CASE WHEN NOT regexp_matches({_TEXT}, {_SEPARATED}) AND starts_with(upper({_TEXT}), '1P') AND length({_TEXT}) > 2 THEN {NORM.format(f"substr({_TEXT}, 3)")} END AS single FROM labels_read),
 {READINGS},
 cuts AS (SELECT scan_id, norm, unnest(range({R.TRUNCATION_FLOOR}, length(norm))) AS n FROM read_keys),
@@ -59,13 +68,17 @@ probes(scan_id, layer, place, kind, probe) AS (SELECT scan_id, 1, 0, 'B', upper(
   UNION ALL SELECT scan_id, 8, place, 'K', variant FROM readings WHERE place > 0
   UNION ALL SELECT scan_id, 9, 0, 'F', translate(norm, '{R.FOLD_FROM}', '{R.FOLD_TO}') FROM read_keys
   UNION ALL SELECT scan_id, 10, -n, 'F', translate(substr(norm, 1, n), '{R.FOLD_FROM}', '{R.FOLD_TO}') FROM cuts),
-first_hits AS (SELECT scan_id, arg_min(struct_pack(layer := layer, agreed := agreed, best := best), struct_pack(a := layer, b := place)) AS h FROM probes JOIN lookups USING (kind, probe) JOIN read_keys USING (scan_id) WHERE norm <> '' AND probe <> '' GROUP BY scan_id),
-cheap AS (SELECT scan_id, CASE WHEN NOT h.agreed THEN 'conflict' WHEN h.layer = 5 AND mpn IS NOT NULL THEN 'label_mpn' ELSE CASE h.layer {" ".join(f"WHEN {n} THEN '{m}'" for n, (m, _) in _CHEAP.items())} END END AS method,
-  CAST(CASE h.layer {" ".join(f"WHEN {n} THEN {s}" for n, (_, s) in _CHEAP.items())} END AS DOUBLE) AS score, CASE WHEN h.agreed THEN h.best END AS component_id FROM first_hits JOIN read_keys USING (scan_id)),
-unread AS (SELECT scan_id, norm FROM read_keys WHERE norm <> '' AND scan_id NOT IN (SELECT scan_id FROM cheap)),
-begun AS (SELECT scan_id, probe, agreed, best, max(length(probe)) OVER (PARTITION BY scan_id) AS longest FROM unread JOIN lookups ON kind = 'K' AND length(norm) >= {R.PREFIX_FLOOR} AND (starts_with(probe, norm) OR starts_with(norm, probe))),
+first_hits AS (SELECT scan_id, arg_min(struct_pack(layer := layer, agreed := agreed, best := best, kind := kind, probe := probe, n_rows := n_rows, n_definite := n_definite, verdicts := verdicts), struct_pack(a := layer, b := place)) AS h FROM probes JOIN lookups USING (kind, probe) JOIN read_keys USING (scan_id) WHERE norm <> '' AND probe <> '' GROUP BY scan_id),
+cheap AS (SELECT scan_id, CASE WHEN NOT h.agreed THEN 'conflict' WHEN h.layer = 5 AND mpn IS NOT NULL THEN 'label_mpn' ELSE {_NAMED} END AS method,
+  CAST(CASE h.layer {" ".join(f"WHEN {n} THEN {s}" for n, (_, s) in _CHEAP.items())} END AS DOUBLE) AS score, CASE WHEN h.agreed THEN h.best END AS component_id,
+  CASE WHEN h.layer <= 2 THEN own WHEN h.layer IN (6, 7, 8) THEN h.probe ELSE norm END AS normalized_input, CASE WHEN h.layer <= 2 THEN '' WHEN h.layer <= 4 THEN {_NOTED.format(_LABEL_NOTES)} ELSE {_NOTED.format(", ".join((_LABEL_NOTES, _HOW, _ROW_NOTES)))} END AS notes,
+  h.kind, h.probe, h.agreed, h.n_rows, CASE WHEN h.layer IN (5, 6) THEN 'normalized' ELSE {_NAMED} END AS went FROM first_hits JOIN read_keys USING (scan_id)),
+unread AS (SELECT scan_id, norm, mpn, label_coo FROM read_keys WHERE norm <> '' AND scan_id NOT IN (SELECT scan_id FROM cheap)),
+begun AS (SELECT unread.*, l AS h, probe, agreed, best, n_rows, max(length(probe)) OVER (PARTITION BY scan_id) AS longest FROM unread JOIN lookups l ON kind = 'K' AND length(norm) >= {R.PREFIX_FLOOR} AND (starts_with(probe, norm) OR starts_with(norm, probe))),
 prefixed AS (SELECT scan_id, CASE WHEN count(*) > 1 THEN 'ambiguous_prefix' WHEN bool_and(agreed) THEN 'prefix' ELSE 'conflict' END AS method, CASE WHEN count(*) > 1 THEN 0.0 ELSE 88.0 END AS score,
-  CASE WHEN count(*) = 1 AND bool_and(agreed) THEN min(best) END AS component_id FROM begun WHERE length(probe) = longest GROUP BY scan_id),
+  CASE WHEN count(*) = 1 AND bool_and(agreed) THEN min(best) END AS component_id, min(norm) AS normalized_input,
+  CASE WHEN count(*) > 1 THEN min({_NOTED.format(_LABEL_NOTES)}) || CASE WHEN min(mpn) IS NULL THEN '' ELSE ' | ' END || replace({quote(R.NOTES['ambiguous_prefix'])}, '%s', CAST(sum(n_rows) AS VARCHAR)) ELSE min({_NOTED.format(", ".join((_LABEL_NOTES, quote(R.NOTES['prefix']), _ROW_NOTES)))}) END AS notes,
+  'K' AS kind, min(probe) AS probe, bool_and(agreed) AS agreed, CASE WHEN count(*) = 1 THEN min(n_rows) ELSE 0 END AS n_rows, 'prefix' AS went FROM begun WHERE length(probe) = longest GROUP BY scan_id),
 unlike AS (SELECT * FROM unread WHERE scan_id NOT IN (SELECT scan_id FROM prefixed)),
 asked AS (SELECT norm, unnest(list_distinct(list_transform(range(1, greatest(2, length(norm) - 1)), lambda i: substr(norm, i, 3)))) AS gram FROM (SELECT DISTINCT norm FROM unlike)),
 stored AS (SELECT ord, search_key, unnest(list_distinct(list_transform(range(1, greatest(2, length(search_key) - 1)), lambda i: substr(search_key, i, 3)))) AS gram FROM live WHERE search_key <> ''),
@@ -76,9 +89,19 @@ measured AS (SELECT norm, ord, search_key, place, CAST(greatest(length(norm), le
 likeness AS (SELECT *, CASE WHEN norm = search_key THEN 100.0 ELSE round_even((1.0 - d / longest) * 100 * 0.75 + same / longest * 100 * 0.25, 2) END AS s FROM measured),
 ranked AS (SELECT norm, ord, s, row_number() OVER (PARTITION BY norm ORDER BY s DESC, place) AS r FROM likeness WHERE s >= {R.FUZZY_LEAST}),
 nearest AS (SELECT norm, max(s) AS best, max(CASE WHEN r = 2 THEN s END) AS second, max(CASE WHEN r = 1 THEN ord END) AS ord FROM ranked WHERE r <= {R.FUZZY_KEPT} GROUP BY norm),
-fuzzy AS (SELECT scan_id, CASE WHEN coalesce(best, 0) < {R.FUZZY_ACCEPT} THEN 'none' WHEN second >= best - {R.FUZZY_MARGIN} THEN 'ambiguous_fuzzy' ELSE 'fuzzy' END AS method, coalesce(best, 0.0) AS score, live.component_id AS nearest_id FROM unlike LEFT JOIN nearest USING (norm) LEFT JOIN live USING (ord)),
-matches AS (SELECT m.scan_id, m.method, m.score, m.component_id, k.norm AS normalized_input FROM (SELECT * FROM cheap UNION ALL SELECT * FROM prefixed UNION ALL SELECT scan_id, method, score, CASE WHEN method = 'fuzzy' THEN nearest_id END FROM fuzzy
-  UNION ALL SELECT scan_id, 'none', 0.0, NULL FROM read_keys WHERE norm = '') m JOIN read_keys k USING (scan_id))"""
+fuzzy AS (SELECT scan_id, norm, mpn, label_coo, CASE WHEN coalesce(best, 0) < {R.FUZZY_ACCEPT} THEN 'none' WHEN second >= best - {R.FUZZY_MARGIN} THEN 'ambiguous_fuzzy' ELSE 'fuzzy' END AS method, coalesce(best, 0.0) AS score, live.component_id AS nearest_id FROM unlike LEFT JOIN nearest USING (norm) LEFT JOIN live USING (ord)),
+matches AS (SELECT * FROM cheap UNION ALL SELECT * FROM prefixed UNION ALL SELECT scan_id, method, score, CASE WHEN method = 'fuzzy' THEN nearest_id END, norm, {_NOTED.format(_LABEL_NOTES + f", CASE WHEN method = 'ambiguous_fuzzy' THEN {quote(R.NOTES['ambiguous_fuzzy'])} END")}, NULL, NULL, true, 0, 'fuzzy' FROM fuzzy
+  UNION ALL SELECT scan_id, 'none', 0.0, NULL, '', {quote(R.NOTES['empty'])}, NULL, NULL, true, 0, '' FROM read_keys WHERE norm = '')"""
+
+#: The other rows of each match: scan_id, rank, component_id, score, method.
+TRAIL = f"""{CASCADE},
+key_rows AS (SELECT kind, probe, ord, component_id, is_chinese = 'UNKNOWN' AS vague, bool_and(is_chinese = 'UNKNOWN') OVER (PARTITION BY kind, probe) AS all_vague FROM (SELECT 'K' AS kind, search_key AS probe, * FROM live WHERE search_key <> '' UNION ALL SELECT 'F', fold, * FROM live WHERE search_key <> '')),
+key_places AS (SELECT kind, probe, component_id, row_number() OVER (PARTITION BY kind, probe ORDER BY ord) AS place FROM key_rows WHERE NOT vague OR all_vague),
+prefix_held AS (SELECT scan_id, l.component_id, l.ord, min(l.ord) OVER (PARTITION BY scan_id, l.search_key) AS begins FROM begun JOIN prefixed USING (scan_id) JOIN live l ON l.search_key = begun.probe WHERE length(begun.probe) = longest AND method = 'ambiguous_prefix'),
+prefix_rows AS (SELECT scan_id, component_id, row_number() OVER (PARTITION BY scan_id ORDER BY begins, ord) AS place FROM prefix_held)
+SELECT scan_id, CASE WHEN agreed THEN place - 1 ELSE place END AS rank, p.component_id, score, went AS method FROM (SELECT * FROM matches WHERE n_rows > 1) m JOIN key_places p USING (kind, probe) WHERE NOT agreed OR place > 1
+UNION ALL SELECT scan_id, place, component_id, {R.AMBIGUOUS_SCORE}, 'prefix' FROM prefix_rows WHERE place <= {R.AMBIGUOUS_KEPT}
+UNION ALL SELECT scan_id, CASE WHEN method = 'fuzzy' THEN r - 1 ELSE r END, live.component_id, s, 'fuzzy' FROM fuzzy JOIN ranked USING (norm) JOIN live USING (ord) WHERE r <= 5 AND (method <> 'fuzzy' OR r > 1)"""
 
 
 def marking_tables(source: str) -> str:

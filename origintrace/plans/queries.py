@@ -174,8 +174,9 @@ SELECT scan_id, kind FROM n JOIN f USING (norm)""", _scan)
 def prefix_matches(spark, sf_dir):
     """Every scan against the stored keys, whole, partly and wrongly read ones alike: whether one longest stored key or several fit."""
     s = fx.scans(spark, sf_dir).select("scan_id", X.normalize(F.col("raw_input")).alias("norm"))
-    found = cascade.prefix_layer(s, cascade.lookups(catalogue.live(fx.catalogue(spark, sf_dir))))
-    return found.select("scan_id", F.when(F.col("method") == "ambiguous_prefix", "ambiguous_prefix").otherwise("prefix").alias("kind"))
+    looked_up = cut(cascade.lookups(catalogue.live(fx.catalogue(spark, sf_dir))).where("kind = 'K'").select("kind", "probe", "n_rows"), "prefix-keys")
+    found = cascade.prefixed_keys(s.select("norm").distinct(), looked_up)
+    return s.join(found, "norm").select("scan_id", F.when(F.col("keys") > 1, "ambiguous_prefix").otherwise("prefix").alias("kind"))
 
 
 @query("""WITH live AS (SELECT *, min(ord) OVER (PARTITION BY search_key) AS begins FROM catalogue WHERE NOT is_deleted), n AS (SELECT DISTINCT substr(regexp_replace(upper(raw_input), '[^A-Z0-9]', '', 'g'), 1, 5) AS norm FROM scans),
@@ -185,15 +186,23 @@ SELECT s.scan_id, l.ids FROM (SELECT scan_id, substr(regexp_replace(upper(raw_in
 def prefix_suggestions(spark, sf_dir):
     """The first ten parts of each marking that is read to five characters, where several stored keys begin with them."""
     s = fx.scans(spark, sf_dir).select("scan_id", F.substring(X.normalize(F.col("raw_input")), 1, 5).alias("norm"))
-    found = cascade.prefix_layer(s, cascade.lookups(catalogue.live(fx.catalogue(spark, sf_dir))))
-    return found.where("method = 'ambiguous_prefix'").select("scan_id", F.array_join("suggestions", ",").alias("ids"))
+    live = cut(catalogue.live(fx.catalogue(spark, sf_dir)), "prefix-catalogue")
+    found = cascade.prefix_layer(s, cut(cascade.lookups(live), "prefix-lookups"), live)
+    return found.where("method = 'ambiguous_prefix'").select("scan_id", F.array_join(F.transform("suggestions", lambda x: x["component_id"]), ",").alias("ids"))
 
 
-@query(f"WITH RECURSIVE {M.CASCADE} SELECT * FROM matches", _scan)
+@query(f"WITH RECURSIVE {M.CASCADE} SELECT scan_id, method, score, component_id, normalized_input, notes FROM matches", _scan)
 def cascade_matches(spark, sf_dir):
-    """Every scan through the whole cascade."""
+    """Every scan through the whole cascade, with the key it was found by and what the match notes."""
     m = cascade.match(fx.scans(spark, sf_dir), fx.catalogue(spark, sf_dir))
-    return m.select("scan_id", "method", "score", F.col("component.component_id").alias("component_id"), "normalized_input")
+    return m.select("scan_id", "method", "score", F.col("component.component_id").alias("component_id"), "normalized_input", F.array_join("notes", " | ").alias("notes"))
+
+
+@query(f"WITH RECURSIVE {M.TRAIL}", _scan)
+def match_trail(spark, sf_dir):
+    """Every match's other rows: all of a conflict, those that an agreed key has besides, and scored suggestions."""
+    c = cut(fx.catalogue(spark, sf_dir), "trail-catalogue")
+    return cascade.trail(cut(cascade.match(fx.scans(spark, sf_dir), c), "trail-matches"), c)
 
 
 @query(f"WITH RECURSIVE {M.VERDICTS}", _scan)

@@ -76,27 +76,29 @@ class Catalogue:
                 if (r[c] or "").strip():
                     codes[r[c].strip().upper()] = r
 
-    def resolve(self, hits, method, score):
+    def resolve(self, hits, key, method, score):
+        """method, score, component, the key that was found by, and the other rows."""
         known = [h for h in hits if h["is_chinese"] != "UNKNOWN"] or hits
+        other = lambda rows: [(h["component_id"], score, method) for h in rows]
         if len({h["is_chinese"] for h in known}) > 1:
-            return "conflict", score, None
+            return "conflict", score, None, key, other(known)
         best = max(known, key=lambda h: h["confidence_score"])
-        return method, score, best["component_id"]
+        return method, score, best["component_id"], key, other(known[1:])
 
     def match(self, raw):
         raw = (raw or "").strip()
         key = norm(raw)
         if not key:
-            return "none", 0.0, None
+            return "none", 0.0, None, "", []
         code = self.bars.get(raw.upper()) or self.qrs.get(raw.upper())
         if code:
-            return "exact_code", 100.0, code["component_id"]
+            return "exact_code", 100.0, code["component_id"], key, []
         found = label(raw)
         if found:
             inner = self.match(found["mpn"])
             return ("label_mpn", *inner[1:]) if inner[0] == "normalized" else inner
         if key in self.keys:
-            return self.resolve(self.keys[key], "normalized", 100.0)
+            return self.resolve(self.keys[key], key, "normalized", 100.0)
         one = label(raw, True)
         if one and norm(one["mpn"]) in self.keys:
             inner = self.match(one["mpn"])
@@ -104,21 +106,24 @@ class Catalogue:
         for table, probes, method in ((self.keys, cuts(key), "lot_code_stripped"), (self.keys, readings(key)[1:], "ocr_corrected"), (self.folds, [fold(key)], "ocr_folded"), (self.folds, cuts(fold(key)), "ocr_folded_stripped")):
             for p in probes:
                 if p in table:
-                    return self.resolve(table[p], method, R.SCORES[method])
+                    return self.resolve(table[p], p if table is self.keys else key, method, R.SCORES[method])
         if len(key) >= R.PREFIX_FLOOR:
             hits = [k for k in self.keys if k.startswith(key) or key.startswith(k)]
             if hits:
                 longest = [k for k in hits if len(k) == max(map(len, hits))]
-                return self.resolve(self.keys[longest[0]], "prefix", 88.0) if len(longest) == 1 else ("ambiguous_prefix", 0.0, None)
+                if len(longest) == 1:
+                    return self.resolve(self.keys[longest[0]], key, "prefix", 88.0)
+                return "ambiguous_prefix", 0.0, None, key, [(r["component_id"], 85.0, "prefix") for k in longest for r in self.keys[k]][:10]
         grams = lambda k: {k[i : i + 3] for i in range(max(1, len(k) - 2))}
         near = sorted(((len(grams(key) & grams(r["search_key"])), -r["ord"], r) for r in self.rows if grams(key) & grams(r["search_key"])), key=lambda x: x[:2], reverse=True)[: R.FUZZY_SCANNED]
         scored = sorted(((likeness(key, r["search_key"]), r) for _, _, r in near), key=lambda x: -x[0])
         scored = [x for x in scored if x[0] >= R.FUZZY_LEAST]
+        five = [(r["component_id"], s, "fuzzy") for s, r in scored[:5]]
         if not scored or scored[0][0] < R.FUZZY_ACCEPT:
-            return "none", scored[0][0] if scored else 0.0, None
+            return "none", scored[0][0] if scored else 0.0, None, key, five
         if len(scored) > 1 and scored[1][0] >= scored[0][0] - R.FUZZY_MARGIN:
-            return "ambiguous_fuzzy", scored[0][0], None
-        return "fuzzy", scored[0][0], scored[0][1]["component_id"]
+            return "ambiguous_fuzzy", scored[0][0], None, key, five
+        return "fuzzy", scored[0][0], scored[0][1]["component_id"], key, five[1:]
 
 
 def prefixed(scans, keys):

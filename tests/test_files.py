@@ -74,4 +74,4 @@ def test_fuzzy_candidates_are_those_of_a_full_count(spark, monkeypatch):
         score = lambda k: round((1 - osa(m, k) / max(len(m), len(k))) * 75 + next((j for j, (x, y) in enumerate(zip(m, k, strict=False)) if x != y), min(len(m), len(k))) / max(len(m), len(k)) * 25, 2)  # noqa: B023, E731
         best = sorted((-score(k), place, o) for place, (_, o, k) in enumerate(near) if score(k) >= R.FUZZY_LEAST)
         assert got[i].score == pytest.approx(-best[0][0] if best else 0.0, abs=0.011), m
-        assert list(got[i].suggestions)[: 1 if got[i].method != "fuzzy" else 0] == [f"component_id-{o}" for _, _, o in best[:1]][: 1 if got[i].method != "fuzzy" else 0]
+        assert [x.component_id for x in got[i].suggestions][: 1 if got[i].method != "fuzzy" else 0] == [f"component_id-{o}" for _, _, o in best[:1]][: 1 if got[i].method != "fuzzy" else 0]

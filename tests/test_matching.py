@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from origintrace.functions import marking, ocr, origin
 from origintrace.functions import text as X
-from origintrace.operators import cascade, scans
+from origintrace.operators import cascade, fuzzy, scans
 
 FIELDS = "ord long, component_id string, component_name string, manufacturer string, country_of_origin string, is_chinese string, category string, drone_subsystem string, criticality string, criticality_policy string, confidence_score double, verified_by string, verification_source string, search_key string, barcode string, qr_code string"
 
@@ -50,11 +50,53 @@ def matched(spark, catalogue):
     return scans.judged(cascade.match(reads, catalogue)).collect()
 
 
-def test_cascade_equals_row_at_a_time(matched):
+def trails(found):
+    out = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        out.setdefault(r.scan_id, []).append((r.component_id, r.score, r.method))
+    return out
+
+
+def test_cascade_equals_row_at_a_time(spark, catalogue, matched):
     names = [f.split()[0] for f in FIELDS.split(", ")]
     plain = Catalogue([dict(zip(names, p, strict=True)) for p in PARTS])
-    got = {r.scan_id: (r.method, r.score, r.component.component_id if r.component else None) for r in matched}
-    assert got == {i: plain.match(raw) for i, raw in enumerate(READS)}
+    wanted = {i: plain.match(raw) for i, raw in enumerate(READS)}
+    got = {r.scan_id: (r.method, r.score, r.component.component_id if r.component else None, r.normalized_input) for r in matched}
+    assert got == {i: w[:4] for i, w in wanted.items()}
+    reads = spark.createDataFrame(list(enumerate(READS)), "scan_id long, raw_input string")
+    assert trails(cascade.trail(cascade.match(reads, catalogue), catalogue).collect()) == {i: w[4] for i, w in wanted.items() if w[4]}
+
+
+def test_found_keys_and_notes(spark, catalogue, matched):
+    """By hand: the key that a marking was found by, and what the match says of it."""
+    by = {READS[r.scan_id]: r for r in matched}
+    for raw, key, notes in [
+        ("STM32G4A1KCU6 GQ23J 1B9U", "STM32G4A1KCU6", ["trailing lot/date code discarded: STM32G4A1KCU6GQ23J1B9U -> STM32G4A1KCU6"]),
+        ("stm32 f3o2-c8t6", "STM32F302C8T6", ["OCR correction applied: STM32F3O2C8T6 -> STM32F302C8T6"]),
+        ("1PMX25L12833F", "MX25L12833F", ["reel/bag label barcode: manufacturer part number (1P) = MX25L12833F"]),
+        ("ADIN13OOBCPZ", "ADIN13OOBCPZ", ["resolved through glyph-class folding (ADIN13OOBCPZ ~ AD1N13008CP2) - verify the marking by eye before accepting"]),
+        ("SHARED100", "SHARED100", ["CONFLICT: 2 records share this marking with differing origin verdicts (NO, YES). Manual adjudication required."]),
+        ("SHARED200", "SHARED200", ["1 record(s) with unestablished origin superseded by verified record(s)", "2 records share this marking; all agree on origin"]),
+        ("STM32F405", "STM32F405", ["2 distinct part numbers share this prefix - confirm manually"]),
+        ("HPXYZ", "HPXYZ", ["matched on partial marking (prefix)"]),
+        ("8901234567894", "8901234567894", []), ("", "", ["empty input"]),
+    ]:
+        assert (by[raw].normalized_input, by[raw].notes) == (key, notes), raw
+    coo = by["[)>\x1e06\x1d1PSTM32F302C8T6\x1d4LCHN\x1dQ500\x1e\x04"]
+    assert coo.normalized_input == "STM32F302C8T6" and len(coo.notes) == 2 and "(4L) = CHN" in coo.notes[1]
+
+
+def test_all_rows_of_a_hot_key_come_out(spark):
+    """A conflict and an agreed key with more rows than a range has; a prefix that many keys share lists ten."""
+    rows = [part(i, "HOTKEY1", "YES" if i % 2 else "NO", 50 + i % 7) for i in range(40)] + [part(100 + i, "HOTKEY2", "UNKNOWN" if i % 3 else "NO", i % 5) for i in range(300)] + [part(500 + i, f"MANYKEYS{i:03}") for i in range(60)]
+    catalogue = spark.createDataFrame(rows, FIELDS).repartition(7)
+    reads = ["HOTKEY1", "hotkey-2", "MANYKEYS", "MANYKEYS0", "HOTKEYI"]
+    plain = Catalogue([dict(zip([f.split()[0] for f in FIELDS.split(", ")], p, strict=True)) for p in rows])
+    wanted = {i: plain.match(raw) for i, raw in enumerate(reads)}
+    matches = cascade.match(spark.createDataFrame(list(enumerate(reads)), "scan_id long, raw_input string"), catalogue)
+    found = trails(cascade.trail(matches, catalogue).collect())
+    assert found == {i: w[4] for i, w in wanted.items() if w[4]}
+    assert [len(found[i]) for i in range(5)] == [40, 99, 10, 10, 40]
 
 
 def test_known_vectors(matched):
@@ -76,6 +118,10 @@ def test_known_vectors(matched):
 @given(st.lists(st.tuples(st.text("AB0O1S58 -c", max_size=12), st.text("AB0O1S58", max_size=10)), min_size=1, max_size=8))
 def test_text_functions(spark, pairs):
     df = spark.createDataFrame([(i, a, norm(a), b) for i, (a, b) in enumerate(pairs)], "i int, raw string, a string, b string")
+    for r in fuzzy.similar(df.select(F.col("a").alias("norm"), F.col("b").alias("search_key")).where("norm <> '' and search_key <> ''")).collect():
+        assert abs(r.s - likeness(r.norm, r.search_key)) <= 0.011
+    alike = [(a, b) for _, a, _, b in ((i, norm(x), None, y) for i, (x, y) in enumerate(pairs)) if a and b and likeness(a, b) >= 55.02]
+    assert fuzzy.similar(spark.createDataFrame(alike or [("A", "A")], "norm string, search_key string")).count() == max(1, len(alike))
     cols = {"n": X.normalize(F.col("raw")), "f": X.fold(F.col("a")), "t": X.truncations(F.col("a")), "v": X.glyph_variants(F.col("a")), "d": X.osa_distance(F.col("a"), F.col("b")), "s": X.similarity(F.col("a"), F.col("b"))}
     for r in df.select("a", "b", "raw", *[c.alias(k) for k, c in cols.items()]).collect():
         assert r.n == norm(r.raw) and r.f == fold(r.a) and r.t == cuts(r.a) and r.v == readings(r.a)
