@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, scratch_path as scratch, shared_folder
 
-__all__ = ["bounded_sample", "cut", "flag_listed", "parts", "release", "scratch", "shared_folder", "small_batches", "table"]
+__all__ = ["bounded_sample", "cut", "few_tasks", "flag_listed", "free_name", "parts", "release", "scratch", "shared_folder", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,23 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROWS_A_TASK, LEAST_TASKS = 20_000, 8
+
+
+def few_tasks(df: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
+    """df, of about so many small rows, in as many tasks as they need: a stage of light work isn't cut into a task for each of the
+    session's partitions. Nothing is shuffled for it."""
+    return df.coalesce(max(LEAST_TASKS, min(parts(df.sparkSession), -(-rows // each))))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 BITMAP_BITS = 1 << 23  # a bitmap of ids is at most 131 072 rows of 64 bits
 
 
@@ -50,9 +67,12 @@ def flag_listed(df: DataFrame, key: str, listed: DataFrame, listed_key: str, fla
     whatever the input. False positives, more of them with more ids, are left to the join that follows.
     """
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITMAP_BITS))
-    words = listed.select(place(listed_key).alias("h")).selectExpr("shiftright(h, 6) AS bitmap_word", "shiftleft(1L, cast(h & 63 AS int)) AS bit").groupBy("bitmap_word").agg(F.bit_or("bit").alias("bitmap_bits"))
-    marked = df.withColumn("bitmap_h", place(key)).withColumn("bitmap_word", F.shiftright("bitmap_h", 6)).join(F.broadcast(words), "bitmap_word", "left")
-    return marked.withColumn(flag, F.expr("coalesce((shiftright(bitmap_bits, cast(bitmap_h & 63 AS int)) & 1L) = 1L, false)")).drop("bitmap_h", "bitmap_word", "bitmap_bits")
+    at, word, bits = (free_name(df, f"bitmap_{n}") for n in ("at", "word", "bits"))
+    low = lambda h: F.col(h).bitwiseAND(63).cast("int")
+    words = listed.select(place(listed_key).alias("h")).select(F.shiftright("h", 6).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), low("h")).alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(bits))
+    marked = df.withColumn(at, place(key)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(words), word, "left")
+    hit = F.call_function("shiftright", F.col(bits), low(at)).bitwiseAND(1) == 1
+    return marked.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(at, word, bits)
 
 
 def bounded_sample(rows: DataFrame, by: Column, most: int) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, flag_listed, release, small_batches, table
+from .common import cut, few_tasks, flag_listed, free_name, release, small_batches, table
 from .components import components
 
 WORDS = 5
@@ -138,30 +138,32 @@ def linked_groups(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     total, largest = shared.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.max("members"), F.lit(0))).first()
     hot = max(HOT_MEMBERS, total // MOST_HOT)
     hot = hot if largest > hot else None
-    members = cut(_dealt_first(spread, shared, hot), "minhash-members")
-    involved = cut(members.groupBy("node").agg(F.sum("members").alias("company")), "minhash-involved")
+    kept = lambda df, name: cut(few_tasks(df, total), f"minhash-{name}")  # noqa: E731  none of these small tables has more rows than the buckets have members
+    members = kept(_dealt_first(spread, shared, hot), "members")
+    involved = kept(members.groupBy("node").agg(F.sum("members").alias("company")), "involved")
     sets = cut(sets_of(involved), "minhash-sets")
 
     # A bucket's hub is the member with the most company in all its buckets: of a group of edited copies, the least edited.
     known = members.join(involved, "node")
     hubs = known.groupBy("bucket").agg(F.max(F.struct("company", -F.col("node"), "n")).alias("h"), F.max("members").alias("members"))
-    hubs = cut(hubs.selectExpr("bucket", "members", "-h.col2 AS hub", "h.n AS hub_n", "h.company AS hub_company"), "minhash-hubs")
-    to_hub = _dealt(members, hubs, hot).where("node <> hub").where(_near("n", "hub_n", percent)).groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.max("hub_company").alias("hub_company"))
-    to_hub = cut(to_hub, "minhash-to-hub")
-    links = confirmed(to_hub.groupBy("a").agg(F.max_by("b", F.struct("hub_company", -F.col("b"))).alias("b")), sets, percent)
-    groups = cut(components(links), "minhash-groups")
-    left = _apart(to_hub.select("a", "b"), groups)
-    if left.take(1):
-        links = links.unionByName(confirmed(left, sets, percent))
-        groups = cut(components(links), "minhash-groups")
+    hubs = kept(hubs.selectExpr("bucket", "members", "-h.col2 AS hub", "h.n AS hub_n"), "hubs")
+    to_hub = _dealt(members, hubs, hot).where("node <> hub").where(_near("n", "hub_n", percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    links = confirmed(to_hub, sets, percent)
+    groups = kept(components(links), "groups")
 
     inside = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = inside.groupBy("bucket").agg(F.max("members").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket", "members", "lo")
-    mixed = cut(_dealt(inside, cut(open_, "minhash-open"), hot).select("node", "n", "component", "lo"), "minhash-mixed")
-    if mixed.take(1):
-        links = links.unionByName(_compare_in_blocks(mixed, sets, percent))
-        groups = cut(components(links), "minhash-groups")
-    return groups
+    mixed = kept(_dealt(inside, kept(open_, "open"), hot).select("node", "n", "component", "lo"), "mixed")
+    more = _compare_in_blocks(mixed, sets, percent) if mixed.take(1) else None
+    if more is None or not more.take(1):
+        return groups
+    # Links between components join these, not nodes: each component's smallest node stands for it.
+    for end in ("a", "b"):
+        more = more.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left").withColumn(end, F.coalesce(f"of_{end}", end)).drop(f"of_{end}")
+    joined = kept(components(more), "joined").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    found = groups.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    alone = joined.join(groups.select(F.col("node").alias("component")), "component", "left_anti")
+    return found.unionByName(alone.select(F.col("component").alias("node"), F.col("root").alias("component")))
 
 
 def _dealt_first(spread: DataFrame, shared: DataFrame, hot: int | None) -> DataFrame:
@@ -185,13 +187,6 @@ def _every_salt(one: DataFrame, hot: int) -> DataFrame:
     return one.withColumn("salt", F.explode(F.when(F.col("members") > hot, F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / hot) - 1)).otherwise(F.array(F.lit(0).cast("long")))))
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    for end in ("a", "b"):
-        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return cut(pairs.where("ca <> cb").select("a", "b"), "minhash-apart")
-
-
 def _compare_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components among the nodes of open buckets (node, n, component, and lo, the bucket's least
     component), compared exactly in blocks.
@@ -203,17 +198,19 @@ def _compare_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     what a cluster has left unjoined (copies with so many edits that some are near enough and many just not), and with
     nothing else.
     """
-    nodes = cut(members.select("node", "n", "component").distinct(), "minhash-open-nodes")
+    rows = members.count()
+    kept = lambda df, name: cut(few_tasks(df, rows), f"minhash-{name}")
+    nodes = kept(members.select("node", "n", "component").distinct(), "open-nodes")
     clusters = components(members.select(F.col("component").alias("a"), F.col("lo").alias("b")).distinct())
-    clusters = cut(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "minhash-clusters")
+    clusters = kept(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "clusters")
     step = float(np.log(100 / percent))
     placed = nodes.join(clusters, "component").withColumn("level", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     load = lambda of, count: F.ceil(F.greatest(of / BLOCK_SHINGLES, count / BLOCK_NODES)).cast("int")
     own = placed.groupBy("cluster", "level", "component").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("c"))
-    own = cut(own.withColumn("large", load(F.col("s"), F.col("c"))), "minhash-loads")
+    own = kept(own.withColumn("large", load(F.col("s"), F.col("c"))), "loads")
     pure = own.where("large > 1").select("cluster", "level", F.col("component").alias("only"), F.col("large").alias("blocks"))
     rest = own.where("large = 1").groupBy("cluster", "level").agg(load(F.sum("s"), F.sum("c")).alias("blocks")).select("cluster", "level", F.lit(None).cast("long").alias("only"), "blocks")
-    loads = cut(pure.unionByName(rest), "minhash-blocks")
+    loads = kept(pure.unionByName(rest), "blocks")
     at = placed.join(own.where("large > 1").select("cluster", "level", "component", F.col("component").alias("only")), ["cluster", "level", "component"], "left")
     at = at.join(loads, (at["cluster"] == loads["cluster"]) & (at["level"] == loads["level"]) & at["only"].eqNullSafe(loads["only"])).select(at["cluster"], at["level"], at["only"], "node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     near = loads.select("cluster", F.col("level").alias("other_level"), F.col("only").alias("other_only"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other_block"))
@@ -276,9 +273,10 @@ def op4_minmax_near_duplicates(spark, sf_dir):
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component; their own columns, no others."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """docs without those that have a smaller doc_id in their component; their own columns, whatever these are called."""
+    name = free_name(docs, "kept_id")
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 OP4_SQL = r"""
