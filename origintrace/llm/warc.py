@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, flag_listed, scratch, table
 
 DIGEST_FROM = 1000  # payload bytes from which equal payloads are stored once
-RECORDS_A_FILE = 2000
+RECORDS_A_FILE, LARGE_PAYLOAD, FILE_BYTES = 2000, 1 << 18, 1 << 29  # a file has so many records below LARGE_PAYLOAD, and larger ones up to FILE_BYTES (or one record)
 EOL = "\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
@@ -70,12 +70,22 @@ def record_text(row_id: Column, url: Column, payload: Column, payload_bytes: Col
 
 def write_warc(pages: DataFrame, path: str | None = None, least: int = DIGEST_FROM, gzipped: bool = False, damage=None) -> str:
     """Archives of the pages' records. damage (a function of the record's text and page_id, for tests of the reader) may spoil
-    records on their way."""
+    records on their way. Large payloads go into files of their own, so many a file that none passes FILE_BYTES."""
     path = path or scratch(pages.sparkSession, "warc")
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     d = deduplicated(pages, least)
     text = record_text(d["page_id"], d["url"], d["payload"], d["payload_bytes"], d["payload_digest"], d["refers_to"])
     text = damage(text, d["page_id"]) if damage else text
-    d.select(text.alias("value")).write.option("lineSep", EOL * 2).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip" if gzipped else "none").text(path)
+    records = d.select(text.alias("value"), "payload_bytes")
+
+    def write(rows: DataFrame, each: int) -> None:
+        rows.select("value").write.mode("append").option("lineSep", EOL * 2).option("maxRecordsPerFile", each).option("compression", "gzip" if gzipped else "none").text(path)
+
+    if largest < LARGE_PAYLOAD:
+        write(records, RECORDS_A_FILE)
+    else:
+        write(records.where(F.col("payload_bytes") < LARGE_PAYLOAD), RECORDS_A_FILE)
+        write(records.where(F.col("payload_bytes") >= LARGE_PAYLOAD), max(1, min(RECORDS_A_FILE, FILE_BYTES // (largest + 4096))))
     return path
 
 
@@ -208,7 +218,7 @@ _ARROW = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row a record (kind record) or quarantined gap (kind gap) of all archive files under path.
 
-    A file is read whole by one task, so archives should be cut at tens of MB, as write_warc does. Digest and length are
+    A file is read whole by one task and may have 2 GB at most; write_warc's have a quarter of that. Digest and length are
     those of the full payload: a revisit's come from its header, and where that has no length it is null.
     """
 

@@ -1,10 +1,24 @@
+import pathlib
 import random
+import re
 
 import pytest
 
+from origintrace import llm
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def internal_names():
+    """Every column name that an operator gives: read from their sources, but for those of results that replace a column of their prefix."""
+    named = re.compile(r'alias\("(\w+)"\)|withColumn\("(\w+)"|\bAS (\w+)|withColumnRenamed\("\w+", "(\w+)"\)|free_name\(\w+, f?"(\w+)"')
+    found = {next(filter(None, m.groups())) for path in pathlib.Path(llm.__file__).parent.glob("*.py") for m in named.finditer(path.read_text().split("_SQL = ")[0])}
+    listed = {"bitmap_at", "bitmap_word", "bitmap_bits", "wanted", "guest", "offset", "sequence_id", "digest", "stop", "anchor"}
+    return sorted(n for n in found | listed if not n.startswith(("rep_", "lid_", "mix_", "pack_", "hs_")) and n.lower() not in {"doc_id", "text", "lang", "source", "n_chars"})
+
+
 #: Names that the operators use themselves.
-CLASHES = ["n", "node", "bucket", "digest", "shard", "slot", "hilbert", "mix_block", "mix_id", "lid_lang", "rep_text", "start", "stop", "doc", "offset", "sequence_id", "pack_id", "at", "guest", "class_id", "key", "anchor", "wanted"]
+CLASHES = [*internal_names(), "mix_block", "mix_id", "lid_lang", "rep_text", "pack_id"]
 
 
 def words(seed, n):

@@ -4,6 +4,7 @@ import datetime
 import gzip
 import hashlib
 import math
+import random
 
 import numpy as np
 import plain
@@ -380,6 +381,22 @@ def test_null_pages_come_back(spark):
     assert sorted((r.record_type, r.refers_to) for r in nulls) == [("response", None), ("revisit", "<urn:page:9>")]
 
 
+def test_long_pages_are_cut_by_bytes(spark, monkeypatch, tmp_path):
+    """Pages of more than a MB lie a few a file, small ones together; what is written comes back, plain and as gzip members."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 3_000_000)
+    noise = random.Random(2)
+    pages = [(i, f"http://h/{i}", "".join(noise.choices("abcdefghij <>é", k=1_100_000)) if i % 3 == 0 else f"small {i}") for i in range(12)]
+    given = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    for gzipped in (False, True):
+        path = warc.write_warc(given, f"file://{tmp_path}/{gzipped}", gzipped=gzipped)
+        files = [f for f in (tmp_path / str(gzipped)).iterdir() if f.name.startswith("part-")]
+        assert len(files) == 3 and (gzipped or max(f.stat().st_size for f in files) < 3_000_000)
+        back = warc.read_warc(spark, path).where("kind = 'record'").select("record_id", "payload_bytes", "payload").collect()
+        assert {r.record_id: bytes(r.payload).decode() for r in back} == {f"<urn:page:{i}>": html for i, _, html in pages}
+    member = [x for x in warc.salvage((tmp_path / "True" / files[0].name).read_bytes())]
+    assert all(x[0] == "record" for x in member)
+
+
 def test_foreign_revisit_has_no_length(tmp_path, spark):
     head = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:x>\r\nWARC-Payload-Digest: sha1:ABCD\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     (tmp_path / "a.warc").write_bytes(head)
