@@ -222,9 +222,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    packed = pack(tokenised_pieces(docs, tokenizer or tokenizer_path()))
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Every piece with its place; with_ids, with its token ids too (binary, little-endian unsigned 32-bit), so that `sequences` can be made of them."""
+    packed = pack(tokenised_pieces(docs, tokenizer or tokenizer_path(), with_ids=with_ids))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
 
 
 def op7_best_fit_packing(spark, sf_dir):
