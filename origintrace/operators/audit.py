@@ -11,12 +11,17 @@ from ..rules import tables as R
 CHAINED = ["action", "actor_id", "actor_username", "detail_json", "entity_id", "entity_type", "ip_address", "occurred_at", "sequence", "user_agent"]
 
 
+#: The escapes of a JSON string that have a letter.
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+
+
 def _quoted(c: Column) -> Column:
-    """A JSON string with everything beyond ASCII escaped."""
-    text = F.substring(F.to_json(F.struct(c.alias("v"))), 6, 1 << 30)
-    text = F.substring(text, F.lit(1), F.length(text) - 1)
-    chars = F.split(text, "")
-    return F.array_join(F.transform(chars, lambda ch: F.when(F.ascii(ch) < 128, ch).otherwise(F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.encode(ch, "UTF-16BE")), 4, "0"))))), "")
+    """A JSON string in which everything but printable ASCII is escaped; a character beyond 16 bits is two escapes."""
+    escapes = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
+    units = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(....)", "\\\\u$1")
+    one = lambda ch: F.coalesce(F.try_element_at(escapes, ch), F.when(ch.between(" ", "~"), ch).otherwise(units(ch)))
+    text = F.when(c.rlike(r"^[ !#-\[\]-~]*\z"), c).otherwise(F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), one), ""))
+    return F.concat(F.lit('"'), text, F.lit('"'))
 
 
 def canonical_event(rows: DataFrame) -> Column:
@@ -35,53 +40,64 @@ def canonical_event(rows: DataFrame) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def with_previous(rows: DataFrame, column: str = "hash", first: str = R.GENESIS) -> DataFrame:
-    """rows with `stored`: the column's value in the entry before, by sequence.
+def with_previous(rows: DataFrame, column: str = "hash", first: str = R.GENESIS, log: str | None = None) -> DataFrame:
+    """rows with `stored`: the column's value in the entry before, by sequence; of its own log, where a column names several.
 
-    The log is ordered as a whole, so ranges of it are linked apart: each range's last value is one row of a small table that
-    gives the first entry of the next range its predecessor. No task sees more than one range.
+    A log is ordered as a whole, so ranges of it are linked apart: each range's last value is one row of a small table that
+    gives the first entry of the next range its predecessor. No task sees more than one range of one log.
     """
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ends = rows.agg(F.min("sequence").alias("a"), F.max("sequence").alias("b")).first()
     if ends.a is None:
         return rows.withColumn("stored", F.lit(first))
+    by = [log] if log else []
     width = max(1, -(-(ends.b - ends.a + 1) // n))
     ranged = rows.withColumn("range", F.floor((F.col("sequence") - F.lit(ends.a)) / width))
-    lasts = ranged.groupBy("range").agg(F.max_by(column, "sequence").alias("last"))
-    lasts = lasts.select((F.coalesce(F.lead("range").over(Window.orderBy("range")), F.lit(-1))).alias("range"), "last")  # one row a range
-    inside = F.lag(column).over(Window.partitionBy("range").orderBy("sequence"))
-    return ranged.join(lasts, "range", "left").withColumn("stored", F.coalesce(inside, "last", F.lit(first))).drop("range", "last")
+    lasts = ranged.groupBy(*by, "range").agg(F.max_by(column, "sequence").alias("last"))
+    onward = Window.partitionBy(*by).orderBy("range")  # one row a range of a log
+    lasts = lasts.select(*by, F.coalesce(F.lead("range").over(onward), F.lit(-1)).alias("range"), "last")
+    inside = F.lag(column).over(Window.partitionBy(*by, "range").orderBy("sequence"))
+    return ranged.join(lasts, [*by, "range"], "left").withColumn("stored", F.coalesce(inside, "last", F.lit(first))).drop("range", "last")
 
 
-def verify(rows: DataFrame, secret: bytes) -> DataFrame:
-    """entries, intact, first_broken_sequence. An entry is good if its stored predecessor is the one before it and its digest is
-    that of the predecessor's digest and its own content."""
-    linked = with_previous(rows)
+def verify(rows: DataFrame, secret: bytes, log: str | None = None) -> DataFrame:
+    """entries, intact, first_broken_sequence (of each log, where a column names several). An entry is good if its stored
+    predecessor is the one before it and its digest is that of the predecessor's digest and its own content."""
+    linked = with_previous(rows, log=log)
     good = (F.col("prev_hash") == F.col("stored")) & (F.col("hash") == hmac_sha256(secret, F.concat("stored", canonical_event(linked))))
-    return linked.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.min(F.when(~good, F.lit(0)).otherwise(1)), F.lit(1)).cast("boolean").alias("intact"), F.min(F.when(~good, F.col("sequence"))).alias("first_broken_sequence"))
+    found = F.count(F.lit(1)).alias("entries"), F.coalesce(F.min(F.when(~good, F.lit(0)).otherwise(1)), F.lit(1)).cast("boolean").alias("intact"), F.min(F.when(~good, F.col("sequence"))).alias("first_broken_sequence")
+    return linked.groupBy(log).agg(*found) if log else linked.agg(*found)
 
 
-def append(log: DataFrame, events: DataFrame, secret: bytes) -> DataFrame:
-    """The log with one batch of events chained on, in order of time and event_key. Each link depends on the one before, so a
-    batch (not the log) passes one task, sorted by Spark, which may spill; the task holds one entry at a time."""
+def append(log: DataFrame, events: DataFrame, secret: bytes, by: str | None = None) -> DataFrame:
+    """The log with a batch of events chained on, in order of time and event_key. Where a column `by` names several logs, each has
+    a chain and numbers of its own.
+
+    Each link depends on the one before, so a log's part of the batch passes one task, sorted by Spark, which may spill, one
+    entry at a time; many logs are chained side by side. What is stored already is only asked for its logs' ends.
+    """
     import hashlib
     import hmac
 
     import pyarrow as pa
 
-    last = log.agg(F.max("sequence").alias("s"), F.max_by("hash", "sequence").alias("h")).first()
-    start, first = (last.s or 0), (last.h or R.GENESIS)
+    key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    last = log.groupBy(key.alias("log_name")).agg(F.max("sequence").alias("last_sequence"), F.max_by("hash", "sequence").alias("last_hash"))
     fields = [f.name for f in log.schema.fields if f.name in events.columns and f.name not in ("prev_hash", "hash", "sequence")]
     # The number is put in by the task, between the two parts of the canonical text.
-    unnumbered = events.withColumn("sequence", F.lit("\x00"))
-    ordered = unnumbered.withColumn("canonical", canonical_event(unnumbered)).select(*fields, "event_key", "canonical").repartition(1).sortWithinPartitions("occurred_at", "event_key").drop("event_key")
-    schema = ordered.drop("canonical").schema.add("sequence", "long").add("prev_hash", "string").add("hash", "string")
+    unnumbered = events.withColumn("sequence", F.lit("\x00")).withColumn("log_name", key)
+    begun = unnumbered.withColumn("canonical", canonical_event(unnumbered)).join(last, "log_name", "left")
+    begun = begun.select(*fields, "log_name", F.coalesce("last_sequence", F.lit(0)).cast("long").alias("last_sequence"), F.coalesce("last_hash", F.lit(R.GENESIS)).alias("last_hash"), "canonical", F.col("occurred_at").alias("at_time"), "event_key")
+    ordered = begun.repartition("log_name").sortWithinPartitions("log_name", "at_time", "event_key").select(*fields, "log_name", "last_sequence", "last_hash", "canonical")
+    schema = ordered.select(*fields).schema.add("sequence", "long").add("prev_hash", "string").add("hash", "string")
 
     def fold(batches):
-        before, number = first, start
+        current, before, number = None, "", 0
         for batch in batches:
             numbers, links, hashes = [], [], []
-            for c in batch.column(len(fields)).to_pylist():
+            for which, start, first, c in zip(*(batch.column(len(fields) + k).to_pylist() for k in range(4)), strict=True):
+                if current is None or which != current[0]:
+                    current, before, number = (which,), first, start
                 number += 1
                 after = hmac.new(secret, (before + c.replace("\x00", str(number))).encode(), hashlib.sha256).hexdigest()
                 numbers.append(number)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.origin import derive_origin
 from ..rules import tables as R
+from ..session import cut
 
 SEARCHED = ["component_name", "part_number", "chip_number", "manufacturer", "remarks", "barcode", "supplier"]
 SEARCHED_OFFLINE = ["component_name", "part_number", "chip_number", "manufacturer", "remarks", "drone_subsystem", "supplier"]
@@ -36,6 +37,61 @@ def search(catalogue: DataFrame, query: str = "", *, fields: list[str] | None =
     return out if pending is None else out.where(F.col("pending_verification") == pending)
 
 
+INDEX_BUCKETS = 64
+
+
+def _pieces(c: Column) -> Column:
+    """The parts of a search text between wildcards, in lower case."""
+    return F.filter(F.split(F.lower(X.strip(c)), "[%_]"), lambda p: p != "")
+
+
+def _grams_of(text: Column) -> Column:
+    """Distinct substrings of one, two and three characters."""
+    some = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(some(1), some(2), some(3)))
+
+
+def _gram_bucket(gram: str = "gram") -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def write_search_index(catalogue: DataFrame, path: str, fields: list[str] | None = None) -> None:
+    """Postings of the live rows' searched fields: gram, component_id, by the gram's bucket and sorted by gram, so that a search
+    reads its grams' buckets and of these the row groups that may hold them."""
+    grams = F.flatten(F.array(*[_grams_of(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in fields or SEARCHED]))
+    postings = live(catalogue).select("component_id", F.explode(F.array_distinct(grams)).alias("gram")).withColumn("gram_bucket", _gram_bucket())
+    postings.repartition("gram_bucket").sortWithinPartitions("gram_bucket", "gram").write.partitionBy("gram_bucket").parquet(path)
+
+
+def search_many(catalogue: DataFrame, index: str, queries: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """query, component_id: what `search` finds for each of the queries (query), through the postings of `write_search_index`.
+
+    A query meets the rows of its rarest gram, of the longest grams that it has, and these alone are tested for the whole query; rows whose
+    key begins with a query are met by prefixes, of asked lengths. A query of wildcards only, or of nothing, names every row and
+    finds none here: that is `search`'s.
+    """
+    spark = catalogue.sparkSession
+    asked = queries.select("query").distinct().withColumn("pieces", _pieces(F.col("query"))).where(F.size("pieces") > 0)
+    grams = F.array_distinct(F.flatten(F.transform("pieces", _grams_of)))
+    asked = asked.withColumn("grams", grams).withColumn("longest", F.array_max(F.transform("grams", F.length)))
+    asked = cut(asked.select("query", F.explode(F.filter("grams", lambda g: F.length(g) == F.col("longest"))).alias("gram")), "search-asked")
+    postings = spark.read.schema("gram string, component_id string, gram_bucket int").parquet(index)
+    buckets = [r[0] for r in asked.select(_gram_bucket()).distinct().collect()]  # INDEX_BUCKETS at most
+    met = postings.where(F.col("gram_bucket").isin(buckets)).join(asked.select("gram").distinct(), "gram", "left_semi").select("gram", "component_id")
+    met = cut(met, "search-postings")
+    counts = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    texts = live(catalogue).select("component_id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields or SEARCHED])
+    found = rarest.join(met, "gram").join(texts, "component_id")
+    pattern = F.concat(F.lit("%"), F.lower(X.strip(F.col("query"))), F.lit("%"))
+    found = found.where(reduce(lambda a, b: a | b, [F.like(F.lower(F.col(c)), pattern) for c in fields or SEARCHED])).select("query", "component_id")
+    keyed = asked.select("query").distinct().withColumn("key", X.normalize(F.col("query"))).where("key <> ''")
+    lengths = [r[0] for r in keyed.select(F.length("key")).distinct().collect()]  # few, whatever the queries
+    known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    begun = live(catalogue).select("component_id", F.explode(F.transform(F.filter(known, lambda n: n <= F.length("search_key")), lambda n: F.substring("search_key", F.lit(1), n))).alias("key"))
+    return found.unionByName(keyed.join(begun, "key").select("query", "component_id")).distinct()
+
+
 def page(rows: DataFrame, number: int = 1, size: int = 50, order: str = "component_name") -> DataFrame:
     return rows.orderBy(order, "component_id").offset((max(number, 1) - 1) * size).limit(size)
 
@@ -161,13 +217,16 @@ def edit_country(catalogue: DataFrame, component_id: str, country: str) -> DataF
 
 def seed(catalogue: DataFrame, rows: DataFrame) -> DataFrame:
     """The catalogue with those seed rows whose ids it has not, live or deleted; derived like created ones, but a declared
-    origin counts."""
+    origin counts. Of rows with one id the first is taken, by row_number where the rows have it (as files read by readers do),
+    else by the whole row."""
     derived = rows.withColumns({
         "is_chinese": derive_origin(F.col("country_of_origin"), F.col("remarks"), F.col("is_chinese")),
         "manufacturer": X.manufacturer_key(F.col("manufacturer")),
         "search_key": X.normalize(F.coalesce(F.nullif("chip_number", F.lit("")), "part_number")),
     }).withColumn("pending_verification", F.col("is_chinese") == "UNKNOWN")
-    fresh = derived.dropDuplicates(["component_id"]).join(catalogue.select("component_id"), "component_id", "left_anti")
+    place = F.col("row_number") if "row_number" in rows.columns else F.struct(*sorted(rows.columns))
+    first = derived.withColumn("seed_place", place).groupBy("component_id").agg(F.min_by(F.struct(*[c for c in derived.columns if c != "component_id"]), "seed_place").alias("r")).select("component_id", "r.*")
+    fresh = first.join(catalogue.select("component_id"), "component_id", "left_anti")
     return catalogue.unionByName(fresh.select(*[c for c in catalogue.columns if c in fresh.columns]), allowMissingColumns=True)
 
 

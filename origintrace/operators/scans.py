@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.marking import marked, tighten
 from ..functions.origin import verdict
 from ..rules import tables as R
-from .cascade import match
+from ..session import cut
+from .cascade import CARRIED, lookups, match, prefixed_keys, probes
 
 VERDICT_FIELDS = ["result", "banner", "headline", "action", "alert", "criticality", "confidence", "origin_evidence", "evidence_detail", "review_required", "policy_decision", "escalate", "escalation_note"]
 
@@ -57,7 +59,36 @@ def not_found_queue(results: DataFrame) -> DataFrame:
     )
 
 
-def disagreements(scans: DataFrame, mine: DataFrame, theirs: DataFrame, key: str = "scan_id") -> DataFrame:
-    """Scans whose banner differs between two versions of the catalogue."""
-    a, b = (judged(match(scans, c, key)).select(key, F.col("verdict.banner").alias(n)) for c, n in ((mine, "device_banner"), (theirs, "server_banner")))
-    return a.join(b, key).where("device_banner <> server_banner")
+def touched(texts: DataFrame, mine: DataFrame, theirs: DataFrame, raw: str = "raw_input") -> DataFrame:
+    """Of distinct raw texts those whose match may differ between two versions of the catalogue.
+
+    A text is touched if one of its probes is a key that the versions resolve differently. One without a key in either may
+    differ by what comes after: if a changed key begins it, or it begins one, or if it shares a gram with the key of a changed row.
+    """
+    versions = [cut(catalogue.where("not is_deleted") if "is_deleted" in catalogue.columns else catalogue, "version") for catalogue in (mine, theirs)]
+    looked_up = [cut(lookups(v), "version-lookups") for v in versions]
+    a, b = (x.select("kind", "probe", F.struct("agreed", "component", "n_rows").alias(n)) for x, n in zip(looked_up, ("a", "b"), strict=True))
+    changed = cut(a.join(b, ["kind", "probe"], "full").where("not (a <=> b)").select("kind", "probe"), "changed-keys")
+    x, y = (v.select("component_id", F.struct("ord", *CARRIED).alias(n)) for v, n in zip(versions, ("a", "b"), strict=True))
+    moved = x.join(y, "component_id", "full").where("not (a <=> b)").select(F.explode(F.array("a.search_key", "b.search_key")).alias("search_key")).where("search_key <> ''").distinct()
+
+    asked = cut(probes(texts, raw, raw).select(raw, "norm", "kind", "probe"), "asked-probes")
+    direct = asked.join(changed, ["kind", "probe"], "left_semi").select(raw)
+    known = asked.join(looked_up[0].select("kind", "probe"), ["kind", "probe"], "left_semi").select(raw)
+    later = cut(asked.select(raw, "norm").distinct().join(direct, raw, "left_anti").join(known, raw, "left_anti"), "asked-later")
+    markings = later.select("norm").distinct()
+    keys = changed.where("kind = 'K'").withColumn("n_rows", F.lit(1).cast("long"))
+    prefixed = prefixed_keys(markings, keys).select("norm")
+    shared = moved.select(F.explode(X.grams(F.col("search_key"))).alias("gram")).distinct()
+    fuzzy = markings.select("norm", F.explode(X.grams(F.col("norm"))).alias("gram")).join(shared, "gram", "left_semi").select("norm")
+    return direct.unionByName(later.join(prefixed.unionByName(fuzzy).distinct(), "norm", "left_semi").select(raw)).distinct()
+
+
+def disagreements(scans: DataFrame, mine: DataFrame, theirs: DataFrame, key: str = "scan_id", raw: str = "raw_input") -> DataFrame:
+    """key, device_banner, server_banner of scans whose banner differs between two versions of the catalogue. Only texts that the
+    versions' differences touch are matched again, once each."""
+    texts = scans.select(F.coalesce(F.col(raw), F.lit("")).alias(raw)).distinct()
+    texts = cut(touched(texts, mine, theirs, raw), "touched")
+    a, b = (judged(match(texts, c, raw, raw)).select(raw, F.col("verdict.banner").alias(n)) for c, n in ((mine, "device_banner"), (theirs, "server_banner")))
+    differ = a.join(b, raw).where("device_banner <> server_banner")
+    return scans.select(key, F.coalesce(F.col(raw), F.lit("")).alias(raw)).join(differ, raw).select(key, "device_banner", "server_banner")

@@ -93,8 +93,43 @@ def evidence_paths(spark, sf_dir):
     return readers.evidence_paths(fx.scans(spark, sf_dir).withColumn("uuid", uuid), "uuid", "scanned_at", "scan_id").select("scan_id", "path")
 
 
-@query("SELECT 'server' AS source, 4 AS version")
+@query("""SELECT source, version, count(*) FILTER (WHERE NOT is_deleted) AS live, count(*) FILTER (WHERE category = 'store') AS stored FROM (SELECT 'server' AS source, 3 AS version, is_deleted, CASE WHEN is_chinese = 'UNKNOWN' THEN 'store' ELSE category END AS category FROM catalogue) GROUP BY 1, 2""", cat)
 def resolved_version(spark, sf_dir):
-    """The catalogue that a device takes of those it has: the server's before the import's, cached and bundled ones, the newest of it."""
-    have = [("bundled", 9, "d"), ("cached", 7, "c"), ("server", 2, "a"), ("import", 8, "b"), ("server", 4, "a4")]
-    return readers.newest(spark.createDataFrame(have, "source string, version int, path string")).select("source", "version")
+    """The catalogue that a device takes of those saved: the server's before the import's, cached and bundled ones, the newest of it."""
+    root = scratch_path(spark, "versions")
+    c = fx.catalogue(spark, sf_dir)
+    sinks.save_version(c.where("not is_deleted"), root, 9, "bundled")
+    sinks.save_version(c, root, 2)
+    sinks.save_version(catalogue.bulk_update(c, c.where("is_chinese = 'UNKNOWN'"), category="store"), root, 3)
+    sinks.save_version(c.where("is_chinese = 'YES'"), root, 8, "import")
+    taken = readers.newest(sinks.manifest(spark, root)).first()
+    rows = sinks.read_version(spark, root, taken.version)
+    return rows.agg(F.count_if(~F.col("is_deleted")).alias("live"), F.count_if(F.col("category") == "store").alias("stored")).select(F.lit(taken.source).alias("source"), F.lit(taken.version).alias("version"), "live", "stored")
+
+
+@query(_SAME, cat)
+def workbook_round_trip(spark, sf_dir):
+    """The catalogue as workbooks with a title row, read again by the rule that finds the header."""
+    return readers.parse_xlsx(sinks.workbooks(_rows(spark, sf_dir), "ord", "Catalogue", 500)).select(*_TEXT)
+
+
+_REPORT = ["component_id", "component_name", "is_chinese", "confidence_score"]
+
+
+@query(f"""WITH b AS (SELECT floor(ord / 400)::BIGINT AS chunk, count(*) AS n, sha256(string_agg('component_id=' || component_id || '|component_name=' || component_name || '|confidence_score=' || CAST(confidence_score AS VARCHAR) || '|is_chinese=' || is_chinese, '' ORDER BY ord)) AS digest FROM catalogue GROUP BY 1)
+SELECT chunk, 'Origin-' || chunk || '.xlsx' AS name, 'COMPONENT ID,COMPONENT NAME,IS CHINESE,CONFIDENCE SCORE' AS header, n AS records, 'Report body SHA-256: ' || digest AS footer FROM b""", cat)
+def workbook_reports(spark, sf_dir):
+    """Reports of the catalogue as workbooks: each one's header and the digest of its body, read from the workbook itself."""
+    rows = fx.catalogue(spark, sf_dir).select("ord", *_REPORT)
+    books = sinks.workbooks(rows, "ord", "Origin", 400, {"generated_at": "2024-01-31", "generated_by": "system", "db_revision": 3})
+
+    def read(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for chunk, name, content in zip(pdf["chunk"], pdf["name"], pdf["content"], strict=True):
+                sheet = next(iter(readers.sheets(bytes(content)).values()))
+                at = readers.header_row(sheet)
+                yield pd.DataFrame([(chunk, name, ",".join(sheet[at]), sum(1 for r in sheet[at + 1 :] if len(r) > 1), sheet[-1][0])], columns=["chunk", "name", "header", "records", "footer"])
+
+    return books.mapInPandas(read, "chunk long, name string, header string, records long, footer string")

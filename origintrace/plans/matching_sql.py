@@ -7,6 +7,8 @@ count less there than in optimal string alignment; `marking_distances` has the l
 
 from __future__ import annotations
 
+import re
+
 from ..rules import tables as R
 from .registry import cases, listed, quote
 
@@ -152,3 +154,18 @@ SELECT scan_id, method AS match_method, score AS match_score, component_id AS ma
   CASE WHEN raised THEN 'CHINESE ORIGIN MARKED ON PACKAGE' WHEN fallen THEN 'MARKING INCONSISTENT' ELSE headline END AS headline, CASE WHEN hit THEN round_even(eff, 1) ELSE 0.0 END AS confidence,
   CASE WHEN worst = 'red' AND touched THEN 'unit_marking' WHEN hit THEN tier ELSE 'none' END AS origin_evidence, touched OR NOT hit OR unsure OR result <> 'non_chinese' AS review_required,
   {_policy("verdict")} AS policy_decision, verdict = 'chinese' AND crit = 'CRITICAL' AND hit AS escalate, worst FROM final"""
+
+_BANNER = "CASE result WHEN 'chinese' THEN 'RED' WHEN 'non_chinese' THEN 'GREEN' WHEN 'unknown_origin' THEN 'YELLOW' ELSE 'GREY' END"
+
+
+def _banners(catalogue: str) -> str:
+    """scan_id, banner of every scan against a catalogue, before its package is looked at."""
+    rules = VERDICTS[: VERDICTS.index("to_mark AS (")].rstrip().rstrip(",")
+    return f"WITH RECURSIVE {re.sub(r'\bcatalogue\b', catalogue, rules)} SELECT scan_id, {_BANNER} AS banner FROM ruled"
+
+
+#: A later version of the catalogue: some rows' origins are corrected, some rows go, some keys change.
+LATER = """SELECT * REPLACE (CASE WHEN ord % 31 = 3 THEN 'YES' WHEN ord % 37 = 5 THEN 'UNKNOWN' ELSE is_chinese END AS is_chinese, is_deleted OR ord % 41 = 7 AS is_deleted, CASE WHEN ord % 53 = 9 THEN search_key || 'X' ELSE search_key END AS search_key) FROM catalogue"""
+
+DISAGREEMENTS = f"""WITH later AS ({LATER}), a AS ({_banners("catalogue")}), b AS ({_banners("later")})
+SELECT scan_id, a.banner AS device_banner, b.banner AS server_banner FROM a JOIN b USING (scan_id) WHERE a.banner <> b.banner"""

@@ -9,7 +9,7 @@ from ..functions import marking, ocr, origin
 from ..functions import text as X
 from ..operators import audit, cascade, catalogue, imports, insights, ocr_words, scans
 from ..rules import tables as R
-from ..session import cut
+from ..session import cut, scratch_path
 from ..streaming import ingest
 from . import fixtures as fx
 from . import matching_sql as M
@@ -205,6 +205,18 @@ def match_trail(spark, sf_dir):
     return cascade.trail(cut(cascade.match(fx.scans(spark, sf_dir), c), "trail-matches"), c)
 
 
+@query(M.DISAGREEMENTS, _scan)
+def catalogue_disagreements(spark, sf_dir):
+    """Scans whose banner differs between the catalogue and a later version of it, in which origins, keys and rows have changed."""
+    c = cut(fx.catalogue(spark, sf_dir), "catalogue")
+    ord_ = F.col("ord")
+    later = c.withColumns({
+        "is_chinese": F.when(ord_ % 31 == 3, "YES").when(ord_ % 37 == 5, "UNKNOWN").otherwise(F.col("is_chinese")), "is_deleted": F.col("is_deleted") | (ord_ % 41 == 7),
+        "search_key": F.when(ord_ % 53 == 9, F.concat("search_key", F.lit("X"))).otherwise(F.col("search_key")),
+    })
+    return scans.disagreements(fx.scans(spark, sf_dir), c, later)
+
+
 @query(f"WITH RECURSIVE {M.VERDICTS}", _scan)
 def scan_verdicts(spark, sf_dir):
     """Every scan's verdict after the check of its package marking."""
@@ -231,6 +243,18 @@ def catalogue_search(spark, sf_dir):
     return catalogue.search(fx.catalogue(spark, sf_dir), "wid", criticality="CRITICAL").select("component_id", "component_name")
 
 
+@query("""WITH q AS (SELECT DISTINCT unnest([split_part(component_name, ' ', 1), substr(supplier, 5, 9), substr(part_number, 3, 4), upper(substr(component_name, 2, 2)), substr(barcode, 6, 5), left(part_number, 2) || '%' || right(part_number, 3)]) AS query FROM catalogue WHERE ord % 7 = 0)
+SELECT query, component_id FROM q JOIN catalogue ON NOT is_deleted AND (""" + " OR ".join(f"{c} ILIKE '%' || query || '%'" for c in catalogue.SEARCHED) + """ OR starts_with(search_key, regexp_replace(upper(query), '[^A-Z0-9]', '', 'g'))) WHERE trim(query) <> ''""", _cat)
+def indexed_search(spark, sf_dir):
+    """Many searches at once through postings of grams: words, parts of numbers, two letters, and a wildcard."""
+    c = cut(fx.catalogue(spark, sf_dir), "search-catalogue")
+    wild = F.concat(F.substring("part_number", 1, 2), F.lit("%"), F.expr("right(part_number, 3)"))
+    asked = F.array(F.split_part(F.col("component_name"), F.lit(" "), F.lit(1)), F.substring("supplier", 5, 9), F.substring("part_number", 3, 4), F.upper(F.substring("component_name", 2, 2)), F.substring("barcode", 6, 5), wild)
+    index = scratch_path(spark, "search-index")
+    catalogue.write_search_index(c, index)
+    return catalogue.search_many(c, index, c.where("ord % 7 = 0").select(F.explode(asked).alias("query")))
+
+
 @query("SELECT component_id, component_name FROM catalogue WHERE NOT is_deleted ORDER BY component_name, component_id LIMIT 50 OFFSET 50", _cat)
 def catalogue_page(spark, sf_dir):
     return catalogue.page(catalogue.live(fx.catalogue(spark, sf_dir)), 2).select("component_id", "component_name")
@@ -556,30 +580,46 @@ def chain_predecessors(spark, sf_dir):
 
 
 def _chained(spark, sf_dir) -> DataFrame:
-    """All events as a log that was appended to from its first entry on."""
+    """All events in a log for each user, the later half of them appended to what the first half has left."""
     events = _log(spark, sf_dir).withColumnRenamed("sequence", "event_key").drop("prev_hash", "hash")
     empty = _log(spark, sf_dir).where("false")
-    return audit.append(empty, events, SECRET)
+    noon = events.agg(F.expr("percentile_approx(occurred_at, 0.5)")).first()[0]
+    early = cut(audit.append(empty, events.where(F.col("occurred_at") <= F.lit(noon)), SECRET, by="actor_id"), "log")
+    return cut(audit.append(early, events.where(F.col("occurred_at") > F.lit(noon)), SECRET, by="actor_id"), "log")
+
 
+_NUMBERED = "n AS (SELECT *, 'u' || CAST(user_id AS VARCHAR) AS actor_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events)"
 
-@query("SELECT count(*) AS entries, true AS intact, CAST(NULL AS BIGINT) AS first_broken_sequence FROM events")
+
+@query(f"WITH {_NUMBERED} SELECT actor_id, count(*) AS entries, true AS intact, CAST(NULL AS BIGINT) AS first_broken_sequence FROM n GROUP BY actor_id")
 def verified_chain(spark, sf_dir):
-    """A log appended by rule is found intact."""
-    return audit.verify(cut(_chained(spark, sf_dir), "log"), SECRET)
+    """Every user's log, appended in two batches, is found intact."""
+    return audit.verify(_chained(spark, sf_dir), SECRET, "actor_id")
 
 
-@query("SELECT count(*) AS entries, false AS intact, count(*) // 2 AS first_broken_sequence FROM events")
+@query(f"WITH {_NUMBERED} SELECT actor_id, count(*) AS entries, count(*) < 3 AS intact, CASE WHEN count(*) >= 3 THEN CAST(3 AS BIGINT) END AS first_broken_sequence FROM n GROUP BY actor_id")
 def tampered_chain(spark, sf_dir):
-    """The same log with one entry's detail changed: that entry is the first broken one."""
-    log = cut(_chained(spark, sf_dir), "log")
-    here = F.col("sequence") == log.count() // 2
-    return audit.verify(log.withColumn("detail_json", F.when(here, "{}").otherwise(F.col("detail_json"))), SECRET)
+    """The same logs with each one's third entry changed: that is the first broken one."""
+    log = _chained(spark, sf_dir)
+    return audit.verify(log.withColumn("detail_json", F.when(F.col("sequence") == 3, "{}").otherwise(F.col("detail_json"))), SECRET, "actor_id")
+
+
+def _hmac_sql(message: str) -> str:
+    """HMAC-SHA256 of an ASCII text under SECRET, composed of sha256 and the key's pads."""
+    pads = ["".join(rf"\x{b ^ p:02X}" for b in SECRET.ljust(64, b"\0")) for p in (0x36, 0x5C)]
+    return f"sha256('{pads[1]}'::BLOB || unhex(sha256('{pads[0]}'::BLOB || encode({message}))))"
+
+
+_JSON = """'{"action":"' || event_type || '","actor_id":"' || actor_id || '","actor_username":"","detail_json":"' || replace(replace(props, '\\', '\\\\'), '"', '\\"') || '","entity_id":"' || event_id || '","entity_type":"event","ip_address":"","occurred_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END || '+00:00","sequence":' || sequence || ',"user_agent":""}'"""
 
 
-@query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS sequence FROM events) SELECT sequence, 'u' || CAST(user_id AS VARCHAR) AS actor_id, event_type AS action, CAST(event_id AS VARCHAR) AS entity_id FROM e""")
+@query(f"""WITH RECURSIVE {_NUMBERED}, j AS (SELECT actor_id, event_type, event_id, sequence, {_JSON} AS canonical FROM n),
+c(actor_id, sequence, prev_hash, hash) AS (SELECT actor_id, sequence, '{R.GENESIS}', {_hmac_sql(f"'{R.GENESIS}' || canonical")} FROM j WHERE sequence = 1
+  UNION ALL SELECT j.actor_id, j.sequence, c.hash, {_hmac_sql("c.hash || j.canonical")} FROM c JOIN j ON j.actor_id = c.actor_id AND j.sequence = c.sequence + 1)
+SELECT actor_id, sequence, event_type AS action, CAST(event_id AS VARCHAR) AS entity_id, prev_hash, hash FROM c JOIN j USING (actor_id, sequence)""")
 def appended_log(spark, sf_dir):
-    """The order in which a batch of events is numbered and chained on."""
-    return _chained(spark, sf_dir).select("sequence", "actor_id", "action", "entity_id")
+    """Every user's log as it is numbered and chained on, with its digests."""
+    return _chained(spark, sf_dir).select("actor_id", "sequence", "action", "entity_id", "prev_hash", "hash")
 
 
 # The same queries under the names they had while these were the slices of them that SQL could follow.

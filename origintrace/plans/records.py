@@ -8,6 +8,7 @@ from ..functions import origin
 from ..functions import text as X
 from ..operators import catalogue, imports, insights, ocr_words
 from ..rules import tables as R
+from ..session import scratch_path
 from ..streaming import ingest
 from . import fixtures as fx
 from .matching_sql import OSA
@@ -316,3 +317,15 @@ def scans_of_images(spark, sf_dir):
     chip = lambda k: F.struct(F.concat("best", F.lit(str(k))).alias("best"), F.col("full_text"))
     images = images.withColumn("chips", F.when(F.col("kind") == 0, F.array(chip(0), chip(1)))).withColumn("multiple_parts", F.col("kind") == 1)
     return ocr_words.scans_of_images(images).select("client_uuid", "raw_input", "message")
+
+
+@query("SELECT client_uuid, arg_min(scan_id, struct_pack(a := scanned_at, b := scan_id)) AS scan_id, CAST(1 AS BIGINT) AS stored FROM scans GROUP BY client_uuid", scan)
+def uploaded_scans(spark, sf_dir):
+    """Devices' queues of JSON files, emptied in batches by the stream and once more in full: each scan is stored once."""
+    root = scratch_path(spark, "uploads")
+    taken = fx.scans(spark, sf_dir).select("scan_id", "client_uuid", "scanned_at")
+    taken.repartition(12, "client_uuid").write.json(f"{root}/queue")
+    schema = "scan_id long, client_uuid string, scanned_at timestamp"
+    for run in ("first", "again"):
+        ingest.ingest(ingest.queued_uploads(spark, f"{root}/queue", schema, 4), f"{root}/store", f"{root}/state-{run}", 16).awaitTermination()
+    return spark.read.parquet(f"{root}/store").groupBy("client_uuid").agg(F.min("scan_id").alias("scan_id"), F.count(F.lit(1)).alias("stored"))

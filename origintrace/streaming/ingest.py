@@ -20,33 +20,41 @@ def new_scans(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     return first if stored is None else first.join(stored.select("client_uuid"), "client_uuid", "left_anti")
 
 
-def ingest(scans: DataFrame, store: str, checkpoint: str, late: str = "30 days") -> StreamingQuery:
-    """Appends each scan once to the store, partitioned by capture date, whenever and however often it arrives.
+STORE_BUCKETS = 256
 
-    Replays that arrive within `late` of each other are dropped by state, whose watermark is the time of arrival: no scan is
-    late for that, whatever its capture time. Replays that come later still are found in the store, of which only the batch's
-    capture dates are read (a replay has its scan's capture time). A batch that is run again finds its own rows and adds none.
+
+def ingest(scans: DataFrame, store: str, checkpoint: str, buckets: int = STORE_BUCKETS) -> StreamingQuery:
+    """Appends each scan once to the store, whenever and however often it arrives.
+
+    The store is dealt into buckets by the uuid's hash, so a replay is found by its uuid alone, whatever capture time it claims and
+    whatever became of the stream's state; of the store, only the uuids of the batch's buckets are read. A scan without a capture
+    time is taken to be captured when it arrives. The one write is all that changes the store: a batch that is run again
+    finds its own rows and adds none. Rows lie by time inside a bucket, so their files' statistics prune dates.
     """
     spark = scans.sparkSession
-    named = scans.where("client_uuid <> ''").withColumn("synced_at", F.current_timestamp())
-    once = named.withWatermark("synced_at", late).dropDuplicatesWithinWatermark(["client_uuid"])
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        batch = batch.withColumn("scan_date", F.to_date("scanned_at"))
+        batch = bucketed(batch, buckets).persist()
         fresh = new_scans(batch, _stored(spark, store, batch))
-        fresh.write.mode("append").partitionBy("scan_date").parquet(store)
+        fresh.repartition("uuid_bucket").sortWithinPartitions("uuid_bucket", "scanned_at").write.mode("append").partitionBy("uuid_bucket").parquet(store)
+        batch.unpersist()
+
+    return scans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def bucketed(batch: DataFrame, buckets: int = STORE_BUCKETS) -> DataFrame:
+    """The named scans of a batch with time of arrival, capture time, and their bucket of the store."""
+    arrived = batch.where("client_uuid <> ''").withColumn("synced_at", F.current_timestamp())
+    return arrived.withColumn("scanned_at", F.coalesce("scanned_at", "synced_at")).withColumn("uuid_bucket", F.pmod(F.xxhash64("client_uuid"), F.lit(buckets)).cast("int"))
 
 
 def _stored(spark: SparkSession, store: str, batch: DataFrame) -> DataFrame | None:
-    """The store's uuids of the batch's capture dates; None if nothing is stored yet. A batch has few dates, which prune the store."""
+    """The store's uuids of the batch's buckets; None if nothing is stored yet."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return None
-    schema = "client_uuid string, scan_date date"
-    dates = [r[0] for r in batch.select("scan_date").distinct().collect()]
-    return spark.read.schema(schema).parquet(store).where(F.col("scan_date").isin(dates)).select("client_uuid")
+    asked = [r[0] for r in batch.select("uuid_bucket").distinct().collect()]  # as many as there are buckets, at most
+    return spark.read.schema("client_uuid string, uuid_bucket int").parquet(store).where(F.col("uuid_bucket").isin(asked)).select("client_uuid")
 
 
 def queued_uploads(spark: SparkSession, folder: str, schema: str, files_each: int = 100) -> DataFrame:
@@ -97,21 +105,29 @@ def rate_limited(events: DataFrame, client: str, at: str, tie: str, limit: int =
     return ordered.mapInPandas(walk, schema)
 
 
-def rate_limit_stream(events: DataFrame, limit: int = R.RATE_LIMIT, window: float = R.RATE_WINDOW_SECONDS) -> DataFrame:
-    """A stream (client, event_id, at) with admitted; a client's log of admitted times is its state and goes when it is idle."""
+def _in_order(frames, *columns: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch by time and event, from however many Arrow batches they come in; the source's limits of a
+    micro-batch bound them."""
+    held = [pdf[["t", "event_id", *columns]] for pdf in frames]
+    return pd.concat(held).sort_values(["t", "event_id"]) if held else pd.DataFrame({c: [] for c in ("t", "event_id", *columns)})
+
+
+def rate_limit_stream(events: DataFrame, limit: int = R.RATE_LIMIT, window: float = R.RATE_WINDOW_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """A stream (client, event_id, at) with admitted; a client's log of admitted times is its state, and goes once the watermark
+    (`late` behind the newest event) has passed the window of its last one. Events later than that are not judged."""
 
     def step(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         log = deque(state.get[0]) if state.exists else deque()
-        for pdf in frames:
-            pdf = pdf.sort_values(["at", "event_id"])
-            yield pd.DataFrame({"client": key[0], "event_id": pdf["event_id"], "admitted": admit([t.timestamp() for t in pdf["at"]], log, limit, window)})
+        pdf = _in_order(frames)
+        yield pd.DataFrame({"client": key[0], "event_id": pdf["event_id"], "admitted": admit(pdf["t"].tolist(), log, limit, window)})
         state.update((list(log),))
-        state.setTimeoutDuration(int(2000 * window))
+        state.setTimeoutTimestamp(max(int(1000 * (max(log, default=0.0) + window)), state.getCurrentWatermarkMs()) + 1)
 
-    return events.groupBy("client").applyInPandasWithState(step, "client string, event_id long, admitted boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("at", late).withColumn("t", F.col("at").cast("double"))
+    return timed.groupBy("client").applyInPandasWithState(step, "client string, event_id long, admitted boolean", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lock_steps(tries: list[tuple[float, bool]], state: tuple[int, float], after: int, seconds: float) -> tuple[list[str], tuple[int, float]]:
@@ -151,22 +167,30 @@ def lockout(tries: DataFrame, user: str, at: str, right: str, tie: str, after: i
     return ordered.mapInPandas(walk, schema)
 
 
-def lockout_stream(tries: DataFrame, after: int = R.LOCK_AFTER, minutes: float = R.LOCK_MINUTES) -> DataFrame:
+def lockout_stream(tries: DataFrame, after: int = R.LOCK_AFTER, minutes: float = R.LOCK_MINUTES, forget_days: float | None = None, late: str = "10 minutes") -> DataFrame:
     """A stream (user, event_id, at, ok) with outcome; state: failures so far and the lock's end. Only users with failures have
-    state: a right password clears the count, and what is left is what a new user has."""
+    state: a right password clears the count, and what is left is what a new user has. Failures are never forgotten otherwise,
+    unless forget_days is given: then a user's state goes when none of theirs has come for so long (and later tries than `late`
+    are not judged)."""
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = tuple(state.get) if state.exists else (0, 0.0)
-        for pdf in frames:
-            pdf = pdf.sort_values(["at", "event_id"])
-            out, held = lock_steps([(t.timestamp(), bool(ok)) for t, ok in zip(pdf["at"], pdf["ok"], strict=True)], held, after, minutes * 60)
-            yield pd.DataFrame({"user": key[0], "event_id": pdf["event_id"], "outcome": out})
+        pdf = _in_order(frames, "ok")
+        out, held = lock_steps(list(zip(pdf["t"].tolist(), pdf["ok"].astype(bool), strict=True)), held, after, minutes * 60)
+        yield pd.DataFrame({"user": key[0], "event_id": pdf["event_id"], "outcome": out})
         if held[0] or held[1]:
             state.update(held)
+            if forget_days is not None:
+                state.setTimeoutTimestamp(max(int(1000 * (pdf["t"].max() + 86400 * forget_days)), state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
 
-    return tries.groupBy("user").applyInPandasWithState(step, "user string, event_id long, outcome string", "failed long, until double", "append", GroupStateTimeout.NoTimeout)
+    timed = tries.withColumn("t", F.col("at").cast("double")) if forget_days is None else tries.withWatermark("at", late).withColumn("t", F.col("at").cast("double"))
+    timeout = GroupStateTimeout.NoTimeout if forget_days is None else GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy("user").applyInPandasWithState(step, "user string, event_id long, outcome string", "failed long, until double", "append", timeout)
 
 
 def audited(results: DataFrame) -> DataFrame:

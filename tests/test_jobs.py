@@ -88,6 +88,35 @@ def test_audit_chain(spark):
     assert tuple(audit.verify(log, b"k").first()) == (0, True, None)
 
 
+def test_canonical_text_is_json(spark):
+    texts = ["", "plain", 'a"b\\c', "a😀b", "\x7f", "\x00\x01\x1f\n\r\t\f\b/", "né 中 \u2028", "end\n", "\U0010ffff~ !"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", audit._quoted(F.col("t")).alias("q")).collect()
+    assert {r.t: r.q for r in got} == {t: json.dumps(t) for t in texts}
+
+
+def test_many_logs_are_chained_side_by_side(spark):
+    events = spark.sql("""SELECT id AS event_key, concat('u', id % 3) AS actor_id, '' AS actor_username, 'x' AS action, '' AS entity_type, cast(id AS string) AS entity_id, '{}' AS detail_json, '' AS ip_address, '' AS user_agent,
+      timestamp_seconds(1704067200 + id) AS occurred_at FROM range(20)""")
+    empty = events.selectExpr("*", "cast(1 as long) AS sequence", "'' AS prev_hash", "'' AS hash").drop("event_key").where("false")
+    early = audit.append(empty, events.where("event_key < 11"), b"k", by="actor_id")
+    log = audit.append(spark.createDataFrame(early.collect(), early.schema), events.where("event_key >= 11"), b"k", by="actor_id")
+    held = spark.createDataFrame(log.collect(), log.schema)
+    assert sorted((r.actor_id, r.sequence) for r in held.collect()) == [(f"u{k}", n) for k in range(3) for n in range(1, 8 - (k == 2))]
+    alone = audit.append(empty, events.where("actor_id = 'u1'"), b"k")
+    assert {r.entity_id: r.hash for r in alone.collect()} == {r.entity_id: r.hash for r in held.collect() if r.actor_id == "u1"}
+    assert {tuple(r) for r in audit.verify(held, b"k", "actor_id").collect()} == {("u0", 7, True, None), ("u1", 7, True, None), ("u2", 6, True, None)}
+    bad = held.withColumn("hash", F.when((F.col("actor_id") == "u1") & (F.col("sequence") == 4), "0").otherwise(F.col("hash")))
+    assert {tuple(r) for r in audit.verify(bad, b"k", "actor_id").collect()} == {("u0", 7, True, None), ("u1", 7, False, 4), ("u2", 6, True, None)}
+
+
+def test_first_row_of_an_id_is_seeded(spark):
+    rows = spark.createDataFrame([(3, "a", "third"), (1, "a", "first"), (2, "b", "second")], "row_number int, component_id string, component_name string")
+    for c in ("country_of_origin", "remarks", "is_chinese", "manufacturer", "chip_number", "part_number"):
+        rows = rows.withColumn(c, F.lit(""))
+    have = spark.createDataFrame([], "component_id string, component_name string")
+    assert sorted((r.component_id, r.component_name) for r in catalogue.seed(have, rows.repartition(3)).collect()) == [("a", "first"), ("b", "second")]
+
+
 def test_admission_and_lockout(spark):
     assert ingest.admit([0, 1, 2, 61, 62.5], deque(), 2, 60) == [True, True, False, True, True]
     out, state = ingest.lock_steps([(0, False), (1, False), (2, True), (3, False), (4, False), (5, False), (6, True), (70, True)], (0, 0.0), 3, 60)
