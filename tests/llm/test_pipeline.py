@@ -2,10 +2,9 @@
 
 import hashlib
 import math
-
-import plain
 import zlib
 
+import plain
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
