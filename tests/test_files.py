@@ -10,7 +10,7 @@ import pytest
 from plain_cascade import osa
 from pyspark.sql import functions as F
 
-from origintrace.operators import cascade, imports
+from origintrace.operators import cascade, catalogue, imports
 from origintrace.rules import tables as R
 from origintrace.sources import readers, sinks
 
@@ -75,3 +75,36 @@ def test_fuzzy_candidates_are_those_of_a_full_count(spark, monkeypatch):
         best = sorted((-score(k), place, o) for place, (_, o, k) in enumerate(near) if score(k) >= R.FUZZY_LEAST)
         assert got[i].score == pytest.approx(-best[0][0] if best else 0.0, abs=0.011), m
         assert [x.component_id for x in got[i].suggestions][: 1 if got[i].method != "fuzzy" else 0] == [f"component_id-{o}" for _, _, o in best[:1]][: 1 if got[i].method != "fuzzy" else 0]
+
+
+def test_workbooks_are_made_in_tasks(spark):
+    rows = spark.createDataFrame([(i, f"c{i}", None if i % 3 else "é<&", i % 2 == 0) for i in range(25)], "ord long, name string, note string, flag boolean").repartition(5)
+    made = sinks.workbooks(rows, "ord", "Parts", 10)
+    assert sorted((r.chunk, r["name"]) for r in made.collect()) == [(k, f"Parts-{k}.xlsx") for k in range(3)]
+    back = readers.parse_xlsx(made).collect()
+    assert sorted((r["name"], r.note, r.flag) for r in back) == sorted((f"c{i}", "" if i % 3 else "é<&", str(i % 2 == 0)) for i in range(25))
+    assert sinks.workbooks(rows.where("false"), "ord", "Parts").count() == 0
+
+
+def test_only_whole_snapshots_are_taken(spark, tmp_path):
+    root = f"file://{tmp_path}/versions"
+    rows = spark.createDataFrame([("k", 1)], "search_key string, n int")
+    sinks.save_version(rows, root, 3)
+    sinks.save_version(rows, root, 7, "import")
+    with pytest.raises(Exception, match="boom"):
+        sinks.save_version(rows.withColumn("n", F.raise_error(F.lit("boom")).cast("int")), root, 4)
+    assert {(r.source, r.version) for r in sinks.manifest(spark, root).collect()} == {("server", 3), ("import", 7)}
+    taken = readers.newest(sinks.manifest(spark, root)).first()
+    assert (taken.source, taken.version) == ("server", 3) and sinks.read_version(spark, root, taken.version).count() == 1
+
+
+def test_search_through_postings_is_search(spark, tmp_path):
+    parts = [(f"c{i}", name, f"P{i}", "", maker, None, f"89{i:04}", "", f"P{i}", i == 4) for i, (name, maker) in enumerate([("Flight controller", "ACME"), ("ESC 40A", "Acme Inc."), ("éclair", "b_c"), ("100% duty", None), ("Flight gone", "ACME"), ("a", "")])]
+    catalogue_ = spark.createDataFrame(parts, "component_id string, component_name string, part_number string, chip_number string, manufacturer string, remarks string, barcode string, supplier string, search_key string, is_deleted boolean")
+    index = f"file://{tmp_path}/index"
+    catalogue.write_search_index(catalogue_, index)
+    asked = ["flight", "ACME", "p3", "P", "É", "é", "zz", "4", "li%ro", "b_c", " acme ", "%", "", "a", "0% d"]
+    found = catalogue.search_many(catalogue_, index, spark.createDataFrame([(q,) for q in asked] * 2, "query string"))
+    got = {(r["query"], r.component_id) for r in found.collect()}
+    assert got == {(q, r.component_id) for q in asked if q.strip("% ") for r in catalogue.search(catalogue_, q).collect()}
+    assert found.count() == len(got)

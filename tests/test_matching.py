@@ -128,6 +128,21 @@ def test_text_functions(spark, pairs):
         assert r.d == osa(r.a, r.b) and abs(r.s - likeness(r.a, r.b)) <= 0.011
 
 
+def test_only_touched_texts_are_matched_again(spark, catalogue):
+    """Banners that differ between two versions are those of a match of everything; texts that no difference touches aren't matched."""
+    changed = [p for p in PARTS if p[0] != 4]
+    changed = [(*p[:5], "NO", *p[6:]) if p[0] == 0 else (*p[:13], "MX25L12833G", *p[14:]) if p[0] == 12 else p for p in changed] + [part(40, "TOTALLYUNKNOWNPART99", "YES", 90, "China")]
+    later = spark.createDataFrame(changed, FIELDS)
+    reads = spark.createDataFrame(list(enumerate(READS)), "scan_id long, raw_input string")
+    whole = [{r.scan_id: r.verdict.banner for r in scans.judged(cascade.match(reads, c)).collect()} for c in (catalogue, later)]
+    found = {r.scan_id: (r.device_banner, r.server_banner) for r in scans.disagreements(reads, catalogue, later).collect()}
+    assert found == {i: (whole[0][i], whole[1][i]) for i in whole[0] if whole[0][i] != whole[1][i]} != {}
+    texts = reads.select(F.coalesce("raw_input", F.lit("")).alias("raw_input")).distinct()
+    touched = {r.raw_input for r in scans.touched(texts, catalogue, later).collect()}
+    assert "SHARED100" not in touched and "ADIN13OOBCPZ" not in touched and "STM32F302C8T6" in touched
+    assert scans.touched(texts, catalogue, catalogue).count() == 0 and scans.disagreements(reads, catalogue, catalogue).count() == 0
+
+
 def test_origin_rules(spark):
     rows = [("China", "", "NO", "NO"), ("", "made in china", "", "YES"), ("Unknown", "", "", "UNKNOWN"), ("--", "", "", "UNKNOWN"), ("Hong Kong", "", "", "YES"), ("TECHNOLAND", "", "", "YES" if "CHN" in "TECHNOLAND" else "NO"), ("France", "", "", "NO"), ("", "", "", "UNKNOWN"), (None, None, None, "UNKNOWN"), ("x", "", "y", "YES")]
     df = spark.createDataFrame(rows, "c string, r string, d string, want string")
