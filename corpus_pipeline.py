@@ -32,8 +32,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised documents with their token ids, and their places in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, with_ids=True)
+    """Pieces of the tokenised documents and their places in sequences of 4096 tokens. `packing.pack_documents` gives their token
+    ids too where they are asked for."""
+    return packing.pack_documents(docs)
 
 
 STAGES = [
