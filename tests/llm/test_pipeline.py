@@ -86,6 +86,8 @@ def test_packing_stage(spark, docs, clashing):
     want = plain.pieces(rows, Tokenizer.from_file(packing.tokenizer_path()))
     got = stage("sequences")(spark, clashing.where("doc_id is not null"), "").collect()
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+    got = packing.pack_documents(docs.where("doc_id is not null"), with_ids=True).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
     made = packing.sequences(spark.createDataFrame(got)).collect()
     assert sum(r.n_tokens for r in made) == sum(r.length for r in got) and all(len(r.ids) == 4 * r.n_tokens <= 4 * packing.CAPACITY for r in made)
