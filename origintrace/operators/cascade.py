@@ -235,7 +235,8 @@ def match(scans: DataFrame, catalogue: DataFrame, key: str = "scan_id", raw: str
     in `trail`, by `resolved`.
     """
     live = catalogue.where("not is_deleted") if "is_deleted" in catalogue.columns else catalogue
-    looked_up = cut(lookups(live), "cascade-lookups")  # each layer reads it again
+    live = cut(live.select("ord", *CARRIED, "barcode", "qr_code"), "cascade-catalogue")  # each layer reads it, and what is looked up, again
+    looked_up = cut(lookups(live), "cascade-lookups")
     texts = cut(scans.select(F.coalesce(F.col(raw), F.lit("")).alias("raw_text")).distinct(), "cascade-texts")
     text_key = "raw_text"
     cheap = cut(cheap_layers(texts, looked_up, text_key, text_key), "cascade-cheap")

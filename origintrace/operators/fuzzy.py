@@ -23,66 +23,69 @@ def _commonest_grams(postings: DataFrame, n_rows: int) -> list[str]:
     return [r.gram for r in found.where(F.col("n") > COMMON_SHARE * n_rows).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).collect()]
 
 
-def _mask(grams: str, common: list[str]) -> Column:
+def _mask(grams: Column, common: list[str]) -> Column:
     bits = [F.array_contains(grams, g).cast("int") * (1 << i) for i, g in enumerate(common)]
     return sum(bits[1:], bits[0]) if bits else F.lit(0)
 
 
-def _shared(norm: str, key: str) -> Column:
-    """How many of the marking's distinct grams the key has. A marking shorter than a gram is its own, and only an equal key has it."""
-    there = F.size(F.filter(X.grams(F.col(norm)), lambda g: F.contains(F.col(key), g)))
-    return F.when(F.length(norm) < R.GRAM, (F.col(norm) == F.col(key)).cast("int")).otherwise(there)
-
-
 def _first(rows: DataFrame, by: str, k: int, *order: Column | str) -> DataFrame:
     """The first k rows of each group. Spark limits the rank before it shuffles, so a group brings at most k rows a task."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= k)
 
 
 def _first_of_masks(asked: DataFrame, stored: DataFrame) -> DataFrame:
-    """mask, ord, search_key: for each mask asked for, the rows that share most of its grams, FUZZY_SCANNED at most; so there are
+    """mask, ord, search_key, n: for each mask asked for, the rows that share most of its grams, FUZZY_SCANNED at most; so there are
     no more rows than that times the masks."""
     first = cut(_first(stored.where("row_mask <> 0").select("row_mask", "ord", "search_key"), "row_mask", R.FUZZY_SCANNED, "ord").drop("place"), "fuzzy-first")
     bits = lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.lit(MOST_COMMON - 1)), lambda i: F.when(F.getbit(F.col(c), i) == 1, i)), lambda i: i.isNotNull())
     mine, theirs = asked.select("mask").distinct().select("mask", F.explode(bits("mask")).alias("bit")), first.select("row_mask").distinct().select("row_mask", F.explode(bits("row_mask")).alias("bit"))
     met = mine.join(theirs, "bit").groupBy("mask", "row_mask").agg(F.count(F.lit(1)).alias("n")).join(first, "row_mask")
-    return _first(met, "mask", R.FUZZY_SCANNED, F.desc("n"), "ord").select("mask", "ord", "search_key")
+    return _first(met, "mask", R.FUZZY_SCANNED, F.desc("n"), "ord").select("mask", "ord", "search_key", "n")
+
+
+def _top(met: DataFrame, name: str) -> DataFrame:
+    return cut(_first(met.select("norm", "ord", "search_key", "n"), "norm", R.FUZZY_SCANNED, F.desc("n"), "ord").drop("place"), name)
+
+
+def _either(one: DataFrame, two: DataFrame) -> DataFrame:
+    return one.unionByName(two).groupBy("norm", "ord", "search_key").agg(F.max("n").alias("n"))
 
 
 def candidates(markings: DataFrame, rows: DataFrame) -> DataFrame:
     """norm, ord, search_key, n, place: for each marking (norm, distinct) the FUZZY_SCANNED rows (ord, search_key) that share
     most of its grams, of equals the first by ord; exactly those of a full count.
 
-    The few commonest grams are never looked up: rows that share nothing else with a marking are the same for all markings with
-    one mask of them, and the first of each mask's rows are all that can count. The other grams are looked up in rounds, rarest
-    first, until nothing unseen can come among a marking's rows; a round holds no more than FUZZY_SCANNED rows of each marking
-    over to the next.
+    Grams are looked up in rounds, rarest first, until nothing unseen can come among a marking's rows; what a met row shares
+    besides is read from its key. A round holds no more than FUZZY_SCANNED rows of each marking over to the next. The few
+    commonest grams are never looked up: rows that share nothing else with a marking are the same for all markings with one
+    mask of them, and the first of each mask's rows are all that can count.
     """
     rows = rows.where(F.col("search_key") != "").select("ord", "search_key")
-    stored = rows.withColumn("grams", X.grams(F.col("search_key")))
-    postings = cut(stored.select("ord", "search_key", F.explode("grams").alias("gram")), "fuzzy-postings")
+    postings = cut(rows.select("ord", "search_key", F.explode(X.grams(F.col("search_key"))).alias("gram")), "fuzzy-postings")
     common = _commonest_grams(postings, rows.count())
-    asked = markings.select("norm", X.grams(F.col("norm")).alias("grams")).withColumn("mask", _mask("grams", common))
+    stored = rows.select("ord", "search_key", _mask(X.grams(F.col("search_key")), common).alias("row_mask"))
+    asked = markings.select("norm", X.grams(F.col("norm")).alias("grams")).select("norm", "grams", _mask(F.col("grams"), common).alias("mask"))
     asked = cut(asked, "fuzzy-asked")
-    rare = ~F.col("gram").isin(common) if common else F.lit(True)
-    frequency = postings.where(rare).groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+    rare = postings.where(~F.col("gram").isin(common)) if common else postings
+    frequency = rare.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
     rarest = Window.partitionBy("norm").orderBy("rows", "gram")
-    grams = asked.select("norm", F.bit_count("mask").alias("common"), F.explode("grams").alias("gram")).join(frequency, "gram")
+    grams = asked.select("norm", "mask", F.explode("grams").alias("gram")).join(frequency, "gram")
     grams = grams.withColumns({"before": F.sum("rows").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), "left": F.count(F.lit(1)).over(Window.partitionBy("norm")) - F.row_number().over(rarest)})
     grams = cut(grams.withColumn("before", F.coalesce("before", F.lit(0))), "fuzzy-grams")
+    masked = rare.withColumn("row_mask", _mask(X.grams(F.col("search_key")), common)) if common else rare.withColumn("row_mask", F.lit(0))
+    masked = cut(masked, "fuzzy-masked")
 
-    kept = None
-    if common:
-        kept = asked.join(F.broadcast(_first_of_masks(asked, stored.withColumn("row_mask", _mask("grams", common)))), "mask").select("norm", "ord", "search_key")
-        kept = cut(_first(kept.withColumn("n", _shared("norm", "search_key")), "norm", R.FUZZY_SCANNED, F.desc("n"), "ord").drop("place"), "fuzzy-kept")
-    out, low, high = [], 0, FIRST_ROWS
+    kept, out, low, high = None, [], 0, FIRST_ROWS
     while True:
-        now = grams.where((F.col("before") >= low) & (F.col("before") < high)) if low else grams.where(F.col("before") < high)
-        met = now.select("norm", "gram").join(postings.where(rare), "gram").select("norm", "ord", "search_key").distinct().withColumn("n", _shared("norm", "search_key"))
-        met = met if kept is None else met.unionByName(kept).distinct()
-        kept = cut(_first(met, "norm", R.FUZZY_SCANNED, F.desc("n"), "ord").drop("place"), "fuzzy-kept")
+        this = (F.col("before") >= low) & (F.col("before") < high)
+        now = grams.where(this).select("norm", "gram")
+        met = now.join(masked, "gram").groupBy("norm", "ord", "search_key", "row_mask").agg(F.count(F.lit(1)).alias("hits"))
+        besides = grams.groupBy("norm", "mask").agg(F.collect_list(F.when(~this, F.col("gram"))).alias("besides"))  # a marking's own grams
+        also = F.size(F.filter("besides", lambda g: F.contains("search_key", g)))
+        met = met.join(besides, "norm").select("norm", "ord", "search_key", (F.col("hits") + F.bit_count(F.col("mask").bitwiseAND(F.col("row_mask"))) + also).cast("int").alias("n"))
+        kept = _top(met if kept is None else _either(met, kept), "fuzzy-kept")
         last = kept.groupBy("norm").agg(F.count(F.lit(1)).alias("found"), F.min("n").alias("least"))
-        unseen = grams.where(F.col("before") < high).groupBy("norm").agg(F.min("left").alias("left"), F.max("common").alias("common"))
+        unseen = grams.where(F.col("before") < high).groupBy("norm").agg(F.min("left").alias("left"), F.max(F.bit_count("mask")).alias("common"))
         more = unseen.join(last, "norm", "left").where("left > 0").where((F.coalesce("found", F.lit(0)) < R.FUZZY_SCANNED) | (F.col("least") <= F.col("left") + F.col("common")))
         more = cut(more.select("norm"), "fuzzy-more")
         if not more.take(1):
@@ -94,34 +97,47 @@ def candidates(markings: DataFrame, rows: DataFrame) -> DataFrame:
     found = out[0]
     for part in out[1:]:
         found = found.unionByName(part)
+    if common:
+        last = found.groupBy("norm").agg(F.count(F.lit(1)).alias("found"), F.min("n").alias("least"))
+        short = asked.where("mask <> 0").join(last, "norm", "left").where((F.coalesce("found", F.lit(0)) < R.FUZZY_SCANNED) | (F.col("least") <= F.bit_count("mask")))
+        short = cut(short.select("norm", "mask"), "fuzzy-short")
+        if short.take(1):
+            only = short.join(F.broadcast(_first_of_masks(short, stored)), "mask").select("norm", "ord", "search_key", F.col("n").cast("int").alias("n"))
+            found = found.join(short, "norm", "left_anti").unionByName(_top(_either(only, found.join(short, "norm", "left_semi")), "fuzzy-kept"))
     return found.withColumn("place", F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("n"), "ord")))
 
 
-def _swaps(a: Column, b: Column) -> Column:
-    """Places where a has two different letters that b has somewhere the other way round: no more swaps can align the two."""
+def _turned(a: Column) -> Column:
+    """The pairs of different neighbours of a, the other way round."""
     places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(a) - 1))
     one, two = (lambda i: F.substring(a, i, F.lit(1))), (lambda i: F.substring(a, i + 1, F.lit(1)))
-    return F.size(F.filter(places, lambda i: (one(i) != two(i)) & F.contains(b, F.concat(two(i), one(i)))))
+    return F.transform(F.filter(places, lambda i: one(i) != two(i)), lambda i: F.concat(two(i), one(i)))
 
 
 def similar(pairs: DataFrame, least: float = R.FUZZY_LEAST) -> DataFrame:
     """pairs (norm, search_key, ...) with s, of those whose similarity is `least` or more.
 
-    A swap of neighbours saves one edit, so the distance lies between the built-in one less the swaps that are possible and the
-    built-in one; the table of the exact distance is made for pairs alone that have such swaps and can be similar enough.
+    A swap of neighbours saves one edit, so a pair in which nothing can be swapped has the built-in distance, and others one
+    between that less the places that can be and that itself; the table of the exact distance is made only for pairs that have such
+    places and can be similar enough.
     """
     a, b = F.col("norm"), F.col("search_key")
     longest = F.greatest(F.length(a), F.length(b))
+    turned = pairs.select("norm").distinct().withColumn("turned", _turned(a))
+    able_to = lambda distance: (F.lit(1.0) - distance / longest) * 100 >= least - 0.01  # noqa: E731  however long the common prefix, it has no more letters than the pair has without edits
+    swappable = F.exists("turned", lambda t: F.contains(b, t))
+    edits = F.levenshtein(a, b)
+    held = pairs.join(turned, "norm").where(able_to(F.when(swappable, F.ceil(edits / 2)).otherwise(edits)))
 
     def score(t: Column) -> Column:
-        # However long the common prefix is, it has no more letters than the pair has without edits.
-        floor = F.greatest(t["edits"] - t["swaps"], F.lit(0))
-        able = ((F.lit(1.0) - floor / longest) * 100 >= least - 0.01) & (X.similarity(a, b, floor) >= least)
-        return F.when(able, X.similarity(a, b, F.when(t["swaps"] == 0, t["edits"]).otherwise(X.osa_distance(a, b))))
-
-    # Bound to a lambda's variable, edits and swaps are counted once a pair.
-    once = F.transform(F.array(F.struct(F.levenshtein(a, b).alias("edits"), _swaps(a, b).alias("swaps"))), score)
-    return pairs.withColumn("s", F.element_at(once, 1)).where(F.col("s") >= least)
+        swaps = F.size(F.filter("turned", lambda x: F.contains(b, x)))
+        floor = F.greatest(t["edits"] - swaps, F.ceil(t["edits"] / 2).cast("int"))
+        can = (swaps > 0) & able_to(floor) & (X.similarity(a, b, floor) >= least)
+        return F.when(swaps == 0, X.similarity(a, b, t["edits"])).when(can, X.similarity(a, b, X.osa_distance(a, b)))
+
+    # Bound to a lambda's variable, edits are counted once a pair.
+    once = F.transform(F.array(F.struct(edits.alias("edits"))), score)
+    return held.withColumn("s", F.element_at(once, 1)).where(F.col("s") >= least).drop("turned")
 
 
 def nearest(markings: DataFrame, catalogue: DataFrame) -> DataFrame:
