@@ -274,24 +274,24 @@ def test_language_of_odd_rows(spark, clashing, empty):
 
 
 def test_evidence_decides_short_texts(spark):
-    """Texts of one or two words that two languages share or that are another language's, on declared pages of hosts that keep to
-    a language: what is declared, the suffix and the host decide a stated share of them, and rightly."""
+    """Four in ten texts are one word that all languages have, on declared pages of hosts that keep to a language: what is declared,
+    the suffix and the host decide a stated share of all texts, and rightly."""
     r = random.Random(9)
     own = {"en": "the and of that with which this from there".split(), "fr": "les des une dans pour avec cette sont mais".split(), "de": "der und nicht auf mit eine sich auch nach".split()}
-    train = [(i, " ".join(r.choice(words) for _ in range(25)), lang) for i, (lang, words) in enumerate(list(own.items()) * 30)]
+    shared = "radio format normal festival hotel".split()
+    train = [(i, " ".join(r.choice(words) for _ in range(25)) + " " + " ".join(shared), lang) for i, (lang, words) in enumerate(list(own.items()) * 30)]
     model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
     rows = []
     for i in range(600):
         lang = ("en", "fr", "de")[i % 3]
-        says = r.choice([x for x in own if x != lang]) if i % 10 < 3 else lang  # a third says it in another language
-        text = " ".join(r.choice(own[says]) for _ in range(1 + i % 2))
+        text = r.choice(shared) if i % 10 < 4 else " ".join(r.choice(own[lang]) for _ in range(2 + i % 3))
         rows.append((i, text, lang if i % 9 else None, {"en": "uk", "fr": "fr", "de": "de"}[lang] if i % 8 else "com", f"{lang}{i % 5}.example", "example", lang))
     df = spark.createDataFrame(rows, "id long, t string, d string, s string, h string, m string, true string")
     got = langid.identify(df, model, text="t", declared=F.col("d"), suffix=F.col("s"), host=F.col("h"), domain=F.col("m")).collect()
     decided = [x for x in got if x.lid_lang != x.lid_text_lang]
     right = lambda rows_, c: sum(x[c] == x.true for x in rows_) / len(rows_)
     assert len(decided) >= 0.2 * len(got) and right(decided, "lid_lang") >= 0.95
-    assert right(got, "lid_lang") >= 0.93 and right(got, "lid_text_lang") <= 0.8
+    assert right(got, "lid_lang") >= 0.95 and right(got, "lid_text_lang") <= 0.8
 
 
 EVIDENCE = "id long, t string, d string, s string, h string, m string"
