@@ -79,7 +79,8 @@ def candidates(markings: DataFrame, rows: DataFrame) -> DataFrame:
     while True:
         this = (F.col("before") >= low) & (F.col("before") < high)
         now = grams.where(this).select("norm", "gram")
-        met = now.join(masked, "gram").groupBy("norm", "ord", "search_key", "row_mask").agg(F.count(F.lit(1)).alias("hits"))
+        # Dealt by marking once: hits, what else is shared and places are all counted there. A marking has no more rows than its grams' postings.
+        met = now.join(masked, "gram").select("norm", "ord", "search_key", "row_mask").repartition("norm").groupBy("norm", "ord", "search_key", "row_mask").agg(F.count(F.lit(1)).alias("hits"))
         besides = grams.groupBy("norm", "mask").agg(F.collect_list(F.when(~this, F.col("gram"))).alias("besides"))  # a marking's own grams
         also = F.size(F.filter("besides", lambda g: F.contains("search_key", g)))
         met = met.join(besides, "norm").select("norm", "ord", "search_key", (F.col("hits") + F.bit_count(F.col("mask").bitwiseAND(F.col("row_mask"))) + also).cast("int").alias("n"))
