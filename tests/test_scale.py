@@ -3,9 +3,32 @@
 import random
 
 import numpy as np
-from plain_cascade import osa
+import pytest
+from plain_cascade import likeness, osa
 
 from origintrace.functions import distances
+from origintrace.operators import fuzzy
+
+
+def grams(key):
+    return {key[i : i + 3] for i in range(max(1, len(key) - 2))}
+
+
+@pytest.mark.parametrize("held", [7, 64, 1 << 16])
+def test_blocks_hold_the_rows_that_share_most(monkeypatch, held):
+    """Whatever part of the rows is counted at a time, a marking's rows are the first 200 of a full count."""
+    monkeypatch.setattr(fuzzy, "HELD_ROWS", held)
+    rng = random.Random(3)
+    made = lambda: "".join(rng.choice("AB01") for _ in range(rng.randint(1, 9)))
+    rows, markings = [made() for _ in range(700)], sorted({made() for _ in range(30)} | {"AB", "é\U0001f600AB", "A" * 400 + "B01"})
+    block = fuzzy._Block(markings)
+    for at in range(0, len(rows), 50):
+        block.add(np.arange(at, at + 50) * 3, rows[at : at + 50])
+    found = block.nearest(55.0).to_pylist()
+    for m in markings:
+        shared = sorted((-len(grams(m) & grams(k)), i) for i, k in enumerate(rows) if grams(m) & grams(k))[:200]
+        alike = sorted((-likeness(m, rows[i]), place, i) for place, (_, i) in enumerate(shared) if likeness(m, rows[i]) >= 55)[:5]
+        assert [(r["ord"], r["s"], r["r"]) for r in found if r["norm"] == m] == [(i * 3, -s, r + 1) for r, (s, _, i) in enumerate(alike)], m
 
 
 def test_distances_of_many_pairs():
