@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
-from plain_cascade import likeness, osa
+from plain_cascade import likeness, osa, readings
+from pyspark.sql import functions as F
 
 from origintrace.functions import distances
+from origintrace.functions import text as X
 from origintrace.operators import fuzzy
 
 
@@ -40,3 +42,11 @@ def test_distances_of_many_pairs():
     assert found[:600].tolist() == [osa(x, y) for x, y in zip(a[:600], b[:600], strict=True)] and found[600:].tolist() == [2999, 2000]
     assert same.tolist() == [next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y))) for x, y in zip(a, b, strict=True)]
     assert distances.similarities(distances.Texts.of([]), distances.Texts.of([]), every[:0], every[:0]).tolist() == []
+
+
+def test_glyph_tables_are_applied_once_a_key(spark):
+    """Re-readings without a lookup of each letter in a map; two tables that say the same of a letter give one."""
+    keys = ["", "O", "C8T6", "UVGC0QDO1ILZ25S8B6GFE7T", "A" * 30, "0" * 90]
+    frame = spark.createDataFrame([(k,) for k in keys], "k string").select("k", X.glyph_variants(F.col("k")).alias("v"))
+    assert all(r.v == readings(r.k) for r in frame.collect())
+    assert "map" not in frame._jdf.queryExecution().optimizedPlan().toString().lower().replace("mapobjects", "")
