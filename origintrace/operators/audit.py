@@ -84,27 +84,26 @@ def append(log: DataFrame, events: DataFrame, secret: bytes, by: str | None = No
     key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
     last = log.groupBy(key.alias("log_name")).agg(F.max("sequence").alias("last_sequence"), F.max_by("hash", "sequence").alias("last_hash"))
     fields = [f.name for f in log.schema.fields if f.name in events.columns and f.name not in ("prev_hash", "hash", "sequence")]
-    # The number is put in by the task, between the two parts of the canonical text.
-    unnumbered = events.withColumn("sequence", F.lit("\x00")).withColumn("log_name", key)
-    begun = unnumbered.withColumn("canonical", canonical_event(unnumbered)).join(last, "log_name", "left")
-    begun = begun.select(*fields, "log_name", F.coalesce("last_sequence", F.lit(0)).cast("long").alias("last_sequence"), F.coalesce("last_hash", F.lit(R.GENESIS)).alias("last_hash"), "canonical", F.col("occurred_at").alias("at_time"), "event_key")
-    ordered = begun.repartition("log_name").sortWithinPartitions("log_name", "at_time", "event_key").select(*fields, "log_name", "last_sequence", "last_hash", "canonical")
+    # Each log's entries have to reach one task in their order. The window asks for that itself; a repartition would be left out
+    # where a join before it deals by the log already, and that join may be carried out without dealing at all.
+    chained_by = Window.partitionBy("log_name").orderBy("at_time", "event_key")
+    begun = events.withColumns({"log_name": key, "at_time": F.col("occurred_at")}).join(last, "log_name", "left")
+    numbered = begun.withColumn("sequence", F.coalesce("last_sequence", F.lit(0)).cast("long") + F.row_number().over(chained_by))
+    ordered = numbered.select(*fields, "log_name", F.coalesce("last_hash", F.lit(R.GENESIS)).alias("last_hash"), "sequence", canonical_event(numbered).alias("canonical"))
     schema = ordered.select(*fields).schema.add("sequence", "long").add("prev_hash", "string").add("hash", "string")
 
     def fold(batches):
-        current, before, number = None, "", 0
+        current, before = None, ""
         for batch in batches:
-            numbers, links, hashes = [], [], []
-            for which, start, first, c in zip(*(batch.column(len(fields) + k).to_pylist() for k in range(4)), strict=True):
+            links, hashes = [], []
+            for which, first, c in zip(*(batch.column(len(fields) + k).to_pylist() for k in (0, 1, 3)), strict=True):
                 if current is None or which != current[0]:
-                    current, before, number = (which,), first, start
-                number += 1
-                after = hmac.new(secret, (before + c.replace("\x00", str(number))).encode(), hashlib.sha256).hexdigest()
-                numbers.append(number)
+                    current, before = (which,), first
+                after = hmac.new(secret, (before + c).encode(), hashlib.sha256).hexdigest()
                 links.append(before)
                 hashes.append(after)
                 before = after
-            columns = [*batch.columns[: len(fields)], pa.array(numbers, pa.int64()), pa.array(links, pa.string()), pa.array(hashes, pa.string())]
+            columns = [*batch.columns[: len(fields)], batch.column(len(fields) + 2), pa.array(links, pa.string()), pa.array(hashes, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*fields, "sequence", "prev_hash", "hash"])
 
     chained = ordered.mapInArrow(fold, schema)
