@@ -25,6 +25,7 @@ RUN = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BITS_A_WORD, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 29  # of the bitmap: 64 MB at most; beyond 8 million words more candidates pass it
+SLICE_BITS = 1 << 16  # of the bitmap that are put together at once
 HELD_CANDIDATES = 1 << 21  # of a task at a time
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse and a word's rest can be moved by one place
@@ -70,18 +71,25 @@ def _by_length(words: list[bytes]):
 
 
 def _bitmap(words: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each word's hash. The rows collected are 64-bit words of a bitmap of bounded size, whatever the vocabulary."""
+    """A bit for each word's hash. Tasks put them together to slices of bytes, which reach the driver one partition of them at a
+    time and are no more than the bitmap's size; no row a word does."""
 
     def mark(batches):
         for batch in batches:
             found = [np.empty(0, dtype=np.uint64)] + [_scrambled(_hashed(w), bits) for w in _by_length([x.encode("latin-1") for x in batch.column(0).to_pylist()])]
             h = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (h & np.uint64(63))).view(np.int64))], names=["place", "bit"])
-
-    rows = words.select("word").mapInArrow(mark, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    out[rows["place"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array((h // np.uint64(SLICE_BITS)).astype(np.int32)), pa.array((h % np.uint64(SLICE_BITS)).astype(np.int32))], names=["slice", "bit"])
+
+    def gather(marks: pa.Table) -> pa.Table:
+        held = np.zeros(SLICE_BITS, dtype=bool)
+        held[marks.column("bit").to_numpy()] = True
+        return pa.table({"slice": pa.array([marks.column("slice")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    slices = words.select("word").mapInArrow(mark, "slice int, bit int").groupBy("slice").applyInArrow(gather, "slice int, bits binary")
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in slices.toLocalIterator():
+        out[r["slice"] * SLICE_BITS // 8 :][: SLICE_BITS // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.view("<u8")
 
 
 def edits(words: np.ndarray, alphabet: np.ndarray, exists) -> list[tuple[np.ndarray, list[bytes]]]:

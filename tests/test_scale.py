@@ -75,3 +75,17 @@ def test_logs_stay_whole_where_a_small_side_is_found_small_while_running(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert found == {("u0", 1334, True, None), ("u1", 1333, True, None), ("u2", 1333, True, None)}
+
+
+def test_words_bitmap_comes_in_slices(spark, monkeypatch):
+    """Rows that reach the driver are slices of the bitmap, not places of words."""
+    from origintrace.llm import spelling
+
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("a row a word"))
+    words, bits = sorted({f"word{i}é" * (1 + i % 2) for i in range(3000)}), 1 << 18
+    found = spelling._bitmap(spark.createDataFrame([(w,) for w in words], "word string"), bits)
+    wanted = np.zeros(bits // 64, dtype=np.uint64)
+    for w in words:
+        h = int(spelling._scrambled(spelling._hashed(np.frombuffer(w.encode("latin-1"), dtype=np.uint8)[None, :].astype(np.uint64)), bits)[0])
+        wanted[h >> 6] |= np.uint64(1 << (h & 63))
+    assert (found == wanted).all()
