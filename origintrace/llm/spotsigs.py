@@ -28,6 +28,7 @@ ANCHORS = frozenset(
 )
 CHAIN = 2
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000  # text that one task goes through, more where there would be too many; it holds two documents of it at a time
+PART_SIGNATURES = 2_000_000  # signatures of all sets that one task counts
 #: Letters are kept (A-Z in lower case, bytes from 128 on as they are), the rest separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -152,14 +153,90 @@ def op10_spotsigs(spark, sf_dir):
 
 
 def signature_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and sigs (array<long>, sorted)."""
+    """doc_id, n (set size), digest (of the set, as hex; null without signatures) and sigs (array<int>, the hashes' 32 bits)."""
 
     def make(batches):
         for batch in batches:
-            sets = [signatures(t.as_py()).tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "sigs"])
+            sets = [signatures(t.as_py()) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = np.concatenate([*sets, np.empty(0, dtype=np.uint32)]).view(np.int32)
+            digests = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
+            columns = [batch.column(0), pa.array(np.diff(ends)), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "sigs"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, sigs array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n int, digest string, sigs array<int>")
+
+
+def able_nodes(classes: DataFrame, percent: int = 75) -> DataFrame:
+    """The classes (node, n, sigs) with so many signatures that other classes have too that they could have a link.
+
+    A link needs at least percent of a set's size in common, so the rest of the search is for sets that are repeated to that
+    extent. Signatures are dealt by their value, as arrays, into parts of about PART_SIGNATURES, and a task finds the repeated
+    ones of a part. Those that a batch of sets repeats itself are counted there and sent once a batch, so a signature that
+    all texts have is no task's load.
+    """
+    spark = small_batches(classes).sparkSession
+    k = max(parts(spark), -(-(classes.agg(F.sum("n")).first()[0] or 0) // PART_SIGNATURES))
+
+    def lists(ends, values):
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+
+    def deal(batches):
+        for at, batch in enumerate(batches):
+            values = batch.column(1).flatten().to_numpy().view(np.uint32)
+            nodes = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            order = np.argsort(values, kind="stable")
+            values, nodes = values[order], nodes[order]
+            same = values[1:] == values[:-1]
+            first, last = np.concatenate([[True], ~same])[: len(values)], np.concatenate([~same, [True]])[: len(values)]
+            once, known = first & last, values[first & ~last]
+            here, shared = np.unique(nodes[~once], return_counts=True)
+            values, nodes = values[once], nodes[once]
+            starts = (np.arange(k + 1) << 32) // k  # each part's first value
+            mine = np.where(np.arange(k + 1) > at % k, len(here), 0)
+            ends, known_ends = np.searchsorted(values, starts), np.searchsorted(known, starts)
+            columns = [pa.array(np.arange(k, dtype=np.int32)), lists(ends, nodes), lists(ends, values.view(np.int32)), lists(known_ends, known.view(np.int32)), lists(mine, here), lists(mine, shared)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "nodes", "sigs", "known", "here", "shared"])
+
+    def counted(nodes, r):
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(r, pa.int64())], names=["node", "r"])
+
+    def count(batches):
+        nodes, sigs, known = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for batch in batches:
+            columns = [c.flatten().to_numpy() for c in batch.columns[1:]]
+            for held, c in zip((nodes, sigs, known), columns, strict=False):
+                held.append(c)
+            yield counted(*columns[3:])
+        nodes, sigs, known = (np.concatenate(c) for c in (nodes, sigs, known))
+        found, times = np.unique(sigs, return_counts=True)
+        yield counted(*np.unique(nodes[np.isin(sigs, np.union1d(found[times > 1], known))], return_counts=True))
+
+    dealt = classes.select("node", "sigs").mapInArrow(deal, "part int, nodes array<long>, sigs array<int>, known array<int>, here array<long>, shared array<long>").repartitionById(k, "part")
+    able = dealt.mapInArrow(count, "node long, r long").groupBy("node").agg(F.sum("r").alias("r"))
+    return classes.join(able, "node").where(F.col("r") >= F.ceil(F.col("n") * percent / 100.0)).drop("r")
+
+
+def meeting_places(able: DataFrame, percent: int = 75) -> DataFrame:
+    """node, n and buckets (array<long>) such that two linked sets share a bucket.
+
+    A set's length fixes its partition, by powers of 100/percent, and only equal or adjacent partitions can link, so a set is put
+    into its own and the next. Inside a partition two linked sets share one of their rarest signatures: of as many as may differ
+    from a shorter set, and one, in its own partition; in the next, where it meets longer sets only, of as many as may differ
+    from one of its own length, and one. A signature that one set of the partition has alone comes before all others and is no
+    place to meet.
+    """
+    n = F.col("n")
+    level = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
+    own = (n - F.ceil(n * percent / 100.0) + 1).cast("int")
+    longer = (n - F.ceil(n * (2 * percent) / (100.0 + percent)) + 1).cast("int")
+    places = F.explode(F.array(F.struct(level.alias("part"), own.alias("places")), F.struct((level + 1).alias("part"), longer.alias("places")))).alias("at")
+    spread = able.select("node", "n", "sigs", places).select("node", "n", "at.part", "at.places", F.explode("sigs").alias("sig"))
+    frequency = cut(spread.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "spotsigs-frequencies")
+    ranked = spread.join(frequency, ["part", "sig"]).groupBy("node", "n", "part", "places").agg(F.sort_array(F.collect_list(F.call_function("shiftleft", F.col("df"), F.lit(32)) + F.col("sig"))).alias("ranked"))  # one set's, by df and then by sig
+    left = F.greatest(F.col("places") - (n - F.size("ranked")), F.lit(0))
+    buckets = F.transform(F.slice("ranked", F.lit(1), left), lambda r: F.xxhash64(r, F.col("part")))
+    return ranked.select("node", n.cast("long").alias("n"), buckets.alias("buckets")).where(F.size("buckets") > 0)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -167,30 +244,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     least that likeness). Documents without signatures are in no link; a null doc_id is its own class and component unless a
     copy has an id; repeated rows get equal rows; no documents give no rows.
 
-    A set's length fixes its partition, by powers of 100/percent, and only equal or adjacent partitions can link, so a set is
-    put into its own and the next. Inside them two linked sets share one of their rarest signatures (as many as may differ, and
-    one), so those are the buckets in which sets meet: the common ones, which hot passages give, are none unless a set has
-    nothing else. Meetings are compared as full sets, pruned by length.
+    Equal sets are one class, told by a 128-bit digest. Classes that have too much for themselves are left out at once; the
+    others meet in buckets of their rarest signatures, and meetings are compared as full sets, pruned by length.
     """
     from .minhash import linked_groups
 
     sets = cut(signature_sets(docs), "spotsigs-sets")
-    filled = sets.where(F.size("sigs") > 0)
-    classes = cut(filled.groupBy("sigs").agg(F.min("doc_id").alias("node")).withColumn("n", F.size("sigs")), "spotsigs-classes")
-    spread = classes.where("node is not null").select("node", "n", F.explode("sigs").alias("sig"))
-    frequency = cut(spread.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "spotsigs-frequencies")
-    ranked = spread.join(frequency, "sig").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("ranked"))  # one set's
-    n = F.col("n")
-    rarest = F.slice("ranked", F.lit(1), (n - F.ceil(n * percent / 100.0) + 1).cast("int"))
-    level = F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
-    partitions = F.array(level, level + 1)
-    buckets = F.flatten(F.transform(rarest, lambda r: F.transform(partitions, lambda p: F.xxhash64(r["sig"], p))))
-    nodes = cut(ranked.select("node", n.cast("long").alias("n"), buckets.alias("buckets")), "spotsigs-nodes")
-    known = classes.where("node is not null").select("node", F.col("sigs").alias("shingles"))
+    classes = cut(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "sigs"), "doc_id").alias("s")).selectExpr("digest", "node", "s.n AS n", "s.sigs AS sigs"), "spotsigs-classes")
+    able = cut(able_nodes(classes.where("node is not null").select("node", "n", "sigs"), percent), "spotsigs-able")
+    nodes = cut(meeting_places(able, percent), "spotsigs-nodes")
+    known = able.select("node", F.col("sigs").alias("shingles"))
     groups = linked_groups(nodes, lambda wanted: known.join(wanted.select("node"), "node"), percent)
-    found = cut(classes.select("sigs", F.col("node").alias("class_id")).join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left"), "spotsigs-found")
-    out = sets.join(found, "sigs", "left")
-    return out.select("doc_id", F.size("sigs").cast("long").alias("n_signatures"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    found = classes.select("digest", F.col("node").alias("class_id")).join(groups.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
+    found = cut(found, "spotsigs-found")
+    out = sets.select("doc_id", F.col("n").cast("long").alias("n_signatures"), "digest").join(found, "digest", "left")
+    return out.select("doc_id", "n_signatures", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
 
 def spotsigs_near_duplicates(spark, sf_dir):

@@ -256,3 +256,21 @@ def test_empty_tables(empty):
     assert packing.pack_documents(empty).count() == 0
     assert spotsigs.edited_and_next(empty).count() == 0
     assert spotsigs.near_duplicates(empty).count() == 0
+
+
+def test_spotsigs_sets_with_much_of_their_own_are_left_out(spark, monkeypatch):
+    """Sets are counted in parts of even load, batch by batch, and only those go on that others repeat to the extent of a link."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    common = r.integers(-(1 << 31), 1 << 31, 30)
+    sets = {i: sorted({*common[: 5 + i % 26].tolist(), *r.integers(-(1 << 31), 1 << 31, i % 12).tolist()}) for i in range(1200)}
+    rows = spark.createDataFrame([(i, len(s), [int(x) for x in s]) for i, s in sets.items()], "node long, n int, sigs array<int>")
+    df = __import__("collections").Counter(x for s in sets.values() for x in s)
+    want = {i for i, s in sets.items() if 100 * sum(df[x] > 1 for x in s) >= 75 * len(s)}
+    for most in (10**6, 500):
+        monkeypatch.setattr(spotsigs, "PART_SIGNATURES", most)
+        assert {x.node for x in spotsigs.able_nodes(rows).collect()} == want
+    assert 0 < len(want) < len(sets)
+    places = {x.node: (x.n, len(x.buckets)) for x in spotsigs.meeting_places(spotsigs.able_nodes(rows)).collect()}
+    assert places and all(b <= 2 * (n - -(-3 * n // 4) + 1) for n, b in places.values())
