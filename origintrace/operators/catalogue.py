@@ -38,6 +38,7 @@ def search(catalogue: DataFrame, query: str = "", *, fields: list[str] | None =
 
 
 INDEX_BUCKETS = 64
+GRAM = 5
 
 
 def _pieces(c: Column) -> Column:
@@ -46,9 +47,14 @@ def _pieces(c: Column) -> Column:
 
 
 def _grams_of(text: Column) -> Column:
-    """Distinct substrings of one, two and three characters."""
-    some = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(some(1), some(2), some(3)))
+    """Distinct substrings of GRAM characters, and the shorter ones that the text ends with: any part of the text is one of them
+    or begins one, or has one, as it is shorter than GRAM or not."""
+    return F.when(F.length(text) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def _probes_of(piece: Column) -> Column:
+    """What a piece is looked up by: its substrings of GRAM characters, or all of it if it is shorter, as the beginning of grams."""
+    return F.filter(_grams_of(piece), lambda g: F.length(g) == F.least(F.length(piece), F.lit(GRAM)))
 
 
 def _gram_bucket(gram: str = "gram") -> Column:
@@ -58,7 +64,8 @@ def _gram_bucket(gram: str = "gram") -> Column:
 def write_search_index(catalogue: DataFrame, path: str, fields: list[str] | None = None) -> None:
     """Postings of the live rows' searched fields: gram, component_id, by the gram's bucket and sorted by gram, so that a search
     reads its grams' buckets and of these the row groups that may hold them."""
-    grams = F.flatten(F.array(*[_grams_of(F.lower(F.coalesce(F.col(c), F.lit("")))) for c in fields or SEARCHED]))
+    texts = F.array_distinct(F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in fields or SEARCHED]))
+    grams = F.flatten(F.transform(texts, _grams_of))
     postings = live(catalogue).select("component_id", F.explode(F.array_distinct(grams)).alias("gram")).withColumn("gram_bucket", _gram_bucket())
     postings.repartition("gram_bucket").sortWithinPartitions("gram_bucket", "gram").write.partitionBy("gram_bucket").parquet(path)
 
@@ -66,25 +73,28 @@ def write_search_index(catalogue: DataFrame, path: str, fields: list[str] | None
 def search_many(catalogue: DataFrame, index: str, queries: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """query, component_id: what `search` finds for each of the queries (query), through the postings of `write_search_index`.
 
-    A query meets the rows of its rarest gram, of the longest grams that it has, and these alone are tested for the whole query; rows whose
-    key begins with a query are met by prefixes, of asked lengths. A query of wildcards only, or of nothing, names every row and
-    finds none here: that is `search`'s.
+    A query meets the rows of its rarest probe, and these alone are tested for the whole query. A probe has GRAM characters, or is
+    a shorter piece as a whole and is met by every gram that begins with it; so a query of GRAM characters or fewer meets the
+    rows that have it and no others, however many rows and queries there are. Rows whose key begins with a query are met by
+    prefixes, of asked lengths. A query of wildcards only, or of nothing, names every row and finds none here: that is `search`'s.
     """
     spark = catalogue.sparkSession
     asked = queries.select("query").distinct().withColumn("pieces", _pieces(F.col("query"))).where(F.size("pieces") > 0)
-    grams = F.array_distinct(F.flatten(F.transform("pieces", _grams_of)))
-    asked = asked.withColumn("grams", grams).withColumn("longest", F.array_max(F.transform("grams", F.length)))
-    asked = cut(asked.select("query", F.explode(F.filter("grams", lambda g: F.length(g) == F.col("longest"))).alias("gram")), "search-asked")
+    asked = cut(asked.select("query", F.explode(F.array_distinct(F.flatten(F.transform("pieces", _probes_of)))).alias("probe")), "search-asked")
     postings = spark.read.schema("gram string, component_id string, gram_bucket int").parquet(index)
-    buckets = [r[0] for r in asked.select(_gram_bucket()).distinct().collect()]  # INDEX_BUCKETS at most
-    met = postings.where(F.col("gram_bucket").isin(buckets)).join(asked.select("gram").distinct(), "gram", "left_semi").select("gram", "component_id")
-    met = cut(met, "search-postings")
-    counts = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = asked.join(counts, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
-    texts = live(catalogue).select("component_id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields or SEARCHED])
-    found = rarest.join(met, "gram").join(texts, "component_id")
-    pattern = F.concat(F.lit("%"), F.lower(X.strip(F.col("query"))), F.lit("%"))
-    found = found.where(reduce(lambda a, b: a | b, [F.like(F.lower(F.col(c)), pattern) for c in fields or SEARCHED])).select("query", "component_id")
+    counts = cut(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "search-counts")
+    begins = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda i: F.substring("gram", F.lit(1), i)))).alias("probe")
+    met = cut(counts.select("gram", "n", begins).join(asked.select("probe").distinct(), "probe"), "search-grams")
+    sizes = met.groupBy("probe").agg(F.sum("n").alias("n"))
+    rarest = asked.join(sizes, "probe", "left").groupBy("query").agg(F.min_by("probe", F.struct(F.coalesce("n", F.lit(0)), F.col("probe"))).alias("probe"))
+    chosen = cut(rarest.join(met, "probe").select("query", "gram"), "search-chosen")
+    buckets = [r[0] for r in chosen.select(_gram_bucket()).distinct().collect()]  # INDEX_BUCKETS at most
+    texts = live(catalogue).select("component_id", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields or SEARCHED])
+    found = chosen.join(postings.where(F.col("gram_bucket").isin(buckets)), "gram").select("query", "component_id").join(texts, "component_id")
+    text = F.lower(X.strip(F.col("query")))
+    any_field = lambda test: reduce(lambda a, b: a | b, [test(F.col(c)) for c in fields or SEARCHED])
+    pattern = F.concat(F.lit("%"), text, F.lit("%"))
+    found = found.where(F.when(text.rlike(r"[%_\\]"), any_field(lambda c: F.like(c, pattern))).otherwise(any_field(lambda c: c.contains(text)))).select("query", "component_id")
     keyed = asked.select("query").distinct().withColumn("key", X.normalize(F.col("query"))).where("key <> ''")
     lengths = [r[0] for r in keyed.select(F.length("key")).distinct().collect()]  # few, whatever the queries
     known = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")

@@ -89,3 +89,21 @@ def test_words_bitmap_comes_in_slices(spark, monkeypatch):
         h = int(spelling._scrambled(spelling._hashed(np.frombuffer(w.encode("latin-1"), dtype=np.uint8)[None, :].astype(np.uint64)), bits)[0])
         wanted[h >> 6] |= np.uint64(1 << (h & 63))
     assert (found == wanted).all()
+
+
+def test_search_index_has_one_posting_a_place_and_short_queries_meet_their_rows_alone(spark, tmp_path):
+    """Postings are no more than the texts' characters, and a query of a gram's length or less is met by no other rows."""
+    from origintrace.operators import catalogue
+
+    fields = ["component_name", "part_number"]
+    texts = [(f"CHIP-{i}", f"Ünit {i * 7919 % 1000:05d}", f"{i * 31 % 977:06d}ab\U0001f600", f"{i}", False) for i in range(400)]
+    rows = spark.createDataFrame(texts, "component_id string, component_name string, part_number string, search_key string, is_deleted boolean")
+    path = str(tmp_path / "index")
+    catalogue.write_search_index(rows, path, fields)
+    assert spark.read.parquet(path).count() <= sum(len(t[1]) + len(t[2]) for t in texts)
+    asked = ["b\U0001f600", "\U0001f600", "ü", "NIT", "nit 00", "00123", "0012", "t%9", "u_it", "1", " 00", "Ab\U0001f600x", "zz", "0001a", "000%b", "%", ""]
+    found = catalogue.search_many(rows, path, spark.createDataFrame([(q,) for q in asked], "query string"), fields)
+    key = lambda q: "".join(c for c in q.upper() if c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    like = lambda q, t: __import__("re").search("".join({"%": ".*", "_": "."}.get(c, __import__("re").escape(c)) for c in q.strip().lower()), t.lower())
+    want = {(q, i) for q in asked if q.strip("% ") for i, a, b, k, _ in texts if like(q, a) or like(q, b) or (key(q) and k.startswith(key(q)))}
+    assert {tuple(r) for r in found.collect()} == want
