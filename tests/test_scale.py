@@ -107,3 +107,37 @@ def test_search_index_has_one_posting_a_place_and_short_queries_meet_their_rows_
     like = lambda q, t: __import__("re").search("".join({"%": ".*", "_": "."}.get(c, __import__("re").escape(c)) for c in q.strip().lower()), t.lower())
     want = {(q, i) for q in asked if q.strip("% ") for i, a, b, k, _ in texts if like(q, a) or like(q, b) or (key(q) and k.startswith(key(q)))}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_rows_of_one_key_are_held_once(spark):
+    """Keys with more rows than are scanned, levels that end inside a key's rows, rows of several keys in turn."""
+    rng = random.Random(9)
+    made = lambda n: "".join(rng.choice("AB01") for _ in range(n))
+    keys = [made(rng.randint(2, 7)) for _ in range(60)]
+    rows = [(i * 2, keys[i % 60] if i % 3 else keys[rng.randrange(7)]) for i in range(1500)]
+    markings = sorted({made(rng.randint(1, 8)) for _ in range(50)})
+    asked = spark.createDataFrame([(m,) for m in markings], "norm string")
+    found = fuzzy.most_similar(asked, spark.createDataFrame(rows, "ord long, search_key string").repartition(5)).collect()
+    for m in markings:
+        shared = sorted((-len(grams(m) & grams(k)), i, k) for i, k in rows if grams(m) & grams(k))[:200]
+        alike = sorted((-likeness(m, k), place, i) for place, (_, i, k) in enumerate(shared) if likeness(m, k) >= 55)[:5]
+        assert sorted((r.r, r.ord, r.s) for r in found if r.norm == m) == [(r + 1, i, -s) for r, (s, _, i) in enumerate(alike)], m
+
+
+@pytest.mark.parametrize("kinds", [64, 2])
+def test_markings_without_a_like_key_are_not_dealt(spark, monkeypatch, kinds):
+    """The bound by letters keeps every marking that has a like key, and few of those without."""
+    monkeypatch.setattr(fuzzy, "KINDS_A_TASK", kinds)
+    monkeypatch.setattr(fuzzy, "KINDS_TASKS", 2)
+    rng = random.Random(4)
+    made = lambda a, b: "".join(rng.choice("ABZ019é") for _ in range(rng.randint(a, b)))
+    keys = sorted({"STX" + made(3, 6) for _ in range(80)} | {made(1, 5) for _ in range(20)})
+    markings = sorted({made(1, 9) for _ in range(150)} | {"ZZ" + made(5, 8) + "W" for _ in range(50)} | {k[:4] + k[5:] for k in keys if len(k) > 5} | {"7" * 300, "STX" + "9" * 6})
+    frame = lambda v, c: spark.createDataFrame([(x,) for x in v], f"{c} string")
+    kept = {r.norm for r in fuzzy.resembling(frame(markings, "norm"), frame(keys, "search_key"), 55.0).collect()}
+    alike = {m for m in markings if any(likeness(m, k) >= 55 for k in keys)}
+    assert alike <= kept and len(kept) < len(markings)
+    far = frame([f"ZZ{i * 13}W" for i in range(1000, 3000)], "norm")
+    parts = frame([f"STX{i:06d}{('C8T6', 'KCU6', 'BCPZ', 'QFN1')[i % 4]}" for i in range(400)], "search_key")
+    assert kinds == 2 or fuzzy.resembling(far, parts, 55.0).count() == 0
+    assert fuzzy.resembling(far, parts.where("false"), 55.0).count() == 0
