@@ -141,3 +141,31 @@ def test_markings_without_a_like_key_are_not_dealt(spark, monkeypatch, kinds):
     parts = frame([f"STX{i:06d}{('C8T6', 'KCU6', 'BCPZ', 'QFN1')[i % 4]}" for i in range(400)], "search_key")
     assert kinds == 2 or fuzzy.resembling(far, parts, 55.0).count() == 0
     assert fuzzy.resembling(far, parts.where("false"), 55.0).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 18])
+def test_bitmap_of_hashes_never_misses_one(spark, monkeypatch, bits):
+    from origintrace.operators import bitmaps
+
+    monkeypatch.setattr(bitmaps, "LEAST_BITS", bits)
+    monkeypatch.setattr(bitmaps, "MOST_BITS", bits)
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    held = bitmaps.bitmap(hashes, bits)
+    wanted = np.zeros(bits, dtype=bool)
+    wanted[[r.h % bits for r in hashes.collect()]] = True
+    assert (np.unpackbits(held, bitorder="little").astype(bool) == wanted).all()
+    lists = spark.range(400).select("id", F.transform(F.sequence(F.col("id") * 20, F.col("id") * 20 + F.col("id") % 20), lambda i: F.xxhash64(i)).alias("l")).unionByName(spark.createDataFrame([(-1, [])], "id long, l array<long>"))
+    told = lists.select("id", "l", bitmaps.listed(hashes)(F.col("l")).alias("there")).collect()
+    assert all(r.there == [bool(wanted[h % bits]) for h in r.l] for r in told) and {len(r.l) for r in told} == set(range(21))
+    assert not any(x for r in lists.select(bitmaps.listed(hashes.where("false"))(F.col("l")).alias("there")).collect() for x in r.there)
+
+
+def test_only_probes_that_are_looked_up_leave_the_texts(spark):
+    """A text has dozens of probes; those without a key in the catalogue reach no join."""
+    from origintrace.operators import cascade
+
+    texts = spark.createDataFrame([(i, f"STX{i:06d}C8T6 GQ{i}J") for i in range(300)], "scan_id long, raw_input string")
+    keys = spark.createDataFrame([("K", f"STX{i:06d}C8T6") for i in range(0, 300, 3)] + [("B", "X")], "kind string, probe string")
+    found = cascade.probes(texts, keys).collect()
+    assert {(r.scan_id, r.probe) for r in found if r.kind == "K" and r.layer == cascade.CUT} >= {(i, f"STX{i:06d}C8T6") for i in range(0, 300, 3)}
+    assert len(found) < 2 * 300
