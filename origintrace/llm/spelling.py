@@ -162,12 +162,14 @@ def variants(vocabulary: DataFrame, *, ratio: int = RATIO) -> DataFrame:
     these, of equals the first in code-point order, if it is `ratio` times as frequent), form_n and root (the last form of forms).
 
     A word without near words has none, no form, and is its own root; an empty vocabulary gives an empty table.
+
+    Joins are by merging: Spark sizes what is generated from the vocabulary by the vocabulary's files, and would broadcast it.
     """
     vocabulary = cut(vocabulary.select("word", F.col("n").cast("long").alias("n")), "spelling-words")
-    found = neighbourhoods(vocabulary).join(vocabulary.select(F.col("word").alias("edited"), F.col("n").alias("near_n")), "edited")
+    found = neighbourhoods(vocabulary).join(vocabulary.select(F.col("word").alias("edited"), F.col("n").alias("near_n")).hint("merge"), "edited")
     near = found.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), _best("edited", "near_n").alias("b"))
     frequent = F.col("b.form_n") >= ratio * F.col("n")
-    words = vocabulary.join(near, "word", "left").select(
+    words = vocabulary.join(near.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(frequent, F.col("b.form")).alias("form"), F.when(frequent, F.col("b.form_n")).alias("form_n")
     )
     words = cut(words, "spelling-forms")
@@ -177,9 +179,9 @@ def variants(vocabulary: DataFrame, *, ratio: int = RATIO) -> DataFrame:
     steps = int(math.log(max(1, most / max(1, least)), ratio)) + 1
     roots = cut(words.where("form is not null").select("word", F.col("form").alias("root")), "spelling-roots")
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
-        onward = roots.select(F.col("word").alias("root"), F.col("root").alias("onward"))
+        onward = roots.select(F.col("word").alias("root"), F.col("root").alias("onward")).hint("merge")
         roots = cut(roots.join(onward, "root", "left").select("word", F.coalesce("onward", "root").alias("root")), "spelling-roots")
-    return words.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word")).select("word", "form", "root", "n", "n_near", "form_n")
+    return words.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
 def op11_spelling_variants(spark, sf_dir):

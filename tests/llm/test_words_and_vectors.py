@@ -224,3 +224,21 @@ def test_operators_split_groups_by_blocks(spark):
     assert found == {k: sum(copies[m] for m in range(7) if unit[k] @ unit[m] >= 0.95) - 1 for k in range(7)}
     whole = negatives.whole_rows(given, "vec_id", "label", "embedding")
     assert sorted(map(tuple, negatives.hard_negatives(whole, tiles.F.col("id") == 50).collect())) == [x for x in plain_negatives(rows) if x[0] == 50]
+
+
+def test_spelling_joins_broadcast_nothing(spark, tmp_path):
+    """A word's neighbours are many times the vocabulary that Spark sizes them by; neither comes through the driver."""
+    r = random.Random(8)
+    words = sorted({"".join(r.choice("ab") for _ in range(9)) for _ in range(400)})
+    vocabulary = spark.createDataFrame([(w, 1 + i % 50) for i, w in enumerate(words)], "word string, n long")
+    plans = []
+    write = type(vocabulary.write).parquet
+    kept = type(vocabulary.write)
+    try:
+        kept.parquet = lambda self, path, *a, **b: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, path, *a, **b))[1]
+        out = spelling.variants(vocabulary)
+        assert out.count() == len(words)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        kept.parquet = write
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
